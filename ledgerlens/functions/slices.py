@@ -1,0 +1,111 @@
+"""Ordered computations over event histories in which one key may own a third of all rows.
+
+A window over `partitionBy(key)` sorts the whole history of a key in one task, and a sliding frame re-aggregates
+every row's frame. Here time is cut into slices: windows run per (key, slice), a small table with one row per
+(key, slice) carries totals and last rows across slices, and sliding sums are differences of two prefix sums.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+DAY = 86400
+
+
+def slice_of(seconds: Column, width: int) -> Column:
+    return F.floor(seconds / width).cast("long")
+
+
+def prefix_sums(
+    contributions: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    measures: Sequence[str],
+    width: int = DAY,
+) -> DataFrame:
+    """For every point, the sum of each measure over the contributions of its key at a strictly smaller time.
+
+    Both inputs have the `keys` and the time `at` in seconds; `points` keeps its other columns.
+    """
+    kept = [c for c in points.columns if c not in (*keys, at)]
+    zero = [F.lit(0).cast(contributions.schema[m].dataType).alias(m) for m in measures]
+    missing = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in kept]
+    timeline = (
+        points.select(*keys, at, F.lit(0).alias("_kind"), *kept, *zero)
+        .unionByName(contributions.select(*keys, at, F.lit(1).alias("_kind"), *missing, *measures))
+        .withColumn("_slice", slice_of(F.col(at), width))
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        timeline.groupBy(*keys, "_slice")
+        .agg(*[F.sum(m).alias(m) for m in measures])
+        .select(*keys, "_slice", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}") for m in measures])
+    )
+    within = Window.partitionBy(*keys, "_slice").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    running = timeline.withColumns({m: F.sum(m).over(within) for m in measures}).filter(F.col("_kind") == 0)
+    return running.join(offsets, [*keys, "_slice"]).select(
+        *keys, at, *kept, *[(F.col(m) + F.col(f"_{m}")).alias(m) for m in measures]
+    )
+
+
+def next_time(times: DataFrame, keys: Sequence[str], at: str, alias: str, width: int = DAY) -> DataFrame:
+    """Distinct (keys, at) rows plus the next larger time of the same keys, null for the last."""
+    cut = times.select(*keys, at).distinct().withColumn("_slice", slice_of(F.col(at), width))
+    following = (
+        cut.groupBy(*keys, "_slice")
+        .agg(F.min(at).alias("_first"))
+        .select(*keys, "_slice", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_following"))
+    )
+    inside = F.lead(at).over(Window.partitionBy(*keys, "_slice").orderBy(at))
+    return (
+        cut.withColumn("_inside", inside)
+        .join(following, [*keys, "_slice"])
+        .select(*keys, at, F.coalesce("_inside", "_following").alias(alias))
+    )
+
+
+def with_previous(
+    rows: DataFrame,
+    key: str,
+    at: str,
+    order: Sequence[str],
+    fields: Sequence[str],
+    depth: int = 1,
+    width: int = DAY,
+) -> DataFrame:
+    """Rows plus `previous`: the up to `depth` preceding rows of the key (structs of `fields`, oldest first), and
+    `first_at`: the smallest time of the key.
+
+    A slice hands at most `depth` rows to its successors, and `depth` preceding slices always suffice because a
+    slice exists only where it has rows.
+    """
+    cut = rows.withColumn("_slice", slice_of(F.col(at), width))
+    item = F.struct(*fields)
+    latest = Window.partitionBy(key, "_slice").orderBy(*[F.desc(c) for c in order])
+    ends = (
+        cut.withColumn("_back", F.row_number().over(latest))
+        .filter(F.col("_back") <= depth)
+        .groupBy(key, "_slice")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("o"), item.alias("item")))).alias("_tail"))
+    )
+    firsts = cut.groupBy(key, "_slice").agg(F.min(at).alias("_first"))
+    earlier = Window.partitionBy(key).orderBy("_slice")
+    carried = (
+        ends.join(firsts, [key, "_slice"])
+        .select(
+            key,
+            "_slice",
+            F.flatten(F.collect_list("_tail").over(earlier.rowsBetween(-depth, -1))).alias("_carried"),
+            F.min("_first").over(earlier.rowsBetween(Window.unboundedPreceding, 0)).alias("first_at"),
+        )
+        .withColumn("_carried", F.transform("_carried", lambda pair: pair["item"]))
+    )
+    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(-depth, -1)
+    joined = cut.withColumn("_inside", F.collect_list(item).over(inside)).join(carried, [key, "_slice"])
+    all_before = F.concat("_carried", "_inside")
+    last = F.slice(all_before, F.greatest(F.size(all_before) - depth + 1, F.lit(1)), depth)
+    return joined.withColumn("previous", last).drop("_slice", "_inside", "_carried")

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.fixed_values import MERCHANT_CATEGORIES, TRANSACTION_FEATURES
 from ledgerlens.functions.clock import is_after_hours
-from ledgerlens.operators import rules
-from ledgerlens.sources.loan_view import loans
+from ledgerlens.functions.groups import one_row
+from ledgerlens.functions.ranks import score_statistics as value_statistics
+from ledgerlens.operators import alerts as summaries
+from ledgerlens.operators import features, history, rules
+from ledgerlens.schema import FEATURE_NAMES
+from ledgerlens.session import written_table
+from ledgerlens.sources.loan_view import loans, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +122,226 @@ def additive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.additive_score(rows).select("loan_id", "score")
 
 
+def _loan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan book written once, for queries that pass over it many times."""
+    return written_table(loans(spark, sf_dir), "loans")
+
+
+def _rounded(df: DataFrame, keys: list[str], names: list[str], digits: int = 6) -> DataFrame:
+    return df.select(*keys, *[F.round(F.col(n).cast("double"), digits).alias(n) for n in names])
+
+
+def _feature_query(group: str, names: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        book = _loan_table(spark, sf_dir)
+        return _rounded(features.add_features(book, groups=[group]), ["loan_id"], names.split())
+
+    return query
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(features.feature_matrix(_loan_table(spark, sf_dir)), ["loan_id"], FEATURE_NAMES)
+
+
+def feat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics fitted on the loans before 1998, applied to the whole book."""
+    book = _loan_table(spark, sf_dir)
+    fitted = features.fit(book.filter(F.col("loan_date") < F.lit("1998-01-01").cast("date")))
+    names = (
+        "officer_loan_count officer_avg_amount officer_volume_z branch_loan_count branch_avg_amount"
+        " amount_vs_branch_avg"
+    )
+    return _rounded(features.add_features(book, fitted, ["officer", "branch"]), ["loan_id"], names.split())
+
+
+def _both_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loans(spark, sf_dir)
+    return rules.all_alerts(book, "backend").unionByName(rules.all_alerts(book, "engine"))
+
+
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.severity_counts(_both_alerts(spark, sf_dir))
+
+
+def alert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.type_counts(_both_alerts(spark, sf_dir))
+
+
+def _portfolio(ruleset: str, scale: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = summaries.portfolio_risk(rules.all_alerts(loans(spark, sf_dir), ruleset), scale)
+        return found.withColumn("amount_at_risk", F.round("amount_at_risk", 2))
+
+    return query
+
+
+def alert_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summaries.filter_alerts(rules.all_alerts(loans(spark, sf_dir)), severity="high", method="rule")
+    return _alerts_of(found)
+
+
+def top_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alerts_of(summaries.top_severe(rules.all_alerts(loans(spark, sf_dir), "engine")))
+
+
+def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alerts_of(summaries.recent(rules.all_alerts(loans(spark, sf_dir))))
+
+
+def officer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loans(spark, sf_dir)
+    return summaries.officer_ranking(book, rules.all_alerts(book))
+
+
+def officer_ranking_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loans(spark, sf_dir)
+    ranked = summaries.officer_risk(book, rules.all_alerts(book, "engine"))
+    return ranked.withColumn("z_score", F.round("z_score", 6))
+
+
+def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _loan_table(spark, sf_dir)
+    needed = features.add_features(book, groups=["amount", "officer", "time", "network"])
+    return summaries.risk_distribution(needed)
+
+
+def portfolio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.portfolio_summary(loans(spark, sf_dir))
+
+
+def _amount_threshold(book: DataFrame) -> F.Column:
+    stats = one_row(book.filter(F.col("amount") > 0), mean=F.avg("amount"), sd=F.stddev_pop("amount"))
+    return stats["mean"] + 2.5 * stats["sd"]
+
+
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loans(spark, sf_dir)
+    labelled = book.withColumn("_threshold", _amount_threshold(book)).withColumn(
+        "fraud_type",
+        F.when(F.col("officer_id") == F.col("borrower_id"), "self_lending").when(
+            F.col("amount") > F.col("_threshold"), "amount"
+        ),
+    )
+    labelled = labelled.withColumn("is_fraud", F.col("fraud_type").isNotNull())
+    return summaries.label_summary(labelled).withColumn("rate", F.round("rate", 6))
+
+
+def _flags(book: DataFrame, ruleset: str) -> DataFrame:
+    return rules.alert_members(book, rules.all_alerts(book, ruleset), ruleset)
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _loan_table(spark, sf_dir)
+    months = book.select("loan_id", F.trunc("loan_date", "month").alias("month"))
+    flags = _flags(book, "backend").select("loan_id", F.lit("backend").alias("method"))
+    flags = flags.unionByName(_flags(book, "engine").select("loan_id", F.lit("engine").alias("method"))).distinct()
+    return summaries.detection_timeline(flags.join(months, "loan_id"), ["backend", "engine"])
+
+
+def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _loan_table(spark, sf_dir)
+    matrix = features.feature_matrix(book, keep=["loan_id"])
+    labelled = matrix.withColumn("label", (F.col("amount") > _amount_threshold(book)).cast("int"))
+    found = summaries.feature_correlations(labelled, "label", FEATURE_NAMES)
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summaries.feature_summary(features.feature_matrix(_loan_table(spark, sf_dir)), FEATURE_NAMES)
+    return _rounded(found, ["feature", "n"], ["mean", "sd", "minimum", "maximum"], 4)
+
+
+def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_statistics(loans(spark, sf_dir), "amount").withColumn("mean", F.round("mean", 4))
+
+
+def weekly_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loans(spark, sf_dir)
+    per_loan = rules.after_hours_loan(book).unionByName(rules.amount_outlier(book))
+    where = book.select(
+        F.col("loan_id").cast("string").alias("entity_key"),
+        F.col("branch_name").alias("institution"),
+        F.date_trunc("week", "loan_date").cast("date").alias("week"),
+    )
+    return summaries.weekly_top(per_loan.join(where, "entity_key")).select(
+        "alert_id", "institution", "week", F.round("amount_at_risk", 2).alias("amount_at_risk"), "rank"
+    )
+
+
+def alert_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`labels.toxic` stands for the confirmed outcome of the loan of the same number."""
+    book = _loan_table(spark, sf_dir)
+    outcomes = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("loan_id"), (F.col("toxic") == 1).alias("confirmed")
+    )
+    flags = _flags(book, "backend").select("alert_type", "loan_id").distinct()
+    found = summaries.alert_precision(flags, outcomes)
+    return _rounded(found, ["alert_type", "judged", "confirmed"], ["precision", "recall"])
+
+
+def behaviour_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summaries.behaviour_monthly(loans(spark, sf_dir))
+    shares = ["after_hours_share", "round_amount_share", "officer_concentration"]
+    return _rounded(found, ["month", "loans"], shares)
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as transactions: the number in `props` stands for device and place, and picks a merchant category."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    categories = F.array(*[F.lit(c) for c in [*MERCHANT_CATEGORIES, "unknown"]])
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("customer"),
+        F.col("event_id").alias("transaction_id"),
+        "ts",
+        F.col("value").alias("amount"),
+        F.col("event_type").alias("merchant"),
+        (F.col("event_type") == "error").alias("failed"),
+        F.element_at(categories, k % 16 + 1).alias("merchant_category"),
+        (k % 3).alias("device"),
+        (k * 0.01).alias("latitude"),
+        (k * 0.02).alias("longitude"),
+    )
+
+
+def _history_window(*names: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(history.history_windows(transactions(spark, sf_dir)), ["transaction_id"], list(names), 10)
+
+    return query
+
+
+def hist_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.previous_transaction(transactions(spark, sf_dir))
+    return _rounded(
+        found, ["transaction_id", "customer_age_days", "same_device"], ["minutes_since_prev", "distance_from_prev"], 4
+    )
+
+
+_VECTOR = [n for n, _, _ in TRANSACTION_FEATURES]
+
+
+def vector15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = history.transaction_vector(history.with_history(transactions(spark, sf_dir)))
+    return _rounded(vectors, ["transaction_id"], _VECTOR, 10)
+
+
+def vector15_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = history.transaction_vector(history.with_history(transactions(spark, sf_dir)))
+    return _rounded(history.normalise_vector(vectors), ["transaction_id"], _VECTOR, 10)
+
+
+def last7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.last_sequences(transactions(spark, sf_dir))
+    ids = F.transform("sequence", lambda t: F.coalesce(t["transaction_id"].cast("string"), F.lit("-")))
+    total = F.aggregate("sequence", F.lit(0.0), lambda acc, t: acc + t["amount"])
+    return found.select(
+        "customer",
+        "transaction_id",
+        F.array_join(ids, ",").alias("sequence"),
+        F.round(total, 4).alias("sequence_amount"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "ghost_loans": ghost_loans,
     "ghost_rows": _simple(rules.ghost_rows),
@@ -135,4 +361,53 @@ QUERIES: dict[str, Query] = {
     "all_alerts_demo": _ruleset("demo"),
     "alert_members": alert_members,
     "additive_score": additive_score,
+    "severity_counts": severity_counts,
+    "alert_types": alert_types,
+    "portfolio_risk": _portfolio("engine", "engine"),
+    "portfolio_risk_backend": _portfolio("backend", "backend"),
+    "portfolio_risk_count": _portfolio("engine", "count"),
+    "alert_filter": alert_filter,
+    "top_severe": top_severe,
+    "recent_alerts": recent_alerts,
+    "officer_ranking": officer_ranking,
+    "officer_ranking_engine": officer_ranking_engine,
+    "risk_distribution": risk_distribution,
+    "portfolio_summary": portfolio_summary,
+    "label_summary": label_summary,
+    "timeline": timeline,
+    "feature_corr": feature_corr,
+    "feature_summary": feature_summary,
+    "score_statistics": score_statistics,
+    "weekly_top": weekly_top,
+    "alert_precision": alert_precision,
+    "behaviour_monthly": behaviour_monthly,
+    "feat_amount": _feature_query(
+        "amount", "amount amount_log amount_vs_product_avg amount_vs_avg amount_percentile is_round_amount"
+    ),
+    "feat_officer": _feature_query(
+        "officer", "officer_loan_count officer_avg_amount officer_volume_z officer_approval_rate"
+    ),
+    "feat_time": _feature_query(
+        "time", "hour is_after_hours day_of_week is_weekend month is_month_end days_since_year_start"
+    ),
+    "feat_network": _feature_query(
+        "network",
+        "shared_phone_count has_shared_phone shared_guarantor_count has_shared_guarantor national_id_loan_count",
+    ),
+    "feat_geo": _feature_query("geo", "geographic_density officer_geo_concentration"),
+    "feat_branch": _feature_query("branch", "branch_loan_count branch_avg_amount amount_vs_branch_avg"),
+    "feat_borrower": _feature_query(
+        "borrower",
+        "borrower_loan_count has_multiple_loans borrower_total_exposure borrower_branch_count"
+        " multi_branch_borrower borrower_officer_count",
+    ),
+    "feat_apply": feat_apply,
+    "feature_matrix": feature_matrix,
+    "hist_30d": _history_window("transaction_count_30d", "avg_amount_30d"),
+    "hist_fail24": _history_window("failed_attempts_24h"),
+    "hist_uniq7": _history_window("unique_merchants_7d"),
+    "hist_prev": hist_prev,
+    "vector15": vector15,
+    "vector15_normalised": vector15_normalised,
+    "last7": last7,
 }

@@ -14,6 +14,7 @@ def build_session(app_name: str = "ledgerlens", master: str | None = None, **con
     """A session with the settings every job here assumes; `conf` keys use `__` for dots."""
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -395,3 +395,384 @@ select loan_id, least(round(0.1 + case when ratio > 3 then 0.3 else 0 end
 from (select loan_id, amount, amount / (select avg(amount) from loans) as ratio,
         coalesce(hour(created_at), 12) as hr from loans)""",
 }
+
+
+# --- features ---------------------------------------------------------------------------------------------------
+
+_AMOUNT_FEATURES = """
+fa as (
+  select loan_id, amount, ln(1 + amount) as amount_log,
+    amount / (avg(amount) over (partition by product_id) + 1) as raw_product, product_id,
+    amount / (avg(amount) over () + 1) as amount_vs_avg,
+    (rank() over (order by amount) + (count(*) over (partition by amount) - 1) / 2.0::double)
+      / count(*) over ()::double as amount_percentile,
+    case when amount % 100000 = 0 then 1 else 0 end as is_round_amount
+  from loans),
+feat_amount as (
+  select loan_id, amount, amount_log, case when product_id is null then 0 else raw_product end as amount_vs_product_avg,
+    amount_vs_avg, amount_percentile, is_round_amount from fa)"""
+
+_OFFICER_FEATURES = """
+fo as (
+  select officer_id, count(loan_id) as officer_loan_count, avg(amount) as officer_avg_amount,
+    avg(case when status is distinct from 'rejected' then 1.0::double else 0 end) as officer_approval_rate
+  from loans where officer_id is not null group by 1),
+fos as (select avg(officer_loan_count) as m, stddev_samp(officer_loan_count) as s, count(*) as n from fo),
+feat_officer as (
+  select loan_id, coalesce(officer_loan_count, 0) as officer_loan_count,
+    coalesce(officer_avg_amount, 0) as officer_avg_amount,
+    case when n > 2 and s > 0 then coalesce((officer_loan_count - m) / s, 0) else 0 end as officer_volume_z,
+    coalesce(officer_approval_rate, 0) as officer_approval_rate
+  from loans left join fo using (officer_id), fos)"""
+
+_TIME_FEATURES = """
+ft as (select date_trunc('year', min(created_at))::date as y from loans),
+feat_time as (
+  select loan_id, coalesce(hour(created_at), 12) as hour,
+    case when coalesce(hour(created_at), 12) < 6 or coalesce(hour(created_at), 12) >= 22 then 1 else 0 end
+      as is_after_hours,
+    coalesce(isodow(created_at) - 1, 0) as day_of_week,
+    case when coalesce(isodow(created_at) - 1, 0) >= 5 then 1 else 0 end as is_weekend,
+    coalesce(month(created_at), 1) as month, case when day(created_at) > 27 then 1 else 0 end as is_month_end,
+    coalesce(date_diff('day', y, created_at::date), 0) as days_since_year_start
+  from loans, ft)"""
+
+_NETWORK_FEATURES = """
+fp as (select phone_number, count(distinct borrower_id) as n from loans where phone_number is not null group by 1),
+feat_network as (
+  select loan_id, coalesce(fp.n, 0) as shared_phone_count, case when fp.n > 1 then 1 else 0 end as has_shared_phone,
+    case when guarantor_name is null then 0 else count(loan_id) over (partition by guarantor_name) end
+      as shared_guarantor_count,
+    case when guarantor_name is not null and count(loan_id) over (partition by guarantor_name) > 2 then 1 else 0 end
+      as has_shared_guarantor,
+    case when national_id is null then 0 else count(loan_id) over (partition by national_id) end
+      as national_id_loan_count
+  from loans left join fp using (phone_number))"""
+
+_GEO_FEATURES = """
+feat_geo as (
+  select loan_id,
+    case when latitude is null or longitude is null then 0
+      else count(loan_id) over (partition by round(latitude, 3), round(longitude, 3)) end as geographic_density,
+    case when latitude is null or longitude is null or officer_id is null then 0
+      else count(loan_id) over (partition by officer_id, round(latitude, 3), round(longitude, 3)) end
+      as officer_geo_concentration
+  from loans)"""
+
+_BRANCH_FEATURES = """
+feat_branch as (
+  select loan_id, count(loan_id) over (partition by branch_id) as branch_loan_count,
+    avg(amount) over (partition by branch_id) as branch_avg_amount,
+    amount / (avg(amount) over (partition by branch_id) + 1) as amount_vs_branch_avg
+  from loans)"""
+
+_BORROWER_FEATURES = """
+fb as (
+  select borrower_id, count(loan_id) as n, sum(amount) as total, count(distinct branch_id) as branches,
+    count(distinct officer_id) as officers from loans group by 1),
+feat_borrower as (
+  select loan_id, n as borrower_loan_count, case when n > 1 then 1 else 0 end as has_multiple_loans,
+    total as borrower_total_exposure, branches as borrower_branch_count,
+    case when branches > 1 then 1 else 0 end as multi_branch_borrower, officers as borrower_officer_count
+  from loans join fb using (borrower_id))"""
+
+FEATURE_CTES = [
+    _AMOUNT_FEATURES,
+    _OFFICER_FEATURES,
+    _TIME_FEATURES,
+    _NETWORK_FEATURES,
+    _GEO_FEATURES,
+    _BRANCH_FEATURES,
+    _BORROWER_FEATURES,
+    """
+feats as (
+  select * from feat_amount join feat_officer using (loan_id) join feat_time using (loan_id)
+  join feat_network using (loan_id) join feat_geo using (loan_id) join feat_branch using (loan_id)
+  join feat_borrower using (loan_id))""",
+]
+
+FEATURES = {
+    "feat_amount": (
+        _AMOUNT_FEATURES,
+        "amount amount_log amount_vs_product_avg amount_vs_avg amount_percentile is_round_amount",
+    ),
+    "feat_officer": (
+        _OFFICER_FEATURES,
+        "officer_loan_count officer_avg_amount officer_volume_z officer_approval_rate",
+    ),
+    "feat_time": (
+        _TIME_FEATURES,
+        "hour is_after_hours day_of_week is_weekend month is_month_end days_since_year_start",
+    ),
+    "feat_network": (
+        _NETWORK_FEATURES,
+        "shared_phone_count has_shared_phone shared_guarantor_count has_shared_guarantor national_id_loan_count",
+    ),
+    "feat_geo": (_GEO_FEATURES, "geographic_density officer_geo_concentration"),
+    "feat_branch": (_BRANCH_FEATURES, "branch_loan_count branch_avg_amount amount_vs_branch_avg"),
+    "feat_borrower": (
+        _BORROWER_FEATURES,
+        "borrower_loan_count has_multiple_loans borrower_total_exposure borrower_branch_count"
+        " multi_branch_borrower borrower_officer_count",
+    ),
+}
+
+
+def _rounded(names: str) -> str:
+    return ", ".join(f"round(cast({n} as double), 6) as {n}" for n in names.split())
+
+
+_ALL_FEATURES = " ".join(names for _, names in FEATURES.values())
+
+for _name, (_cte, _columns) in FEATURES.items():
+    ORACLES[_name] = _with(_cte) + f"select loan_id, {_rounded(_columns)} from {_name}"
+
+ORACLES["feature_matrix"] = _with(*FEATURE_CTES) + f"select loan_id, {_rounded(_ALL_FEATURES)} from feats"
+
+ORACLES["feat_apply"] = _with("""
+past as (select * from loans where loan_date < date '1998-01-01'),
+po as (
+  select officer_id, count(loan_id) as officer_loan_count, avg(amount) as officer_avg_amount
+  from past where officer_id is not null group by 1),
+pos as (select avg(officer_loan_count) as m, stddev_samp(officer_loan_count) as s, count(*) as n from po),
+pb as (
+  select branch_id, count(loan_id) as branch_loan_count, avg(amount) as branch_avg_amount from past
+  where branch_id is not null group by 1)""") + """
+select loan_id, coalesce(officer_loan_count, 0)::double as officer_loan_count,
+  round(coalesce(officer_avg_amount, 0), 6) as officer_avg_amount,
+  round(case when n > 2 and s > 0 then coalesce((officer_loan_count - m) / s, 0) else 0 end, 6) as officer_volume_z,
+  coalesce(branch_loan_count, 0)::double as branch_loan_count,
+  round(coalesce(branch_avg_amount, 0), 6) as branch_avg_amount,
+  round(coalesce(amount / (branch_avg_amount + 1), 0), 6) as amount_vs_branch_avg
+from loans left join po using (officer_id) left join pb using (branch_id), pos"""
+
+
+# --- summaries --------------------------------------------------------------------------------------------------
+
+_BOTH_ALERTS = [*_BACKEND_CTES, *_ENGINE_CTES, "alerts as (" + _union([*_BACKEND, *_ENGINE]) + ")"]
+_PORTFOLIO = """
+select count(*) as total_alerts, count(*) filter (where severity = 'CRITICAL') as critical_alerts,
+  count(*) filter (where severity = 'HIGH') as high_alerts,
+  count(*) filter (where severity = 'MEDIUM') as medium_alerts,
+  count(*) filter (where severity is null or severity not in ('CRITICAL', 'HIGH', 'MEDIUM')) as low_alerts,
+  cast(risk as int) as risk_score, round(sum(amount_at_risk), 2) as amount_at_risk,
+  case when risk >= 70 then 'severe' when risk >= 40 then 'elevated' when risk >= 20 then 'guarded' else 'low' end
+    as risk_band
+from alerts, (select least(100, sum({points})) as risk from alerts) group by risk"""
+_ENGINE_POINTS = "case severity when 'CRITICAL' then 25 when 'HIGH' then 15 when 'MEDIUM' then 8 else 3 end"
+_BACKEND_POINTS = "case severity when 'HIGH' then 10 when 'MEDIUM' then 5 when 'LOW' then 2 else 1 end"
+_MEMBER_FLAGS = """
+members as (
+  select distinct 'backend' as method, loan_id from (
+    select loan_id from loans where phone_number in (select phone_number from ghosts)
+    union all select loan_id from loans where officer_id in (select officer_id from odd_officers)
+    union all select loan_id from c1 join cells using (officer_id, cell_lat, cell_lon)
+    union all select loan_id from late where officer_id is not null
+    union all select loan_id from loans where guarantor_name in (select guarantor_name from backers)
+    union all select loan_id from loans where status = 'active' and borrower_id in (select borrower_id from stacked))
+  union all
+  select distinct 'engine', loan_id from (
+    select loan_id from loans where phone_number in (select phone_number from dup_phones)
+    union all select loan_id from loans join days using (borrower_id, loan_date)
+    union all select loan_id from loans where coalesce(cast(officer_id as varchar), 'Unknown') in
+      (select officer_id from busy)
+    union all select loan_id from late_loans
+    union all select loan_id from outliers))"""
+
+ORACLES |= {
+    "severity_counts": _with(*_BOTH_ALERTS) + "select severity, count(*) as alerts from alerts group by 1",
+    "alert_types": _with(*_BOTH_ALERTS)
+    + "select alert_type, replace(alert_type, '_', ' ') as label, count(*) as alerts from alerts group by 1",
+    "portfolio_risk": _with(*ENGINE_ALERTS) + _PORTFOLIO.format(points=_ENGINE_POINTS),
+    "portfolio_risk_backend": _with(*BACKEND_ALERTS) + _PORTFOLIO.format(points=_BACKEND_POINTS),
+    "portfolio_risk_count": _with(*ENGINE_ALERTS) + _PORTFOLIO.format(points="10"),
+    "alert_filter": _with(*BACKEND_ALERTS)
+    + "select *, count(*) over () as total from alerts where severity = 'HIGH' and detection_method = 'rule'"
+    " order by amount_at_risk desc, alert_id limit 50",
+    "top_severe": _with(*ENGINE_ALERTS)
+    + "select * from alerts where severity in ('CRITICAL', 'HIGH')"
+    " order by severity, amount_at_risk desc, alert_id limit 5",
+    "recent_alerts": _with(*BACKEND_ALERTS) + "select * from alerts order by alert_id limit 10",
+    "officer_ranking": _with(*BACKEND_ALERTS, """
+ol as (select cast(officer_id as varchar) as officer_id, count(loan_id) as loan_count from loans
+       where officer_id is not null group by 1),
+oa as (select officer_id, count(*) as alert_count from alerts where officer_id is not null group by 1),
+r as (select officer_id, loan_count, coalesce(alert_count, 0) as alert_count,
+        coalesce(alert_count, 0)::double / loan_count * 100 as rate from ol left join oa using (officer_id))""")
+    + """select officer_id, 'Officer ' || right(officer_id, 3) as name, loan_count, alert_count,
+  round(rate, 1) as flag_rate, least(100, cast(trunc(rate * 8 + alert_count * 5) as bigint)) as risk_score
+from r order by risk_score desc, officer_id limit 10""",
+    "officer_ranking_engine": _with(*ENGINE_ALERTS, """
+oa as (select officer_id, count(*) as alert_count from alerts where officer_id is not null group by 1),
+r as (select *, least(100, coalesce(alert_count, 0) * 10 + case when z_score > 2 then 30 else 0 end) as risk
+      from volumes left join oa using (officer_id))""")
+    + """select officer_id, name, loan_count, total_amount, round(z_score, 6) as z_score,
+  coalesce(alert_count, 0) as alert_count, cast(risk as bigint) as risk_score,
+  case when risk > 60 then 'high' when risk > 30 then 'medium' else 'low' end as risk_band from r""",
+    "risk_distribution": _with(*FEATURE_CTES, """
+scored as (select least(greatest(officer_approval_rate * 30 + amount_vs_avg * 20 + is_after_hours * 25
+  + shared_phone_count * 25, 0), 100) as s from feats),
+bins as (select * from (values (0, 20, '0-20', 'Very Low'), (20, 40, '21-40', 'Low'), (40, 60, '41-60', 'Medium'),
+  (60, 80, '61-80', 'High'), (80, 1000, '81-100', 'Critical')) t(lo, hi, "range", label))""")
+    + """select "range", label, (select count(*) from scored where s <= hi and (s > lo or lo = 0)) as loans from bins""",
+    "portfolio_summary": _with() + """
+select count(*) as total_loans, sum(amount) as total_amount, count(distinct officer_id) as officers,
+  count(distinct branch_id) as branches, min(loan_date) as first_date, max(loan_date) as last_date from loans""",
+    "label_summary": _with(_AMOUNT_CTE, _SELF_CTE, """
+labelled as (
+  select loan_id, case when loan_id in (select loan_id from own) then 'self_lending'
+    when loan_id in (select loan_id from outliers) then 'amount' end as fraud_type from loans)""") + """
+select null as fraud_type, count(fraud_type) as loans,
+  round(avg(case when fraud_type is null then 0.0::double else 1 end), 6) as rate
+from labelled
+union all
+select fraud_type, count(*), null from labelled where fraud_type is not null group by 1""",
+    "timeline": _with(*_BACKEND_CTES, *_ENGINE_CTES, _MEMBER_FLAGS, """
+per_loan as (
+  select cast(date_trunc('month', loan_date) as date) as month, loan_id, max((method = 'backend')::int) as b,
+    max((method = 'engine')::int) as e from members join loans using (loan_id) group by 1, 2)""")
+    + "select month, sum(b)::bigint as backend, sum(e)::bigint as engine, sum(b * e)::bigint as combined"
+    " from per_loan group by 1",
+    "feature_corr": _with(*FEATURE_CTES, """
+lab as (select loan_id, (amount > (select avg(amount) + 2.5 * stddev_pop(amount) from loans))::int as y from loans),
+cors as (""" + " union all ".join(
+        f"select '{n}' as feature, corr({n}, y) as correlation from feats join lab using (loan_id)"
+        for n in _ALL_FEATURES.split()
+    ) + """)""")
+    + """select feature, round(correlation, 6) as correlation from cors
+where correlation is not null and not isnan(correlation) order by abs(correlation) desc, feature limit 10""",
+    "feature_summary": _with(*FEATURE_CTES) + " union all ".join(
+        f"select '{n}' as feature, count({n})::double as n, round(avg({n}), 4) as mean, round(stddev_samp({n}), 4) as sd,"
+        f" round(min({n})::double, 4) as minimum, round(max({n})::double, 4) as maximum from feats"
+        for n in _ALL_FEATURES.split()
+    ),
+    "score_statistics": _with() + """
+, o as (select amount, row_number() over (order by amount) - 1 as i, count(*) over () as c from loans)
+select count(*) as n, round(avg(amount), 4) as mean, min(amount) as minimum, max(amount) as maximum,
+  max(case when i = floor(c * 0.5) then amount end) as median, max(case when i = floor(c * 0.95) then amount end) as p95
+from o""",
+    "weekly_top": _with(*ENGINE_ALERTS[:-1], """
+flat as (
+  select a.*, l.branch_name as institution, cast(date_trunc('week', l.loan_date) as date) as week
+  from (""" + _union([_late_loan("TIMING_ANOMALY"), _amount(False)]) + """) a
+  join loans l on cast(l.loan_id as varchar) = a.entity_key)""") + """
+select alert_id, institution, week, amount_at_risk, rank from (
+  select *, row_number() over (partition by institution, week order by amount_at_risk desc, alert_id) as rank from flat)
+where rank <= 10""",
+    "alert_precision": _with(*_BACKEND_CTES, """
+flags as (
+  select distinct alert_type, loan_id from (
+    select 'ghost_loan' as alert_type, loan_id from loans where phone_number in (select phone_number from ghosts)
+    union all select 'unusual_approval', loan_id from loans where officer_id in (select officer_id from odd_officers)
+    union all select 'collusion_ring', loan_id from c1 join cells using (officer_id, cell_lat, cell_lon)
+    union all select 'timing_anomaly', loan_id from late where officer_id is not null
+    union all select 'shared_guarantor', loan_id from loans where guarantor_name in (select guarantor_name from backers)
+    union all select 'loan_stacking', loan_id from loans
+      where status = 'active' and borrower_id in (select borrower_id from stacked))),
+outcomes as (select doc_id as loan_id, toxic = 1 as confirmed from labels)""") + """
+select alert_type, count(*) as judged, count(*) filter (where confirmed) as confirmed,
+  round(count(*) filter (where confirmed) / count(*)::double, 6) as precision,
+  round(count(*) filter (where confirmed) / nullif((select count(*) from outcomes where confirmed), 0)::double, 6)
+    as recall
+from flags join outcomes using (loan_id) group by 1""",
+    "behaviour_monthly": _with() + """
+, m as (
+  select cast(date_trunc('month', loan_date) as date) as month, *, hour(created_at) < 6 or hour(created_at) >= 22 as late
+  from loans),
+pm as (select month, officer_id, count(*) as n from m where officer_id is not null group by 1, 2),
+top as (select month, max(n) as busiest from pm group by 1)
+select month, count(*) as loans,
+  round(count(*) filter (where late) / nullif(count(created_at), 0)::double, 6) as after_hours_share,
+  round(count(*) filter (where amount % 100000 = 0) / count(*)::double, 6) as round_amount_share,
+  round(max(busiest) / count(*)::double, 6) as officer_concentration
+from m left join top using (month) group by month""",
+}
+
+
+# --- transaction history ----------------------------------------------------------------------------------------
+
+_CATEGORIES = (
+    "retail 0.1 grocery 0.15 restaurant 0.2 gas 0.25 travel 0.4 entertainment 0.35 utilities 0.1 healthcare 0.15"
+    " education 0.1 transfer 0.5 withdrawal 0.45 online 0.55 foreign 0.7 gambling 0.8 crypto 0.75 unknown 0.3"
+).split()
+_WEIGHTS = ", ".join(_CATEGORIES[1::2])
+
+_TRANSACTIONS = f"""
+with e as (
+  select user_id, event_id, ts, cast(floor(epoch_us(ts) / 1e6) as bigint) as s, value, event_type,
+    cast(json_extract_string(props, '$.k') as int) as k from events),
+pairs as (
+  select a.event_id, count(b.event_id) as c30, avg(b.value) as a30,
+    count(case when b.s >= a.s - 86400 and b.event_type = 'error' then 1 end) as f24,
+    count(distinct case when b.s >= a.s - 7*86400 then b.event_type end) as u7
+  from e a left join e b on a.user_id = b.user_id and b.s >= a.s - 30*86400 and b.s < a.s group by 1),
+prev as (
+  select *, lag(s) over w as ps, lag(k) over w as pk, min(s) over (partition by user_id) as s0
+  from e window w as (partition by user_id order by ts, event_id)),
+linked as (
+  select event_id, user_id, ts, value, k, cast(floor(s/86400.0) - floor(s0/86400.0) as bigint) as customer_age_days,
+    (s - ps) / 60.0::double as minutes_since_prev, pk%3 = k%3 as same_device,
+    2 * 6371.0::double * asin(sqrt(least(1.0::double, pow(sin(radians(k*0.01::double - pk*0.01::double)/2), 2)
+      + cos(radians(pk*0.01::double)) * cos(radians(k*0.01::double))
+        * pow(sin(radians(k*0.02::double - pk*0.02::double)/2), 2)))) as distance_from_prev
+  from prev),
+base as (
+  select event_id as transaction_id, value as amount, coalesce(nullif(a30, 0), value) as avg_amount_30d, hour(ts) as hour,
+    isodow(ts) - 1 as day_of_week, customer_age_days as age, c30, f24, u7, minutes_since_prev as mins,
+    distance_from_prev as dist, same_device, [{_WEIGHTS}][k % 16 + 1] as merchant_category
+  from linked join pairs using (event_id)),
+vectors as (
+  select transaction_id, amount::double as amount,
+    amount / coalesce(nullif(avg_amount_30d, 0), 1) as amount_ratio, hour::double as hour,
+    day_of_week::double as day_of_week, (day_of_week >= 5)::int::double as is_weekend,
+    (hour < 8 or hour >= 18)::int::double as is_after_hours,
+    coalesce(nullif(age, 0), 365)::double as customer_age_days,
+    coalesce(nullif(c30, 0), 10)::double as transaction_count_30d, avg_amount_30d,
+    merchant_category::double as merchant_category, coalesce(same_device::int, 0)::double as same_device,
+    coalesce(dist, 0)::double as distance_from_prev, coalesce(nullif(mins, 0), 60)::double as minutes_since_prev,
+    coalesce(f24, 0)::double as failed_attempts_24h, coalesce(nullif(u7, 0), 5)::double as unique_merchants_7d
+  from base)
+"""
+
+_STORED = [
+    ("amount", 500000, 1000000),
+    ("amount_ratio", 1, 2),
+    ("hour", 12, 6),
+    ("day_of_week", 2.5, 2),
+    ("is_weekend", 0.28, 0.45),
+    ("is_after_hours", 0.25, 0.43),
+    ("customer_age_days", 365, 300),
+    ("transaction_count_30d", 15, 10),
+    ("avg_amount_30d", 500000, 800000),
+    ("merchant_category", 0.3, 0.25),
+    ("same_device", 0.8, 0.4),
+    ("distance_from_prev", 5, 20),
+    ("minutes_since_prev", 60, 120),
+    ("failed_attempts_24h", 0.1, 0.5),
+    ("unique_merchants_7d", 5, 4),
+]
+
+ORACLES |= {
+    "hist_30d": _TRANSACTIONS + "select event_id as transaction_id, c30::double as transaction_count_30d,"
+    " round(a30, 10) as avg_amount_30d from pairs",
+    "hist_fail24": _TRANSACTIONS
+    + "select event_id as transaction_id, f24::double as failed_attempts_24h from pairs",
+    "hist_uniq7": _TRANSACTIONS + "select event_id as transaction_id, u7::double as unique_merchants_7d from pairs",
+    "hist_prev": _TRANSACTIONS + "select event_id as transaction_id, customer_age_days, same_device,"
+    " round(minutes_since_prev, 4) as minutes_since_prev, round(distance_from_prev, 4) as distance_from_prev from linked",
+    "vector15": _TRANSACTIONS
+    + "select transaction_id, "
+    + ", ".join(f"round({n}, 10) as {n}" for n, _, _ in _STORED)
+    + " from vectors",
+    "vector15_normalised": _TRANSACTIONS
+    + "select transaction_id, "
+    + ", ".join(f"round(({n} - {m}::double) / {s}::double, 10) as {n}" for n, m, s in _STORED)
+    + " from vectors",
+    "last7": """
+with w as (
+  select user_id, event_id, list(event_id) over f as ids, list(value) over f as amounts
+  from events window f as (partition by user_id order by ts, event_id rows between 6 preceding and current row))
+select user_id as customer, event_id as transaction_id,
+  repeat('-,', cast(7 - len(ids) as int)) || array_to_string(ids, ',') as sequence,
+  round(list_sum(amounts), 4) as sequence_amount from w""",
+}

@@ -327,7 +327,8 @@ def vector15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector15_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = history.transaction_vector(history.with_history(transactions(spark, sf_dir)))
-    return _rounded(history.normalise_vector(vectors), ["transaction_id"], _VECTOR, 10)
+    single = [F.col(n).cast("float").cast("double").alias(n) for n in _VECTOR]
+    return history.normalise_vector(vectors).select("transaction_id", *single)
 
 
 def last7(spark: SparkSession, sf_dir: str) -> DataFrame:

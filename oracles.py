@@ -766,7 +766,7 @@ ORACLES |= {
     + " from vectors",
     "vector15_normalised": _TRANSACTIONS
     + "select transaction_id, "
-    + ", ".join(f"round(({n} - {m}::double) / {s}::double, 10) as {n}" for n, m, s in _STORED)
+    + ", ".join(f"(({n} - {m}::double) / {s}::double)::float::double as {n}" for n, m, s in _STORED)
     + " from vectors",
     "last7": """
 with w as (

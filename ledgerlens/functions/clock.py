@@ -13,8 +13,17 @@ HOURS = {
     "demo": (7, 19, True),
 }
 
-# Date layouts seen in exports, tried in this order.
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd-MMM-yy"]
+# Date layouts seen in exports, tried in this order, with the shape a value must have to be parsed.
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "dd-MMM-yy": r"^\d{2}-[A-Za-z]{3}-\d{2}$",
+}
+
+# Fixed value: two-digit years from 69 on belong to the 1900s.
+CENTURY_PIVOT = 2069
 
 
 def is_after_hours(hour: Column, window: str = "rules") -> Column:
@@ -36,9 +45,18 @@ def clock_parts(time: Column, default_hour: int = 12) -> tuple[Column, Column]:
     return F.coalesce(hour, F.lit(default_hour)), F.when(hour.isNull(), 0).otherwise(minute)
 
 
-def any_date(value: Column, formats: list[str] = DATE_FORMATS) -> Column:
-    """A date from text in any of the known layouts, null when none fits."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)).cast("date") for f in formats])
+def any_date(value: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
+    """A date from text in any of the known layouts, null when none fits.
+
+    The shape test comes first: a failed parse costs an exception per row, a failed match next to nothing.
+    """
+    tries = []
+    for layout, shape in formats.items():
+        parsed = F.try_to_timestamp(value, F.lit(layout)).cast("date")
+        if "yyyy" not in layout:
+            parsed = F.when(F.year(parsed) >= CENTURY_PIVOT, F.add_months(parsed, -1200)).otherwise(parsed)
+        tries.append(F.when(value.rlike(shape), parsed))
+    return F.coalesce(*tries)
 
 
 def weekday_or(date: Column, default: int) -> Column:

@@ -12,10 +12,13 @@ from ledgerlens.functions.clock import is_after_hours
 from ledgerlens.functions.groups import one_row
 from ledgerlens.functions.ranks import score_statistics as value_statistics
 from ledgerlens.operators import alerts as summaries
-from ledgerlens.operators import features, history, rules
+from ledgerlens.operators import features, history, mapping, rules
 from ledgerlens.schema import FEATURE_NAMES
 from ledgerlens.session import written_table
+from ledgerlens.functions.text import normalise_header, string_similarity
 from ledgerlens.sources.loan_view import loans, table
+from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
+from ledgerlens.sources.standardise import union_sources as union_books
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -343,6 +346,191 @@ def last7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Corrections a user makes for the abbreviated layout, whose headers are too short to match by name.
+SHORT_OVERRIDES = {
+    "id": "loan_id",
+    "mid": "borrower_id",
+    "amt": "amount",
+    "dt": "loan_date",
+    "tm": "approval_time",
+    "stf": "officer_id",
+    "st": "status",
+}
+
+
+def exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The whole loan book in three export layouts: upper-case names, mixed names, abbreviations."""
+    book = written_table(loans(spark, sf_dir), "loans")
+    text = lambda c: F.col(c).cast("string")
+    tagged = lambda tag, c: F.concat(F.lit(tag), text(c))
+    phone = F.col("phone_number")
+    amount = F.col("amount").cast("long")
+    upper = book.select(
+        F.col("loan_id").alias("row"),
+        F.concat(F.lit("MCU-"), F.lpad(text("loan_id"), 9, "0")).alias("LOAN_REF"),
+        tagged("CU", "borrower_id").alias("CUSTOMER_ID"),
+        F.upper("borrower_name").alias("CUSTOMER_NAME"),
+        F.concat(F.lit("256"), F.substring(phone, 2, 20)).alias("PHONE_NUMBER"),
+        amount.cast("string").alias("PRINCIPAL_AMOUNT"),
+        text("loan_date").alias("ISSUE_DATE"),
+        F.col("approval_time").alias("APPROVAL_TIME"),
+        tagged("EMP", "officer_id").alias("EMPLOYEE_ID"),
+        F.col("branch_name").alias("BRANCH_CODE"),
+        F.upper("status").alias("LOAN_STATE"),
+    )
+    mixed = book.select(
+        F.col("loan_id").alias("row"),
+        tagged("GDM", "loan_id").alias("loanId"),
+        tagged("GC", "borrower_id").alias("clientId"),
+        F.col("borrower_name").alias("Client Name"),
+        F.concat(
+            F.substring(phone, 1, 3), F.lit("-"), F.substring(phone, 4, 3), F.lit("-"), F.substring(phone, 7, 20)
+        ).alias("telephone"),
+        F.format_number(amount, 0).alias("loan_amount"),
+        F.date_format("loan_date", "dd-MMM-yy").alias("Disbursement Date"),
+        F.substring("approval_time", 1, 5).alias("time"),
+        tagged("Officer ", "officer_id").alias("approvedBy"),
+        F.col("branch_name").alias("branch location"),
+        F.col("status").alias("Status"),
+    )
+    short = book.select(
+        F.col("loan_id").alias("row"),
+        tagged("W", "loan_id").alias("id"),
+        tagged("M", "borrower_id").alias("mid"),
+        F.col("borrower_name").alias("name"),
+        phone.alias("mob"),
+        amount.cast("string").alias("amt"),
+        F.date_format("loan_date", "dd/MM/yyyy").alias("dt"),
+        F.substring("approval_time", 1, 5).alias("tm"),
+        tagged("S", "officer_id").alias("stf"),
+        F.col("branch_name").alias("br"),
+        F.upper(F.substring("status", 1, 1)).alias("st"),
+        F.regexp_extract("guarantor_name", "^(.*) Brand", 1).alias("qx"),
+        F.col("status").alias("qz"),
+    )
+    return {"upper": upper, "mixed": mixed, "short": short}
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.long_values(exports(spark, sf_dir), order="row")
+
+
+def column_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.column_sample(_cells(spark, sf_dir), 100)
+
+
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mapping.profile(_cells(spark, sf_dir))
+    doubles = [f.name for f in found.schema.fields if f.dataType.typeName() == "double"]
+    return found.withColumns({c: F.round(c, 6) for c in doubles})
+
+
+def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct text of the dimension tables as if it were a header, with its best field."""
+    columns = [
+        ("customer", "c_name"),
+        ("customer", "c_mktsegment"),
+        ("supplier", "s_name"),
+        ("part", "p_name"),
+        ("part", "p_type"),
+        ("nation", "n_name"),
+        ("events", "event_type"),
+        ("orders", "o_orderpriority"),
+    ]
+    texts = None
+    for name, column in columns:
+        part = table(spark, sf_dir, name).select(F.col(column).alias("header"))
+        texts = part if texts is None else texts.union(part)
+    clean = normalise_header(F.col("header"))
+    matched = texts.filter(F.col("header").isNotNull()).distinct().withColumn("_match", mapping.name_match(clean))
+    return matched.select(
+        "header", F.col("_match.field").alias("field"), F.round("_match.score", 6).alias("score")
+    )
+
+
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit ratio of every part's name against its type and brand, with both empty-text rules."""
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey",
+        F.round(string_similarity(F.col("p_name"), F.lower("p_type")), 6).alias("name_type"),
+        F.round(string_similarity(F.col("p_type"), F.col("p_brand"), empty="zero"), 6).alias("type_brand"),
+    )
+
+
+def mapping_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mapping.detect(mapping.profile(_cells(spark, sf_dir)))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+def mapping_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mapping.resolve(mapping.detect(mapping.profile(_cells(spark, sf_dir))))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+def mapping_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decision from the first 100 values of every column."""
+    sampled = mapping.column_sample(_cells(spark, sf_dir), 100)
+    found = mapping.resolve(mapping.detect(mapping.profile(sampled)))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+def mapping_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.resolve(mapping.detect_engine(mapping.profile(_cells(spark, sf_dir))))
+
+
+def mapping_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.assign_pooled(mapping.pooled_candidates(mapping.profile(_cells(spark, sf_dir))))
+
+
+def mapping_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.assign_first(_cells(spark, sf_dir).select(*mapping.COLUMN_KEY).distinct())
+
+
+def mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.mapping_report(mapping.resolve(mapping.detect(mapping.profile(_cells(spark, sf_dir)))))
+
+
+def semantic_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding against the mean vector of each label (at most a field list's worth of references)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    entries = vectors.select("label", F.posexplode("embedding").alias("place", "x"))
+    means = entries.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean_vectors = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("_v"))
+    named = F.struct(F.col("label").alias("name"), F.transform("_v", lambda e: e["x"]).alias("vector"))
+    references = mean_vectors.agg(F.sort_array(F.collect_list(named))).scalar()
+    held = vectors.select("vec_id", "label", F.col("embedding").alias("vector"), references.alias("_refs"))
+    found = mapping.nearest_by_cosine(held, F.col("_refs"), minimum=-1.0)
+    return found.select("vec_id", "label", "match", F.round("score", 6).alias("score"))
+
+
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three layouts profiled, mapped, corrected where headers are abbreviations, and united."""
+    books = exports(spark, sf_dir)
+    detected = mapping.resolve(mapping.detect(mapping.profile(mapping.long_values(books, order="row"))))
+    detected = written_table(detected, "mappings")
+    standard = {
+        name: standardise(
+            apply_mapping(book, mapping_of(detected, name), SHORT_OVERRIDES if name == "short" else None)
+        )
+        for name, book in books.items()
+    }
+    return union_books(standard).select(
+        "source",
+        "loan_id",
+        "borrower_id",
+        "phone_number",
+        "amount",
+        "loan_date",
+        "approval_time",
+        "officer_id",
+        "officer_name",
+        "branch_name",
+        "status",
+        F.hour("created_at").alias("created_hour"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "ghost_loans": ghost_loans,
     "ghost_rows": _simple(rules.ghost_rows),
@@ -411,4 +599,17 @@ QUERIES: dict[str, Query] = {
     "vector15": vector15,
     "vector15_normalised": vector15_normalised,
     "last7": last7,
+    "column_sample": column_sample,
+    "column_profile": column_profile,
+    "name_match": name_match,
+    "similarity": similarity,
+    "mapping_detect": mapping_detect,
+    "mapping_resolve": mapping_resolve,
+    "mapping_sampled": mapping_sampled,
+    "mapping_engine": mapping_engine,
+    "mapping_pooled": mapping_pooled,
+    "mapping_page": mapping_page,
+    "mapping_report": mapping_report,
+    "semantic_top1": semantic_top1,
+    "union_sources": union_sources,
 }

@@ -776,3 +776,331 @@ select user_id as customer, event_id as transaction_id,
   repeat('-,', cast(7 - len(ids) as int)) || array_to_string(ids, ',') as sequence,
   round(list_sum(amounts), 4) as sequence_amount from w""",
 }
+
+
+# --- schema mapping ---------------------------------------------------------------------------------------------
+
+_LAYOUTS = {
+    "upper": {
+        "LOAN_REF": "'MCU-' || lpad(cast(loan_id as varchar), 9, '0')",
+        "CUSTOMER_ID": "'CU' || borrower_id",
+        "CUSTOMER_NAME": "upper(borrower_name)",
+        "PHONE_NUMBER": "'256' || substr(phone_number, 2)",
+        "PRINCIPAL_AMOUNT": "cast(cast(amount as bigint) as varchar)",
+        "ISSUE_DATE": "cast(loan_date as varchar)",
+        "APPROVAL_TIME": "approval_time",
+        "EMPLOYEE_ID": "'EMP' || officer_id",
+        "BRANCH_CODE": "branch_name",
+        "LOAN_STATE": "upper(status)",
+    },
+    "mixed": {
+        "loanId": "'GDM' || loan_id",
+        "clientId": "'GC' || borrower_id",
+        "Client Name": "borrower_name",
+        "telephone": "substr(phone_number, 1, 3) || '-' || substr(phone_number, 4, 3) || '-' || substr(phone_number, 7)",
+        "loan_amount": "format('{:,}', cast(amount as bigint))",
+        "Disbursement Date": "strftime(loan_date, '%d-%b-%y')",
+        "time": "substr(approval_time, 1, 5)",
+        "approvedBy": "'Officer ' || officer_id",
+        "branch location": "branch_name",
+        "Status": "status",
+    },
+    "short": {
+        "id": "'W' || loan_id",
+        "mid": "'M' || borrower_id",
+        "name": "borrower_name",
+        "mob": "phone_number",
+        "amt": "cast(cast(amount as bigint) as varchar)",
+        "dt": "strftime(loan_date, '%d/%m/%Y')",
+        "tm": "substr(approval_time, 1, 5)",
+        "stf": "'S' || officer_id",
+        "br": "branch_name",
+        "st": "upper(substr(status, 1, 1))",
+        "qx": "regexp_extract(guarantor_name, '^(.*) Brand', 1)",
+        "qz": "status",
+    },
+}
+
+_CELLS = (
+    "cells as (select * from ("
+    + " union all ".join(
+        f"select '{source}' as source, {place} as position, '{column}' as \"column\", loan_id as row, {value} as value"
+        " from loans"
+        for source, columns in _LAYOUTS.items()
+        for place, (column, value) in enumerate(columns.items())
+    )
+    + ") where value is not null and trim(value) <> '')"
+)
+
+_PATTERNS = {
+    "phone": r"^\+?256\d{9}$|^0\d{9}$|^\+?\d{10,15}$|^07\d{8}$|^256\d{9}$",
+    "national_id": r"^[A-Z]{2}\d{13}[A-Z0-9]$|^CF\d{13}[A-Z]$|^CM\d{13}[A-Z]$|^\d{14}$",
+    "date": r"^\d{4}-\d{2}-\d{2}$|^\d{2}/\d{2}/\d{4}$|^\d{2}-\d{2}-\d{4}$|^\d{4}/\d{2}/\d{2}$",
+    "time": r"^\d{2}:\d{2}(:\d{2})?$",
+    "amount": r"^\d{1,3}(,\d{3})*(\.\d{2})?$|^\d+\.?\d*$",
+    "email": r"^[\w\.-]+@[\w\.-]+\.\w+$",
+}
+_STATUS = "active inactive paid closed pending approved rejected defaulted completed disbursed overdue".split()
+_STATUS_ANY = [*_STATUS, "written_off"]
+
+
+def _share_of(test: str) -> str:
+    return f"avg(case when {test} then 1.0::double else 0 end)"
+
+
+_CLEAN = "translate(value, ' -()', '')"
+_DIGITS = "len(regexp_extract_all({0}, '[0-9]'))"
+_MEASURES = {
+    "values": "count(*)",
+    "distinct_values": "count(distinct value)",
+    "mean_length": "avg(length(value))",
+    "first_length": "arg_min(length(value), row)",
+    "numeric_share": _share_of("try_cast(value as double) is not null"),
+    "integer_share": _share_of(r"regexp_matches(value, '^-?\d+$')"),
+    "fine_share": _share_of(r"length(regexp_extract(value, '\.(\d*)$', 1)) > 4"),
+    "number_min": "min(try_cast(value as double))",
+    "number_max": "max(try_cast(value as double))",
+    "number_mean": "avg(try_cast(value as double))",
+    "plain_share": _share_of("try_cast(replace(value, ',', '') as double) is not null"),
+    "plain_min": "min(try_cast(replace(value, ',', '') as double))",
+    "plain_max": "max(try_cast(replace(value, ',', '') as double))",
+    "plain_mean": "avg(try_cast(replace(value, ',', '') as double))",
+    "date_share": _share_of(
+        "try_strptime(trim(value), ['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%Y/%m/%d', '%d-%b-%y']) is not null"
+    ),
+    "name_share": _share_of(
+        r"regexp_matches(value, '^\s*[''-]*\p{L}[\p{L}''-]*(\s+[''-]*\p{L}[\p{L}''-]*){1,3}\s*$')"
+    ),
+    "two_word_share": _share_of(r"regexp_matches(value, '^[A-Za-z]+\s+[A-Za-z]+')"),
+    "alpha_share": _share_of(r"regexp_matches(value, '^\s*[\p{L}''-]+(\s+[\p{L}''-]+)+\s*$')"),
+    "has_status": "bool_or(lower(value) in (" + ", ".join(f"'{w}'" for w in _STATUS_ANY) + "))",
+    "status_share": _share_of("regexp_matches(lower(value), '" + "|".join(_STATUS) + "')"),
+    "b_phone": _share_of(f"length({_CLEAN}) between 10 and 15 and {_DIGITS.format(_CLEAN)} >= 9"),
+    "b_date": _share_of(f"contains(value, '-') and length(value) between 8 and 10 and {_DIGITS.format('value')} >= 6"),
+    "b_time": _share_of(f"contains(value, ':') and length(value) between 4 and 8 and {_DIGITS.format('value')} >= 3"),
+    **{f"p_{k}": _share_of(f"regexp_matches(trim(value), '{p}')") for k, p in _PATTERNS.items()},
+    "e_phone": _share_of(rf"regexp_matches({_CLEAN}, '^(\+?256|0)?[0-9]{{9}}$')"),
+    "e_nin": _share_of(r"regexp_matches(translate(upper(value), ' -', ''), '^[A-Z]{2}\d{13}[A-Z0-9]$')"),
+    "e_date": _share_of(r"regexp_matches(value, '^\d{4}-\d{2}-\d{2}$|^\d{2}/\d{2}/\d{4}$')"),
+    "e_time": _share_of(r"regexp_matches(value, '^\d{2}:\d{2}(:\d{2})?$')"),
+    "e_commas": _share_of(r"regexp_matches(value, '^\d{1,3}(,\d{3})+(\.\d{2})?$')"),
+}
+_NOT_ROUNDED = {"values", "distinct_values", "first_length", "has_status"}
+
+
+def _profile(source: str = "cells") -> str:
+    measures = ", ".join(f'{m} as "{n}"' for n, m in _MEASURES.items())
+    return f'profiles as (select source, position, "column", {measures} from {source} group by 1, 2, 3)'
+
+
+def _variations() -> dict[str, list[str]]:
+    from ledgerlens.operators.mapping import name_variations
+
+    return name_variations()
+
+
+def _known_names(extended: bool) -> str:
+    known = _variations()
+    if not extended:
+        core = (
+            "loan_id borrower_id borrower_name phone national_id amount loan_date approval_time officer_id officer_name"
+            " branch status"
+        ).split()
+        known = {f: known[f] for f in core}
+    rows = [(f, n) for f, names in known.items() for n in names]
+    values = ", ".join(f"('{f}', '{n}', {i})" for i, (f, n) in enumerate(rows))
+    return f"known as (select * from (values {values}) t(field, name, place))"
+
+
+def _best_names(headers: str, header: str) -> str:
+    """CTEs matched(header, field, score): the best field of each header of the CTE or table expression `headers`."""
+    return f"""
+scored as (
+  select h.header, field, place, case when clean = name then 1.0::double else greatest(
+      case when contains(clean, name) or contains(name, clean) then 0.85 else 0 end,
+      (greatest(length(clean), length(name)) - levenshtein(clean, name)) / greatest(length(clean), length(name))::double)
+    end as score
+  from (select header, {header} as clean from {headers}) h, known),
+matched as (
+  select header, field, score from (
+    select *, row_number() over (partition by header order by score desc, place) as rn from scored) where rn = 1)"""
+
+
+_CLEAN_HEADER = "translate(trim(lower(header)), ' -', '__')"
+
+_DETECT = """
+patterned as (
+  select *, greatest(p_phone, p_national_id, p_date, p_time, p_amount, p_email) as p_best,
+    case greatest(p_phone, p_national_id, p_date, p_time, p_amount, p_email)
+      when p_phone then 'phone' when p_national_id then 'national_id' when p_date then 'loan_date'
+      when p_time then 'approval_time' when p_amount then 'amount' else 'email' end as p_field,
+    case
+      when numeric_share > 0.9 and number_min >= 0 and number_mean > 10000 then 'amount:0.75'
+      when numeric_share > 0.9 and number_min >= 0 and number_max <= 100 then 'interest_rate:0.6'
+      when numeric_share > 0.9 and number_min >= 1 and number_max <= 360 and integer_share = 1 then 'term_months:0.6'
+      when numeric_share > 0.9 and number_min >= -90 and number_max <= 90 and fine_share > 0.5 then 'latitude:0.65'
+      when numeric_share > 0.9 and number_min >= -180 and number_max <= 180 and fine_share > 0.5 then 'longitude:0.65'
+      when date_share > 0.8 then 'loan_date:0.7'
+      when distinct_values / "values"::double > 0.95 and mean_length < 15 then 'loan_id:0.6'
+      when distinct_values / "values"::double > 0.95 and mean_length < 25 then 'borrower_id:0.55'
+      when name_share > 0.7 then 'borrower_name:0.7'
+      when has_status then 'status:0.8' end as guess
+  from profiles),
+candidates as (
+  select source, position, "column",
+    case when score > 0.8 then field when p_best > 0.7 then p_field
+      when cast(split_part(guess, ':', 2) as double) > 0.6 then split_part(guess, ':', 1)
+      when score > 0.5 then field end as standard,
+    case when score > 0.8 then score when p_best > 0.7 then p_best
+      when cast(split_part(guess, ':', 2) as double) > 0.6 then cast(split_part(guess, ':', 2) as double)
+      when score > 0.5 then score end as confidence,
+    case when score > 0.8 then 'name_matching' when p_best > 0.7 then 'pattern_detection'
+      when cast(split_part(guess, ':', 2) as double) > 0.6 then 'statistical_analysis'
+      when score > 0.5 then 'name_matching_low' end as method
+  from patterned join matched on header = "column")"""
+
+_RESOLVE = """
+ranked as (
+  select *, row_number() over (partition by source, standard order by confidence desc, position) as rn from candidates),
+resolved as (
+  select source, position, "column", case when rn = 1 then standard end as standard,
+    case when rn = 1 and standard is not null then confidence end as confidence,
+    case when rn = 1 and standard is not null then method end as method
+  from ranked)"""
+
+_HEADERS = 'headers as (select distinct "column" as header from cells)'
+
+
+def _mapped(profile_of: str = "cells", *extra: str) -> str:
+    return _with(
+        _CELLS, *extra, _profile(profile_of), _known_names(True), _HEADERS, _best_names("headers", _CLEAN_HEADER),
+        _DETECT, _RESOLVE,
+    )
+
+
+_SAMPLE = """
+sampled as (
+  select * exclude (rn) from (
+    select *, row_number() over (partition by source, position order by row) as rn from cells) where rn <= 100)"""
+_RESOLVED = 'select source, position, "column", standard, round(confidence, 6) as confidence, method from '
+
+_ENGINE_DETECT = """
+scored as (
+  select h.header, field, place,
+    case when clean = name then 100 else greatest(
+      case when contains(clean, name) or contains(name, clean) then 85 else 0 end,
+      case when sim > 0.7 then cast(floor(sim * 100) as int) else 0 end) end as score,
+    case when clean = name then 'exact_match'
+      when case when contains(clean, name) or contains(name, clean) then 85 else 0 end
+        >= case when sim > 0.7 then cast(floor(sim * 100) as int) else 0 end then 'name_match'
+      else 'fuzzy_match' end as method
+  from (select header, clean, field, name, place, (greatest(length(clean), length(name)) - levenshtein(clean, name))
+          / greatest(length(clean), length(name))::double as sim
+        from (select header, regexp_replace(lower(header), '[^a-z0-9]', '_', 'g') as clean from headers), known) h),
+matched as (
+  select header, field, score, method from (
+    select *, row_number() over (partition by header order by score desc, place) as rn from scored where score > 0)
+  where rn = 1),
+looked as (
+  select *, case when e_phone > 0.7 then 'phone:90' when e_nin > 0.7 then 'national_id:92'
+      when e_date > 0.7 then 'loan_date:85' when e_time > 0.7 then 'approval_time:80'
+      when e_commas > 0.7 then 'amount:85' end as pat,
+    case when plain_share > 0.9 and plain_min >= 0 and plain_mean > 100000 then 'amount:75'
+      when plain_share > 0.9 and plain_min >= 0 and plain_max <= 100 and plain_mean < 50 then 'interest_rate:60'
+      when plain_share > 0.9 and plain_min >= 1 and plain_max <= 360 then 'term_months:55'
+      when distinct_values / "values"::double > 0.95 and first_length < 15 then 'loan_id:60'
+      when two_word_share > 0.7 then 'borrower_name:70' when status_share > 0.5 then 'status:80' end as st
+  from profiles left join matched on header = "column"),
+chosen as (
+  select source, position, "column",
+    case when coalesce(score, 0) = 100 then field || ':100:exact_match'
+      when cast(split_part(pat, ':', 2) as int) > coalesce(score, 0) then pat || ':pattern'
+      when score > 0 then field || ':' || score || ':' || method
+      when st is not null then st || ':statistics' end as pick
+  from looked),
+candidates as (
+  select source, position, "column", split_part(pick, ':', 1) as standard,
+    cast(split_part(pick, ':', 2) as int) as confidence, split_part(pick, ':', 3) as method
+  from chosen where cast(split_part(pick, ':', 2) as int) > 40
+  union all
+  select source, position, "column", null, null, null from chosen
+  where pick is null or cast(split_part(pick, ':', 2) as int) <= 40)"""
+
+_TEXTS = " union all ".join(
+    f"select {c} as header from {t}"
+    for t, c in [
+        ("customer", "c_name"),
+        ("customer", "c_mktsegment"),
+        ("supplier", "s_name"),
+        ("part", "p_name"),
+        ("part", "p_type"),
+        ("nation", "n_name"),
+        ("events", "event_type"),
+        ("orders", "o_orderpriority"),
+    ]
+)
+
+_REQUIRED = "loan_id borrower_id amount officer_id".split()
+_IMPORTANT = "phone loan_date borrower_name branch status".split()
+
+
+def _found(fields: list[str]) -> str:
+    items = ", ".join(f"case when list_contains(fs, '{f}') then '{f}' end" for f in fields)
+    return f"array_to_string(list_filter([{items}], lambda x: x is not null), ',')"
+
+
+ORACLES |= {
+    "column_sample": _with(_CELLS, _SAMPLE) + 'select source, position, "column", row, value from sampled',
+    "column_profile": _with(_CELLS, _profile())
+    + 'select source, position, "column", '
+    + ", ".join(f'"{n}"' if n in _NOT_ROUNDED else f"round({n}, 6) as {n}" for n in _MEASURES)
+    + " from profiles",
+    "name_match": "with " + _known_names(True) + ", headers as (select distinct header from (" + _TEXTS + ") "
+    "where header is not null)," + _best_names("headers", _CLEAN_HEADER)
+    + " select header, field, round(score, 6) as score from matched",
+    "similarity": """
+select p_partkey,
+  round((greatest(length(p_name), length(p_type)) - levenshtein(p_name, lower(p_type)))
+    / greatest(length(p_name), length(p_type))::double, 6) as name_type,
+  round((greatest(length(p_type), length(p_brand)) - levenshtein(p_type, p_brand))
+    / greatest(length(p_type), length(p_brand))::double, 6) as type_brand
+from part""",
+    "mapping_detect": _mapped() + _RESOLVED + "candidates",
+    "mapping_resolve": _mapped() + _RESOLVED + "resolved",
+    "mapping_sampled": _mapped("sampled", _SAMPLE) + _RESOLVED + "resolved",
+    "mapping_engine": _with(_CELLS, _profile(), _known_names(False), _HEADERS, _ENGINE_DETECT, _RESOLVE)
+    + 'select source, position, "column", standard, confidence, method from resolved',
+    "mapping_report": _mapped()
+    + f"""select source, total_columns, mapped_columns, unmapped_columns, methods, {_found(_REQUIRED)} as required_found,
+  {_found(_IMPORTANT)} as important_found,
+  list_contains(fs, 'borrower_id') and list_contains(fs, 'amount') as can_analyze
+from (
+  select source, count(*) as total_columns, count(standard) as mapped_columns,
+    count(*) - count(standard) as unmapped_columns,
+    array_to_string(list(method order by method) filter (where method is not null), ',') as methods,
+    list(standard) filter (where standard is not null) as fs
+  from resolved group by source)""",
+    "semantic_top1": """
+with x as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
+refs as (select label as name, i, avg(v) as m from x group by 1, 2),
+sizes as (select name, sqrt(sum(m * m)) as s from refs group by 1),
+dots as (
+  select x.vec_id, any_value(x.label) as label, refs.name, sum(x.v * refs.m) as dot, sqrt(sum(x.v * x.v)) as own
+  from x join refs using (i) group by x.vec_id, refs.name),
+best as (
+  select *, row_number() over (partition by vec_id order by dot / (own * s) desc, name desc) as rn
+  from dots join sizes using (name))
+select vec_id, label, name as match, round(dot / (own * s), 6) as score from best where rn = 1""",
+    "union_sources": _with() + """
+select 'upper' as source, 'MCU-' || lpad(cast(loan_id as varchar), 9, '0') as loan_id, 'CU' || borrower_id as borrower_id,
+  '256' || substr(phone_number, 2) as phone_number, amount, loan_date, approval_time, 'EMP' || officer_id as officer_id,
+  coalesce('EMP' || officer_id, 'Unknown') as officer_name, branch_name, status, hour(created_at) as created_hour
+from loans
+union all
+select 'mixed', 'GDM' || loan_id, 'GC' || borrower_id, phone_number, amount, loan_date, substr(approval_time, 1, 5),
+  'Officer ' || officer_id, coalesce('Officer ' || officer_id, 'Unknown'), branch_name, status, hour(created_at) from loans
+union all
+select 'short', 'W' || loan_id, 'M' || borrower_id, phone_number, amount, loan_date, substr(approval_time, 1, 5),
+  'S' || officer_id, coalesce('S' || officer_id, 'Unknown'), branch_name,
+  status, hour(created_at) from loans""",
+}

@@ -161,6 +161,7 @@ def _contains(header: Column, name: Column, min_length: int = 0) -> Column:
 def name_match(header: Column, variations: Mapping[str, list[str]] | None = None, min_length: int = 0) -> Column:
     """Best match of a normalised header as (score, place, field): exact 1, contained either way 0.85, else edit ratio.
 
+    Pass a plain column: the header is read once per known name, so an expression would be recomputed as often.
     The first name in list order wins a tie. `min_length` keeps shorter headers from matching inside longer names.
     An expression over a constant array: nothing is joined or shuffled however many headers there are.
     """
@@ -242,9 +243,10 @@ def statistics_match() -> Column:
 
 def detect(profiles: DataFrame, stats_minimum: float = 0.6, min_length: int = 0) -> DataFrame:
     """One candidate per column: strong name, content pattern, statistics, weak name, in that order."""
-    matched = profiles.withColumns(
+    headed = profiles.withColumn("_header", normalise_header(F.col("column")))
+    matched = headed.withColumns(
         {
-            "_name": name_match(normalise_header(F.col("column")), min_length=min_length),
+            "_name": name_match(F.col("_header"), min_length=min_length),
             "_pattern": pattern_match(),
             "_stats": statistics_match(),
         }
@@ -310,8 +312,9 @@ def _engine_statistics(edition: str) -> Column:
 
 def detect_engine(profiles: DataFrame) -> DataFrame:
     """One candidate per column: the best of name and pattern, statistics only when neither found anything."""
-    best = F.array_max(_engine_names(normalise_header(F.col("column"), "engine")))
-    matched = profiles.withColumns(
+    headed = profiles.withColumn("_header", normalise_header(F.col("column"), "engine"))
+    best = F.array_max(_engine_names(F.col("_header")))
+    matched = headed.withColumns(
         {"_name": best, "_pattern": _engine_pattern_a(), "_stats": _engine_statistics("a")}
     )
     name, pattern, stats = F.col("_name"), F.col("_pattern"), F.col("_stats")
@@ -334,8 +337,9 @@ def detect_engine(profiles: DataFrame) -> DataFrame:
 
 def pooled_candidates(profiles: DataFrame) -> DataFrame:
     """All name, pattern and statistics candidates above 40 of every column, each with its rank fields."""
+    headed = profiles.withColumn("_header", normalise_header(F.col("column"), "engine"))
     names = F.transform(
-        _engine_names(normalise_header(F.col("column"), "engine")),
+        _engine_names(F.col("_header")),
         lambda m: F.struct(m["field"].alias("standard"), m["score"].alias("confidence"), m["method"].alias("method")),
     )
 
@@ -349,7 +353,7 @@ def pooled_candidates(profiles: DataFrame) -> DataFrame:
 
     every = F.concat(names, single(_engine_pattern_b(), "pattern"), single(_engine_statistics("b"), "statistics"))
     return (
-        profiles.select(*COLUMN_KEY, F.posexplode(every).alias("place", "c"))
+        headed.select(*COLUMN_KEY, F.posexplode(every).alias("place", "c"))
         .select(*COLUMN_KEY, "place", "c.*")
         .filter(F.col("confidence") > 40)
     )

@@ -441,8 +441,8 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, column in columns:
         part = table(spark, sf_dir, name).select(F.col(column).alias("header"))
         texts = part if texts is None else texts.union(part)
-    clean = normalise_header(F.col("header"))
-    matched = texts.filter(F.col("header").isNotNull()).distinct().withColumn("_match", mapping.name_match(clean))
+    clean = texts.filter(F.col("header").isNotNull()).distinct().withColumn("_clean", normalise_header(F.col("header")))
+    matched = clean.withColumn("_match", mapping.name_match(F.col("_clean")))
     return matched.select(
         "header", F.col("_match.field").alias("field"), F.round("_match.score", 6).alias("score")
     )

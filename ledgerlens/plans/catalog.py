@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ledgerlens.fixed_values import MERCHANT_CATEGORIES, TRANSACTION_FEATURES
 from ledgerlens.functions.clock import is_after_hours
 from ledgerlens.functions.groups import one_row
+from ledgerlens.functions.risk import confidence_level, is_fraud
 from ledgerlens.functions.ranks import score_statistics as value_statistics
 from ledgerlens.operators import alerts as summaries
-from ledgerlens.operators import features, history, mapping, rules
+from ledgerlens.operators import features, graph, history, mapping, rules
+from ledgerlens.operators.models import boosting, boundary, density, ensemble, forest, reconstruction, screening
 from ledgerlens.schema import FEATURE_NAMES
 from ledgerlens.session import written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
@@ -531,6 +533,210 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _labelled_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written loan book with `is_fraud`: amounts beyond 2.5 deviations and loans to the officer themselves."""
+    book = _loan_table(spark, sf_dir)
+    outlying = F.col("amount") > F.col("_threshold")
+    own = F.coalesce(F.col("officer_id") == F.col("borrower_id"), F.lit(False))
+    return (
+        book.withColumn("_threshold", _amount_threshold(book)).withColumn("is_fraud", outlying | own).drop("_threshold")
+    )
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes(_labelled_book(spark, sf_dir))
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(_labelled_book(spark, sf_dir))
+
+
+def graph_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a drawing shows: 50 hashed borrowers, their officers, and the links among the shown nodes."""
+    book = _labelled_book(spark, sf_dir)
+    shown = written_table(graph.nodes(book, sample=50), "shown")
+    links = (
+        graph.approved_edges(book)
+        .unionByName(graph.phone_pair_edges(book))
+        .unionByName(graph.guarantor_edges(book, shown=5))
+    )
+    return graph.keep_known(links, shown)
+
+
+def phone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.phone_pair_edges(loans(spark, sf_dir)).select("source", "target")
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _labelled_book(spark, sf_dir)
+    return graph.suspicious_clusters(graph.nodes(book), graph.edges(book))
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borrowers linked by shared phones."""
+    book = _loan_table(spark, sf_dir)
+    return graph.connected_components(graph.phone_star_edges(book, graph.shared_phones(book)))
+
+
+def _features_of(book: DataFrame, *keep: str) -> DataFrame:
+    return written_table(features.feature_matrix(book, keep=["loan_id", *keep]), "features")
+
+
+def gbt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout metrics of the boosted classifier; the fold scores are the query `gbt_folds`."""
+    book = _labelled_book(spark, sf_dir)
+    matrix = _features_of(book, "is_fraud").withColumn("label", F.col("is_fraud").cast("int"))
+    training = boosting.train_classifier(matrix, FEATURE_NAMES, folds=0)
+    return boosting.metrics_frame(matrix, training)
+
+
+def gbt_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout and five-fold F1 with 20 trees per fit, to keep six fits affordable in a check."""
+    book = _labelled_book(spark, sf_dir)
+    matrix = _features_of(book, "is_fraud").withColumn("label", F.col("is_fraud").cast("int"))
+    training = boosting.train_classifier(matrix, FEATURE_NAMES, trees=20, folds=5)
+    return boosting.metrics_frame(matrix, training)
+
+
+def gbt_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _labelled_book(spark, sf_dir)
+    matrix = _features_of(book, "is_fraud").withColumn("label", F.col("is_fraud").cast("int"))
+    training = boosting.train_classifier(matrix, FEATURE_NAMES, trees=20, folds=0)
+    return boosting.importance_frame(matrix, training, 10)
+
+
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the stratified 80/20 split per label."""
+    book = _labelled_book(spark, sf_dir)
+    train, test = boosting.stratified_split(book, "is_fraud", "loan_id")
+    tagged = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return tagged.groupBy("part", "is_fraud").agg(F.count(F.lit(1)).alias("loans"))
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of "after hours" as a prediction of the label."""
+    book = _labelled_book(spark, sf_dir)
+    hour = F.coalesce(F.hour("created_at"), F.lit(12))
+    judged = book.select(
+        F.col("is_fraud").cast("int").alias("label"), is_after_hours(hour).cast("int").alias("prediction")
+    )
+    found = boosting.confusion_metrics(judged)
+    return _rounded(found, ["tp", "fp", "fn"], ["precision", "recall", "f1_score"])
+
+
+def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = _features_of(_loan_table(spark, sf_dir))
+    scaled, _ = boosting.standard_scale(matrix, FEATURE_NAMES)
+    return _rounded(scaled, ["loan_id"], FEATURE_NAMES, 4)
+
+
+def iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest decision, prediction and 0 to 100 risk of every loan."""
+    matrix = _features_of(_loan_table(spark, sf_dir))
+    model = forest.fit_forest(matrix, FEATURE_NAMES)
+    scored = written_table(model.score(matrix).select("loan_id", "decision", "prediction"), "scored")
+    return forest.risk_from_decision(scored, 1e-10)
+
+
+def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = _features_of(_loan_table(spark, sf_dir))
+    factors = matrix.select("loan_id", screening.risk_factors().alias("_f"))
+    return factors.select(
+        "loan_id",
+        F.array_join("_f", ",").alias("factors"),
+        screening.type_of_factors(F.col("_f")).alias("alert_type"),
+    )
+
+
+def ml_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 riskiest loans by forest alone."""
+    matrix = _features_of(_loan_table(spark, sf_dir), "officer_id")
+    screen = screening.fit_screen(matrix)
+    return screen.alerts(screen.score(matrix))
+
+
+def minmax_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The min-max risk of a plain decision column (the negative amount)."""
+    plain = loans(spark, sf_dir).select("loan_id", (-F.col("amount")).alias("decision"))
+    return _rounded(forest.risk_from_decision(plain), ["loan_id"], ["anomaly_risk"])
+
+
+def lof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ensemble.ensemble_features(loans(spark, sf_dir))
+    found = density.local_outlier_factor(rows, ensemble.TIME_FEATURES, "amount")
+    return density.flag_share(written_table(found, "lof"), "lof")
+
+
+def one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ensemble.ensemble_features(loans(spark, sf_dir))
+    model = boundary.fit_boundary(rows, ensemble.TIME_FEATURES)
+    return model.score(rows).select("loan_id", "boundary_score", "is_outlier")
+
+
+def pca_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconstruction.reconstruction_features(loans(spark, sf_dir))
+    return reconstruction.fit_reconstruction(rows).score(rows)
+
+
+def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconstruction.reconstruction_features(loans(spark, sf_dir))
+    return _rounded(rows, ["loan_id"], reconstruction.FEATURES)
+
+
+def ensemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.ensemble_features(loans(spark, sf_dir))
+
+
+def _ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stand-in model scores per loan, two of them missing for some loans, combined."""
+    book = loans(spark, sf_dir)
+    stats = one_row(book, mean=F.avg("amount"), sd=F.stddev_pop("amount"))
+    rows = book.withColumn("_s", stats).select(
+        "loan_id",
+        ensemble.sigmoid((F.col("amount") - F.col("_s.mean")) / F.col("_s.sd")).alias("s_forest"),
+        F.when(F.col("officer_id").isNotNull(), ensemble.sigmoid(F.col("latitude") * 40 - 1)).alias("s_lof"),
+        F.when(F.col("created_at").isNotNull(), F.hour("created_at") / 24.0).alias("s_text"),
+    )
+    return ensemble.combine_scores(
+        rows, {"isolation_forest": "s_forest", "local_outlier": "s_lof", "huggingface": "s_text"}
+    )
+
+
+def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    combined = _ensemble_scores(spark, sf_dir)
+    score = F.col("ensemble_score")
+    return combined.select(
+        "loan_id",
+        F.round(score, 6).alias("ensemble_score"),
+        "risk_level",
+        "models_used",
+        confidence_level(score).alias("confidence"),
+        is_fraud(score).alias("is_fraud"),
+    )
+
+
+def flagged_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ensemble.flagged_loans(_ensemble_scores(spark, sf_dir))
+    return found.select(
+        "loan_id", F.round("ml_score", 6).alias("ml_score"), "ml_risk", "total_loans", "ml_flagged"
+    )
+
+
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loans(spark, sf_dir).withColumn("amount", F.col("amount").cast("long"))
+    return ensemble.prompt_text(book.withColumnRenamed("branch_name", "branch")).select("loan_id", "prompt")
+
+
+def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in outside model (share of digits in the prompt), its scores attached with a level."""
+    scored = ensemble.batch_score(
+        prompt_text(spark, sf_dir), lambda: lambda texts: texts.str.count("[0-9]") / texts.str.len(), "prompt"
+    )
+    return ensemble.attach_level(scored, "score").select(
+        "loan_id", F.round("ml_fraud_score", 6).alias("ml_fraud_score"), "ml_risk_level"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "ghost_loans": ghost_loans,
     "ghost_rows": _simple(rules.ghost_rows),
@@ -612,4 +818,29 @@ QUERIES: dict[str, Query] = {
     "mapping_report": mapping_report,
     "semantic_top1": semantic_top1,
     "union_sources": union_sources,
+    "graph_nodes": graph_nodes,
+    "graph_edges": graph_edges,
+    "graph_drawing": graph_drawing,
+    "phone_pairs": phone_pairs,
+    "components": components,
+    "clusters": clusters,
+    "standard_scale": standard_scale,
+    "split_counts": split_counts,
+    "confusion": confusion,
+    "gbt_metrics": gbt_metrics,
+    "gbt_folds": gbt_folds,
+    "gbt_importances": gbt_importances,
+    "iforest": iforest,
+    "minmax_risk": minmax_risk,
+    "risk_factors": risk_factors,
+    "ml_alerts": ml_alerts,
+    "lof": lof,
+    "one_class": one_class,
+    "pca_features": pca_features,
+    "pca_error": pca_error,
+    "ensemble_features": ensemble_features,
+    "ensemble": ensemble_scores,
+    "flagged_loans": flagged_loans,
+    "prompt_text": prompt_text,
+    "batch_score": batch_score,
 }

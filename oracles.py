@@ -1104,3 +1104,167 @@ select 'short', 'W' || loan_id, 'M' || borrower_id, phone_number, amount, loan_d
   'S' || officer_id, coalesce('S' || officer_id, 'Unknown'), branch_name,
   status, hour(created_at) from loans""",
 }
+
+
+# --- graph ------------------------------------------------------------------------------------------------------
+
+_LABELLED = """
+lab as (
+  select *, amount > (select avg(amount) + 2.5 * stddev_pop(amount) from loans where amount > 0)
+      or coalesce(officer_id = borrower_id, false) as is_fraud
+  from loans),
+hubs as (
+  select phone_number, min(borrower_id) as hub from loans where phone_number is not null and borrower_id is not null
+  group by 1 having count(distinct borrower_id) > 1),
+big_backers as (
+  select guarantor_name, count(*) as n from loans where guarantor_name is not null and borrower_id is not null
+  group by 1 having count(*) >= 3),
+all_nodes as (
+  select 'O:' || officer_id as id, coalesce(arg_min(officer_name, loan_id), cast(officer_id as varchar)) as name,
+    'officer' as type, case when count(*) > 50 then 'high' else 'low' end as risk, count(*) as loan_count,
+    null::double as amount
+  from lab where officer_id is not null group by officer_id
+  union all
+  select 'B:' || borrower_id, arg_min(borrower_name, loan_id), 'borrower',
+    case when bool_or(is_fraud) then 'high' when bool_or(hub is not null) then 'medium' else 'low' end, count(*),
+    arg_min(amount, loan_id)
+  from lab left join hubs using (phone_number) where borrower_id is not null group by borrower_id
+  union all
+  select 'G:' || sha256(guarantor_name), substr(guarantor_name, 1, 20), 'guarantor', 'high', n, null from big_backers),
+all_edges as (
+  select 'O:' || officer_id as source, 'B:' || borrower_id as target, 'approved' as type,
+    borrower_id in (select borrower_id from lab where is_fraud) as suspicious
+  from lab where officer_id is not null and borrower_id is not null group by officer_id, borrower_id
+  union all
+  select distinct 'B:' || hub, 'B:' || borrower_id, 'shared_phone', true
+  from loans join hubs using (phone_number) where borrower_id <> hub
+  union all
+  select distinct 'G:' || sha256(guarantor_name), 'B:' || borrower_id, 'guarantor', true
+  from loans join big_backers using (guarantor_name) where borrower_id is not null)"""
+
+_COMPONENTS = """
+both_ways as (select source as a, target as b from linked union select target, source from linked),
+cc(id, component) using key (id) as (
+  select distinct a, a from both_ways
+  union
+  select w.a, min(cc.component) from cc join both_ways w on w.b = cc.id join recurring.cc as o on o.id = w.a
+  where cc.component < o.component group by w.a)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+ORACLES |= {
+    "graph_nodes": _with(_LABELLED) + "select id, name, type, risk, loan_count, amount from all_nodes",
+    "graph_edges": _with(_LABELLED) + "select * from all_edges",
+    "phone_pairs": _with("""
+firsts as (
+  select phone_number, borrower_id, row_number() over (partition by phone_number order by borrower_id) as i
+  from (select distinct phone_number, borrower_id from loans where phone_number is not null and borrower_id is not null))
+""") + """select distinct 'B:' || a.borrower_id as source, 'B:' || b.borrower_id as target
+from firsts a join firsts b on a.phone_number = b.phone_number and a.i < b.i and b.i <= 5""",
+    "components": _recursive(
+        _with(_LABELLED, "linked as (select * from all_edges where type = 'shared_phone')", _COMPONENTS)
+    )
+    + "select id, component from cc",
+    "clusters": _recursive(_with(_LABELLED, "linked as (select * from all_edges where suspicious)", _COMPONENTS))
+    + """select component as cluster_id, count(*) as size, count(*) filter (where risk = 'high') as high_risk_count,
+  case when count(*) filter (where risk = 'high') > 2 then 'high' else 'medium' end as risk_level
+from cc left join all_nodes using (id) group by component having count(*) >= 3""",
+}
+
+
+# --- models -----------------------------------------------------------------------------------------------------
+
+_FACTORS = [
+    ("abs(officer_volume_z) > 2", "unusual_officer_volume"),
+    ("amount_vs_avg > 2", "high_loan_amount"),
+    ("is_after_hours > 0", "after_hours_transaction"),
+    ("shared_phone_count > 1", "shared_phone_number"),
+    ("shared_guarantor_count > 2", "shared_guarantor"),
+    ("officer_approval_rate > 0.9", "high_officer_approval_rate"),
+    ("borrower_loan_count > 3", "multiple_loans"),
+    ("geographic_density > 5", "geographic_clustering"),
+]
+_TIMES = """
+timed as (
+  select loan_id, amount, borrower_id, officer_id,
+    coalesce(try_cast(split_part(approval_time, ':', 1) as int), 12) as hour,
+    coalesce(try_cast(split_part(approval_time, ':', 2) as int), 0) as minute,
+    isodow(loan_date) - 1 as weekday, month(loan_date) as month from loans)"""
+_SCORES = """
+stats as (select avg(amount) as m, stddev_pop(amount) as s from loans),
+parts as (
+  select loan_id, 1 / (1 + exp(-(amount - m) / s)) as f,
+    case when officer_id is not null then 1 / (1 + exp(-(latitude * 40 - 1))) end as l,
+    hour(created_at) / 24.0::double as t
+  from loans, stats),
+combined as (
+  select loan_id, (coalesce(f * 0.25::double, 0) + coalesce(l * 0.1::double, 0) + coalesce(t * 0.3::double, 0))
+    / (0.25::double + case when l is not null then 0.1::double else 0 end
+       + case when t is not null then 0.3::double else 0 end) as score,
+    1 + (l is not null)::int + (t is not null)::int as models_used
+  from parts)"""
+_LEVEL = "case when score >= 0.7 then 'HIGH' when score >= 0.4 then 'MEDIUM' else 'LOW' end"
+_PROMPT = """'Amount: ' || cast(amount as bigint) || ' UGX | Borrower: ' || borrower_name
+  || coalesce(' | Officer: ' || officer_id, '') || ' | Date: ' || loan_date || coalesce(' | Time: ' || approval_time, '')
+  || ' | Branch: ' || branch_name || ' | Status: ' || status"""
+
+ORACLES |= {
+    "standard_scale": _with(*FEATURE_CTES)
+    + "select loan_id, "
+    + ", ".join(
+        f"round(case when stddev_pop({n}) over () > 0 then ({n} - avg({n}) over ()) / stddev_pop({n}) over () else 0 end,"
+        f" 4) as {n}"
+        for n in _ALL_FEATURES.split()
+    )
+    + " from feats",
+    "split_counts": _with(_LABELLED)
+    + """select part, is_fraud, case part when 'train' then cast(round(n * 0.8) as bigint)
+  else n - cast(round(n * 0.8) as bigint) end as loans
+from (select is_fraud, count(*) as n from lab group by 1), (values ('train'), ('test')) p(part)""",
+    "confusion": _with(_LABELLED)
+    + """select tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0)::double, 0), 6) as precision,
+  round(coalesce(tp / nullif(tp + fn, 0)::double, 0), 6) as recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0), 6) as f1_score
+from (
+  select count(*) filter (where is_fraud and late) as tp, count(*) filter (where not is_fraud and late) as fp,
+    count(*) filter (where is_fraud and not late) as fn
+  from (select is_fraud, coalesce(hour(created_at), 12) < 6 or coalesce(hour(created_at), 12) >= 22 as late from lab))""",
+    "minmax_risk": _with()
+    + """select loan_id, round(coalesce(100 * (1 - (max(amount) over () - amount)
+  / nullif(max(amount) over () - min(amount) over (), 0)), 0), 6) as anomaly_risk from loans""",
+    "risk_factors": _with(*FEATURE_CTES)
+    + "select loan_id, coalesce(nullif(array_to_string(fs, ','), ''), 'statistical_anomaly') as factors,"
+    """ case when list_contains(fs, 'shared_phone_number') then 'ghost_loan'
+    when list_contains(fs, 'geographic_clustering') or list_contains(fs, 'shared_guarantor') then 'collusion_pattern'
+    when list_contains(fs, 'unusual_officer_volume') or list_contains(fs, 'high_officer_approval_rate')
+      then 'officer_anomaly'
+    when list_contains(fs, 'after_hours_transaction') then 'timing_anomaly'
+    when list_contains(fs, 'multiple_loans') then 'loan_stacking'
+    when list_contains(fs, 'high_loan_amount') then 'amount_anomaly' else 'ml_anomaly' end as alert_type
+from (select loan_id, list_filter(["""
+    + ", ".join(f"case when {test} then '{name}' end" for test, name in _FACTORS)
+    + "], lambda x: x is not null) as fs from feats)",
+    "pca_features": _with(_TIMES)
+    + """select loan_id, round(amount, 6) as amount, hour::double as hour, weekday::double as weekday,
+  month::double as month, (weekday >= 5)::int::double as weekend,
+  round((amount - avg(amount) over ()) / (stddev_pop(amount) over () + 1e-8), 6) as amount_z from timed""",
+    "ensemble_features": _with(_TIMES)
+    + """select loan_id, amount, hour::double as hour, minute::double as minute,
+  (hour < 8 or hour > 18)::int::double as after_hours, weekday::double as weekday, month::double as month,
+  (weekday >= 5)::int::double as weekend from timed""",
+    "ensemble": _with(_SCORES)
+    + f"""select loan_id, round(score, 6) as ensemble_score, {_LEVEL} as risk_level, models_used,
+  case when abs(score - 0.5) > 0.4 then 'Very High' when abs(score - 0.5) > 0.25 then 'High'
+    when abs(score - 0.5) > 0.1 then 'Medium' else 'Low' end as confidence, score > 0.5 as is_fraud from combined""",
+    "flagged_loans": _with(_SCORES)
+    + f"""select loan_id, round(score, 6) as ml_score, {_LEVEL} as ml_risk,
+  (select count(*) from combined) as total_loans, count(*) over () as ml_flagged from combined where score > 0.5""",
+    "prompt_text": _with() + f"select loan_id, {_PROMPT} as prompt from loans",
+    "batch_score": _with(f"p as (select loan_id, {_PROMPT} as prompt from loans)")
+    + """select loan_id, round(score, 6) as ml_fraud_score,
+  case when score > 0.7 then 'HIGH' when score > 0.4 then 'MEDIUM' else 'LOW' end as ml_risk_level
+from (select loan_id, len(regexp_extract_all(prompt, '[0-9]')) / length(prompt)::double as score from p)""",
+}

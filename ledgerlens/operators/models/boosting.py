@@ -68,7 +68,7 @@ def stratified_split(
     return df.filter(in_train), df.filter(~in_train)
 
 
-def confusion_metrics(predictions: DataFrame, label: str = "label", predicted: str = "prediction") -> DataFrame:
+def confusion_metrics(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """Precision, recall and F1 of label 1; an empty denominator counts 0."""
     actual, said = F.col(label) == 1, F.col(predicted) == 1
     counts = predictions.agg(
@@ -94,6 +94,7 @@ def fit_boosted(
     booster = GBTClassifier(
         featuresCol="features",
         labelCol=label,
+        predictionCol="predicted",
         maxIter=trees,
         maxDepth=depth,
         stepSize=rate,
@@ -105,8 +106,9 @@ def fit_boosted(
 
 def probability(df: DataFrame, model: PipelineModel, alias: str = "probability_1") -> DataFrame:
     scored = model.transform(df)
-    extra = [c for c in ("features", "rawPrediction", "probability") if c not in df.columns]
-    return scored.withColumn(alias, vector_to_array("probability")[1]).drop(*extra)
+    return scored.withColumn(alias, vector_to_array("probability")[1]).drop(
+        "features", "rawPrediction", "probability", "predicted"
+    )
 
 
 @dataclass
@@ -136,7 +138,7 @@ def train_classifier(
     rows = written_table(df.select(key, F.col(label).cast("double").alias(label), *features), "training")
     train, test = stratified_split(rows, label, key, seed=seed)
     model = fit_boosted(train, features, label, trees, depth, rate, seed)
-    judged = written_table(model.transform(test).select(label, "prediction", "rawPrediction"), "holdout")
+    judged = written_table(model.transform(test).select(label, "predicted", "rawPrediction"), "holdout")
     scores = confusion_metrics(judged, label).first()
     sizes = {name: part.agg(F.count(F.lit(1)), F.avg(label)).first() for name, part in (("train", train), ("test", test))}
     both = judged.agg(F.count_distinct(label)).first()[0] > 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +11,19 @@ from pyspark.sql import functions as F
 from ledgerlens.fixed_values import MERCHANT_CATEGORIES, TRANSACTION_FEATURES
 from ledgerlens.functions.clock import is_after_hours
 from ledgerlens.functions.groups import one_row
-from ledgerlens.functions.risk import confidence_level, is_fraud
+from ledgerlens.functions.risk import confidence_level, is_fraud, portfolio_score
 from ledgerlens.functions.ranks import score_statistics as value_statistics
 from ledgerlens.operators import alerts as summaries
 from ledgerlens.operators import features, graph, history, mapping, rules
 from ledgerlens.operators.models import boosting, boundary, density, ensemble, forest, reconstruction, screening
 from ledgerlens.schema import FEATURE_NAMES
-from ledgerlens.session import written_table
+from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
 from ledgerlens.sources.loan_view import loans, table
 from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
 from ledgerlens.sources.standardise import union_sources as union_books
+from ledgerlens.sources import sinks
+from ledgerlens.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -618,7 +621,7 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _labelled_book(spark, sf_dir)
     hour = F.coalesce(F.hour("created_at"), F.lit(12))
     judged = book.select(
-        F.col("is_fraud").cast("int").alias("label"), is_after_hours(hour).cast("int").alias("prediction")
+        F.col("is_fraud").cast("int").alias("label"), is_after_hours(hour).cast("int").alias("predicted")
     )
     found = boosting.confusion_metrics(judged)
     return _rounded(found, ["tp", "fp", "fn"], ["precision", "recall", "f1_score"])
@@ -737,6 +740,69 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return monitors.read_events(spark, sf_dir, schema, "events.parquet")
+
+
+def _plain_time(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+
+
+def stream_after_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_time(monitors.run_available(monitors.after_hours_events(_stream(spark, sf_dir))), "ts")
+
+
+def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = monitors.run_available(monitors.daily_repeats(_stream(spark, sf_dir)))
+    return found.withColumn("total", F.round("total", 4))
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = monitors.run_available(monitors.sliding_history(_stream(spark, sf_dir)))
+    return _plain_time(found, "start", "end").withColumn("average", F.round("average", 10))
+
+
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_time(monitors.run_available(monitors.failure_bursts(_stream(spark, sf_dir))), "first_at", "last_at")
+
+
+def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analysis session per branch and loan month, appended to the history; the ten latest of branch NATION_7."""
+    book = _loan_table(spark, sf_dir)
+    where = book.select(
+        F.col("loan_id").cast("string").alias("entity_key"),
+        F.col("branch_name").alias("user_id"),
+        F.trunc("loan_date", "month").alias("month"),
+    )
+    found = rules.amount_outlier(book).unionByName(rules.after_hours_loan(book)).join(where, "entity_key")
+    level = lambda name: F.count_if(F.col("severity") == name).alias(f"{name.lower()}_alerts")
+    sizes = where.groupBy("user_id", "month").agg(F.count(F.lit(1)).alias("total_records"))
+    counted = found.groupBy("user_id", "month").agg(
+        level("CRITICAL"), level("HIGH"), level("MEDIUM"), portfolio_score(F.col("severity")).alias("risk_score")
+    )
+    sessions = sizes.join(counted, ["user_id", "month"], "left").na.fill(0)
+    rows = sinks.history_rows(
+        sessions.withColumns(
+            {
+                "file_name": F.concat(F.lit("book-"), F.date_format("month", "yyyy-MM")),
+                "created_at": F.col("month").cast("timestamp"),
+            }
+        )
+    )
+    path = f"{checkpoint_root(spark)}/history/{uuid.uuid4().hex}"
+    sinks.append_history(rows, path)
+    latest = sinks.read_history(spark, path, "NATION_7")
+    return latest.select(
+        "user_id",
+        "file_name",
+        "loans_analyzed",
+        "alerts_generated",
+        "risk_score",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "ghost_loans": ghost_loans,
     "ghost_rows": _simple(rules.ghost_rows),
@@ -843,4 +909,9 @@ QUERIES: dict[str, Query] = {
     "flagged_loans": flagged_loans,
     "prompt_text": prompt_text,
     "batch_score": batch_score,
+    "stream_after_hours": stream_after_hours,
+    "stream_daily": stream_daily,
+    "stream_sliding": stream_sliding,
+    "stream_bursts": stream_bursts,
+    "history_top": history_top,
 }

@@ -1268,3 +1268,41 @@ from (select loan_id, list_filter(["""
   case when score > 0.7 then 'HIGH' when score > 0.4 then 'MEDIUM' else 'LOW' end as ml_risk_level
 from (select loan_id, len(regexp_extract_all(prompt, '[0-9]')) / length(prompt)::double as score from p)""",
 }
+
+
+# --- streams and history ----------------------------------------------------------------------------------------
+
+# Append output holds the windows whose end lies at or before the watermark: the largest time minus one day.
+_CLOSED = "(select max(ts) - interval 1 day from events)"
+
+ORACLES |= {
+    "stream_after_hours": "select event_id, user_id, ts, hour(ts) as hour from events where hour(ts) < 6 or hour(ts) >= 22",
+    "stream_daily": f"""
+select cast(ts as date) as day, user_id, count(*) as events, round(sum(value), 4) as total
+from events group by 1, 2 having count(*) >= 2 and cast(ts as date) + interval 1 day <= {_CLOSED}""",
+    "stream_sliding": f"""
+select "start", "start" + interval 7 days as "end", user_id, count(*) as events, round(avg(value), 10) as average
+from (select *, unnest([date_trunc('day', ts) - to_days(cast(i as int)) for i in range(7)]) as "start" from events)
+group by 1, 2, 3 having "start" + interval 7 days <= {_CLOSED}""",
+    "stream_bursts": """
+with e as (
+  select user_id, ts, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end as opens
+  from events where event_type = 'error' window w as (partition by user_id order by ts)),
+g as (select *, sum(opens) over (partition by user_id order by ts) as session from e)
+select min(ts) as first_at, max(ts) as last_at, user_id, count(*) as failures
+from g group by user_id, session
+having count(*) >= 2 and max(ts) + interval 6 hours
+  <= (select max(ts) - interval 1 day from events where event_type = 'error')""",
+    "history_top": _with(
+        _AMOUNT_CTE,
+        _late_loans_cte("hr < 6 or hr >= 22"),
+        """
+found as (select branch_name, loan_date from outliers union all select branch_name, loan_date from late_loans),
+sizes as (select branch_name as user_id, date_trunc('month', loan_date) as month, count(*) as n from loans group by 1, 2),
+hits as (select branch_name as user_id, date_trunc('month', loan_date) as month, count(*) as a from found group by 1, 2)""",
+    )
+    + """select user_id, 'book-' || strftime(month, '%Y-%m') as file_name, n as loans_analyzed,
+  coalesce(a, 0) as alerts_generated, cast(least(100, coalesce(a, 0) * 8) as int) as risk_score,
+  cast(month as timestamp) as created_at
+from sizes left join hits using (user_id, month) where user_id = 'NATION_7' order by month desc limit 10""",
+}

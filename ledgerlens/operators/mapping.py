@@ -75,7 +75,13 @@ def column_sample(cells: DataFrame, n: int = 100) -> DataFrame:
 
 
 def _share(test: Column) -> Column:
-    return F.avg(F.coalesce(test, F.lit(False)).cast("int").cast("double"))
+    """Share of the cells whose value passes, over distinct values that stand for `cells` cells each."""
+    return F.sum(F.when(test, F.col("cells")).otherwise(0)) / F.sum("cells")
+
+
+def _mean(value: Column) -> Column:
+    known = F.when(value.isNotNull(), F.col("cells"))
+    return F.try_divide(F.sum(value * F.col("cells")), F.sum(known))
 
 
 def _digits(value: Column) -> Column:
@@ -89,45 +95,45 @@ def _length_between(value: Column, low: int, high: int) -> Column:
 def profile(cells: DataFrame) -> DataFrame:
     """One row per column: size, distinct values, number range, and the share of values that fit each pattern.
 
-    One aggregation; its single distinct count is planned on (column, value) first, so a huge column is spread over
-    tasks. Works on whole columns or on `column_sample`.
+    Cells collapse to distinct (column, value) rows before anything is tested: that shuffle is the only one that
+    grows with the data, it spreads a huge column over all tasks, and the patterns run once per distinct value.
+    Works on whole columns or on `column_sample`.
     """
-    value = F.trim("value")
-    number = F.col("value").try_cast("double")
+    distinct = cells.groupBy(*COLUMN_KEY, "value").agg(F.count(F.lit(1)).alias("cells"), F.min("row").alias("row"))
+    raw, value = F.col("value"), F.trim("value")
+    number = raw.try_cast("double")
     plain = F.translate("value", ",", "").try_cast("double")
     fraction = F.length(F.regexp_extract("value", r"\.(\d*)$", 1))
-    any_of = lambda v, patterns: reduce(lambda a, b: a | b, [v.rlike(p) for p in patterns])
-    status_word = F.lower("value").rlike("|".join(ENGINE_STATUS_WORDS))
-    cleaned = clean_phone(F.col("value"))
+    any_of = lambda v, patterns: v.rlike("|".join(patterns))
+    cleaned = clean_phone(raw)
     engine_text = {
         "phone": cleaned,
         "nin": F.translate(F.upper("value"), " -", ""),
-        "date": F.col("value"),
-        "time": F.col("value"),
-        "commas": F.col("value"),
+        "date": raw,
+        "time": raw,
+        "commas": raw,
     }
-    raw = F.col("value")
     measures = {
-        "values": F.count(F.lit(1)),
-        "distinct_values": F.count_distinct("value"),
-        "mean_length": F.avg(F.length("value")),
+        "values": F.sum("cells"),
+        "distinct_values": F.count(F.lit(1)),
+        "mean_length": _mean(F.length("value")),
         "first_length": F.min_by(F.length("value"), "row"),
         "numeric_share": _share(number.isNotNull()),
-        "integer_share": _share(F.col("value").rlike(r"^-?\d+$")),
+        "integer_share": _share(raw.rlike(r"^-?\d+$")),
         "fine_share": _share(fraction > 4),
         "number_min": F.min(number),
         "number_max": F.max(number),
-        "number_mean": F.avg(number),
+        "number_mean": _mean(number),
         "plain_share": _share(plain.isNotNull()),
         "plain_min": F.min(plain),
         "plain_max": F.max(plain),
-        "plain_mean": F.avg(plain),
+        "plain_mean": _mean(plain),
         "date_share": _share(any_date(value).isNotNull()),
         "name_share": _share(raw.rlike(PERSON_NAME)),
         "two_word_share": _share(raw.rlike(TWO_WORDS)),
         "alpha_share": _share(raw.rlike(ALPHA_WORDS)),
         "has_status": F.bool_or(F.lower("value").isin(STATUS_WORDS)),
-        "status_share": _share(status_word),
+        "status_share": _share(F.lower("value").rlike("|".join(ENGINE_STATUS_WORDS))),
         "b_phone": _share(_length_between(cleaned, 10, 15) & (_digits(cleaned) >= 9)),
         "b_date": _share(raw.contains("-") & _length_between(raw, 8, 10) & (_digits(raw) >= 6)),
         "b_time": _share(raw.contains(":") & _length_between(raw, 4, 8) & (_digits(raw) >= 3)),
@@ -136,7 +142,7 @@ def profile(cells: DataFrame) -> DataFrame:
         measures[f"p_{kind}"] = _share(any_of(value, patterns))
     for kind, (pattern, _, _) in ENGINE_PATTERNS.items():
         measures[f"e_{kind}"] = _share(engine_text[kind].rlike(pattern))
-    return cells.groupBy(*COLUMN_KEY).agg(*[m.alias(n) for n, m in measures.items()])
+    return distinct.groupBy(*COLUMN_KEY).agg(*[m.alias(n) for n, m in measures.items()])
 
 
 # --- name matching ----------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from ledgerlens.functions.ranks import score_statistics as value_statistics
 from ledgerlens.operators import alerts as summaries
 from ledgerlens.operators import features, graph, history, mapping, rules
 from ledgerlens.operators.models import boosting, boundary, density, ensemble, forest, reconstruction, screening
+from ledgerlens.plans.analysis import analyse
 from ledgerlens.schema import FEATURE_NAMES
 from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
@@ -803,6 +804,25 @@ def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def analysis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and model screen together, as the one-row dashboard summary."""
+    return analyse(loans(spark, sf_dir), "full").summary()
+
+
+def analysis_rule_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = analyse(loans(spark, sf_dir), "rule_only").summary()
+    return summary.withColumn("amount_at_risk", F.round("amount_at_risk", 2))
+
+
+def timeline_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans per month flagged by rules, by the forest, and by both."""
+    analysis = analyse(loans(spark, sf_dir), "full", top_ml=None)
+    methods = analysis.alerts.select("alert_id", F.col("detection_method").alias("method"))
+    months = analysis.loans.select("loan_id", F.trunc("loan_date", "month").alias("month"))
+    flags = analysis.members().join(methods, "alert_id").select("loan_id", "method").distinct().join(months, "loan_id")
+    return summaries.detection_timeline(flags, ["rule", "ml"])
+
+
 QUERIES: dict[str, Query] = {
     "ghost_loans": ghost_loans,
     "ghost_rows": _simple(rules.ghost_rows),
@@ -914,4 +934,7 @@ QUERIES: dict[str, Query] = {
     "stream_sliding": stream_sliding,
     "stream_bursts": stream_bursts,
     "history_top": history_top,
+    "analysis_full": analysis_full,
+    "analysis_rule_only": analysis_rule_only,
+    "timeline_ml": timeline_ml,
 }

@@ -1306,3 +1306,11 @@ hits as (select branch_name as user_id, date_trunc('month', loan_date) as month,
   cast(month as timestamp) as created_at
 from sizes left join hits using (user_id, month) where user_id = 'NATION_7' order by month desc limit 10""",
 }
+
+ORACLES["analysis_rule_only"] = (
+    _with(*BACKEND_ALERTS)
+    + "select *, total_alerts as rule_alerts, cast(0 as bigint) as ml_alerts,"
+    + " (select count(*) from loans) as total_records from ("
+    + _PORTFOLIO.format(points=_BACKEND_POINTS)
+    + ")"
+)

@@ -20,7 +20,7 @@ from ledgerlens.plans.analysis import analyse
 from ledgerlens.schema import FEATURE_NAMES
 from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
-from ledgerlens.sources.loan_view import loans, table
+from ledgerlens.sources.loan_view import loan_table, table
 from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
 from ledgerlens.sources.standardise import union_sources as union_books
 from ledgerlens.sources import sinks
@@ -44,19 +44,19 @@ def _listed(column: str, separator: str = ", ") -> F.Column:
 
 
 def ghost_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.ghost_loans(loans(spark, sf_dir))
+    found = rules.ghost_loans(loan_table(spark, sf_dir))
     out = _alerts_of(found, borrower_count="borrower_count:long", borrower_names="borrower_names:string")
     return out.withColumn("borrower_names", _listed("borrower_names"))
 
 
 def officer_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.officer_anomaly(loans(spark, sf_dir))
+    found = rules.officer_anomaly(loan_table(spark, sf_dir))
     out = _alerts_of(found, volume_z="volume_z_score:double", avg_amount="avg_amount:double", branch="branch:string")
     return out.withColumn("volume_z", F.round("volume_z", 6)).withColumn("avg_amount", F.round("avg_amount", 4))
 
 
 def geo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.geo_clusters(loans(spark, sf_dir))
+    found = rules.geo_clusters(loan_table(spark, sf_dir))
     out = _alerts_of(
         found,
         center_latitude="center_latitude:double",
@@ -67,13 +67,13 @@ def geo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def after_hours_officer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _alerts_of(rules.after_hours_officer(loans(spark, sf_dir)), hours="hours:string")
+    out = _alerts_of(rules.after_hours_officer(loan_table(spark, sf_dir)), hours="hours:string")
     return out.withColumn("hours", _listed("hours", ","))
 
 
 def shared_guarantor(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _alerts_of(
-        rules.shared_guarantor(loans(spark, sf_dir)),
+        rules.shared_guarantor(loan_table(spark, sf_dir)),
         borrower_count="borrower_count:long",
         officers="officers_involved:string",
     )
@@ -81,44 +81,44 @@ def shared_guarantor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stacking_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _alerts_of(rules.stacking_active(loans(spark, sf_dir)), branches="branches:string", officers="officers:string")
+    out = _alerts_of(rules.stacking_active(loan_table(spark, sf_dir)), branches="branches:string", officers="officers:string")
     return out.withColumn("branches", _listed("branches", ",")).withColumn(
         "officers", F.coalesce(_listed("officers", ","), F.lit(""))
     )
 
 
 def officer_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _alerts_of(rules.officer_volume(loans(spark, sf_dir)), z_score="z_score:double")
+    out = _alerts_of(rules.officer_volume(loan_table(spark, sf_dir)), z_score="z_score:double")
     return out.withColumn("z_score", F.round("z_score", 6))
 
 
 def amount_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _alerts_of(rules.amount_outlier(loans(spark, sf_dir)), mean="mean:double", std_dev="std_dev:double")
+    out = _alerts_of(rules.amount_outlier(loan_table(spark, sf_dir)), mean="mean:double", std_dev="std_dev:double")
     return out.withColumn("mean", F.round("mean", 4)).withColumn("std_dev", F.round("std_dev", 4))
 
 
 def officer_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     # No officer of the test tables holds 40 % of the book, so the share is a parameter here.
-    found = rules.officer_concentration(loans(spark, sf_dir), share=0.03)
+    found = rules.officer_concentration(loan_table(spark, sf_dir), share=0.03)
     return _alerts_of(found, percentage="percentage:double").withColumn("percentage", F.round("percentage", 6))
 
 
 def _simple(detector: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: _alerts_of(detector(loans(spark, sf_dir)))
+    return lambda spark, sf_dir: _alerts_of(detector(loan_table(spark, sf_dir)))
 
 
 def _ruleset(name: str) -> Query:
-    return lambda spark, sf_dir: _alerts_of(rules.all_alerts(loans(spark, sf_dir), name))
+    return lambda spark, sf_dir: _alerts_of(rules.all_alerts(loan_table(spark, sf_dir), name))
 
 
 def alert_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     members = rules.alert_members(book, rules.all_alerts(book))
     return members.select("alert_id", "alert_type", "entity_key", "loan_id")
 
 
 def additive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     mean = book.agg(F.avg("amount")).scalar()
     hour = F.coalesce(F.hour("created_at"), F.lit(12))
     rows = book.select(
@@ -131,30 +131,25 @@ def additive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.additive_score(rows).select("loan_id", "score")
 
 
-def _loan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan book written once, for queries that pass over it many times."""
-    return written_table(loans(spark, sf_dir), "loans")
-
-
 def _rounded(df: DataFrame, keys: list[str], names: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keys, *[F.round(F.col(n).cast("double"), digits).alias(n) for n in names])
 
 
 def _feature_query(group: str, names: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        book = _loan_table(spark, sf_dir)
+        book = loan_table(spark, sf_dir)
         return _rounded(features.add_features(book, groups=[group]), ["loan_id"], names.split())
 
     return query
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(features.feature_matrix(_loan_table(spark, sf_dir)), ["loan_id"], FEATURE_NAMES)
+    return _rounded(features.feature_matrix(loan_table(spark, sf_dir)), ["loan_id"], FEATURE_NAMES)
 
 
 def feat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics fitted on the loans before 1998, applied to the whole book."""
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     fitted = features.fit(book.filter(F.col("loan_date") < F.lit("1998-01-01").cast("date")))
     names = (
         "officer_loan_count officer_avg_amount officer_volume_z branch_loan_count branch_avg_amount"
@@ -164,7 +159,7 @@ def feat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     return rules.all_alerts(book, "backend").unionByName(rules.all_alerts(book, "engine"))
 
 
@@ -178,44 +173,44 @@ def alert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _portfolio(ruleset: str, scale: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = summaries.portfolio_risk(rules.all_alerts(loans(spark, sf_dir), ruleset), scale)
+        found = summaries.portfolio_risk(rules.all_alerts(loan_table(spark, sf_dir), ruleset), scale)
         return found.withColumn("amount_at_risk", F.round("amount_at_risk", 2))
 
     return query
 
 
 def alert_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = summaries.filter_alerts(rules.all_alerts(loans(spark, sf_dir)), severity="high", method="rule")
+    found = summaries.filter_alerts(rules.all_alerts(loan_table(spark, sf_dir)), severity="high", method="rule")
     return _alerts_of(found)
 
 
 def top_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts_of(summaries.top_severe(rules.all_alerts(loans(spark, sf_dir), "engine")))
+    return _alerts_of(summaries.top_severe(rules.all_alerts(loan_table(spark, sf_dir), "engine")))
 
 
 def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts_of(summaries.recent(rules.all_alerts(loans(spark, sf_dir))))
+    return _alerts_of(summaries.recent(rules.all_alerts(loan_table(spark, sf_dir))))
 
 
 def officer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     return summaries.officer_ranking(book, rules.all_alerts(book))
 
 
 def officer_ranking_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     ranked = summaries.officer_risk(book, rules.all_alerts(book, "engine"))
     return ranked.withColumn("z_score", F.round("z_score", 6))
 
 
 def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     needed = features.add_features(book, groups=["amount", "officer", "time", "network"])
     return summaries.risk_distribution(needed)
 
 
 def portfolio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.portfolio_summary(loans(spark, sf_dir))
+    return summaries.portfolio_summary(loan_table(spark, sf_dir))
 
 
 def _amount_threshold(book: DataFrame) -> F.Column:
@@ -224,7 +219,7 @@ def _amount_threshold(book: DataFrame) -> F.Column:
 
 
 def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     labelled = book.withColumn("_threshold", _amount_threshold(book)).withColumn(
         "fraud_type",
         F.when(F.col("officer_id") == F.col("borrower_id"), "self_lending").when(
@@ -240,7 +235,7 @@ def _flags(book: DataFrame, ruleset: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     months = book.select("loan_id", F.trunc("loan_date", "month").alias("month"))
     flags = _flags(book, "backend").select("loan_id", F.lit("backend").alias("method"))
     flags = flags.unionByName(_flags(book, "engine").select("loan_id", F.lit("engine").alias("method"))).distinct()
@@ -248,7 +243,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     matrix = features.feature_matrix(book, keep=["loan_id"])
     labelled = matrix.withColumn("label", (F.col("amount") > _amount_threshold(book)).cast("int"))
     found = summaries.feature_correlations(labelled, "label", FEATURE_NAMES)
@@ -256,16 +251,16 @@ def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = summaries.feature_summary(features.feature_matrix(_loan_table(spark, sf_dir)), FEATURE_NAMES)
+    found = summaries.feature_summary(features.feature_matrix(loan_table(spark, sf_dir)), FEATURE_NAMES)
     return _rounded(found, ["feature", "n"], ["mean", "sd", "minimum", "maximum"], 4)
 
 
 def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_statistics(loans(spark, sf_dir), "amount").withColumn("mean", F.round("mean", 4))
+    return value_statistics(loan_table(spark, sf_dir), "amount").withColumn("mean", F.round("mean", 4))
 
 
 def weekly_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     per_loan = rules.after_hours_loan(book).unionByName(rules.amount_outlier(book))
     where = book.select(
         F.col("loan_id").cast("string").alias("entity_key"),
@@ -279,7 +274,7 @@ def weekly_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`labels.toxic` stands for the confirmed outcome of the loan of the same number."""
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     outcomes = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("loan_id"), (F.col("toxic") == 1).alias("confirmed")
     )
@@ -289,7 +284,7 @@ def alert_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def behaviour_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = summaries.behaviour_monthly(loans(spark, sf_dir))
+    found = summaries.behaviour_monthly(loan_table(spark, sf_dir))
     shares = ["after_hours_share", "round_amount_share", "officer_concentration"]
     return _rounded(found, ["month", "loans"], shares)
 
@@ -366,7 +361,7 @@ SHORT_OVERRIDES = {
 
 def exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The whole loan book in three export layouts: upper-case names, mixed names, abbreviations."""
-    book = written_table(loans(spark, sf_dir), "loans")
+    book = loan_table(spark, sf_dir)
     text = lambda c: F.col(c).cast("string")
     tagged = lambda tag, c: F.concat(F.lit(tag), text(c))
     phone = F.col("phone_number")
@@ -539,7 +534,7 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written loan book with `is_fraud`: amounts beyond 2.5 deviations and loans to the officer themselves."""
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     outlying = F.col("amount") > F.col("_threshold")
     own = F.coalesce(F.col("officer_id") == F.col("borrower_id"), F.lit(False))
     return (
@@ -568,7 +563,7 @@ def graph_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.phone_pair_edges(loans(spark, sf_dir)).select("source", "target")
+    return graph.phone_pair_edges(loan_table(spark, sf_dir)).select("source", "target")
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -578,7 +573,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Borrowers linked by shared phones."""
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     return graph.connected_components(graph.phone_star_edges(book, graph.shared_phones(book)))
 
 
@@ -629,21 +624,21 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _features_of(_loan_table(spark, sf_dir))
+    matrix = _features_of(loan_table(spark, sf_dir))
     scaled, _ = boosting.standard_scale(matrix, FEATURE_NAMES)
     return _rounded(scaled, ["loan_id"], FEATURE_NAMES, 4)
 
 
 def iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest decision, prediction and 0 to 100 risk of every loan."""
-    matrix = _features_of(_loan_table(spark, sf_dir))
+    matrix = _features_of(loan_table(spark, sf_dir))
     model = forest.fit_forest(matrix, FEATURE_NAMES)
     scored = written_table(model.score(matrix).select("loan_id", "decision", "prediction"), "scored")
     return forest.risk_from_decision(scored, 1e-10)
 
 
 def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _features_of(_loan_table(spark, sf_dir))
+    matrix = _features_of(loan_table(spark, sf_dir))
     factors = matrix.select("loan_id", screening.risk_factors().alias("_f"))
     return factors.select(
         "loan_id",
@@ -654,46 +649,46 @@ def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 riskiest loans by forest alone."""
-    matrix = _features_of(_loan_table(spark, sf_dir), "officer_id")
+    matrix = _features_of(loan_table(spark, sf_dir), "officer_id")
     screen = screening.fit_screen(matrix)
     return screen.alerts(screen.score(matrix))
 
 
 def minmax_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The min-max risk of a plain decision column (the negative amount)."""
-    plain = loans(spark, sf_dir).select("loan_id", (-F.col("amount")).alias("decision"))
+    plain = loan_table(spark, sf_dir).select("loan_id", (-F.col("amount")).alias("decision"))
     return _rounded(forest.risk_from_decision(plain), ["loan_id"], ["anomaly_risk"])
 
 
 def lof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ensemble.ensemble_features(loans(spark, sf_dir))
+    rows = ensemble.ensemble_features(loan_table(spark, sf_dir))
     found = density.local_outlier_factor(rows, ensemble.TIME_FEATURES, "amount")
     return density.flag_share(written_table(found, "lof"), "lof")
 
 
 def one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ensemble.ensemble_features(loans(spark, sf_dir))
+    rows = ensemble.ensemble_features(loan_table(spark, sf_dir))
     model = boundary.fit_boundary(rows, ensemble.TIME_FEATURES)
     return model.score(rows).select("loan_id", "boundary_score", "is_outlier")
 
 
 def pca_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconstruction.reconstruction_features(loans(spark, sf_dir))
+    rows = reconstruction.reconstruction_features(loan_table(spark, sf_dir))
     return reconstruction.fit_reconstruction(rows).score(rows)
 
 
 def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconstruction.reconstruction_features(loans(spark, sf_dir))
+    rows = reconstruction.reconstruction_features(loan_table(spark, sf_dir))
     return _rounded(rows, ["loan_id"], reconstruction.FEATURES)
 
 
 def ensemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.ensemble_features(loans(spark, sf_dir))
+    return ensemble.ensemble_features(loan_table(spark, sf_dir))
 
 
 def _ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three stand-in model scores per loan, two of them missing for some loans, combined."""
-    book = loans(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     stats = one_row(book, mean=F.avg("amount"), sd=F.stddev_pop("amount"))
     rows = book.withColumn("_s", stats).select(
         "loan_id",
@@ -727,7 +722,7 @@ def flagged_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loans(spark, sf_dir).withColumn("amount", F.col("amount").cast("long"))
+    book = loan_table(spark, sf_dir).withColumn("amount", F.col("amount").cast("long"))
     return ensemble.prompt_text(book.withColumnRenamed("branch_name", "branch")).select("loan_id", "prompt")
 
 
@@ -770,7 +765,7 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One analysis session per branch and loan month, appended to the history; the ten latest of branch NATION_7."""
-    book = _loan_table(spark, sf_dir)
+    book = loan_table(spark, sf_dir)
     where = book.select(
         F.col("loan_id").cast("string").alias("entity_key"),
         F.col("branch_name").alias("user_id"),
@@ -806,17 +801,17 @@ def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and model screen together, as the one-row dashboard summary."""
-    return analyse(loans(spark, sf_dir), "full").summary()
+    return analyse(loan_table(spark, sf_dir), "full").summary()
 
 
 def analysis_rule_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = analyse(loans(spark, sf_dir), "rule_only").summary()
+    summary = analyse(loan_table(spark, sf_dir), "rule_only").summary()
     return summary.withColumn("amount_at_risk", F.round("amount_at_risk", 2))
 
 
 def timeline_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans per month flagged by rules, by the forest, and by both."""
-    analysis = analyse(loans(spark, sf_dir), "full", top_ml=None)
+    analysis = analyse(loan_table(spark, sf_dir), "full", top_ml=None)
     methods = analysis.alerts.select("alert_id", F.col("detection_method").alias("method"))
     months = analysis.loans.select("loan_id", F.trunc("loan_date", "month").alias("month"))
     flags = analysis.members().join(methods, "alert_id").select("loan_id", "method").distinct().join(months, "loan_id")

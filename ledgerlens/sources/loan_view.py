@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import written_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,3 +64,18 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_custkey") % 50) * 0.001).alias("latitude"),
         ((F.col("l_partkey") % 40) * 0.001).alias("longitude"),
     )
+
+
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
+def loan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan book as a table, written once per session.
+
+    Detectors and features pass over the book many times; each pass then scans the columns it needs instead of
+    repeating the joins.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = written_table(loans(spark, sf_dir), "loans")
+    return _WRITTEN[key]

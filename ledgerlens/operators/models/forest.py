@@ -67,31 +67,36 @@ class IsolationForest:
         nodes = self.nodes.sort_values(["tree", "node"])
         starts = nodes.groupby("tree").size().cumsum().shift(fill_value=0).to_numpy()
         base = np.repeat(starts, nodes.groupby("tree").size().to_numpy())
+        count = len(nodes)
+        children = np.empty(2 * count, dtype="int64")
+        children[0::2] = nodes["low"].to_numpy() + base
+        children[1::2] = nodes["high"].to_numpy() + base
+        leaf = children[0::2] == np.arange(count)
+        threshold = np.where(leaf, np.inf, nodes["threshold"].to_numpy())
         arrays = (
             starts,
             nodes["feature"].to_numpy(),
-            nodes["threshold"].to_numpy(),
-            nodes["low"].to_numpy() + base,
-            nodes["high"].to_numpy() + base,
+            threshold,
+            children,
             nodes["depth"].to_numpy(),
+            int(np.ceil(np.log2(max(self.sample, 2)))),
             average_depth(self.sample),
         )
         shared = spark.sparkContext.broadcast(arrays)
 
         @F.pandas_udf(DoubleType())
         def score(*columns: pd.Series) -> pd.Series:
-            roots, feature, threshold, low, high, depth, normal = shared.value
+            roots, feature, threshold, children, depth, steps, normal = shared.value
             x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            lines = np.arange(len(x))
+            lines = np.arange(len(x)) * x.shape[1]
+            flat = x.ravel()
             total = np.zeros(len(x))
             for root in roots:
                 at = np.full(len(x), root)
-                while True:
-                    step = np.where(x[lines, feature[at]] <= threshold[at], low[at], high[at])
-                    if (step == at).all():
-                        break
-                    at = step
-                total += depth[at]
+                for _ in range(steps):
+                    above = flat.take(lines + feature.take(at)) > threshold.take(at)
+                    at = children.take(2 * at + above)
+                total += depth.take(at)
             return pd.Series(-np.power(2.0, -total / len(roots) / normal))
 
         return score(*[F.col(c).cast("double") for c in self.features])

@@ -30,6 +30,7 @@ from ledgerlens.functions.text import (
     PERSON_NAME,
     TWO_WORDS,
     clean_phone,
+    indel_similarity,
     normalise_header,
     string_similarity,
 )
@@ -182,6 +183,23 @@ def name_match(header: Column, variations: Mapping[str, list[str]] | None = None
     return F.array_max(F.filter(scores, lambda m: m["score"] > 0))
 
 
+def name_match_indel(headers: DataFrame, column: str = "column", min_length: int = 0) -> DataFrame:
+    """Distinct headers with their best field as `name_match`, but by the indel ratio instead of the edit ratio.
+
+    Each header meets the fixed list of known names; the ratio runs in Arrow batches.
+    """
+    known = F.explode(_known(name_variations())).alias("known")
+    pairs = headers.select(column).distinct().select(column, normalise_header(F.col(column)).alias("_h"), known)
+    name = F.col("known.name")
+    rated = pairs.withColumn("_ratio", indel_similarity(F.col("_h"), name))
+    inside = F.when(_contains(F.col("_h"), name, min_length), 0.85).otherwise(0.0)
+    score = F.when(F.col("_h") == name, 1.0).otherwise(F.greatest(inside, F.col("_ratio")))
+    best = F.max(F.struct(score.alias("score"), (-F.col("known.place")).alias("place"), F.col("known.field").alias("field")))
+    return rated.groupBy(column).agg(best.alias("_best")).filter("_best.score > 0").select(
+        column, F.col("_best.field").alias("field"), F.col("_best.score").alias("score")
+    )
+
+
 def _engine_names(header: Column) -> Column:
     """Every name the engines accept for a header, as an array of (score, place, field, method)."""
 

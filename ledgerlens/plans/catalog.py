@@ -449,6 +449,11 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def name_match_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as headers, matched by the indel ratio."""
+    return mapping.name_match_indel(table(spark, sf_dir, "part").select("p_name"), "p_name")
+
+
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit ratio of every part's name against its type and brand, with both empty-text rules."""
     part = table(spark, sf_dir, "part")
@@ -889,6 +894,7 @@ QUERIES: dict[str, Query] = {
     "column_sample": column_sample,
     "column_profile": column_profile,
     "name_match": name_match,
+    "name_match_indel": name_match_indel,
     "similarity": similarity,
     "mapping_detect": mapping_detect,
     "mapping_resolve": mapping_resolve,

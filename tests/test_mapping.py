@@ -52,6 +52,18 @@ def test_short_headers_match_inside_longer_names(spark):
     assert found["amt"][1] == 0.5 and found["stf"] == ("officer_id", 0.429)
 
 
+def test_indel_ratio_finds_abbreviations(spark):
+    headers = spark.createDataFrame([(h,) for h in ["amt", "dt", "tm", "stf", "amount", "amt"]], "column string")
+    found = {r["column"]: (r["field"], round(r["score"], 3)) for r in mapping.name_match_indel(headers).collect()}
+    assert found == {
+        "amt": ("amount", 0.667),
+        "dt": ("loan_date", 0.667),
+        "tm": ("approval_time", 0.667),
+        "stf": ("officer_id", 0.6),
+        "amount": ("amount", 1.0),
+    }
+
+
 def test_similarity_of_empty_texts(spark):
     rows = spark.createDataFrame([("", ""), ("", "abc"), ("kitten", "sitting"), ("é", "e")], "a string, b string")
     a, b = F.col("a"), F.col("b")

@@ -33,6 +33,20 @@ def is_after_hours(hour: Column, window: str = "rules") -> Column:
     return (hour < start) | late
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def as_instant(wall_clock: Column) -> Column:
+    """A timestamp without zone read as UTC, whatever the session's zone. Watermarks accept only instants."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), wall_clock))
+
+
+def as_wall_clock(instant: Column) -> Column:
+    """The inverse of `as_instant`: the UTC clock reading as a timestamp without zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
+
+
 def hour_of_text(time: Column) -> Column:
     """The hour before the first colon, null when it is no number. Hour 24 is kept, timestamps could not hold it."""
     return F.regexp_extract(time, r"^(\d+)(?::|$)", 1).try_cast("int")
@@ -52,7 +66,7 @@ def any_date(value: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
     """
     tries = []
     for layout, shape in formats.items():
-        parsed = F.try_to_timestamp(value, F.lit(layout)).cast("date")
+        parsed = F.try_to_date(value, layout)
         if "yyyy" not in layout:
             parsed = F.when(F.year(parsed) >= CENTURY_PIVOT, F.add_months(parsed, -1200)).otherwise(parsed)
         tries.append(F.when(value.rlike(shape), parsed))

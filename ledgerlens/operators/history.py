@@ -99,18 +99,16 @@ def previous_transaction(transactions: DataFrame) -> DataFrame:
         rows, "customer", "at", ["ts", "transaction_id"], ["ts", "device", "latitude", "longitude"]
     ).withColumn("prev", F.element_at(F.when(F.size("previous") > 0, F.col("previous")), -1))
     prev = F.col("prev")
-    first_day = F.timestamp_seconds("first_at")
     seconds = F.col("at") - epoch_seconds(prev["ts"])
     return linked.select(
         "transaction_id",
-        F.floor((F.col("at") / DAY)).cast("long").alias("_day"),
         (F.floor(F.col("at") / DAY) - F.floor(F.col("first_at") / DAY)).cast("long").alias("customer_age_days"),
         (seconds / 60.0).alias("minutes_since_prev"),
         haversine_km(prev["latitude"], prev["longitude"], F.col("latitude"), F.col("longitude")).alias(
             "distance_from_prev"
         ),
         (prev["device"] == F.col("device")).alias("same_device"),
-    ).drop("_day")
+    )
 
 
 def category_weight(category: Column) -> Column:

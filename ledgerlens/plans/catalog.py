@@ -746,12 +746,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitors.read_events(spark, sf_dir, schema, "events.parquet")
 
 
-def _plain_time(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
-
-
 def stream_after_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_time(monitors.run_available(monitors.after_hours_events(_stream(spark, sf_dir))), "ts")
+    return monitors.run_available(monitors.after_hours_events(_stream(spark, sf_dir)))
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -761,11 +757,11 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = monitors.run_available(monitors.sliding_history(_stream(spark, sf_dir)))
-    return _plain_time(found, "start", "end").withColumn("average", F.round("average", 10))
+    return found.withColumn("average", F.round("average", 10))
 
 
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_time(monitors.run_available(monitors.failure_bursts(_stream(spark, sf_dir))), "first_at", "last_at")
+    return monitors.run_available(monitors.failure_bursts(_stream(spark, sf_dir)))
 
 
 def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,8 +73,8 @@ def standardise(mapped: DataFrame, clean: bool = True) -> DataFrame:
     complete = typed.withColumns(added) if added else typed
     if {"loan_date", "approval_time"} <= set(complete.columns):
         clock = F.concat_ws(" ", F.col("loan_date").cast("string"), F.substring("approval_time", 1, 5))
-        instant = F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
-        complete = complete.withColumn("created_at", F.when(F.col("approval_time").isNotNull(), instant))
+        instant = F.when(F.col("approval_time").isNotNull(), clock).try_cast("timestamp_ntz")
+        complete = complete.withColumn("created_at", instant)
     else:
         complete = complete.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
     return complete.withColumnsRenamed(DETECTOR_NAMES).withColumn("branch_id", F.col("branch_name"))

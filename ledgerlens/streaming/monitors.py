@@ -11,25 +11,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
-from ledgerlens.functions.clock import is_after_hours
+from ledgerlens.functions.clock import as_instant, as_wall_clock, is_after_hours
 from ledgerlens.session import checkpoint_root
 
 
 def read_events(
     spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as a stream, `ts` as an instant in the session's zone."""
+    """Parquet files of a folder as a stream with `hour`, the clock hour of the event.
+
+    A `ts` without zone is carried as the same clock reading in UTC, so days and windows are calendar days and do not
+    move with the session's zone.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = reader.parquet(folder).withColumn("hour", F.hour("ts"))
+    if isinstance(schema["ts"].dataType, TimestampNTZType):
+        events = events.withColumn("ts", as_instant(F.col("ts")))
+    return events
 
 
 def after_hours_events(events: DataFrame) -> DataFrame:
     """Every event after hours. Stateless."""
-    return events.filter(is_after_hours(F.hour("ts"))).select("event_id", "user_id", "ts", F.hour("ts").alias("hour"))
+    late = events.filter(is_after_hours(F.col("hour")))
+    return late.select("event_id", "user_id", as_wall_clock(F.col("ts")).alias("ts"), "hour")
 
 
 def daily_repeats(events: DataFrame, key: str = "user_id", late: str = "1 day", min_rows: int = 2) -> DataFrame:
@@ -40,7 +48,7 @@ def daily_repeats(events: DataFrame, key: str = "user_id", late: str = "1 day",
         .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
     )
     return counted.filter(F.col("events") >= min_rows).select(
-        F.col("window.start").cast("date").alias("day"), key, "events", "total"
+        as_wall_clock(F.col("window.start")).cast("date").alias("day"), key, "events", "total"
     )
 
 
@@ -52,7 +60,13 @@ def sliding_history(
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", length, slide), key)
         .agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("average"))
-        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "events", "average")
+        .select(
+            as_wall_clock(F.col("window.start")).alias("start"),
+            as_wall_clock(F.col("window.end")).alias("end"),
+            key,
+            "events",
+            "average",
+        )
     )
 
 
@@ -67,7 +81,10 @@ def failure_bursts(
         .agg(F.count(F.lit(1)).alias("failures"), F.max("ts").alias("last_at"))
     )
     return sessions.filter(F.col("failures") >= min_failures).select(
-        F.col("session_window.start").alias("first_at"), "last_at", key, "failures"
+        as_wall_clock(F.col("session_window.start")).alias("first_at"),
+        as_wall_clock(F.col("last_at")).alias("last_at"),
+        key,
+        "failures",
     )
 
 

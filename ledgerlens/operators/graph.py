@@ -7,11 +7,11 @@ linear in the group, with the same components as all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.groups import first_values
-from ledgerlens.session import written_table
+from ledgerlens.session import Scratch, written_table
 
 NODE_COLUMNS = ["id", "name", "type", "risk", "loan_count", "amount"]
 
@@ -194,39 +194,48 @@ def keep_known(links: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    row = links.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
-
-
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every end of a link; the component is its smallest id.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step replaces a node's links by links
-    to its smallest neighbour, so a long chain shrinks geometrically. Each step is written to the shared folder,
-    which cuts the lineage; the minima are written too, so that AQE can split the links of a hub.
+    to its smallest neighbour, so a long chain shrinks geometrically. A step is one job: it writes the new links to
+    the shared folder, which cuts the lineage, and observes how many there are and their hash on the way. Links
+    that a later step replaced are deleted. The minima of a step are aggregated from the links while the links
+    themselves come from the file, so the two sides of the join have shuffles of their own.
     """
+
+    scratch = Scratch(links.sparkSession, "components")
+
+    def step(df: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        marks = df.observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        )
+        out = scratch.write(marks, label)
+        return out, (seen.get.get("n", 0), seen.get.get("h"))
+
     pairs = links.select(
         F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")
     ).filter(F.col("u") != F.col("v"))
-    current = written_table(pairs.distinct(), "links")
-    seen = _fingerprint(current)
-    for _ in range(max_rounds):
+    name = "links"
+    current, seen = step(pairs.distinct(), name)
+    for i in range(max_rounds):
+        if not seen[0]:
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = written_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written_table(large.distinct(), "large-star")
-        lowest = written_table(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        large, _ = step(large.distinct(), f"large-star-{i}")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(lowest.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v"))
-        current = written_table(small.distinct(), "small-star")
-        now = _fingerprint(current)
-        if now == seen:
+        # a step's links have both ends in order: the larger id first
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        before, last, name = name, seen, f"small-star-{i}"
+        current, seen = step(small.distinct(), name)
+        scratch.drop(f"large-star-{i}", before)
+        if seen == last:
             break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     members = current.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -45,6 +45,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+class Scratch:
+    """Tables in the shared folder that belong to one run of an operator.
+
+    `write` cuts the lineage: the rows come back from files that every executor can read, so a lost executor costs
+    nothing that was written before. `drop` deletes what nobody reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{checkpoint_root(spark)}/scratch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

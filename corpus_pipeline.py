@@ -8,10 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import lsh_forest, mixing, winnowing
+from ledgerlens.llm import language_id, lsh_forest, mixing, repair, winnowing
 from ledgerlens.llm.common import Scratch, table
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models recognise; null texts, texts without a letter and outliers go."""
+    return language_id.accepted_documents(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id."""
     kept = lsh_forest.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
@@ -28,10 +33,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in compressed shard files; a row per document, read back from them."""
+    return repair.token_report(docs)
+
+
 STAGES = [
+    ("language ID", keep_known_languages),
     ("minhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("mixing", mix_sources),
+    ("token ids", write_tokens),
 ]
 
 #: Language models and tokenisation have no SQL form; tests compare the stages with brute force.

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import lsh_forest, mixing, winnowing
+from ledgerlens.llm import language_id, lsh_forest, mixing, repair, winnowing
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kneser_ney": lambda s, d: language_id.language_report(table(s, d, "documents")),
     "op3_minhash_forest": lambda s, d: lsh_forest.near_duplicates(table(s, d, "documents")),
+    "op5_repair_tokens": lambda s, d: repair.token_report(table(s, d, "documents")),
     "op8_winnowing": lambda s, d: winnowing.contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_mixing": lambda s, d: mixing.mixed_report(table(s, d, "documents")),
 }

@@ -6,6 +6,8 @@ task's memory follows the longest single document and not the batch or the parti
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,20 +68,30 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = end
 
 
-_POWERS: dict[str, np.ndarray] = {}
+
+
+def worker_store() -> dict:
+    """What a Python worker keeps from task to task (functions arrive anew with every task)."""
+    name = "_ledgerlens_worker"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+    return sys.modules[name].__dict__
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, kept by the worker."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+    kept = worker_store()
+    if "up" not in kept or len(kept["up"]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             factors = np.full(size, base, dtype=np.uint64)
             factors[0] = 1
-            _POWERS[name] = np.multiply.accumulate(factors)
-    return _POWERS["up"], _POWERS["down"]
+            kept[name] = np.multiply.accumulate(factors)
+    return kept["up"], kept["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,6 +101,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is faster than hashing for 64-bit numbers."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which `span_hash` gets the hash of any range of the bytes."""
     up, _ = powers(len(data) + 1)
@@ -155,7 +173,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.n
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= k:
-            out.append(np.unique(rows[a : b - k + 1]))
+            out.append(distinct(rows[a : b - k + 1]))
         elif b > a:
             out.append(grams(hashes[a:b], int(b - a)))
         else:
@@ -168,3 +186,63 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows that hold whole groups; equal values of `key` follow each other in the partition."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held)
+            values = np.array(table.column(key))
+            change = np.flatnonzero(values[1:] != values[:-1])
+            if len(change):
+                end = int(change[-1]) + 1
+                yield table.slice(0, end)
+                table = table.slice(end)
+            held = table.combine_chunks().to_batches()
+            count = table.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_sizes(key: np.ndarray) -> np.ndarray:
+    return np.diff(np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])) if len(key) else np.zeros(0, int)
+
+
+def pairs_within(sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of one group, for groups of these sizes that follow each other; about `most` pairs at a time."""
+    starts = np.cumsum(sizes) - sizes
+    after = np.repeat(starts + sizes, sizes) - np.arange(sizes.sum()) - 1  # partners behind each row
+    total = np.cumsum(after)
+    at = 0
+    while at < len(after):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most)))
+        yield np.repeat(np.arange(at, end), after[at:end]), ragged(np.arange(at, end) + 1, after[at:end])
+        at = end
+
+
+class Forest:
+    """Union-find over ids that remembers which links joined two trees."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+            self.links.append((a, b))

@@ -128,44 +128,10 @@ def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(high == 0, np.minimum(a, b), np.minimum(a ^ low, a ^ high))
 
 
-class Forest:
-    """Union-find over ids that reports which links joined two trees."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-            self.links.append((a, b))
-
-
 def _compare(bits: int, cosine: float):
-    def pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs i < j inside consecutive groups of the given sizes, about PAIRS at a time."""
-        starts = np.cumsum(sizes) - sizes
-        after = np.repeat(starts + sizes, sizes) - np.arange(sizes.sum()) - 1  # partners behind each row
-        total = np.cumsum(after)
-        at = 0
-        while at < len(after):
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)))
-            left = np.repeat(np.arange(at, end), after[at:end])
-            yield left, C.ragged(np.arange(at, end) + 1, after[at:end])
-            at = end
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         counts: dict[int, int] = {}
-        forest = Forest()
+        forest = C.Forest()
 
         def settle(table: pa.Table) -> None:
             group = np.array(table.column("group"))
@@ -173,8 +139,7 @@ def _compare(bits: int, cosine: float):
             tab, key, side = (np.array(table.column(c)) for c in ("tab", "key", "side"))
             parts = parts_of(np.array(table.column("code")).view(np.uint64), bits)
             unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-            edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-            for i, j in pairs_of(np.diff(edges)):
+            for i, j in C.pairs_within(C.group_sizes(group), PAIRS):
                 # in a pair of different blocks only rows of different blocks meet
                 ok = (side[i] != side[j]) | (side[i] < 0)
                 i, j = i[ok], j[ok]
@@ -192,28 +157,8 @@ def _compare(bits: int, cosine: float):
                     counts[b] = counts.get(b, 0) + wa
                     forest.join(a, b)
 
-        def flush(last: bool) -> None:
-            """Compares the complete groups; the group that the last row belongs to waits."""
-            table = pa.Table.from_batches(held)
-            group = np.array(table.column("group"))
-            end = len(group) if last else int(np.searchsorted(-np.arange(len(group)), 0))
-            if not last:
-                change = np.flatnonzero(group[1:] != group[:-1])
-                end = int(change[-1]) + 1 if len(change) else 0
-            if end:
-                settle(table.slice(0, end))
-            held[:] = table.slice(end).combine_chunks().to_batches()
-
-        rows = 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-                if rows > 16 * BLOCK:
-                    flush(False)
-                    rows = sum(b.num_rows for b in held)
-        if held:
-            flush(True)
+        for table in C.whole_groups(batches, "group", 16 * BLOCK):
+            settle(table)
         yield _links([(a, n, None, None) for a, n in counts.items()])
         yield _links([(None, None, a, b) for a, b in forest.links])
 

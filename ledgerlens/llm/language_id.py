@@ -41,18 +41,17 @@ DISCOUNT = 0.75
 EVIDENCE = 32
 BLANK = 0x20
 
-_LETTERS: dict[str, np.ndarray] = {}
-
 
 def letter_table() -> np.ndarray:
     """Symbol of every code point: letters stand for themselves (beyond 16 bits for one symbol), the rest is blank."""
-    if "t" not in _LETTERS:
+    kept = C.worker_store()
+    if "letters" not in kept:
         codes = np.full(sys.maxunicode + 1, BLANK, dtype=np.uint16)
         for c in range(sys.maxunicode + 1):
             if chr(c).isalpha():
                 codes[c] = min(c, 0xFFFF)
-        _LETTERS["t"] = codes
-    return _LETTERS["t"]
+        kept["letters"] = codes
+    return kept["letters"]
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ def fingerprints(hashes: np.ndarray, k: int, run: int, bounds: np.ndarray) -> np
         at[lower] = j
     first = np.arange(n)
     end = bounds[np.searchsorted(bounds, first, side="right")]
-    return np.unique((first + at)[first + run + k - 1 <= end])
+    return C.distinct((first + at)[first + run + k - 1 <= end])
 
 
 @dataclass

@@ -8,10 +8,11 @@ The models are looked up through sorted hash arrays: the keys of an order are 64
 index over their leading bits gives the start of the few keys to compare, and the values are the interpolated
 log-probabilities of all languages. A text is scored whole; its cross-entropy is divided by its length, and the
 lowest wins. The distances between a text's cross-entropy and its language's mean, in deviations that shrink with
-the length, are calibrated on training texts: a text beyond `MARGIN` times the largest distance seen is rejected.
+the length, are calibrated on training texts that were not counted (one in HELD_BACK by a hash of the id): a text beyond
+MARGIN times the largest distance seen there is rejected.
 
 Bounds: a language keeps its MAX_GRAMS most frequent 4-grams (all statistics of lower orders and all denominators
-count all of them), and the calibration reads CALIBRATE training texts, taken in order of a hash of the id.
+count all of them), and the calibration reads at most CALIBRATE of the texts held back, in order of the hash.
 
 Edge cases: a null text and a text without a letter are `und`, rejected, score 0; texts without a language do not
 train; without any training text every text is `und`; repeated rows are predicted each; a null id is never
@@ -35,7 +36,10 @@ from ledgerlens.llm import common as C
 ORDER = 4
 MAX_GRAMS = 200_000
 CALIBRATE = 4_000
+HELD_BACK = 16
 MARGIN = 1.5
+#: Deviations that are never a reason to reject, before the margin.
+USUAL = 4.0
 DISCOUNT = 0.75
 #: Characters over which the score compares languages.
 EVIDENCE = 32
@@ -236,13 +240,14 @@ class Models:
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) by text."""
-        ce, lengths = self.cross_entropies(texts)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        ce, lengths = self.cross_entropies(texts)
         best = np.argmin(ce, axis=1)
         rows = np.arange(len(texts))
         valid = lengths > 0
-        gap = np.where(valid[:, None], ce - ce[rows, best][:, None], 0.0) * np.minimum(lengths, EVIDENCE)[:, None]
+        finite = np.where(valid[:, None], ce, 0.0)
+        gap = (finite - finite[rows, best][:, None]) * np.minimum(lengths, EVIDENCE)[:, None]
         score = np.where(valid, 1.0 / np.exp(-gap).sum(axis=1), 0.0)
         distance = self.distance(ce[rows, best], best, lengths)
         rejected = ~valid | (distance > self.limit)
@@ -317,7 +322,9 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], totals: dict[st
 def fit(training: DataFrame, scratch: C.Scratch, max_grams: int = MAX_GRAMS, calibrate: int = CALIBRATE) -> Models:
     """Models of all languages of the rows (text, lang, id)."""
     training = training.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counted = scratch.write(gram_counts(training), "grams")
+    hashed = F.xxhash64(F.lit(5), "id")
+    back = F.pmod(hashed, F.lit(HELD_BACK)) == 0
+    counted = scratch.write(gram_counts(training.filter(~back)), "grams")
     totals = counted.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("ctx")).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")
     )
@@ -343,7 +350,7 @@ def fit(training: DataFrame, scratch: C.Scratch, max_grams: int = MAX_GRAMS, cal
     if not models.languages:
         return models
     sample = (
-        training.select("text", "lang", F.xxhash64(F.lit(5), "id").alias("h"), "id").orderBy("h", "id").limit(calibrate)
+        training.filter(back).select("text", "lang", hashed.alias("h"), "id").orderBy("h", "id").limit(calibrate)
     ).toLocalIterator()
     rows: list[tuple] = []
     texts, langs = [], []
@@ -354,7 +361,7 @@ def fit(training: DataFrame, scratch: C.Scratch, max_grams: int = MAX_GRAMS, cal
             rows += _calibration(models, texts, langs)
             texts, langs = [], []
     rows += _calibration(models, texts, langs)
-    ce, lang, lengths = (np.array([r[i] for r in rows]) for i in range(3))
+    ce, lang, lengths = (np.array([r[i] for r in rows], dtype=kind) for i, kind in enumerate((float, int, int)))
     for j in range(len(models.languages)):
         own = (lang == j) & (lengths > 0)
         if own.sum() < 2:
@@ -364,8 +371,9 @@ def fit(training: DataFrame, scratch: C.Scratch, max_grams: int = MAX_GRAMS, cal
         models.doc_var[j] = max(ce[long].var(), 1e-4)
         off = (ce[own] - models.mean[j]) ** 2 * lengths[own]
         models.char_var[j] = max(off.mean(), 1e-2)
+    models.limit = MARGIN * USUAL
     if len(rows):
-        models.limit = MARGIN * max(2.0, float(models.distance(ce, np.maximum(lang, 0), lengths).max()))
+        models.limit = MARGIN * max(USUAL, float(models.distance(ce, np.maximum(lang, 0), lengths).max()))
     return models
 
 

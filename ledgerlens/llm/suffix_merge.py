@@ -137,7 +137,7 @@ class State:
         """The block of every suffix among those that agree in `depth` phrases (meaningless if it has fewer)."""
         block, d = C.mix(self.sym + np.uint64(1)), 1
         while d < depth:
-            block = C.mix(block * np.uint64(0x9E3779B97F4A7C15) + np.append(block[d:], np.zeros(d, np.uint64)))
+            block = C.mix(block * np.uint64(0x9E3779B97F4A7C15) + np.append(block[d:], np.zeros(min(d, len(block)), np.uint64)))
             d *= 2
         return block
 

@@ -4,8 +4,9 @@ A rotation of the principal axes is learned on a bounded sample (the SAMPLE vect
 signs of the rotated coordinates lose little and are balanced. Every vector gets a code of one bit per axis, at most
 64. The code is cut into TABLES parts; two vectors meet in a table if their parts differ in at most two bits, because
 each is entered under its own part and under every part one bit away. A pair of codes at distance 11 or less therefore
-always meets. What meets is compared by cosine in double precision, once: in the first table of the pair and
-there under one key.
+always meets, once: in the first table of the pair and there under one key. The tables hold codes. Pairs whose codes
+differ in more than FAR bits are left out (at a cosine of 0.93 that is more than four standard deviations off); where
+others are left, the original vectors of their entries are fetched and compared by cosine in double precision.
 
 Equal vectors collapse to one entry with a weight first. Keys of more than BLOCK entries are cut into blocks, and every
 pair of blocks is a task of its own, so no key has to fit into one task. A task sends counts by vector and a spanning
@@ -32,6 +33,7 @@ SAMPLE = 20_000
 ITERATIONS = 50
 TABLES = 4
 BLOCK = 1024
+FAR = 20
 #: The contract's threshold.
 COSINE = 0.93
 #: Pairs compared at a time in a task.
@@ -112,9 +114,8 @@ def _enter(mean: np.ndarray, projection: np.ndarray):
                         batch.column(0).take(at),
                         batch.column(1).take(at),
                         pa.array(codes[who].view(np.int64)),
-                        pa.array([x[i].tobytes() for i in who], pa.binary()),
                     ],
-                    names=["label", "tab", "key", "id", "weight", "code", "unit"],
+                    names=["label", "tab", "key", "id", "weight", "code"],
                 )
 
     return run
@@ -128,37 +129,54 @@ def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(high == 0, np.minimum(a, b), np.minimum(a ^ low, a ^ high))
 
 
+def _meetings(table: pa.Table, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of the pairs that count as meeting in a group of the table, if their codes are near enough."""
+    group, tab, key, side = (np.array(table.column(c)) for c in ("group", "tab", "key", "side"))
+    codes = np.array(table.column("code")).view(np.uint64)
+    parts = parts_of(codes, bits)
+    for i, j in C.pairs_within(C.group_sizes(group), PAIRS):
+        # in a pair of different blocks only rows of different blocks meet
+        ok = (side[i] != side[j]) | (side[i] < 0)
+        ok &= np.bitwise_count(codes[i] ^ codes[j]) <= FAR
+        i, j = i[ok], j[ok]
+        t = tab[i]
+        near = np.bitwise_count(parts[i] ^ parts[j]) <= 2
+        ok = (np.argmax(near, axis=1) == t) & near[np.arange(len(t)), t]
+        i, j, t = i[ok], j[ok], t[ok]
+        ok = _meeting(parts[i, t], parts[j, t]) == key[i]
+        yield i[ok], j[ok]
+
+
+def _retrieve(bits: int):
+    """The entries that a near code meets in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in C.whole_groups(batches, "group", 16 * BLOCK):
+            hit = np.zeros(table.num_rows, dtype=bool)
+            for i, j in _meetings(table, bits):
+                hit[i] = True
+                hit[j] = True
+            if hit.any():
+                yield from table.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
 def _compare(bits: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
         forest = C.Forest()
-
-        def settle(table: pa.Table) -> None:
-            group = np.array(table.column("group"))
+        for table in C.whole_groups(batches, "group", 16 * BLOCK):
             ids, weight = np.array(table.column("id")), np.array(table.column("weight"))
-            tab, key, side = (np.array(table.column(c)) for c in ("tab", "key", "side"))
-            parts = parts_of(np.array(table.column("code")).view(np.uint64), bits)
-            unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-            for i, j in C.pairs_within(C.group_sizes(group), PAIRS):
-                # in a pair of different blocks only rows of different blocks meet
-                ok = (side[i] != side[j]) | (side[i] < 0)
-                i, j = i[ok], j[ok]
-                t = tab[i]
-                x = parts[i] ^ parts[j]
-                near = np.bitwise_count(x) <= 2
-                ok = np.argmax(near, axis=1) == t
-                ok &= near[np.arange(len(t)), t]
-                i, j, t = i[ok], j[ok], t[ok]
-                ok = _meeting(parts[i, t], parts[j, t]) == key[i]
-                i, j = i[ok], j[ok]
+            unit = np.array(table.column("vec").to_pylist())
+            unit /= np.abs(unit).max(axis=1, keepdims=True)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            for i, j in _meetings(table, bits):
                 ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
                 for a, b, wa, wb in zip(ids[i[ok]].tolist(), ids[j[ok]].tolist(), weight[i[ok]].tolist(), weight[j[ok]].tolist(), strict=True):
                     counts[a] = counts.get(a, 0) + wb
                     counts[b] = counts.get(b, 0) + wa
                     forest.join(a, b)
-
-        for table in C.whole_groups(batches, "group", 16 * BLOCK):
-            settle(table)
         yield _links([(a, n, None, None) for a, n in counts.items()])
         yield _links([(None, None, a, b) for a, b in forest.links])
 
@@ -186,31 +204,38 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mean, projection = learn_rotation(np.vstack([x, x]) if len(x) < 2 else x)
     label = classes.schema["label"].dataType.simpleString()
-    entries = classes.mapInArrow(
-        _enter(mean, projection), f"label {label}, tab int, key long, id long, weight long, code long, unit binary"
-    )
+    entry = f"label {label}, tab int, key long, id long, weight long, code long"
+    entries = classes.mapInArrow(_enter(mean, projection), entry)
     # keys that one entry holds meet nothing; large keys are cut into blocks
-    sizes = classes.select("id", "weight", "label", "vec").mapInArrow(
-        _enter(mean, projection), f"label {label}, tab int, key long, id long, weight long, code long, unit binary"
-    ).groupBy("label", "tab", "key").agg(F.count(F.lit(1)).alias("size"))
+    sizes = classes.mapInArrow(_enter(mean, projection), entry).groupBy("label", "tab", "key").agg(
+        F.count(F.lit(1)).alias("size")
+    )
     sizes = scratch.write(sizes.filter("size > 1"), "sizes")
     parts = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     hot = F.explode(F.sequence(F.lit(0), parts - 1))
     cold = entries.join(sizes.filter(F.col("size") <= block), ["label", "tab", "key"]).select(
-        "label", "tab", "key", "id", "weight", "code", "unit", F.lit("").alias("blocks"), F.lit(-1).alias("side")
+        "label", "tab", "key", "id", "weight", "code", F.lit("").alias("blocks"), F.lit(-1).alias("side")
     )
     split = entries.join(sizes.filter(F.col("size") > block), ["label", "tab", "key"]).select("*", own.alias("own"), hot.alias("other"))
     dense = split.select(
-        "label", "tab", "key", "id", "weight", "code", "unit",
+        "label", "tab", "key", "id", "weight", "code",
         F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("blocks"),
         F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
     )
     group = F.xxhash64("label", "tab", "key", "blocks")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cold.unionByName(dense).withColumn("group", group).repartition(n, "group")
-    sorted_rows = dealt.sortWithinPartitions("group", "tab", "key", "id").select("group", "tab", "key", "id", "weight", "code", "unit", "side")
-    found = scratch.write(sorted_rows.mapInArrow(_compare(projection.shape[1], cosine), "id long, n long, a long, b long"), "found")
+    columns = ["group", "tab", "key", "id", "weight", "code", "side"]
+    bits = projection.shape[1]
+    met = dealt.select(*columns).sortWithinPartitions("group").mapInArrow(
+        _retrieve(bits), "group long, tab int, key long, id long, weight long, code long, side int"
+    )
+    met = scratch.write(met, "met").join(classes.select("id", "vec"), "id").select(*columns, "vec")
+    compared = met.repartition(n, "group").sortWithinPartitions("group").mapInArrow(
+        _compare(bits, cosine), "id long, n long, a long, b long"
+    )
+    found = scratch.write(compared, "found")
     edges = found.filter("a is not null").select(F.col("a").alias("source"), F.col("b").alias("target"))
     members = connected_components(edges)
     links = found.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))

@@ -20,8 +20,15 @@ DATE_FORMATS = {
     "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
     "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
     "dd-MMM-yy": r"^\d{2}-[A-Za-z]{3}-\d{2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
 }
 
+# A clock time behind a date, as in `2024-11-14 09:30:00` or `2024-11-14T09:30`.
+CLOCK_TAIL = r"[ T]\d{1,2}:\d{2}.*$"
+
 # Fixed value: two-digit years from 69 on belong to the 1900s.
 CENTURY_PIVOT = 2069
 
@@ -60,10 +67,11 @@ def clock_parts(time: Column, default_hour: int = 12) -> tuple[Column, Column]:
 
 
 def any_date(value: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
-    """A date from text in any of the known layouts, null when none fits.
+    """A date from text in any of the known layouts, with or without a clock time behind it; null when none fits.
 
     The shape test comes first: a failed parse costs an exception per row, a failed match next to nothing.
     """
+    value = F.regexp_replace(F.trim(value), CLOCK_TAIL, "")
     tries = []
     for layout, shape in formats.items():
         parsed = F.try_to_date(value, layout)

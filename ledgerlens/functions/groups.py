@@ -36,6 +36,15 @@ def first_values(
     return ranked.groupBy(*keys).agg(F.transform(ordered, lambda pair: pair[value]).alias(value))
 
 
+def distinct_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """All distinct non-null values per key, ascending, as an array column named after `value`.
+
+    The pairs are made distinct first, so the array grows with the different values and not with the rows.
+    """
+    pairs = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
+    return pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(value))
+
+
 def one_row(df: DataFrame, **aggregates: Column) -> Column:
     """Whole-table aggregates as one struct-valued scalar subquery: a constant to the query that uses it."""
     return df.agg(F.struct(*[c.alias(name) for name, c in aggregates.items()]).alias("_row")).scalar()

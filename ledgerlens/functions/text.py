@@ -56,8 +56,13 @@ def clean_phone(value: Column) -> Column:
 
 
 def parse_amount(value: Column) -> Column:
-    """Text amount without thousands commas; anything else than a number is 0."""
-    return F.coalesce(F.translate(value, ",", "").try_cast("double"), F.lit(0.0))
+    """Text amount without thousands commas; anything else than a finite number is 0."""
+    return F.coalesce(finite(F.translate(value, ",", "").try_cast("double")), F.lit(0.0))
+
+
+def finite(value: Column) -> Column:
+    """The number, or null for NaN and infinities: one such cell would turn every mean into NaN."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
 def normalise_status(value: Column) -> Column:

@@ -131,21 +131,18 @@ def fit_forest(
 ) -> IsolationForest:
     """Sample by row hash, grow one tree per group, set the cut at the `contamination` quantile of the scores.
 
-    A hash of (key, seed) first keeps a pool of a few samples' worth of rows per tree; hashes of (key, tree) then
-    rank the pool per tree. A retried task draws the same rows, which `rand()` would not guarantee.
+    A tree draws the rows of smallest hash of (key, seed, tree). Rows above a threshold that leaves three samples' worth
+    on average are dropped at once, so that no tree falls short of its sample. A retried task draws the same rows, which
+    `rand()` would not guarantee. The rule is the same for tables of any size.
     """
     spark = df.sparkSession
     columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
     table = df.select(F.col(key).alias("_key"), *columns)
     n = table.count()
-    pool_size = trees * sample * 2
-    pool = table
-    if n > pool_size:
-        pool = table.filter(_row_hash(F.col("_key"), F.lit(seed)) < int(_HASH_RANGE * pool_size / n))
-    share = min(1.0, 3.0 * sample / min(n, pool_size)) if n else 1.0
+    share = min(1.0, 3.0 * sample / n) if n else 1.0
     draw = _row_hash(F.col("_key"), F.lit(seed), F.col("tree"))
     chosen = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        table.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_draw", draw)
         .filter(F.col("_draw") < int(_HASH_RANGE * share))
         .withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_draw", "_key")))

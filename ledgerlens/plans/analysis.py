@@ -19,7 +19,7 @@ MODES = ("full", "rule_only", "ml_only")
 
 @dataclass
 class Analysis:
-    """Alerts and what is derived from them, all lazy."""
+    """A written book, its written alerts, and what is derived from them on demand."""
 
     loans: DataFrame
     alerts: DataFrame
@@ -66,12 +66,12 @@ def analyse(
     mode: str = "full",
     ruleset: str = "backend",
     screen: Screen | None = None,
-    top_ml: int | None = 50,
+    top_ml: int | None = None,
 ) -> Analysis:
     """Run the rules, the model screen, or both over a loan table.
 
     The loans are written once: detectors and features pass over them many times. Without a `screen` an
-    unsupervised one is fitted on these loans.
+    unsupervised one is fitted on these loans. `top_ml` keeps only the riskiest model alerts; all by default.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -88,9 +88,9 @@ def analyse(
 
 
 def map_upload(
-    exports: Mapping[str, DataFrame], sample_rows: int | None = 100, order: str | None = None
+    exports: Mapping[str, DataFrame], sample_rows: int | None = None, order: str | None = None
 ) -> DataFrame:
-    """(source, position, column, standard, confidence, method) of exports, from a sample or whole columns."""
+    """(source, position, column, standard, confidence, method) of exports, from whole columns, or a sample of their rows."""
     cells = mapping.long_values(exports, order)
     if sample_rows is not None:
         cells = mapping.column_sample(cells, sample_rows)
@@ -111,10 +111,25 @@ def screen_upload(
     if missing:
         raise ValueError(f"no column found for {', '.join(sorted(missing))}")
     standard = standardise(apply_mapping(export, fields, overrides))
+    return analyse(complete_loans(standard), mode, ruleset), mapped
+
+
+def complete_loans(standard: DataFrame) -> DataFrame:
+    """Every column that detectors and features read, null where the export has none, and an id for every row.
+
+    A loan without an id is known by its row: alerts and their members need a key that no other loan shares. The row
+    numbers are fixed once the book is written.
+    """
     have = set(standard.columns)
-    absent = [c for c in ("loan_id", "borrower_name", "phone_number", "officer_id", "approval_time") if c not in have]
-    standard = standard.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else standard
+    texts = (
+        "loan_id", "borrower_name", "phone_number", "officer_id", "approval_time", "product_id", "national_id",
+        "branch_id", "branch_name", "guarantor_name", "status",
+    )
+    added = {c: F.lit(None).cast("string") for c in texts if c not in have}
     if "loan_date" not in have:
-        standard = standard.withColumn("loan_date", F.lit(None).cast("date"))
-    return analyse(standard, mode, ruleset), mapped
+        added["loan_date"] = F.lit(None).cast("date")
+    filled = standard.withColumns(added) if added else standard
+    row = F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))
+    known = F.when(F.trim(F.col("loan_id").cast("string")) != "", F.col("loan_id").cast("string"))
+    return filled.withColumn("loan_id", F.coalesce(known, row))
 

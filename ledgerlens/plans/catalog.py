@@ -16,14 +16,14 @@ from ledgerlens.functions.ranks import score_statistics as value_statistics
 from ledgerlens.operators import alerts as summaries
 from ledgerlens.operators import features, graph, history, mapping, rules
 from ledgerlens.operators.models import boosting, boundary, density, ensemble, forest, reconstruction, screening
-from ledgerlens.plans.analysis import analyse
+from ledgerlens.plans.analysis import analyse, screen_upload
 from ledgerlens.schema import FEATURE_NAMES
 from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
 from ledgerlens.sources.loan_view import loan_table, table
 from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
 from ledgerlens.sources.standardise import union_sources as union_books
-from ledgerlens.sources import sinks
+from ledgerlens.sources import readers, sinks
 from ledgerlens.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -605,7 +605,7 @@ def gbt_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _labelled_book(spark, sf_dir)
     matrix = _features_of(book, "is_fraud").withColumn("label", F.col("is_fraud").cast("int"))
-    training = boosting.train_classifier(matrix, FEATURE_NAMES, trees=20, folds=0)
+    training = boosting.train_classifier(matrix, FEATURE_NAMES, folds=0)
     return boosting.importance_frame(matrix, training, 10)
 
 
@@ -746,22 +746,46 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitors.read_events(spark, sf_dir, schema, "events.parquet")
 
 
+def upload_no_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book as another institution's CSV export, without loan ids, read and screened as an upload."""
+    book = loan_table(spark, sf_dir)
+    export = book.select(
+        F.col("borrower_id").alias("clientId"),
+        F.col("borrower_name").alias("Client Name"),
+        F.col("phone_number").alias("telephone"),
+        F.col("amount").alias("loan_amount"),
+        F.concat_ws(" ", F.col("loan_date").cast("string"), F.lit("09:30:00")).alias("Disbursement Date"),
+        F.col("approval_time").alias("time"),
+        F.col("officer_id").alias("approvedBy"),
+        F.col("branch_name").alias("branch location"),
+        F.col("status").alias("Status"),
+    )
+    path = f"{checkpoint_root(spark)}/exports/{uuid.uuid4().hex}"
+    export.write.option("header", True).csv(path)
+    analysis, _ = screen_upload(readers.read_csv(spark, path), mode="rule_only", ruleset="engine")
+    return analysis.alerts.groupBy("alert_type", "severity").agg(
+        F.count(F.lit(1)).alias("alerts"),
+        F.count_distinct("alert_id").alias("ids"),
+        F.round(F.sum("amount_at_risk"), 2).alias("amount_at_risk"),
+    )
+
+
 def stream_after_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitors.run_available(monitors.after_hours_events(_stream(spark, sf_dir)))
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = monitors.run_available(monitors.daily_repeats(_stream(spark, sf_dir)))
+    found = monitors.run_bounded(monitors.daily_repeats(_stream(spark, sf_dir)))
     return found.withColumn("total", F.round("total", 4))
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = monitors.run_available(monitors.sliding_history(_stream(spark, sf_dir)))
+    found = monitors.run_bounded(monitors.sliding_history(_stream(spark, sf_dir)))
     return found.withColumn("average", F.round("average", 10))
 
 
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitors.run_available(monitors.failure_bursts(_stream(spark, sf_dir)))
+    return monitors.run_bounded(monitors.failure_bursts(_stream(spark, sf_dir)))
 
 
 def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -835,6 +859,7 @@ QUERIES: dict[str, Query] = {
     "officer_concentration": officer_concentration,
     "all_alerts": _ruleset("backend"),
     "all_alerts_engine": _ruleset("engine"),
+    "upload_no_id": upload_no_id,
     "all_alerts_demo": _ruleset("demo"),
     "alert_members": alert_members,
     "additive_score": additive_score,

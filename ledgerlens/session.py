@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_DIR, None) or sc.getConf().get(CHECKPOINT_DIR) or sc.getCheckpointDir()
     if root is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="ledgerlens-")
     if sc.getCheckpointDir() is None:

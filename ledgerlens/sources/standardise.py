@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.clock import any_date
-from ledgerlens.functions.text import clean_phone, normalise_status, parse_amount
+from ledgerlens.functions.text import clean_phone, finite, normalise_status, parse_amount
 from ledgerlens.schema import LOAN_SCHEMA
 
 # Names the detectors expect for standard fields.
@@ -45,7 +45,29 @@ def _typed(field: T.StructField, clean: bool) -> Column:
         return clean_phone(text)
     if isinstance(field.dataType, T.StringType):
         return text
-    return F.translate(text, ",", "").try_cast(field.dataType)
+    number = F.translate(text, ",", "").try_cast(field.dataType)
+    return finite(number) if isinstance(field.dataType, T.DoubleType) else number
+
+
+def parse_failures(mapped: DataFrame) -> DataFrame:
+    """(field, filled, failed): how many filled cells of each typed field could not be read."""
+    fields = [f for f in LOAN_SCHEMA.fields if f.name in mapped.columns and not isinstance(f.dataType, T.StringType)]
+    counts = []
+    for f in fields:
+        text = F.col(f.name).cast("string")
+        filled = text.isNotNull() & (F.trim(text) != "")
+        number = finite(F.translate(text, ",", "").try_cast("double"))
+        read = number if f.name == "amount" else _typed(f, True)
+        counts.append(
+            F.struct(
+                F.lit(f.name).alias("field"),
+                F.count_if(filled).alias("filled"),
+                F.count_if(filled & read.isNull()).alias("failed"),
+            )
+        )
+    if not counts:
+        return mapped.sparkSession.createDataFrame([], "field string, filled long, failed long")
+    return mapped.agg(F.inline(F.array(*counts)))
 
 
 def standardise(mapped: DataFrame, clean: bool = True) -> DataFrame:

@@ -1,8 +1,9 @@
 """Windowed detectors on a Structured Streaming source.
 
 Each function turns a stream into a stream; `run_available` drives one over everything that has arrived and returns
-what it wrote. Append output: a window appears once, when the watermark has passed its end, so later runs add rows
-and never change them. Rows later than the watermark are dropped by Spark.
+what it wrote. With append output a window appears once, when the watermark has passed its end, so later runs add rows
+and never change them; rows later than the watermark are dropped by Spark. `run_bounded` is for a source that has
+ended: it also writes the windows that are still open.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def daily_repeats(events: DataFrame, key: str = "user_id", late: str = "1 day",
 
 
 def sliding_history(
-    events: DataFrame, key: str = "user_id", length: str = "7 days", slide: str = "1 day", late: str = "1 day"
+    events: DataFrame, key: str = "user_id", length: str = "30 days", slide: str = "1 day", late: str = "1 day"
 ) -> DataFrame:
     """Count and mean value per key over sliding windows."""
     return (
@@ -102,3 +103,25 @@ def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_bounded(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Process a windowed stream whose source has ended and return all rows, those of open windows included.
+
+    Complete output holds every window seen so far; each batch replaces what the one before it wrote.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    query = (
+        stream.writeStream.foreachBatch(put)
+        .outputMode("complete")
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -73,8 +73,8 @@ _GHOST = _alert(
     "ghosts",
     "ghost_loan",
     "'HIGH'",
-    "Potential Ghost Loans Detected",
-    "'Phone number ' || phone_number || ' is linked to ' || borrower_count || ' different borrowers'",
+    "Phone shared by several borrowers",
+    "borrower_count || ' borrowers share phone number ' || phone_number",
     "total",
     "officer_id",
     "phone_number",
@@ -98,9 +98,9 @@ _OFFICER = _alert(
     "odd_officers",
     "unusual_approval",
     "case when volume_z > 2.5 then 'HIGH' else 'MEDIUM' end",
-    "Unusual Officer Activity Pattern",
-    "'Officer ' || officer_name || ' has ' || loan_count || ' loans (' || printf('%.1f', volume_z)"
-    " || ' std from average)'",
+    "Officer unlike the others",
+    "'Officer ' || officer_name || ': ' || loan_count || ' loans, ' || printf('%.1f', volume_z)"
+    " || ' deviations from the mean'",
     "total_amount * 0.1",
     "officer_id",
     "cast(officer_id as varchar)",
@@ -125,8 +125,8 @@ _GEO = _alert(
     "cells",
     "collusion_ring",
     "case when cluster_size >= 5 then 'HIGH' else 'MEDIUM' end",
-    "Geographic Cluster Detected",
-    "cluster_size || ' loans clustered within ~500m radius for Officer ' || officer_id",
+    "Loans packed into one place",
+    "'Officer ' || officer_id || ' has ' || cluster_size || ' loans in one cell of coordinates'",
     "total",
     "officer_id",
     _GEO_KEY,
@@ -147,8 +147,8 @@ _LATE = _alert(
     "late_officers",
     "timing_anomaly",
     "case when loan_count < 5 then 'LOW' else 'MEDIUM' end",
-    "After-Hours Transaction Activity",
-    "loan_count || ' loans processed outside business hours by ' || officer_name",
+    "Loans outside working hours",
+    "officer_name || ' entered ' || loan_count || ' loans outside working hours'",
     "total * 0.05",
     "officer_id",
     "cast(officer_id as varchar)",
@@ -159,16 +159,15 @@ _GUARANTOR_CTE = """
 backers as (
   select guarantor_name, count(loan_id) as loan_count, count(distinct borrower_id) as borrower_count,
     sum(amount) as total, arg_min(officer_id, loan_id) as officer_id,
-    array_to_string(list(distinct officer_id order by officer_id)[1:5], ',') as officers
+    array_to_string(list(distinct officer_id order by officer_id) filter (where officer_id is not null), ',') as officers
   from loans where guarantor_name is not null group by 1 having count(loan_id) >= 3)"""
 
 _GUARANTOR = _alert(
     "backers",
     "shared_guarantor",
     "case when loan_count < 5 then 'MEDIUM' else 'HIGH' end",
-    "Shared Guarantor Network",
-    "'Guarantor ''' || guarantor_name || ''' linked to ' || loan_count || ' loans across ' || borrower_count"
-    " || ' borrowers'",
+    "Guarantor of several loans",
+    "guarantor_name || ' stands for ' || loan_count || ' loans of ' || borrower_count || ' borrowers'",
     "total * 0.2",
     "officer_id",
     "guarantor_name",
@@ -179,8 +178,8 @@ _STACK_CTE = """
 stacked as (
   select borrower_id, count(loan_id) as loan_count, sum(amount) as total, arg_min(borrower_name, loan_id) as borrower_name,
     arg_min_null(officer_id, loan_id) as officer_id, count(distinct branch_name) as branch_count,
-    array_to_string(list(distinct branch_name order by branch_name)[1:5], ',') as branches,
-    array_to_string((list(distinct officer_id order by officer_id) filter (where officer_id is not null))[1:5], ',')
+    array_to_string(list(distinct branch_name order by branch_name), ',') as branches,
+    array_to_string(list(distinct officer_id order by officer_id) filter (where officer_id is not null), ',')
       as officers
   from loans where status = 'active' and borrower_id is not null group by 1 having count(loan_id) >= 2)"""
 
@@ -188,9 +187,9 @@ _STACK = _alert(
     "stacked",
     "loan_stacking",
     "case when branch_count > 1 then 'HIGH' else 'MEDIUM' end",
-    "Loan Stacking Detected",
-    "'Borrower ' || borrower_name || ' has ' || loan_count || ' active loans' ||"
-    " case when branch_count > 1 then ' across ' || branch_count || ' branches' else '' end",
+    "Several active loans",
+    "borrower_name || ' holds ' || loan_count || ' active loans' ||"
+    " case when branch_count > 1 then ' in ' || branch_count || ' branches' else '' end",
     "total",
     "officer_id",
     "cast(borrower_id as varchar)",
@@ -209,8 +208,8 @@ def _rows(critical: bool) -> str:
         "dup_phones",
         "GHOST_LOAN",
         "case when loan_count >= 4 then 'CRITICAL' else 'HIGH' end" if critical else "'HIGH'",
-        "Duplicate Phone Number Detected",
-        "'Phone ' || phone_number || ' appears in ' || loan_count || ' different loans'",
+        "Phone number on several loans",
+        "loan_count || ' loans carry phone number ' || phone_number",
         "total",
         "officer_id",
         "phone_number",
@@ -228,8 +227,8 @@ _DAY = _alert(
     "days",
     "LOAN_STACKING",
     "'HIGH'",
-    "Multiple Loans Same Day",
-    "'Borrower received ' || loan_count || ' loans on same date, total UGX ' || cast(round(total) as bigint)",
+    "Several loans on one day",
+    "loan_count || ' loans to one borrower on one day, UGX ' || cast(round(total) as bigint) || ' together'",
     "total",
     "officer_id",
     "cast(borrower_id as varchar) || '|' || cast(loan_date as varchar)",
@@ -252,8 +251,8 @@ _VOLUME = _alert(
     "busy",
     "OFFICER_ANOMALY",
     "case when z_score > 3 then 'HIGH' else 'MEDIUM' end",
-    "Unusual Officer Volume",
-    "'Officer ' || name || ' processed ' || loan_count || ' loans (' || printf('%.1f', z_score) || ' std from avg)'",
+    "Officer with unusually many loans",
+    "'Officer ' || name || ': ' || loan_count || ' loans, ' || printf('%.1f', z_score) || ' deviations above the mean'",
     "total_amount * 0.1",
     "officer_id",
     "officer_id",
@@ -272,8 +271,8 @@ def _late_loan(alert_type: str) -> str:
         "late_loans",
         alert_type,
         "'MEDIUM'",
-        "After-Hours Approval",
-        "'Loan ' || coalesce(cast(loan_id as varchar), 'N/A') || ' approved at ' || approval_time",
+        "Approved outside working hours",
+        "'Approval of loan ' || coalesce(cast(loan_id as varchar), 'N/A') || ' at ' || approval_time",
         "coalesce(amount, 0)",
         "officer_id",
         "cast(loan_id as varchar)",
@@ -292,8 +291,8 @@ def _amount(rounded: bool) -> str:
         "outliers",
         "AMOUNT_ANOMALY",
         "'MEDIUM'",
-        "Unusually Large Loan",
-        f"'Loan amount UGX ' || cast(round(amount) as bigint) || ' is ' || cast({percent} as int) || '% above average'",
+        "Loan far above the usual amount",
+        f"'UGX ' || cast(round(amount) as bigint) || ', ' || cast({percent} as int) || '% more than the mean'",
         "amount",
         "officer_id",
         "cast(loan_id as varchar)",
@@ -308,8 +307,8 @@ _SELF = _alert(
     "own",
     "SELF_LENDING",
     "'CRITICAL'",
-    "Officer Self-Lending Detected",
-    "'Officer ' || officer_id || ' approved loan for themselves'",
+    "Officer is the borrower",
+    "'Officer ' || officer_id || ' is the borrower of a loan they approved'",
     "coalesce(amount, 0)",
     "officer_id",
     "cast(loan_id as varchar)",
@@ -331,9 +330,9 @@ _SHARE = _alert(
     "shares",
     "OFFICER_CONCENTRATION",
     "'MEDIUM'",
-    "High Officer Concentration",
-    "'Officer ' || officer_id || ' processed ' || printf('%.1f', percentage) || '% of all loans (' || loan_count"
-    " || ' loans worth ' || cast(round(total) as bigint) || ')'",
+    "Officer holds much of the book",
+    "printf('%.1f', percentage) || '% of all loans (' || loan_count || ', worth UGX ' || cast(round(total) as bigint)"
+    " || ') by officer ' || officer_id",
     "total",
     "officer_id",
     "officer_id",
@@ -377,6 +376,9 @@ ORACLES: dict[str, str] = {
     "officer_concentration": _with(_share_cte(3)) + _extended(_SHARE, "round(percentage, 6) as percentage"),
     "all_alerts": _with(*_BACKEND_CTES) + _union(_BACKEND),
     "all_alerts_engine": _with(*_ENGINE_CTES) + _union(_ENGINE),
+    "upload_no_id": _with(*ENGINE_ALERTS)
+    + """select alert_type, severity, count(*) as alerts, count(*) as ids, round(sum(amount_at_risk), 2) as amount_at_risk
+from alerts group by 1, 2""",
     "all_alerts_demo": _with(*_DEMO_CTES) + _union(_DEMO),
     "alert_members": _with(*BACKEND_ALERTS, """
 keyed as (
@@ -1272,18 +1274,15 @@ from (select loan_id, len(regexp_extract_all(prompt, '[0-9]')) / length(prompt):
 
 # --- streams and history ----------------------------------------------------------------------------------------
 
-# Append output holds the windows whose end lies at or before the watermark: the largest time minus one day.
-_CLOSED = "(select max(ts) - interval 1 day from events)"
-
 ORACLES |= {
     "stream_after_hours": "select event_id, user_id, ts, hour(ts) as hour from events where hour(ts) < 6 or hour(ts) >= 22",
     "stream_daily": f"""
 select cast(ts as date) as day, user_id, count(*) as events, round(sum(value), 4) as total
-from events group by 1, 2 having count(*) >= 2 and cast(ts as date) + interval 1 day <= {_CLOSED}""",
+from events group by 1, 2 having count(*) >= 2""",
     "stream_sliding": f"""
-select "start", "start" + interval 7 days as "end", user_id, count(*) as events, round(avg(value), 10) as average
-from (select *, unnest([date_trunc('day', ts) - to_days(cast(i as int)) for i in range(7)]) as "start" from events)
-group by 1, 2, 3 having "start" + interval 7 days <= {_CLOSED}""",
+select "start", "start" + interval 30 days as "end", user_id, count(*) as events, round(avg(value), 10) as average
+from (select *, unnest([date_trunc('day', ts) - to_days(cast(i as int)) for i in range(30)]) as "start" from events)
+group by 1, 2, 3""",
     "stream_bursts": """
 with e as (
   select user_id, ts, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end as opens
@@ -1291,8 +1290,7 @@ with e as (
 g as (select *, sum(opens) over (partition by user_id order by ts) as session from e)
 select min(ts) as first_at, max(ts) as last_at, user_id, count(*) as failures
 from g group by user_id, session
-having count(*) >= 2 and max(ts) + interval 6 hours
-  <= (select max(ts) - interval 1 day from events where event_type = 'error')""",
+having count(*) >= 2""",
     "history_top": _with(
         _AMOUNT_CTE,
         _late_loans_cte("hr < 6 or hr >= 22"),

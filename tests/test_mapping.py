@@ -10,7 +10,7 @@ from ledgerlens.operators import mapping
 from ledgerlens.plans.analysis import map_upload, screen_upload
 from ledgerlens.schema import STANDARD_FIELDS
 from ledgerlens.sources.readers import read_csv
-from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
+from ledgerlens.sources.standardise import parse_failures, apply_mapping, mapping_of, standardise
 
 UPPER = "LOAN_REF CUSTOMER_ID CUSTOMER_NAME PHONE_NUMBER PRINCIPAL_AMOUNT ISSUE_DATE APPROVAL_TIME EMPLOYEE_ID BRANCH_CODE"
 EXACT = "loan_id borrower_id borrower_name phone amount loan_date approval_time officer_id branch status"
@@ -236,3 +236,36 @@ def test_nearest_by_cosine(spark):
     )
     found = {r["id"]: r["match"] for r in mapping.nearest_by_cosine(vectors, references).collect()}
     assert found == {1: "x", 2: "y", 3: None}
+
+
+ODD_EXPORT = "clientId string, loan_amount string, `Disbursement Date` string, telephone string, approvedBy string, time string"
+
+
+def _odd_rows(n=30):
+    rows = [(f"C{i % 7}", str(100000 + 1000 * i), "2024-11-14 09:30:00", f"07000000{i % 4:02d}", f"O{i % 3}", "23:10") for i in range(n)]
+    return [*rows, ("C9", "nan", "1/2/2024", None, None, None), ("C9", "inf", "2024-11-14T09:30", None, None, None), ("C8", "90000000", "x", None, None, None)]
+
+
+@pytest.mark.parametrize("mode", ["rule_only", "full", "ml_only"])
+@pytest.mark.parametrize("ruleset", ["backend", "engine"])
+def test_upload_without_ids_in_every_mode(spark, mode, ruleset):
+    analysis, _ = screen_upload(spark.createDataFrame(_odd_rows(), ODD_EXPORT), mode=mode, ruleset=ruleset)
+    alerts = analysis.alerts.collect()
+    assert len({r["alert_id"] for r in alerts}) == len(alerts) and all(r["entity_key"] for r in alerts)
+    members = analysis.members().select("alert_id", "loan_id").collect()
+    assert len(set(members)) == len(members) and {m["alert_id"] for m in members} <= {r["alert_id"] for r in alerts}
+    if mode == "rule_only" and ruleset == "engine":
+        late = [r for r in alerts if r["alert_type"] == "TIMING_ANOMALY"]
+        assert len(late) == 30 and sum(m["alert_id"] in {r["alert_id"] for r in late} for m in members) == 30
+        assert any(r["alert_type"] == "AMOUNT_ANOMALY" for r in alerts)  # the nan cell does not silence it
+
+
+def test_dates_with_clock_times_and_failures_are_counted(spark):
+    mapped = spark.createDataFrame(
+        [("2024-11-14 09:30:00", "1"), ("2024-11-14T09:30", "nan"), ("1/2/2024", "x"), ("soon", None), (None, "")], "loan_date string, amount string"
+    )
+    book = standardise(mapped).select("loan_date", "amount").collect()
+    assert [str(r["loan_date"]) for r in book] == ["2024-11-14", "2024-11-14", "2024-02-01", "None", "None"]
+    assert [r["amount"] for r in book] == [1.0, 0.0, 0.0, 0.0, 0.0]
+    counts = {r["field"]: (r["filled"], r["failed"]) for r in parse_failures(mapped).collect()}
+    assert counts == {"loan_date": (4, 1), "amount": (3, 2)}

@@ -28,7 +28,6 @@ are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -47,13 +46,8 @@ SHARD_TOKENS = 1 << 20
 MIN_COUNT = 24
 ROUND_RULES = 4096
 ROUNDS = 6
-#: Texts that are encoded together.
-TEXTS = 256
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
-
-_ODD_SPACE = re.compile(r"\s\s|[^\S ]")
-
+REMEMBERED = 1_500_000
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -64,9 +58,10 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece of text once.
 
-    Byte-level pre-tokenisation never joins characters across a single blank between two other characters, except
-    that the blank belongs to what follows. So such a text is cut there, and the pieces are encoded on their own.
-    Texts with any other white space, or with what may be a special token, go to the library whole.
+    Byte-level pre-tokenisation never joins characters across a single blank between two characters that are not white
+    space; the blank belongs to what follows. So texts are cut there, and the pieces are encoded on their own. Pieces
+    are known by 64-bit hashes; the bytes of a text's tokens are counted against the text. A text that may hold a
+    special token goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -79,64 +74,92 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)  # sorted hashes of the known pieces
+        self.place = np.zeros(0, dtype=np.int64)  # where a piece's ids begin, and how many they are
+        self.count = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
-        self.start = np.zeros(1, dtype=np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces: those that begin with a blank as one text, where the bytes of the tokens say which ends where."""
-        blank = [p for p in pieces if p[0] == " "]
-        firsts = [p for p in pieces if p[0] != " "]
-        coded = self.whole(["".join(blank), *firsts])
-        ids = np.array(coded[0], dtype=np.uint32)
-        sizes = np.fromiter(map(len, map(str.encode, blank)), dtype=np.int64, count=len(blank))
-        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1
-        ends = np.concatenate([ends, len(ids) + np.cumsum([len(c) for c in coded[1:]], dtype=np.int64)])
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(coded[1:]), dtype=np.uint32)])
-        pieces = blank + firsts
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + ends])
+    def learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode new pieces: those that begin with a blank as one text, whose tokens' bytes say which ends where."""
+        blank = data[start] == 32
+        own = np.r_[np.flatnonzero(blank), np.flatnonzero(~blank)]
+        keys, start, end = keys[own], start[own], end[own]
+        n = int(blank.sum())
+        joined = data[C.ragged(start[:n], (end - start)[:n])].tobytes().decode()
+        rest = [data[a:b].tobytes().decode() for a, b in zip(start[n:].tolist(), end[n:].tolist(), strict=True)]
+        first, *coded = self.whole([joined, *rest])
+        ids = np.array(first, dtype=np.uint32)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((end - start)[:n])) + 1
+        counts = np.r_[np.diff(np.r_[0, ends]), np.array([len(c) for c in coded], dtype=np.int64)].astype(np.int64)
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(coded), dtype=np.uint32)])
+        place = len(self.flat) + np.cumsum(counts) - counts
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.place = np.insert(self.place, at, place[order])
+        self.count = np.insert(self.count, at, counts[order])
         self.flat = np.concatenate([self.flat, ids])
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The text in pieces that can be encoded alone; lines count as pieces of their own only inside words."""
-        if text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special):
-            return None
-        if _ODD_SPACE.search(text.replace("\n", "")) or "\n " in text or " \n" in text:
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each closed by the end id, ids by text)."""
-        if len(self.place) > REMEMBERED:
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at texts, and at single blanks between characters that are surely no white space."""
+        at = np.flatnonzero(data == 32)
+        at = at[(at > 0) & (at + 1 < len(data))]
+        before, after = data[at - 1], data[at + 1]
+        good = (before > 32) & (before != 127) & (after > 32) & (after != 127)
+        # white space beyond ASCII begins with these bytes
+        good &= ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))
+        good &= ~((before >= 128) & ((data[np.maximum(at - 2, 0)] == 0xC2) | np.isin(data[np.maximum(at - 3, 0)], (0xE1, 0xE2, 0xE3))))
+        at = at[good]
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        at = at[(at > offsets[doc]) & (at + 1 < offsets[doc + 1])]
+        return np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], at]))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by the end id, ids by text) of texts as UTF-8 bytes."""
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = [c or [] for c in cut]
-        new = set(chain.from_iterable(known)).difference(self.place)
-        if new:
-            self.learn(sorted(new))
-        hard = [i for i, c in enumerate(cut) if c is None]
-        coded = dict(zip(hard, self.whole([texts[i] for i in hard]), strict=True)) if hard else {}
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(known)), dtype=np.int64)
-        lengths = self.start[at + 1] - self.start[at]
-        flat = self.flat[C.ragged(self.start[at], lengths)]
-        bounds = np.r_[0, np.cumsum([len(c) for c in known])]
-        ends = np.r_[0, np.cumsum(lengths)][bounds]
-        out, sizes = [], np.zeros(len(texts), dtype=np.int64)
-        end = np.array([END_ID], dtype=np.uint32)
-        for i in range(len(texts)):
-            ids = np.array(coded[i], dtype=np.uint32) if i in coded else flat[ends[i] : ends[i + 1]]
-            out += [ids, end]
-            sizes[i] = len(ids) + 1
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), sizes
+        start = self.cuts(data, offsets)
+        end = np.append(start[1:], len(data))
+        hashes = C.span_hash(C.prefix_hash(data), start, end)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self.learn(data, keys[new], start[first[new]], end[first[new]])
+            at = np.searchsorted(self.keys, keys)
+        at = at[inverse]
+        counts = self.count[at]
+        flat = self.flat[C.ragged(self.place[at], counts)]
+        ends = np.r_[0, np.cumsum(counts)][np.searchsorted(start, offsets)]
+        sizes = np.diff(ends)
+        spelled = np.r_[0, np.cumsum(self.bytes_of[flat])][ends]
+        hard = np.flatnonzero(np.diff(spelled) != np.diff(offsets)).tolist()
+        texts = data.tobytes()
+        for token in self.special:
+            if token in texts:
+                hard += [i for i in range(len(sizes)) if token in texts[offsets[i] : offsets[i + 1]]]
+        parts, last = [], 0
+        for i in sorted(set(hard)):
+            ids = np.array(self.whole([texts[offsets[i] : offsets[i + 1]].decode()])[0], dtype=np.uint32)
+            parts += [flat[last : ends[i]], ids]
+            last, sizes[i] = ends[i + 1], len(ids)
+        flat = np.concatenate([*parts, flat[last:]]) if parts else flat
+        return np.insert(flat, np.cumsum(sizes), END_ID), sizes + 1
+
+
+def worker_encoder(path: str) -> Encoder:
+    """One encoder per worker, so that pieces are remembered from task to task."""
+    kept = C.worker_store()
+    if path not in kept.setdefault("encoders", {}):
+        kept["encoders"][path] = Encoder(path)
+    return kept["encoders"][path]
 
 
 def _coarse(code: np.ndarray) -> np.ndarray:
@@ -161,14 +184,17 @@ def replace_pairs(seq: np.ndarray, doc: np.ndarray, next_symbol: int, min_count:
         return None
     if len(good) > most:
         good = good[np.argsort(-n[good], kind="stable")[:most]]
-    pairs = np.sort(ordered[edges[good]])
-    # a coarse test first: few positions need the search among the pairs
-    table = np.zeros(1 << 16, dtype=bool)
-    table[_coarse(pairs)] = True
-    maybe = np.flatnonzero(inside & table[_coarse(code)])
-    rule = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
-    hit = pairs[rule] == code[maybe]
-    at, rule = maybe[hit], rule[hit]
+    pairs = ordered[edges[good]]
+    # a table by sixteen bits of the pair; pairs that share a place wait for a later round
+    table = np.full(1 << 16, -1, dtype=np.int32)
+    table[_coarse(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+    rule = table[_coarse(code)]
+    at = np.flatnonzero((rule >= 0) & inside)
+    rule = rule[at]
+    hit = pairs[rule] == code[at]
+    at, rule = at[hit], rule[hit]
+    used = np.bincount(rule, minlength=len(pairs)) > 0
+    rule, pairs = (np.cumsum(used) - 1)[rule], pairs[used]
     # overlapping pairs: of positions in a row every second one, from the first
     run = np.r_[True, at[1:] != at[:-1] + 1]
     begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -237,7 +263,12 @@ class Shard:
         self.symbols = read(f"<u{width}", symbols).astype(np.int64)
         self.first = np.r_[0, np.cumsum(counts)]
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        ids = self._levels(self.terminals + np.arange(rules))
+        own = self.lengths[self.terminals :]
+        self.flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), ids])
+        self.place = np.concatenate([np.arange(self.terminals), self.terminals + np.cumsum(own) - own])
+
+    def _levels(self, symbols: np.ndarray) -> np.ndarray:
         """Replaces nonterminals by their two sides until only ids are left."""
         while len(symbols) and symbols.max() >= self.terminals:
             big = symbols >= self.terminals
@@ -249,6 +280,10 @@ class Shard:
             symbols = out
         return symbols.astype(np.uint32)
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that the symbols stand for, from the expanded rules."""
+        return self.flat[C.ragged(self.place[symbols], self.lengths[symbols])]
+
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.first[i] : self.first[i + 1]])
 
@@ -263,7 +298,7 @@ class Shard:
 
 def _write_shards(path: str, shard_tokens: int, min_count: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         terminals = encoder.library.get_vocab_size(with_added_tokens=True)
         doc_ids: list = []
         ids: list[np.ndarray] = []
@@ -291,12 +326,13 @@ def _write_shards(path: str, shard_tokens: int, min_count: int, rounds: int):
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), TEXTS):
-                flat, n = encoder.encode(texts.slice(at, TEXTS).to_pylist())
+            names = batch.column(0).to_pylist()
+            data, offsets = C.text_bytes(batch.column(1))
+            for a, b in C.slices(offsets, 2 * C.SLICE_BYTES):
+                flat, n = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids.append(flat)
                 sizes.append(n)
-                doc_ids += names[at : at + TEXTS]
+                doc_ids += names[a:b]
                 held += len(flat)
                 if held >= shard_tokens:
                     yield shard()

@@ -17,6 +17,7 @@ from ledgerlens.operators import alerts as summaries
 from ledgerlens.operators import features, graph, history, mapping, rules
 from ledgerlens.operators.models import boosting, boundary, density, ensemble, forest, reconstruction, screening
 from ledgerlens.plans.analysis import analyse, screen_upload
+from ledgerlens.plans.exchange import EXCHANGE
 from ledgerlens.schema import FEATURE_NAMES
 from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
@@ -859,6 +860,7 @@ QUERIES: dict[str, Query] = {
     "officer_concentration": officer_concentration,
     "all_alerts": _ruleset("backend"),
     "all_alerts_engine": _ruleset("engine"),
+    **EXCHANGE,
     "upload_no_id": upload_no_id,
     "all_alerts_demo": _ruleset("demo"),
     "alert_members": alert_members,

@@ -1305,6 +1305,37 @@ hits as (select branch_name as user_id, date_trunc('month', loan_date) as month,
 from sizes left join hits using (user_id, month) where user_id = 'NATION_7' order by month desc limit 10""",
 }
 
+ORACLES |= {
+    "scan_csv": _with()
+    + """select cast(loan_id as varchar) as loan_id, cast(borrower_id as varchar) as borrower_id, borrower_name, phone_number,
+  cast(loan_date as varchar) as loan_date, guarantor_name, status from loans""",
+    "scan_json": _with()
+    + """select cast(loan_id as varchar) as loan_id, cast(borrower_id as varchar) as borrower_id, borrower_name,
+  phone_number as phone, amount, loan_date, cast(officer_id as varchar) as officer_id, latitude from loans""",
+    "result_json": _with(*ENGINE_ALERTS) + "select alert_id, alert_type, severity, amount_at_risk, loan_count from alerts",
+    "report_csv": _with(*ENGINE_ALERTS)
+    + """select severity, replace(alert_type, '_', ' ') as type, title, description, amount_at_risk as amount, officer_id
+from alerts""",
+    "preview_rows": _with() + "select loan_id, borrower_id, amount from loans order by loan_id limit 10",
+    "upload_overrides": _with(*ENGINE_ALERTS)
+    + "select alert_type, count(*) as alerts, round(sum(amount_at_risk), 2) as amount_at_risk from alerts group by 1",
+    "phone_stars": _with("""
+hubs as (
+  select phone_number, min(borrower_id) as hub from loans where phone_number is not null and borrower_id is not null
+  group by 1 having count(distinct borrower_id) > 1)""")
+    + """select distinct 'B:' || hub as source, 'B:' || borrower_id as target
+from loans join hubs using (phone_number) where borrower_id is not null and borrower_id <> hub""",
+    "combined_score": _with()
+    + """select loan_id, round(0.6 * (amount / max(amount) over ()) * 100 + 0.4 * day(loan_date)::double, 6) as risk_score
+from loans""",
+    "reconstruction_given": _with(_TIMES, """
+inputs as (
+  select loan_id, (weekday >= 5)::int::double as weekend, month::double as month, (weekday >= 5)::int::double as w,
+    (amount - avg(amount) over ()) / (stddev_pop(amount) over () + 1e-8) as z from timed),
+errors as (select loan_id, (month * month + weekend * weekend + z * z) / 6 as e from inputs)""")
+    + """select loan_id, round(e, 6) as mse, round(least(e / 10.0, 1.0), 6) as anomaly_score, e > 5.0 as is_anomaly from errors""",
+}
+
 ORACLES["analysis_rule_only"] = (
     _with(*BACKEND_ALERTS)
     + "select *, total_alerts as rule_alerts, cast(0 as bigint) as ml_alerts,"

@@ -41,7 +41,6 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="ledgerlens-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
@@ -81,3 +80,21 @@ def written_table(df: DataFrame, label: str) -> DataFrame:
     path = f"{root}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """The table `name` of this application, written from `df` unless it is complete already."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tables/{spark.sparkContext.applicationId}/{name}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete every table this application wrote. Call it when no result that reads them is needed any more."""
+    sc, root = spark.sparkContext, checkpoint_root(spark)
+    for folder in (f"{root}/tables/{sc.applicationId}", f"{root}/scratch/{sc.applicationId}"):
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

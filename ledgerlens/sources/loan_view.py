@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import written_table
+from ledgerlens.session import kept_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,16 +68,23 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+INPUTS = ("orders", "lineitem", "customer", "nation", "supplier", "part", "events")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Sizes and times of the inputs' files: changes when an input does."""
+    jvm, marks = spark.sparkContext._jvm, []
+    for name in INPUTS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        marks += [f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}" for s in files.listStatus(path)]
+    return hashlib.sha256("\n".join(sorted(marks)).encode()).hexdigest()[:24]
 
 
 def loan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan book as a table, written once per session.
+    """The loan book as a table in the shared folder, written once for a state of its input files.
 
     Detectors and features pass over the book many times; each pass then scans the columns it needs instead of
-    repeating the joins.
+    repeating the joins. The name of the table tells the state, so a changed input gives a new table.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = written_table(loans(spark, sf_dir), "loans")
-    return _WRITTEN[key]
+    return kept_table(loans(spark, sf_dir), f"loans-{_state(spark, sf_dir)}")

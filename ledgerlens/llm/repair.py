@@ -382,7 +382,8 @@ def read_shards(spark, path: str) -> DataFrame:
     files = spark.read.schema(SHARDS).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("ahead"))  # a row per partition
-    placed = files.join(ahead, "part").select((F.col("ahead") + F.col("before")).alias("start"), "doc_ids", "shard")
+    # as many rows as the range partitioning had partitions: small beside the shards, which then need no shuffle
+    placed = files.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("before")).alias("start"), "doc_ids", "shard")
     return placed.mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -10,8 +10,9 @@ Collision check: the distinct entities of the whole table are one table. Two ent
 a surrogate that is itself an entity of the table, are drawn again with the next attempt, all but the first holder,
 until none is left. Only the entities that needed another attempt are joined back to their documents.
 
-Scale: the texts are scanned twice and not shuffled, unless a document holds an entity that was drawn again. The
-entities are combined before their shuffle, so an address in a third of all documents is one row per task.
+Scale: the texts are scanned twice. They are not shuffled, unless the table of texts that hold an entity that was drawn
+again outgrows Spark's broadcast threshold. Entities are combined before their shuffle, so an address in a third of all
+documents is one row per task.
 
 Edge cases: a null text stays null with no entity, an empty one empty; repeated rows get equal results; null ids are
 values; all columns other than the text are carried along under their own names inside `row`; the collision rounds
@@ -30,18 +31,20 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|г-жа|κυρ
 MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н|κύριος"
 NEUTRAL = "Dr|Prof"
 
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"
+# Every entity begins where no letter or digit stands before it; each alternative fails on its first characters elsewhere.
+NAME = rf"(?=[MFSHDPгκ])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"
 EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
+ADDRESS = rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 PHONE = (
-    r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+    r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
 )
-CARD = r"(?<![\d.])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{5})(?!\d)"
-NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?<=(?:token|secret|password|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/=-]{16,128}"
-PATTERN = "|".join([SECRET, EMAIL, CARD, PHONE, NATIONAL, ADDRESS, ACCOUNT, NAME])
+CARD = r"(?<!\.)(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{5})(?!\d)"
+NATIONAL = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
+ACCOUNT = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+NAMED = r"(?:token|secret|password|api_?key) {0,2}[=:] {0,2}[\"']?"
+SECRET = rf"(?=[tspa]){NAMED}[A-Za-z0-9_+/=-]{{16,128}}"
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join([SECRET, NAME, ACCOUNT, CARD, PHONE, NATIONAL, ADDRESS, EMAIL]) + ")"
 
 KINDS = ("email", "address", "card", "phone", "national", "account", "name", "secret")
 LATIN = ("bdfgklmnprstvz", "aeiou")
@@ -57,14 +60,14 @@ def kind_of(m: Column) -> Column:
     """The kind of an entity, from its form (the patterns exclude each other in this order)."""
     is_ = lambda p: m.rlike(f"^(?:{p})$")
     return (
-        F.when(is_(EMAIL), "email")
+        F.when(is_(SECRET), "secret")
+        .when(is_(EMAIL), "email")
         .when(is_(CARD), "card")
         .when(is_(PHONE), "phone")
         .when(is_(NATIONAL), "national")
         .when(is_(ADDRESS), "address")
         .when(is_(NAME), "name")
-        .when(is_(ACCOUNT), "account")
-        .otherwise("secret")
+        .otherwise("account")
     )
 
 
@@ -95,6 +98,7 @@ def atoms(m: Column) -> Column:
         F.when(kind.isin("card", "phone", "national"), digits)
         .when(kind == "email", F.lower(m))
         .when(kind == "account", F.regexp_replace(m, " ", ""))
+        .when(kind == "secret", F.regexp_replace(m, f"^{NAMED}", ""))
         .otherwise(m)
     )
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
@@ -217,16 +221,29 @@ def replacement(key: str, m: Column, attempts: Column) -> Column:
     return (
         F.when(kind == "name", name)
         .when(kind.isin("card", "phone", "national"), _laid_out(m, first))
+        .when(kind == "secret", F.concat(F.regexp_extract(m, f"^{NAMED}", 0), first))
         .when(kind == "email", F.when(m == F.upper(m), F.upper(first)).otherwise(first))
         .otherwise(first)
     )
 
 
-def attempts_needed(docs: DataFrame, key: str, scratch: Scratch, text: str = "text", rounds: int = 50) -> DataFrame | None:
+def _keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text: equal texts hold equal entities."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(29), text).alias("k2")]
+
+
+def mentions_of(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+    """(k1, k2, kind, norm): the distinct entities of every text that holds any."""
+    body = F.col(f"`{text}`")
+    found = docs.select(*_keys(body), F.array_distinct(found_in(body)).alias("found")).filter(F.size("found") > 0)
+    found = scratch.write(found, "found")
+    parts = found.select("k1", "k2", F.explode("found").alias("m")).select("k1", "k2", F.explode(atoms(F.col("m"))).alias("a"))
+    return scratch.write(parts.select("k1", "k2", "a.kind", "a.norm"), "mentions")
+
+
+def attempts_needed(mentions: DataFrame, key: str, scratch: Scratch, rounds: int = 50) -> DataFrame | None:
     """(kind, norm, attempt) of the entities that had to be drawn again; None if no surrogate collides."""
-    found = docs.select(F.explode(found_in(F.col(f"`{text}`"))).alias("m"))
-    parts = found.groupBy("m").agg(F.lit(1)).select(F.explode(atoms(F.col("m"))).alias("a"))
-    known = scratch.write(parts.select("a.kind", "a.norm").distinct(), "entities")
+    known = scratch.write(mentions.select("kind", "norm").distinct(), "entities")
     drawn = known.withColumn("attempt", F.lit(0))
     drawn = scratch.write(drawn.withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "drawn0")
     for i in range(1, rounds):
@@ -249,21 +266,21 @@ def attempts_needed(docs: DataFrame, key: str, scratch: Scratch, text: str = "te
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """`row` (all columns of `docs` with the text replaced), found (the entities' kinds in order)."""
     scratch = Scratch(docs.sparkSession, "surrogates")
-    redrawn = attempts_needed(docs, key, scratch, text)
+    mentions = mentions_of(docs, scratch, text)
+    redrawn = attempts_needed(mentions, key, scratch)
     none = F.create_map().cast("map<string,int>")
+    body = F.col(f"`{text}`")
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(columns, F.col(f"`{text}`").alias("text")).withColumn("found", found_in(F.col("text")))
+    rows = docs.select(columns, body.alias("text"))
     if redrawn is None:
         rows = rows.withColumn("attempts", none)
     else:
-        # documents that hold an entity drawn again get its attempt, by a row number that is written first
-        kept = scratch.write(rows.withColumn("at", F.monotonically_increasing_id()), "rows")
-        held = kept.select("at", F.explode("found").alias("m")).select("at", F.explode(atoms(F.col("m"))).alias("a"))
-        pairs = held.select("at", "a.kind", "a.norm").distinct().join(redrawn, ["kind", "norm"])
-        maps = pairs.groupBy("at").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts")
-        )
-        rows = kept.join(maps, "at", "left").withColumn("attempts", F.coalesce("attempts", none))
+        pairs = mentions.join(redrawn, ["kind", "norm"]).select("k1", "k2", F.concat_ws("|", "kind", "norm").alias("e"), "attempt")
+        maps = pairs.distinct().groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("attempts"))
+        maps = scratch.write(maps, "attempts")
+        rows = rows.select("*", *_keys(F.col("text"))).join(maps, ["k1", "k2"], "left")
+        rows = rows.withColumn("attempts", F.coalesce("attempts", none))
+    rows = rows.withColumn("found", found_in(F.col("text")))
     around = F.split("text", PATTERN, -1)
     swapped = F.transform("found", lambda m: replacement(key, m, F.col("attempts")))
     whole = F.array_join(F.zip_with(around, swapped, lambda a, s: F.concat(a, F.coalesce(s, F.lit("")))), "")

@@ -80,3 +80,75 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(
   d.doc_id <= coalesce(m, d.doc_id) as kept
 from doc_words d left join sizes s on s.doc_id = d.doc_id left join lowest on id = d.doc_id
 """
+
+ORACLES["op1_hamming_tables"] = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings),
+fine as (
+  select * from v where label is not null and len(e) = 64 and list_sum(list_transform(e, lambda x: x * x)) > 0
+    and not list_contains(list_transform(e, lambda x: x is null or not isfinite(x)), true)),
+links as (
+  select a.vec_id as a, b.vec_id as b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, other) as (select a, b from links union select r.id, l.b from reach r join links l on l.a = r.other),
+lowest as (select id, min(other) as m from reach group by id),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(m, vec_id)) as component_id,
+  vec_id <= coalesce(m, vec_id) as kept
+from v left join counts on a = vec_id left join lowest on id = vec_id
+"""
+
+ORACLES["op4_url_rules"] = r"""
+with cut as (
+  select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+parts as (
+  select page_id, url,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from cut),
+named as (select *, list_filter(string_split(host, '.'), lambda x: x <> '') as names from parts),
+tokened as (
+  select page_id, host, path, case when host = '' then []::varchar[] else list_sort(list_distinct(flatten([
+    list_transform(range(1, len(names) + 1), lambda i: 'h:' || array_to_string(names[i:], '.')),
+    list_transform(list_filter(flatten(list_transform(list_filter(names, lambda x: contains(x, '-')),
+      lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'w:' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+    list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> ''),
+      lambda x: 'q:' || string_split(x, '=')[1]),
+    case when contains(url, '#') then ['f:'] else []::varchar[] end]))) end as tokens
+  from named),
+judged as (
+  select doc_id, max(coalesce(toxic, 0) = 1 or coalesce(quality, 1) = 0) as bad from labels
+  where doc_id is not null and (toxic is not null or quality is not null) group by doc_id),
+labelled as (
+  select row_number() over () as i, tokens, bad from tokened join judged on doc_id = page_id where len(tokens) > 0),
+least_pages as (select ceil(least(1.0, greatest(0.002::double, 8.0::double / count(*))) * count(*)) as m from labelled),
+single as (select i, bad, unnest(tokens) as t from labelled),
+sets as (
+  select [t] as tokens, bad from single
+  union all select [a.t, b.t], a.bad from single a join single b on a.i = b.i and a.t < b.t
+  union all select [a.t, b.t, c.t], a.bad from single a join single b on a.i = b.i and a.t < b.t join single c on c.i = a.i and b.t < c.t),
+counted as (select tokens, count(*) as n, count(*) filter (where bad) as pages from sets group by tokens),
+sure as (
+  select tokens, pages, pages / n::double as confidence from counted, least_pages
+  where pages >= m and pages / n::double >= 0.6),
+rules as (
+  select * from sure r where not exists (
+    select 1 from sure s where len(s.tokens) < len(r.tokens) and list_has_all(r.tokens, s.tokens) and s.confidence >= r.confidence)),
+fits as (
+  select page_id, array_to_string(r.tokens, ' ') as mined, confidence,
+    row_number() over (partition by page_id order by confidence desc, array_to_string(r.tokens, ' ')) as k
+  from tokened t join rules r on list_has_all(t.tokens, r.tokens)),
+ruled as (
+  select *, case
+    when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
+  from tokened)
+select r.page_id, host, path, rule,
+  case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
+       when mined is not null then 'block' else 'allow' end as verdict, mined, confidence
+from ruled r left join fits f on f.page_id = r.page_id and f.k = 1
+"""

@@ -443,7 +443,8 @@ def override(mappings: DataFrame, overrides: Mapping[str, str], confidence: floa
 
 
 def mapping_report(mappings: DataFrame) -> DataFrame:
-    """Per source: column counts, found required and important fields, methods used and whether analysis can start."""
+    """Per source: column counts, the mappings in order of the column, how often each method was used, found required and
+    important fields, and whether analysis can start. A source has as many rows as its export has columns."""
     fields = F.collect_set("standard").alias("_fields")
     counted = mappings.groupBy("source").agg(
         F.count(F.lit(1)).alias("total_columns"),
@@ -451,6 +452,12 @@ def mapping_report(mappings: DataFrame) -> DataFrame:
         F.count_if(F.col("standard").isNull()).alias("unmapped_columns"),
         fields,
         F.array_join(F.sort_array(F.collect_list("method")), ",").alias("methods"),
+        F.sort_array(F.collect_list(F.when(F.col("standard").isNotNull(), F.concat_ws("=", "column", "standard")))).alias("_pairs"),
+        F.sort_array(F.collect_list("method")).alias("_used"),
+    )
+    used = F.transform(
+        F.array_distinct("_used"),
+        lambda m: F.concat_ws(":", m, F.size(F.filter("_used", lambda x: x == m)).cast("string")),
     )
     has = lambda f: F.array_contains("_fields", f)
     listed = lambda names: F.array_join(F.array(*[F.when(has(f), f) for f in names]), ",")
@@ -460,6 +467,8 @@ def mapping_report(mappings: DataFrame) -> DataFrame:
         "mapped_columns",
         "unmapped_columns",
         "methods",
+        F.array_join("_pairs", ",").alias("mappings"),
+        F.array_join(used, ",").alias("method_histogram"),
         listed(REQUIRED_FIELDS).alias("required_found"),
         listed(IMPORTANT_FIELDS).alias("important_found"),
         reduce(lambda a, b: a & b, [has(f) for f in REQUIRED_TO_ANALYSE]).alias("can_analyze"),

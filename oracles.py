@@ -1073,15 +1073,19 @@ from part""",
     "mapping_engine": _with(_CELLS, _profile(), _known_names(False), _HEADERS, _ENGINE_DETECT, _RESOLVE)
     + 'select source, position, "column", standard, confidence, method from resolved',
     "mapping_report": _mapped()
-    + f"""select source, total_columns, mapped_columns, unmapped_columns, methods, {_found(_REQUIRED)} as required_found,
+    + f"""select source, total_columns, mapped_columns, unmapped_columns, methods, mappings,
+  (select string_agg(method || ':' || n, ',' order by method) from (
+     select r.method, count(*) as n from resolved r where r.source = s.source and r.method is not null group by 1)) as method_histogram,
+  {_found(_REQUIRED)} as required_found,
   {_found(_IMPORTANT)} as important_found,
   list_contains(fs, 'borrower_id') and list_contains(fs, 'amount') as can_analyze
 from (
   select source, count(*) as total_columns, count(standard) as mapped_columns,
     count(*) - count(standard) as unmapped_columns,
     array_to_string(list(method order by method) filter (where method is not null), ',') as methods,
+    string_agg("column" || '=' || standard, ',' order by "column" || '=' || standard) as mappings,
     list(standard) filter (where standard is not null) as fs
-  from resolved group by source)""",
+  from resolved group by source) s""",
     "semantic_top1": """
 with x as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
 refs as (select label as name, i, avg(v) as m from x group by 1, 2),

@@ -14,7 +14,8 @@ The last depth at which a suffix still shared its block is its common prefix wit
 Repeated intervals: all windows of LENGTH bytes with the same phrases inside are one run. A run whose phrases are
 unshared cannot repeat. A run that is shared with one more phrase on each side, and the bytes that decided where those
 phrases end, repeats as a whole. Only what is left, at the ends of repeated intervals, and windows without a
-phrase begin, is compared window by window, by 64-bit hashes of all LENGTH bytes.
+phrase begin, is compared window by window, by 64-bit hashes of all LENGTH bytes: first among documents that share a
+phrase block, then across all.
 
 Edge cases: null and empty texts have no bytes, and their hash is that of no bytes; a text shorter than LENGTH is kept;
 overlapping occurrences count; repeated rows are texts of their own and empty each other; rows of one id and text
@@ -301,47 +302,100 @@ def _sure_and_witnesses(sent: DataFrame, scratch: C.Scratch) -> DataFrame:
     return scratch.write(back.join(asked, "shard", "left"), "shared")
 
 
-RUNS = "r1 long, r2 long, x0 array<long>, x1 array<long>, sure array<boolean>, asked array<boolean>"
+RUNS = "r1 long, r2 long, near long, x0 array<long>, x1 array<long>, sure array<boolean>, asked array<boolean>"
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the candidate runs; `sure` if the run repeats as a whole, `asked` if its windows are compared."""
+    """Per document the candidate runs; `sure` if the run repeats as a whole, `asked` if its windows are compared.
+
+    `near` is the smallest block of the asked runs: documents that share passages are likely to share it.
+    """
     for state, row in _states(batches):
         doc, x0, x1, a, b = _candidates(state, _all_shared(row))
-        good, block, _ = _extended(state, a, b)
+        good, block, core = _extended(state, a, b)
         sure = good & _member(block, np.sort(row["shared"].astype(np.int64).view(np.uint64)))
         asked = ~sure
         asked[row["asked"].astype(np.int64)] = True
         docs, at = np.unique(doc, return_index=True)
         cut = np.append(at, len(doc))
         offsets = pa.array(cut.astype(np.int32))
+        key = np.where(asked & (b >= a), core.view(np.int64), np.iinfo(np.int64).max)
+        near = np.minimum.reduceat(key, at) if len(at) else key
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(state.r1[docs]),
                 pa.array(state.r2[docs]),
+                pa.array(near),
                 *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (x0, x1, sure, asked)],
             ],
-            names=["r1", "r2", "x0", "x1", "sure", "asked"],
+            names=["r1", "r2", "near", "x0", "x1", "sure", "asked"],
         )
 
 
+def _ranges_of(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, last) of windows that follow each other; rows sorted by document and window."""
+    if not len(x):
+        return doc, x, x
+    start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (x[1:] != x[:-1] + 1)])
+    return doc[start], x[start], x[np.r_[start[1:] - 1, len(x) - 1]]
+
+
+WINDOWS = "h long, doc long, first int, last int"
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, r1, r2, x) of every window of the given ranges."""
+    """Windows of the asked runs, compared inside the batch first.
+
+    Those that occur twice in the batch go out as ranges, without a hash. Of every hash that occurs once, one row goes on to be
+    compared with other batches; of one that occurs more often, too, so that others find it. So a hash is sent once
+    per batch, however many documents hold it.
+    """
     for batch in batches:
+        hashes, docs, places = [], [], []
         for i in range(batch.num_rows):
-            data = np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8)
+            data = np.frombuffer(batch.column(1)[i].as_py().encode(), np.uint8)
             prefix = C.prefix_hash(data)
-            x0, x1 = (np.array(batch.column(c)[i].values) for c in (3, 4))
-            x = C.ragged(x0, x1 - x0 + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(C.span_hash(prefix, x, x + LENGTH).view(np.int64)),
-                    pa.array(np.full(len(x), batch.column(0)[i].as_py(), np.int64)),
-                    pa.array(np.full(len(x), batch.column(1)[i].as_py(), np.int64)),
-                    pa.array(x.astype(np.int32)),
-                ],
-                names=["h", "r1", "r2", "x"],
-            )
+            x0, x1 = (np.array(batch.column(c)[i].values) for c in (2, 3))
+            x = np.sort(C.ragged(x0, x1 - x0 + 1))
+            hashes.append(C.span_hash(prefix, x, x + LENGTH))
+            docs.append(np.full(len(x), batch.column(0)[i].as_py(), np.int64))
+            places.append(x)
+        if not hashes:
+            continue
+        h, doc, x = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        ordered = h[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(h) else np.zeros(0, bool)
+        alone = new & np.r_[new[1:], True] if len(h) else new
+        twice = np.ones(len(h), dtype=bool)
+        twice[order[alone]] = False
+        d, first, last = _ranges_of(doc[twice], x[twice])
+        rep = order[new]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array(h[rep].view(np.int64))]),
+                pa.array(np.concatenate([d, doc[rep]])),
+                pa.array(np.concatenate([first, x[rep]]).astype(np.int32)),
+                pa.array(np.concatenate([last, x[rep]]).astype(np.int32)),
+            ],
+            names=["h", "doc", "first", "last"],
+        )
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows whose hash stands in two rows; equal hashes follow each other."""
+    for table in C.whole_groups(batches, "h", 1 << 17):
+        h = np.array(table.column("h"))
+        if not len(h):
+            continue
+        same = h[1:] == h[:-1]
+        hit = np.r_[same, False] | np.r_[False, same]
+        doc, x = np.array(table.column("doc"))[hit], np.array(table.column("first"))[hit]
+        order = np.lexsort((x, doc))
+        d, first, last = _ranges_of(doc[order], x[order].astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(d), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "first", "last"]
+        )
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -356,7 +410,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """(r1, r2, ranges): sorted disjoint byte ranges [start, end) that repeated windows cover; `docs` as from `_keyed`."""
+    """(r1, r2, x0, x1): ranges of repeated windows x0..x1 by their first bytes, in any order; `docs` as from `_keyed`."""
     parts = F.spark_partition_id().cast("long").alias("part")
     shards = scratch.write(docs.select("r1", "r2", "text", parts).mapInArrow(_parse, SHARD), "shards")
     state, names = shards, []
@@ -373,24 +427,27 @@ def repeated_ranges(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     back = _sure_and_witnesses(sent, scratch)
     found = state.join(back, "shard", "left").mapInArrow(_run_rows, RUNS)
     # rows of one id and text have the same runs
-    runs = scratch.write(found.groupBy("r1", "r2").agg(*[F.first(c).alias(c) for c in ("x0", "x1", "sure", "asked")]), "runs")
+    one = found.groupBy("r1", "r2").agg(*[F.first(c).alias(c) for c in ("near", "x0", "x1", "sure", "asked")])
+    runs = scratch.write(one.withColumn("doc", F.monotonically_increasing_id()), "runs")
     scratch.drop("sent", "held", "shards", "shared", "shared1", "shared2", "shared4")
     zipped = F.arrays_zip("x0", "x1", "sure", "asked")
-    unsure = runs.select("r1", "r2", F.filter(zipped, lambda r: r["asked"]).alias("u")).filter(F.size("u") > 0)
-    asked = docs.select("r1", "r2", "text").join(
-        unsure.select("r1", "r2", F.col("u.x0").alias("x0"), F.col("u.x1").alias("x1")), ["r1", "r2"]
-    )
-    windows = scratch.write(asked.select("r1", "r2", "text", "x0", "x1").mapInArrow(_windows, "h long, r1 long, r2 long, x int"), "windows")
-    twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    hits = windows.join(scratch.write(twice, "twice"), "h")
-    # windows that follow each other go as one range
-    single = hits.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("x")).alias("x")).select(
-        "r1", "r2", F.col("x").cast("array<bigint>").alias("x0"), F.col("x").cast("array<bigint>").alias("x1")
+    open_runs = runs.select("r1", "r2", "doc", "near", F.filter(zipped, lambda r: r["asked"]).alias("u")).filter(F.size("u") > 0)
+    texts = docs.select("r1", "r2", "text").join(open_runs, ["r1", "r2"])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # documents that share passages meet in one batch, where most of their windows are settled
+    dealt = texts.select("doc", "text", "u.x0", "u.x1", "near").repartition(n, "near").sortWithinPartitions("near")
+    windows = scratch.write(dealt.select("doc", "text", "x0", "x1").mapInArrow(_windows, WINDOWS), "windows")
+    scratch.drop()
+    sent = windows.filter("h is not null").select("h", "doc", "first").repartition(n, "h").sortWithinPartitions("h")
+    met = scratch.write(sent.mapInArrow(_meet, "doc long, first int, last int"), "met")
+    hits = met.unionByName(windows.filter("h is null").select("doc", "first", "last"))
+    sure = runs.select("doc", F.explode(F.filter(zipped, lambda r: r["sure"])).alias("s")).select(
+        "doc", F.col("s.x0").cast("int").alias("first"), F.col("s.x1").cast("int").alias("last")
     )
-    sure = runs.select("r1", "r2", F.filter(zipped, lambda r: r["sure"]).alias("s")).filter(F.size("s") > 0)
-    both = sure.select("r1", "r2", F.col("s.x0").alias("x0"), F.col("s.x1").alias("x1")).unionByName(single)
-    whole = both.groupBy("r1", "r2").agg(F.flatten(F.collect_list("x0")).alias("x0"), F.flatten(F.collect_list("x1")).alias("x1"))
-    return scratch.write(whole, "ranges")
+    whole = hits.unionByName(sure).groupBy("doc").agg(F.collect_list("first").alias("x0"), F.collect_list("last").alias("x1"))
+    ranges = scratch.write(whole.join(runs.select("doc", "r1", "r2"), "doc").select("r1", "r2", "x0", "x1"), "ranges")
+    scratch.drop("windows", "met", "runs")
+    return ranges
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +458,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(batch.column(1)[i].as_py().encode(), np.uint8)
             gone = np.zeros(len(data) + 1, dtype=np.int64)
             if batch.column(2)[i].is_valid:
-                x0, x1 = (np.array(batch.column(c)[i].values) for c in (2, 3))
+                x0, x1 = (np.array(batch.column(c)[i].values, dtype=np.int64) for c in (2, 3))
                 np.add.at(gone, x0, 1)
                 np.add.at(gone, x1 + LENGTH, -1)
             hit = np.cumsum(gone)[:-1] > 0

@@ -10,11 +10,12 @@ Steps, each written to the shared folder:
 1. signatures (one pass over the texts); documents with equal shingle sets collapse to their smallest id;
 2. every tree is range-partitioned by (tree, values, id) and sorted, so a large group is spread over partitions;
    neighbours with a long enough common prefix are candidates (also across the partition border);
-3. every document confirms its likeliest candidates first, components are formed, and only candidates between
-   different components are confirmed then;
-4. regions that still hold two components compare all their members across components. A region is a prefix of
-   LEAST values; where more than REGION documents share it the next depth is taken, and at full depth every size
-   is handled. So the neighbour lists are no cap: what they left out is compared here.
+3. every document confirms its likeliest candidate, and components are formed;
+4. regions that still hold two components compare the signatures of all their members across components. A region
+   is a prefix of LEAST values; where more than REGION documents share it the next depth is taken, and at full depth
+   every size is handled, in blocks. So the neighbour lists are no cap: what they left out is compared here;
+5. what the likely pairs between components, of step 2 and of step 4, connect is a cluster; step 4 hands on a spanning forest
+   of them, never all. The texts of a cluster meet in blocks, where sketches rule pairs out and full sets confirm.
 
 A pair is dropped without its texts being read only if fewer than FLOOR of the min-hashes agree, four standard
 deviations below the threshold. A pair of similarity 0.85 shares a prefix of 4 in one tree with probability 0.52 and
@@ -41,7 +42,11 @@ from ledgerlens.operators.graph import connected_components
 TREES = 16
 DEPTH = 8
 LEAST = 4
-REGION = 64
+#: Members of a region that are compared with each other; a denser one is taken at the next depth.
+REGION = 512
+#: Shingles of one block when a cluster's texts are compared.
+BLOCK = 400_000
+SKETCH_BITS = 12
 SHINGLE = 5
 #: The contract's threshold: 100 * intersection >= 85 * union.
 PERCENT = 85
@@ -178,13 +183,6 @@ def neighbour_pairs(trees: DataFrame, scratch: C.Scratch) -> DataFrame:
     return found.filter("a is not null").select("a", "b").unionByName(border).filter("a < b").distinct()
 
 
-def _agreements(a: Column, b: Column) -> Column:
-    """How many of the 16-bit values agree, in DataFrame operations."""
-    span = F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1))
-    same = F.filter(span, lambda i: F.substr(a, i * 2 + 1, F.lit(2)) == F.substr(b, i * 2 + 1, F.lit(2)))
-    return F.size(same)
-
-
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose sizes and signatures allow the similarity; adds the share of agreeing min-hashes."""
     width = TREES * DEPTH
@@ -244,16 +242,20 @@ def _components(edges: DataFrame) -> DataFrame:
     return connected_components(edges.select(F.col("a").alias("source"), F.col("b").alias("target")))
 
 
-def _open_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
+def _with_components(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components so far, with these components."""
     for end in ("a", "b"):
-        side = members.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        pairs = pairs.join(side, end, "left")
-    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+        side = members.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
+        pairs = pairs.join(side, end, "left").withColumn(f"c{end}", F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    return pairs.filter("ca != cb")
+
 
+def region_rows(trees: DataFrame, members: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(group, id, component, side): the members of every region that holds two components.
 
-def region_pairs(trees: DataFrame, members: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """Distinct pairs (a < b) of different components that share a region of a tree."""
+    A region of up to REGION members is one group. At full depth larger ones are cut into blocks, and every pair of
+    blocks is a group, where only members of different blocks meet (`side`).
+    """
     named = trees.join(members, "id", "left").select(
         "tree", "key", "id", F.coalesce("component", "id").alias("component")
     )
@@ -263,23 +265,120 @@ def region_pairs(trees: DataFrame, members: DataFrame, scratch: C.Scratch) -> Da
         sizes = named.groupBy("tree", region.alias("region")).agg(
             F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")
         )
-        sizes = scratch.write(sizes.filter("c0 < c1"), f"regions{depth}")
+        sizes = scratch.write(sizes.filter("c0 < c1").select("tree", "region", "n"), f"regions{depth}")
         dense = (F.col("n") > REGION) & F.lit(depth < DEPTH)
         keyed = named.withColumn("region", region)
-        small = keyed.join(sizes.filter(~dense).select("tree", "region"), ["tree", "region"], "left_semi")
-        other = small.select("tree", "region", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pieces.append(
-            small.select("tree", "region", F.col("id").alias("a"), F.col("component").alias("ca"))
-            .join(other, ["tree", "region"])
-            .filter("a < b and ca != cb")
-            .select("a", "b")
+        parts = F.ceil(F.col("n") / REGION).cast("int")
+        own = F.pmod(F.xxhash64("id"), parts).cast("int")
+        blocks = keyed.join(sizes.filter(~dense), ["tree", "region"]).select(
+            "tree", "region", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
         )
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        side = F.when(low == high, -1).otherwise(F.col("own"))
+        pieces.append(blocks.select(F.xxhash64("tree", "region", low, high).alias("group"), "id", "component", side.alias("side")))
         if depth < DEPTH:
             named = keyed.join(sizes.filter(dense).select("tree", "region"), ["tree", "region"], "left_semi").drop("region")
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out.distinct()
+    return pieces[0].unionByName(pieces[1]).unionByName(pieces[2])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the likely pairs between components inside each group."""
+    width = TREES * DEPTH
+    for table in C.whole_groups(batches, "group", 4096):
+        group, ids, comp, side, n = (np.array(table.column(c)) for c in ("group", "id", "component", "side", "n"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u2").reshape(-1, width).astype(np.uint16)
+        forest = C.Forest()
+        for i, j in C.pairs_within(C.group_sizes(group), 1 << 15):
+            ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = (sig[i] == sig[j]).mean(axis=1) >= FLOOR
+            for x, y in zip(ids[i[ok]].tolist(), ids[j[ok]].tolist(), strict=True):
+                forest.join(x, y)
+        yield _edge_batch(forest.links)
+
+
+def _edge_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def region_edges(trees: DataFrame, members: DataFrame, reps: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Edges (a, b) that connect all likely pairs of different components which share a region of a tree."""
+    rows = region_rows(trees, members, scratch).join(reps, "id")
+    parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("group", "id", "component", "side", "n", "sig").repartition(parts, "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(_compare, "a long, b long").distinct()
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of shingles hash to: two sketches never differ in more bits than the sets differ in shingles."""
+    bins = np.bincount((C.mix(shingles) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    return np.packbits(bins.astype(np.uint8)).view(np.uint64)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join the components of a group of texts wherever two of its documents reach the threshold.
+
+    The sketches rule out, without error, nearly all pairs below the threshold; the rest is compared on the full sets
+    unless other links have joined the two by then.
+    """
+    for table in C.whole_groups(batches, "group", 1):
+        links: list[tuple[int, int]] = []
+        at = 0
+        for size in C.group_sizes(np.array(table.column("group"))):
+            part = table.slice(at, size).combine_chunks()
+            at += size
+            ids, comp, side = (np.array(part.column(c)) for c in ("id", "component", "side"))
+            data, offsets = C.text_bytes(part.column("text"))
+            sets: list[np.ndarray] = []
+            for x, y in C.slices(offsets):
+                sets += C.shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], SHINGLE)
+            n = np.array([len(s) for s in sets])
+            sketch = np.stack([odd_sketch(s) for s in sets])
+            forest, root = C.Forest(), comp.copy()
+            for i, j in C.pairs_within(np.array([size]), 1 << 14):
+                # differing shingles d = |x| + |y| - 2 shared; the threshold allows (100 - PERCENT) / (100 + PERCENT) of the sum
+                ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] < 0))
+                i, j = i[ok], j[ok]
+                differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+                ok = (100 + PERCENT) * np.maximum(differ, np.abs(n[i] - n[j])) <= (100 - PERCENT) * (n[i] + n[j])
+                i, j, differ = i[ok], j[ok], differ[ok]
+                before = len(forest.links)
+                for k in np.argsort(differ, kind="stable").tolist():
+                    x, y = int(i[k]), int(j[k])
+                    if forest.root(int(comp[x])) == forest.root(int(comp[y])):
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * shared >= PERCENT * (n[x] + n[y] - shared):
+                        forest.join(int(comp[x]), int(comp[y]))
+                        links.append((int(ids[x]), int(ids[y])))
+                if len(forest.links) > before:
+                    root = np.array([forest.root(int(c)) for c in comp])
+        yield _edge_batch(links)
+
+
+def settled_links(edges: DataFrame, members: DataFrame, reps: DataFrame, texts: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Links (a, b) that join all components which hold documents that reach the threshold and that edges connect.
+
+    What edges connect is a cluster. Its documents are dealt to blocks of about BLOCK shingles, and every pair of blocks is
+    one group, where all pairs are compared; so a text is sent once per block of its cluster, never once per pair.
+    """
+    clusters = _components(edges)
+    placed = clusters.join(reps.select("id", "n"), "id").join(members.withColumnRenamed("component", "c"), "id", "left")
+    placed = scratch.write(placed.select("id", F.coalesce("c", "id").alias("component"), F.col("component").alias("cluster"), "n"), "placed")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = placed.join(sizes, "cluster").select(
+        "id", "component", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    )
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select(
+        "id", "component", F.xxhash64("cluster", low, high).alias("group"), F.when(low == high, -1).otherwise(F.col("own")).alias("side")
+    )
+    wanted = texts.join(placed.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rows = dealt.join(wanted, "id").select("group", "id", "component", "side", "text")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -295,9 +394,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     trees = tree_rows(reps)
     likely = scratch.write(likely_pairs(neighbour_pairs(trees, scratch), reps), "likely")
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # texts of documents that stand in a likely pair, one row per id
-    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    texts = named.join(wanted, "id", "left_semi")
+    named = named.filter("id is not null")
 
     both = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "share").unionByName(
         likely.select(F.col("b").alias("x"), F.col("a").alias("y"), "share")
@@ -306,19 +403,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     best = both.groupBy("x").agg(F.max(F.struct("share", (-F.col("y")).alias("y"))).alias("m"))
     first = best.select(F.least("x", -F.col("m.y")).alias("a"), F.greatest("x", -F.col("m.y")).alias("b")).distinct()
     first = scratch.write(first, "first")
-    links = scratch.write(confirmed_pairs(first, texts), "links0")
-    members = scratch.write(_components(links), "members0")
-
-    rest = _open_pairs(likely.select("a", "b").join(first, ["a", "b"], "left_anti"), members)
-    links1 = scratch.write(confirmed_pairs(rest, texts), "links1")
-    members = scratch.write(_components(links.unionByName(links1)), "members1")
-
-    known = likely.select("a", "b")
-    far = scratch.write(region_pairs(trees, members, scratch).join(known, ["a", "b"], "left_anti"), "far")
-    late = scratch.write(likely_pairs(far, reps), "late")
-    links2 = scratch.write(confirmed_pairs(late, named), "links2")
-    members = scratch.write(_components(links.unionByName(links1).unionByName(links2)), "members2")
-    scratch.drop("neighbours", "likely", "first", "far", "late", "members0", "members1", "links0", "links1", "links2", "reps")
+    wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
+    links = scratch.write(confirmed_pairs(first, named.join(wanted, "id", "left_semi")), "links")
+    members = scratch.write(_components(links), "members")
+
+    far = region_edges(trees, members, reps, scratch)
+    near = _with_components(likely, members).select("a", "b").join(first, ["a", "b"], "left_anti")
+    edges = scratch.write(far.unionByName(near).distinct(), "edges")
+    late = scratch.write(settled_links(edges, members, reps, named, scratch), "late")
+    members = scratch.write(_components(links.unionByName(late)), "joined")
+    scratch.drop("neighbours", "likely", "first", "links", "members", "edges", "placed", "late", "reps")
 
     classed = signed.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     joined = classed.join(members, "id", "left")

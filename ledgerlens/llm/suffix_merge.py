@@ -40,6 +40,8 @@ GRAM = 8
 RADIUS = 40
 #: Bytes of text in a shard.
 SHARD_BYTES = 4 << 20
+#: Documents of one block whose windows are compared together, at most on average.
+TOGETHER = 1024
 
 
 def phrase_starts(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -432,10 +434,13 @@ def repeated_ranges(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     scratch.drop("sent", "held", "shards", "shared", "shared1", "shared2", "shared4")
     zipped = F.arrays_zip("x0", "x1", "sure", "asked")
     open_runs = runs.select("r1", "r2", "doc", "near", F.filter(zipped, lambda r: r["asked"]).alias("u")).filter(F.size("u") > 0)
+    # a block that very many documents share is dealt out in parts
+    parts = open_runs.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    open_runs = open_runs.join(parts, "near").withColumn("deal", F.xxhash64("near", F.pmod(F.col("doc"), F.col("parts"))))
     texts = docs.select("r1", "r2", "text").join(open_runs, ["r1", "r2"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # documents that share passages meet in one batch, where most of their windows are settled
-    dealt = texts.select("doc", "text", "u.x0", "u.x1", "near").repartition(n, "near").sortWithinPartitions("near")
+    dealt = texts.select("doc", "text", "u.x0", "u.x1", "deal").repartition(n, "deal").sortWithinPartitions("deal")
     windows = scratch.write(dealt.select("doc", "text", "x0", "x1").mapInArrow(_windows, WINDOWS), "windows")
     scratch.drop()
     sent = windows.filter("h is not null").select("h", "doc", "first").repartition(n, "h").sortWithinPartitions("h")

@@ -47,7 +47,7 @@ MIN_COUNT = 24
 ROUND_RULES = 4096
 ROUNDS = 6
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 2_000_000
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -79,10 +79,23 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)  # sorted hashes of the known pieces
+        self.row = np.zeros(0, dtype=np.int32)  # their rows in what follows
         self.place = np.zeros(0, dtype=np.int64)  # where a piece's ids begin, and how many they are
         self.count = np.zeros(0, dtype=np.int64)
+        self.seen = np.zeros(0, dtype=np.int32)  # slices of text that held the piece
         self.flat = np.zeros(0, dtype=np.uint32)
 
+    def trim(self) -> None:
+        """Keeps the pieces that were met again, the better half at most; what is dropped is encoded anew if it returns."""
+        half = REMEMBERED // 2
+        least = max(2, int(np.partition(self.seen, -half)[-half]) + 1)
+        keep = self.seen[self.row] >= least
+        rows = self.row[keep]
+        self.keys, self.row = self.keys[keep], np.arange(len(rows), dtype=np.int32)
+        self.flat = self.flat[C.ragged(self.place[rows], self.count[rows])]
+        self.count, self.seen = self.count[rows], self.seen[rows] // 2
+        self.place = np.cumsum(self.count) - self.count
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
@@ -99,12 +112,13 @@ class Encoder:
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((end - start)[:n])) + 1
         counts = np.r_[np.diff(np.r_[0, ends]), np.array([len(c) for c in coded], dtype=np.int64)].astype(np.int64)
         ids = np.concatenate([ids, np.fromiter(chain.from_iterable(coded), dtype=np.uint32)])
-        place = len(self.flat) + np.cumsum(counts) - counts
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, at, keys[order])
-        self.place = np.insert(self.place, at, place[order])
-        self.count = np.insert(self.count, at, counts[order])
+        self.row = np.insert(self.row, at, (len(self.place) + order).astype(np.int32))
+        self.place = np.concatenate([self.place, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.seen = np.concatenate([self.seen, np.zeros(len(counts), np.int32)])
         self.flat = np.concatenate([self.flat, ids])
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -124,7 +138,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id, ids by text) of texts as UTF-8 bytes."""
         if len(self.keys) > REMEMBERED:
-            self.forget()
+            self.trim()
         start = self.cuts(data, offsets)
         end = np.append(start[1:], len(data))
         hashes = C.span_hash(C.prefix_hash(data), start, end)
@@ -134,9 +148,11 @@ class Encoder:
         if new.any():
             self.learn(data, keys[new], start[first[new]], end[first[new]])
             at = np.searchsorted(self.keys, keys)
-        at = at[inverse]
-        counts = self.count[at]
-        flat = self.flat[C.ragged(self.place[at], counts)]
+        rows = self.row[at]
+        self.seen[rows] += 1
+        rows = rows[inverse]
+        counts = self.count[rows]
+        flat = self.flat[C.ragged(self.place[rows], counts)]
         ends = np.r_[0, np.cumsum(counts)][np.searchsorted(start, offsets)]
         sizes = np.diff(ends)
         spelled = np.r_[0, np.cumsum(self.bytes_of[flat])][ends]
@@ -338,6 +354,7 @@ def _write_shards(path: str, shard_tokens: int, min_count: int, rounds: int):
                     yield shard()
         if doc_ids:
             yield shard()
+        C.give_back()
 
     return run
 

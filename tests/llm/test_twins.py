@@ -21,3 +21,19 @@ def test_mined_url_rules_equal_sql(spark):
     want = con.execute(ORACLES["op4_url_rules"]).df()[list(got.columns)]
     plain = lambda f: sorted(map(tuple, f.astype(object).where(f.notna(), None).values.tolist()))
     assert plain(got) == plain(want) and got["mined"].notna().sum() > 60
+
+
+def test_encoder_stays_right_while_it_forgets(monkeypatch, prose):
+    import pyarrow as pa
+
+    from ledgerlens.llm import common as C
+    from ledgerlens.llm import repair
+
+    monkeypatch.setattr(repair, "REMEMBERED", 60)
+    encoder = repair.Encoder(repair.default_tokenizer())
+    for k in range(12):
+        texts = [prose(k % 3, 70), prose(100 + k, 40), "a b a b", "", None, "x <|endoftext|> y"]
+        ids, sizes = encoder.encode(*C.text_bytes(pa.array(texts, pa.string())))
+        want = [[*e.ids, 0] for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(encoder.keys) < 400

@@ -121,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams = packed(_padded(syms), ORDER)
                 pending.setdefault(lang, []).append(grams)
                 size[lang] = size.get(lang, 0) + len(grams)
-                if size[lang] > 1 << 21:
+                if size[lang] > 1 << 19:
                     settle(lang)
                     size[lang] = 0
     for lang in sorted(set(sums) | set(pending)):
@@ -137,6 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["lang", "gram", "n"],
             )
+    C.give_back()
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
@@ -393,6 +394,7 @@ def _predict(models: Models, text_at: int):
                 [*[batch.column(i) for i in keep], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*[batch.schema.names[i] for i in keep], "lang_pred", "score", "rejected"],
             )
+        C.give_back()
 
     return run
 

@@ -88,7 +88,7 @@ def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = C.text_bytes(batch.column(1))
-        for a, b in C.slices(offsets, C.SLICE_BYTES // 4):
+        for a, b in C.slices(offsets, C.SLICE_BYTES // 2):
             sets = C.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE)
             signed = signatures_of(sets)
             keys = np.zeros((2, b - a), dtype=np.int64)
@@ -106,6 +106,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "n", "k1", "k2", "sig"],
             )
+    C.give_back()
 
 
 SIGNED = "doc_id long, n long, k1 long, k2 long, sig binary"

@@ -167,6 +167,7 @@ def _scan(bench: Benchmark, window: int, k: int, text_at: int):
             keep = [batch.column(j) for j in range(batch.num_columns) if j != text_at]
             names = [batch.schema.names[j] for j in range(batch.num_columns) if j != text_at]
             yield pa.RecordBatch.from_arrays([*keep, *cols], names=[*names, *HITS.names])
+        C.give_back()
 
     return run
 

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch
 
-# Titles before a name, by the gender they tell.
+# Titles before a name, by the gender they tell. They, and the names of secrets, are read in any letter case.
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|г-жа|κυρία"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н|κύριος"
 NEUTRAL = "Dr|Prof"
 
 # Every entity begins where no letter or digit stands before it; each alternative fails on its first characters elsewhere.
-NAME = rf"(?=[MFSHDPгκ])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"
+NAME = rf"(?iu:(?=[MFSHDPгκ])(?:{FEMALE}|{MALE}|{NEUTRAL}))\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"
 EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 ADDRESS = rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
@@ -42,8 +42,8 @@ PHONE = (
 CARD = r"(?<!\.)(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{5})(?!\d)"
 NATIONAL = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
 ACCOUNT = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NAMED = r"(?:token|secret|password|api_?key) {0,2}[=:] {0,2}[\"']?"
-SECRET = rf"(?=[tspa]){NAMED}[A-Za-z0-9_+/=-]{{16,128}}"
+NAMED = r"(?i:token|secret|password|api_?key) {0,2}[=:] {0,2}[\"']?"
+SECRET = rf"(?=[tspaTSPA]){NAMED}[A-Za-z0-9_+/=-]{{16,128}}"
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join([SECRET, NAME, ACCOUNT, CARD, PHONE, NATIONAL, ADDRESS, EMAIL]) + ")"
 
 KINDS = ("email", "address", "card", "phone", "national", "account", "name", "secret")
@@ -73,7 +73,7 @@ def kind_of(m: Column) -> Column:
 
 def _gender(title: Column) -> Column:
     bare = F.regexp_replace(title, r"\.", "")
-    return F.when(bare.rlike(f"^(?:{FEMALE})$"), "f").when(bare.rlike(f"^(?:{MALE})$"), "m").otherwise("n")
+    return F.when(bare.rlike(f"(?iu)^(?:{FEMALE})$"), "f").when(bare.rlike(f"(?iu)^(?:{MALE})$"), "m").otherwise("n")
 
 
 def _script(word: Column) -> Column:
@@ -119,7 +119,7 @@ def _like(norm: Column, h: Column, keep: Column) -> Column:
     """`norm` with digits for digits and letters for letters; the first `keep` characters stay."""
     chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm), F.lit(1))), lambda i: F.substr(norm, i, F.lit(1)))
 
-    hexadecimal = norm.rlike("^[0-9a-f]{16,}$")
+    hexadecimal, upper_hexadecimal = norm.rlike("^[0-9a-f]{16,}$"), norm.rlike("^[0-9A-F]{16,}$")
 
     def draw(c: Column, i: Column) -> Column:
         n = _byte(h, i % 64)
@@ -127,6 +127,7 @@ def _like(norm: Column, h: Column, keep: Column) -> Column:
         return (
             F.when(i < keep, c)
             .when(c.rlike("[0-9]"), pick("0123456789"))
+            .when(c.rlike("[A-F]") & upper_hexadecimal, pick("ABCDEF"))
             .when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .when(c.rlike("[a-f]") & hexadecimal, pick("abcdef"))
             .when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz"))

@@ -261,6 +261,25 @@ def test_surrogates(make_docs, edge_rows, prose):
     assert surrogates.surrogate_report(make_docs([])).count() == 0
 
 
+def test_surrogates_in_any_letter_case(make_docs):
+    """Upper-cased and capitalised texts lose their secrets and names, too."""
+    low, high = "2321bac4d15ec8f90433955bf9d3cf61", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    rows = [
+        (1, f'TOKEN = "{high}" AND API_KEY={high}'), (2, f"Password: {low} Secret={low}"), (3, "MR SMITH. MRS. ANNA SMITH, ГОСПОЖА ИВАНОВА"),
+        (4, "mr Smith, Mrs Anna Smith"),
+    ]
+    by = {r["doc_id"]: r for r in surrogates.surrogate_report(make_docs(rows), "key").collect()}
+    assert [by[i]["n_secret"] for i in range(1, 5)] == [2, 2, 0, 0] and [by[i]["n_name"] for i in (3, 4)] == [3, 2]
+    for original in (low, high, "SMITH", "Smith", "ANNA", "Anna", "ИВАНОВА"):
+        assert not any(original in by[i]["text"] for i in range(1, 5))
+    made = re.fullmatch('TOKEN = "([0-9A-F]{40})" AND API_KEY=([0-9A-F]{40})', by[1]["text"])
+    assert made and made[1] == made[2]
+    upper = re.fullmatch(r"MR (\w+)\. MRS\. (\w+) (\w+), ГОСПОЖА (\w+)", by[3]["text"])
+    lower = re.fullmatch(r"mr (\w+), Mrs (\w+) (\w+)", by[4]["text"])
+    assert upper[1] == upper[3] == lower[1].upper() == lower[3].upper() and upper[2] == lower[2].upper() and upper[2].endswith("NA")
+    assert re.fullmatch("[А-ЯЁ]+", upper[4])
+
+
 def test_clean_text_stays(make_docs):
     rows = [(1, "version 1.2.3 of 2024-11-14, 12345 items at 3.5 @ home"), (2, "Mr and Mrs are titles"), (3, "1.2.3.4.5 256.1.1.1")]
     assert all(r["n_entities"] == 0 for r in surrogates.surrogate_report(make_docs(rows)).collect())

@@ -411,6 +411,17 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     )
 
 
+def _one_per_row(found: DataFrame) -> DataFrame:
+    """Rows of one id and text have the same runs, but a witness is marked in the copy of its shard alone: a run is asked if any copy is.
+
+    Only distinct marks are gathered, so the copies of a row, however many, are a few arrays.
+    """
+    same = [F.first(c).alias(c) for c in ("x0", "x1", "sure")]
+    one = found.groupBy("r1", "r2").agg(F.min("near").alias("near"), *same, F.collect_set("asked").alias("marks"))
+    asked = F.transform(F.col("sure"), lambda _, i: F.exists("marks", lambda m: F.get(m, i)))
+    return one.withColumn("asked", asked).drop("marks")
+
+
 def repeated_ranges(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(r1, r2, x0, x1): ranges of repeated windows x0..x1 by their first bytes, in any order; `docs` as from `_keyed`."""
     parts = F.spark_partition_id().cast("long").alias("part")
@@ -428,8 +439,7 @@ def repeated_ranges(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     sent = scratch.write(state.mapInArrow(_send_extended, EXTENDED), "sent")
     back = _sure_and_witnesses(sent, scratch)
     found = state.join(back, "shard", "left").mapInArrow(_run_rows, RUNS)
-    # rows of one id and text have the same runs
-    one = found.groupBy("r1", "r2").agg(*[F.first(c).alias(c) for c in ("near", "x0", "x1", "sure", "asked")])
+    one = _one_per_row(found)
     runs = scratch.write(one.withColumn("doc", F.monotonically_increasing_id()), "runs")
     scratch.drop("sent", "held", "shards", "shared", "shared1", "shared2", "shared4")
     zipped = F.arrays_zip("x0", "x1", "sure", "asked")

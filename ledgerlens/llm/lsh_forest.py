@@ -12,14 +12,15 @@ Steps, each written to the shared folder:
    neighbours with a long enough common prefix are candidates (also across the partition border);
 3. every document confirms its likeliest candidate, and components are formed;
 4. regions that still hold two components compare the signatures of all their members across components. A region
-   is a prefix of LEAST values; where more than REGION documents share it the next depth is taken, and at full depth
-   every size is handled, in blocks. So the neighbour lists are no cap: what they left out is compared here;
+   is a prefix of LEAST values, of any size: where more than REGION documents share it they meet in blocks. So the neighbour
+   lists are no cap: what they left out is compared here;
 5. what the likely pairs between components, of step 2 and of step 4, connect is a cluster; step 4 hands on a spanning forest
    of them, never all. The texts of a cluster meet in blocks, where sketches rule pairs out and full sets confirm.
 
 A pair is dropped without its texts being read only if fewer than FLOOR of the min-hashes agree, four standard
 deviations below the threshold. A pair of similarity 0.85 shares a prefix of 4 in one tree with probability 0.52 and
-in none of 16 trees with 8e-6.
+in none of 16 trees with 8e-6, however many other documents share the prefix. A dense region costs the square of its
+members, those of its largest component among themselves excepted.
 
 Edge cases: null, empty or blank texts have no shingles and stay alone; fewer than 5 words are one shingle; equal
 rows fall together; documents with a null id are left out; rows with one id are one document, their sets joined by
@@ -42,7 +43,7 @@ from ledgerlens.operators.graph import connected_components
 TREES = 16
 DEPTH = 8
 LEAST = 4
-#: Members of a region that are compared with each other; a denser one is taken at the next depth.
+#: Members of a region that are compared as one group; a denser one is cut into blocks.
 REGION = 512
 #: Shingles of one block when a cluster's texts are compared.
 BLOCK = 400_000
@@ -254,32 +255,38 @@ def _with_components(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def region_rows(trees: DataFrame, members: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(group, id, component, side): the members of every region that holds two components.
 
-    A region of up to REGION members is one group. At full depth larger ones are cut into blocks, and every pair of
-    blocks is a group, where only members of different blocks meet (`side`).
+    A region of up to REGION members is one group. A larger one is cut into blocks, and every pair of blocks is a group,
+    where only members of different blocks meet (`side`). Members of its largest component have blocks of
+    their own, which do not meet each other.
     """
     named = trees.join(members, "id", "left").select(
-        "tree", "key", "id", F.coalesce("component", "id").alias("component")
+        "tree", F.substring("key", 1, LEAST * 2).alias("region"), "id", F.coalesce("component", "id").alias("component")
     )
-    pieces = []
-    for depth in (LEAST, (LEAST + DEPTH) // 2, DEPTH):
-        region = F.substring("key", 1, depth * 2)
-        sizes = named.groupBy("tree", region.alias("region")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")
-        )
-        sizes = scratch.write(sizes.filter("c0 < c1").select("tree", "region", "n"), f"regions{depth}")
-        dense = (F.col("n") > REGION) & F.lit(depth < DEPTH)
-        keyed = named.withColumn("region", region)
-        parts = F.ceil(F.col("n") / REGION).cast("int")
-        own = F.pmod(F.xxhash64("id"), parts).cast("int")
-        blocks = keyed.join(sizes.filter(~dense), ["tree", "region"]).select(
-            "tree", "region", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-        )
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        side = F.when(low == high, -1).otherwise(F.col("own"))
-        pieces.append(blocks.select(F.xxhash64("tree", "region", low, high).alias("group"), "id", "component", side.alias("side")))
-        if depth < DEPTH:
-            named = keyed.join(sizes.filter(dense).select("tree", "region"), ["tree", "region"], "left_semi").drop("region")
-    return pieces[0].unionByName(pieces[1]).unionByName(pieces[2])
+    place = ["tree", "region"]
+    sizes = named.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    sizes = scratch.write(sizes.filter("c0 < c1").select(*place, "n"), "regions")
+    group = lambda low, high: F.xxhash64(*place, low, high).alias("group")
+    small = named.join(sizes.filter(F.col("n") <= REGION), place).select(
+        group(F.lit(0), F.lit(0)), "id", "component", F.lit(-1).alias("side")
+    )
+    dense = named.join(sizes.filter(F.col("n") > REGION), place)
+    held = dense.groupBy(*place, "component").agg(F.count(F.lit(1)).alias("c")).groupBy(*place).agg(
+        F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("n")
+    )
+    blocks = lambda n: F.ceil(n / REGION).cast("int")
+    held = scratch.write(
+        held.select(*place, F.col("most.component").alias("main"), blocks(F.col("most.c")).alias("inner"), blocks(F.col("n") - F.col("most.c")).alias("outer")),
+        "dense",
+    )
+    main = F.col("component") == F.col("main")
+    own = F.when(main, F.pmod(F.xxhash64("id"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), "outer")).cast("int")
+    first = F.when(main, F.col("inner")).otherwise(0)
+    dealt = dense.join(held, place).select(
+        *place, "id", "component", own.alias("own"), F.explode(F.sequence(first, F.col("inner") + F.col("outer") - 1)).alias("other")
+    )
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, -1).otherwise(F.col("own"))
+    return small.unionByName(dealt.select(group(low, high), "id", "component", side.alias("side")))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -217,6 +217,28 @@ def test_forest_dense_regions(monkeypatch, make_docs, prose):
     assert got == brute_components(rows)
 
 
+def test_dense_region_compares_all_components(spark, monkeypatch):
+    """Documents of a dense region that share LEAST values and no more meet in a group, unless of one component."""
+    monkeypatch.setattr(lsh_forest, "REGION", 4)
+    shared = b"region!!"
+    assert len(shared) == 2 * lsh_forest.LEAST
+    trees = spark.createDataFrame([(0, bytearray(shared + bytes([i] * 8)), i) for i in range(40)], "tree int, key binary, id long")
+    members = spark.createDataFrame([(i, 0 if i < 20 else i // 2) for i in range(30)], "id long, component long")
+    scratch = C.Scratch(spark, "dense")
+    rows = lsh_forest.region_rows(trees, members, scratch).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["group"]].append(r)
+    met = Counter()
+    for g in groups.values():
+        for k, x in enumerate(g):
+            for y in g[k + 1 :]:
+                if x["component"] != y["component"] and (x["side"] != y["side"] or x["side"] < 0):
+                    met[min(x["id"], y["id"]), max(x["id"], y["id"])] += 1
+    part = {i: 0 if i < 20 else i // 2 if i < 30 else i for i in range(40)}
+    assert met == Counter({(i, j): 1 for i in range(40) for j in range(i + 1, 40) if part[i] != part[j]})
+
+
 def test_forest_edges(make_docs, edge_rows):
     got = by_id(lsh_forest.near_duplicates(make_docs([*edge_rows, (None, "x y")])))
     assert [r["doc_id"] for r in got] == [1, 2, 3, 4, 5, 6, 6, 7, 8]
@@ -257,6 +279,27 @@ def test_repeated_strings_against_brute_force(make_docs, prose):
     assert sorted((r["doc_id"], *[r[c] for c in columns]) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
 
 
+@pytest.mark.parametrize("marked", [0, 1, 2])
+def test_witness_of_a_repeated_row_is_kept(spark, marked):
+    """Whichever copy of a row carries the mark of the witness, its windows are compared."""
+    kind = "r1 long, r2 long, near long, x0 array<long>, x1 array<long>, sure array<boolean>, asked array<boolean>"
+    top = (1 << 63) - 1
+    copies = [(1, 2, 5 if i == marked else top, [0, 9], [8, 20], [True, True], [False, i == marked]) for i in range(3)]
+    other = (3, 4, 7, [0], [8], [False], [True])
+    got = suffix_merge._one_per_row(spark.createDataFrame([*copies, other], kind).coalesce(1)).orderBy("r1").collect()
+    assert [(r["near"], r["sure"], r["asked"]) for r in got] == [(5, [True, True], [False, True]), (7, [False], [True])]
+
+
+def test_repeated_rows_in_several_shards(make_docs, prose):
+    """A third document that holds part of a passage loses it wherever the copies of the repeated row lie."""
+    q = prose(73, 400)
+    texts = [(1, q), (2, prose(74, 200)), (1, q), (3, prose(75, 50) + " " + q[500:1300] + " " + prose(76, 50)), (1, q), (4, prose(77, 90) + q[900:1400])]
+    got = suffix_merge.repeat_report(make_docs(texts).repartition(6)).collect()
+    want = brute_repeats([t for _, t in texts])
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((r["doc_id"], *[r[c] for c in columns]) for r in got) == sorted((i, *w) for (i, _), w in zip(texts, want, strict=True))
+
+
 def test_repeated_strings_empty(make_docs):
     assert suffix_merge.repeat_report(make_docs([])).count() == 0
     assert by_id(suffix_merge.repeat_report(make_docs([(None, None), (1, "x")])))[-1]["n_bytes"] == 0
@@ -279,27 +322,6 @@ def test_compact_windows_against_brute_force():
             if b - a + 1 >= 7:
                 want.add((a, c, b))
         assert set(compact_windows.compact_windows(v, 7)) == want
-@pytest.mark.parametrize("marked", [0, 1, 2])
-def test_witness_of_a_repeated_row_is_kept(spark, marked):
-    """Whichever copy of a row carries the mark of the witness, its windows are compared."""
-    kind = "r1 long, r2 long, near long, x0 array<long>, x1 array<long>, sure array<boolean>, asked array<boolean>"
-    top = (1 << 63) - 1
-    copies = [(1, 2, 5 if i == marked else top, [0, 9], [8, 20], [True, True], [False, i == marked]) for i in range(3)]
-    other = (3, 4, 7, [0], [8], [False], [True])
-    got = suffix_merge._one_per_row(spark.createDataFrame([*copies, other], kind).coalesce(1)).orderBy("r1").collect()
-    assert [(r["near"], r["sure"], r["asked"]) for r in got] == [(5, [True, True], [False, True]), (7, [False], [True])]
-
-
-def test_repeated_rows_in_several_shards(make_docs, prose):
-    """A third document that holds part of a passage loses it wherever the copies of the repeated row lie."""
-    q = prose(73, 400)
-    texts = [(1, q), (2, prose(74, 200)), (1, q), (3, prose(75, 50) + " " + q[500:1300] + " " + prose(76, 50)), (1, q), (4, prose(77, 90) + q[900:1400])]
-    got = suffix_merge.repeat_report(make_docs(texts).repartition(6)).collect()
-    want = brute_repeats([t for _, t in texts])
-    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert sorted((r["doc_id"], *[r[c] for c in columns]) for r in got) == sorted((i, *w) for (i, _), w in zip(texts, want, strict=True))
-
-
 
 
 def test_passages(make_docs, prose, edge_rows):

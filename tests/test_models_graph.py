@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph
 from ledgerlens.operators.models import boosting, boundary, density, ensemble, forest, reconstruction, screening
+from ledgerlens.plans import catalog
 from ledgerlens.schema import FEATURE_NAMES
 
 
@@ -117,6 +120,26 @@ def test_boosting_learns_a_separable_set(spark):
     assert training.metrics["training_samples"] + training.metrics["test_samples"] == 600
 
 
+def test_folds_are_fits_of_the_whole_classifier(spark, monkeypatch):
+    """`gbt_folds` fits as many trees as `gbt_metrics`: 100, in five folds."""
+    form = inspect.signature(boosting.train_classifier)
+    asked = []
+
+    def record(*args, **options):
+        bound = form.bind(*args, **options)
+        bound.apply_defaults()
+        asked.append((bound.arguments["trees"], bound.arguments["folds"]))
+
+    df = spark.createDataFrame([("L1", True)], "loan_id string, is_fraud boolean")
+    monkeypatch.setattr(catalog, "_labelled_book", lambda *_: df)
+    monkeypatch.setattr(catalog, "_features_of", lambda book, *_: book)
+    monkeypatch.setattr(boosting, "train_classifier", record)
+    monkeypatch.setattr(boosting, "metrics_frame", lambda matrix, _: matrix)
+    catalog.gbt_folds(spark, "")
+    catalog.gbt_metrics(spark, "")
+    assert asked == [(100, 5), (100, 0)]
+
+
 def test_metrics_without_positives_are_zero(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "label int, predicted int")
     row = boosting.confusion_metrics(df).first()

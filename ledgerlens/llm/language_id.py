@@ -8,11 +8,11 @@ The models are looked up through sorted hash arrays: the keys of an order are 64
 index over their leading bits gives the start of the few keys to compare, and the values are the interpolated
 log-probabilities of all languages. A text is scored whole; its cross-entropy is divided by its length, and the
 lowest wins. The distances between a text's cross-entropy and its language's mean, in deviations that shrink with
-the length, are calibrated on training texts that were not counted (one in HELD_BACK by a hash of the id): a text beyond
-MARGIN times the largest distance seen there is rejected.
+the length, are calibrated on all training texts that were not counted (one in HELD_BACK by a hash of the id): a text beyond
+MARGIN times a high quantile (QUANTILE) of its language's distances there is rejected.
 
-Bounds: a language keeps its MAX_GRAMS most frequent 4-grams (all statistics of lower orders and all denominators
-count all of them), and the calibration reads at most CALIBRATE of the texts held back, in order of the hash.
+Nothing is pruned: a model holds all 4-grams of its language, and lower orders are derived from all of them. The models
+lie in the memory of the driver and of every worker, so these grow with the distinct 4-grams times the languages.
 
 Edge cases: a null text and a text without a letter are `und`, rejected, score 0; texts without a language do not
 train; without any training text every text is `und`; repeated rows are predicted each; a null id is never
@@ -28,16 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import common as C
 
 ORDER = 4
-MAX_GRAMS = 200_000
-CALIBRATE = 4_000
 HELD_BACK = 16
 MARGIN = 1.5
+QUANTILE = 0.999
 #: Deviations that are never a reason to reject, before the margin.
 USUAL = 4.0
 DISCOUNT = 0.75
@@ -197,7 +195,7 @@ class Models:
     mean: np.ndarray
     doc_var: np.ndarray
     char_var: np.ndarray
-    limit: float
+    limit: np.ndarray
 
     def log_probabilities(self, padded: np.ndarray) -> np.ndarray:
         """One row per symbol after the first ORDER - 1, one column per language."""
@@ -251,7 +249,7 @@ class Models:
         gap = (finite - finite[rows, best][:, None]) * np.minimum(lengths, EVIDENCE)[:, None]
         score = np.where(valid, 1.0 / np.exp(-gap).sum(axis=1), 0.0)
         distance = self.distance(ce[rows, best], best, lengths)
-        rejected = ~valid | (distance > self.limit)
+        rejected = ~valid | (distance > self.limit[best])
         names = [self.languages[b] if v else "und" for b, v in zip(best, valid, strict=True)]
         return names, score, rejected
 
@@ -269,8 +267,7 @@ def _aggregate(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], totals: dict[str, tuple], discount: float = DISCOUNT) -> Models:
     """Models from 4-gram counts by language (sorted grams, counts).
 
-    `totals` has, by language and context of the highest order, the count of all its 4-grams and of its distinct
-    ones, also of those that were pruned, whose mass goes to the lower order.
+    `totals` has, by language and context of the highest order, the count of all its 4-grams and of its distinct ones.
     """
     languages = sorted(counts)
     tables: list[dict[str, tuple]] = [{} for _ in range(ORDER)]
@@ -302,7 +299,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], totals: dict[st
             kept = _aggregate(context, np.maximum(n - discount, 0.0))
             share = np.zeros(len(ctx))
             share[np.searchsorted(ctx, kept[0])] = kept[1]
-            rest = 1.0 - share / mass  # discounts and pruned grams
+            rest = 1.0 - share / mass  # discounts
             weights[np.searchsorted(contexts, ctx[np.isin(ctx, contexts)]), j] = rest[np.isin(ctx, contexts)]
             at = np.searchsorted(union, grams)
             prob[at, j] = np.maximum(n - discount, 0.0) / mass[np.searchsorted(ctx, context)]
@@ -317,72 +314,71 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], totals: dict[st
         arrays.append(HashArray.build(union, np.log(np.maximum(prob, 1e-30))))
         lower = prob
     k = len(languages)
-    return Models(languages, arrays, backoffs, floor if languages else np.zeros(0), np.zeros(k), np.ones(k), np.ones(k), np.inf)
+    return Models(languages, arrays, backoffs, floor if languages else np.zeros(0), np.zeros(k), np.ones(k), np.ones(k), np.full(k, np.inf))
 
 
-def fit(training: DataFrame, scratch: C.Scratch, max_grams: int = MAX_GRAMS, calibrate: int = CALIBRATE) -> Models:
+def fit(training: DataFrame, scratch: C.Scratch) -> Models:
     """Models of all languages of the rows (text, lang, id)."""
     training = training.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    hashed = F.xxhash64(F.lit(5), "id")
-    back = F.pmod(hashed, F.lit(HELD_BACK)) == 0
+    back = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(HELD_BACK)) == 0
     counted = scratch.write(gram_counts(training.filter(~back)), "grams")
-    totals = counted.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("ctx")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")
-    )
-    strongest = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("_r", F.row_number().over(strongest)).filter(F.col("_r") <= max_grams).select("lang", "gram", "n")
-    kept = scratch.write(kept, "kept")
-    # totals only of contexts that are kept: bounded by max_grams per language, as the grams are
-    used = kept.select("lang", F.shiftrightunsigned("gram", 16).alias("ctx")).distinct()
-    by_lang = lambda frame, cols: {
-        lang: [part[c].to_numpy() for c in cols] for lang, part in frame.groupby("lang", sort=True)
-    }
-    grams = by_lang(kept.orderBy("lang", "gram").toPandas(), ["gram", "n"])
-    sums = by_lang(totals.join(used, ["lang", "ctx"], "left_semi").toPandas(), ["ctx", "n", "d"])
     counts, mass = {}, {}
-    for lang, (g, n) in grams.items():
-        g = g.view(np.uint64)
+    for lang in sorted(r["lang"] for r in counted.select("lang").distinct().collect()):
+        rows = counted.filter(F.col("lang") == lang).select("gram", "n").toArrow()
+        g, n = np.array(rows.column("gram")).view(np.uint64), np.array(rows.column("n"))
         order = np.argsort(g)
         counts[lang] = g[order], n[order]
-        ctx, m, distinct = sums[lang]
-        order = np.argsort(ctx.view(np.uint64))
-        mass[lang] = ctx.view(np.uint64)[order], m[order].astype(float), distinct[order].astype(float)
+        context = counts[lang][0] >> np.uint64(16)
+        mass[lang] = *_aggregate(context, counts[lang][1]), _aggregate(context, np.ones(len(g)))[1]
     models = kneser_ney(counts, mass)
-    if not models.languages:
-        return models
-    sample = (
-        training.filter(back).select("text", "lang", hashed.alias("h"), "id").orderBy("h", "id").limit(calibrate)
-    ).toLocalIterator()
-    rows: list[tuple] = []
-    texts, langs = [], []
-    for row in sample:
-        texts.append(row["text"])
-        langs.append(models.languages.index(row["lang"]) if row["lang"] in models.languages else -1)
-        if len(texts) == 256:
-            rows += _calibration(models, texts, langs)
-            texts, langs = [], []
-    rows += _calibration(models, texts, langs)
-    ce, lang, lengths = (np.array([r[i] for r in rows], dtype=kind) for i, kind in enumerate((float, int, int)))
-    for j in range(len(models.languages)):
-        own = (lang == j) & (lengths > 0)
-        if own.sum() < 2:
-            continue
-        long = own & (lengths >= np.median(lengths[own]))
-        models.mean[j] = ce[long].mean()
-        models.doc_var[j] = max(ce[long].var(), 1e-4)
-        off = (ce[own] - models.mean[j]) ** 2 * lengths[own]
-        models.char_var[j] = max(off.mean(), 1e-2)
-    models.limit = MARGIN * USUAL
-    if len(rows):
-        models.limit = MARGIN * max(USUAL, float(models.distance(ce, np.maximum(lang, 0), lengths).max()))
+    if models.languages:
+        held = training.filter(back).select("text", "lang").mapInArrow(_held_back(models), "lang int, ce double, length long")
+        calibrate(models, scratch.write(held, "back"))
     return models
 
 
-def _calibration(models: Models, texts: list, langs: list) -> list[tuple]:
-    if not texts:
-        return []
-    ce, lengths = models.cross_entropies(texts)
-    return [(ce[i, j], j, lengths[i]) for i, j in enumerate(langs) if j >= 0 and lengths[i] > 0]
+def calibrate(models: Models, held: DataFrame) -> None:
+    """Sets means, deviations and limits from (lang, ce, length) of all texts held back; one row per language comes to the driver.
+
+    The limit of a language is MARGIN times a high quantile of its distances. A language with fewer than two texts
+    has the largest limit of all.
+    """
+    k = len(models.languages)
+    models.limit = np.full(k, MARGIN * USUAL)
+    own = held.groupBy("lang").agg(F.median("length").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").collect()
+    if not own:
+        return
+    of = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("lang") + 1)
+    median = np.full(k, np.inf)
+    for r in own:
+        median[r["lang"]] = r["m"]
+    known = held.filter(of(median) < float("inf"))
+    for r in known.filter(F.col("length") >= of(median)).groupBy("lang").agg(F.avg("ce").alias("m"), F.var_pop("ce").alias("v")).collect():
+        models.mean[r["lang"]], models.doc_var[r["lang"]] = r["m"], max(r["v"], 1e-4)
+    off = (F.col("ce") - of(models.mean)) ** 2 * F.col("length")
+    for r in known.groupBy("lang").agg(F.avg(off).alias("v")).collect():
+        models.char_var[r["lang"]] = max(r["v"], 1e-2)
+    distance = (F.col("ce") - of(models.mean)) / F.sqrt(of(models.doc_var) + of(models.char_var) / F.col("length"))
+    # rounded, so that the quantile holds a bounded number of values
+    far = known.groupBy("lang").agg(F.percentile(F.round(distance, 3), F.lit(QUANTILE)).alias("d")).collect()
+    for r in far:
+        models.limit[r["lang"]] = MARGIN * max(USUAL, r["d"])
+    models.limit[~np.isfinite(median)] = models.limit.max()
+
+
+def _held_back(models: Models):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {lang: j for j, lang in enumerate(models.languages)}
+        for batch in batches:
+            lang = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], dtype=np.int64)
+            ce, lengths = models.cross_entropies(batch.column(0).to_pylist())
+            at = np.flatnonzero((lang >= 0) & (lengths > 0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang[at].astype(np.int32)), pa.array(ce[at, lang[at]]), pa.array(lengths[at])], names=["lang", "ce", "length"]
+            )
+        C.give_back()
+
+    return run
 
 
 def _predict(models: Models, text_at: int):
@@ -411,7 +407,7 @@ def train_on(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     training = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id"))
     scratch = C.Scratch(docs.sparkSession, "language")
     models = fit(training, scratch)
-    scratch.drop("grams", "kept")
+    scratch.drop("grams", "back")
     return models
 
 

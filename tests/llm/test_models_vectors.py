@@ -55,6 +55,41 @@ def test_probabilities_sum_to_one():
         assert 0.9 < total <= 1.0 + 1e-6
 
 
+def test_large_alphabets_keep_all_grams(make_docs):
+    """A language of more than 200,000 distinct 4-grams keeps all of them in every order."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, 0x4E00 + rng.integers(0, 3000, 2000))) for _ in range(160)]
+    rows = [(i, t, "zh") for i, t in enumerate(texts)] + [(1000 + i, "odd one out " * 9, "en") for i in range(9)]
+    docs = make_docs(rows).select("text", "lang", F.col("doc_id").alias("id"))
+    models = language_id.fit(docs, Scratch(docs.sparkSession, "large"))
+    back = {r["id"] for r in docs.select("id").filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(language_id.HELD_BACK)) == 0).collect()}
+    seen = Counter()
+    for i, t, _ in rows:
+        if i not in back:
+            syms, _ = language_id.symbols([t])
+            seen.update(language_id.packed(syms[1:-1], language_id.ORDER).tolist())
+    grams = np.array(sorted(seen), dtype=np.uint64)
+    assert len(grams) > 250_000
+    for order in range(1, language_id.ORDER + 1):
+        lower = np.unique(grams & np.uint64((1 << (16 * order)) - 1))
+        assert (models.grams[order - 1].find(lower) >= 0).all()
+
+
+def test_calibration_reads_all_texts_by_quantile(spark):
+    """One far outlier among thousands of texts does not set the limit; every language has its own."""
+    rng = np.random.default_rng(5)
+    rows = [(j, float(2 + j + 0.1 * z), 100) for j in range(2) for z in rng.standard_normal(5000)] + [(0, 90.0, 100)]
+    syms, _ = language_id.symbols(["ab"])
+    one = np.unique(language_id.packed(language_id._padded(syms), 4))
+    n = np.ones(len(one))
+    counts = {x: (one, n) for x in "xyz"}
+    models = language_id.kneser_ney(counts, {x: (one >> np.uint64(16), n, n) for x in "xyz"})
+    language_id.calibrate(models, spark.createDataFrame(rows, "lang int, ce double, length long").repartition(5))
+    own = np.array([r[1] for r in rows if r[0] == 1])
+    assert models.mean[1] == pytest.approx(own.mean()) and models.doc_var[1] == pytest.approx(own.var())
+    assert (models.limit <= 1.5 * 5).all() and models.limit[2] == models.limit.max()
+
+
 def test_symbols():
     syms, offsets = language_id.symbols(["Ab c!!d", "", "  x  ", None, "1,2", "zz"])
     assert bytes(syms.astype(np.uint8)) == b" ab c d x zz " and offsets.tolist() == [0, 7, 7, 9, 9, 9, 12]

@@ -199,6 +199,27 @@ def test_vector_recall(spark):
     assert links >= 0.97 * 3000
 
 
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.7])
+def test_codes_of_vectors_with_a_common_component(share):
+    """Pairs at the threshold meet as often where all vectors have a common direction."""
+    rng = np.random.default_rng(8)
+    common = np.ones(64) / 8
+    base, side = rng.standard_normal((2, 5000, 64))
+    base -= (base @ common)[:, None] * common
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side @ common)[:, None] * common
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = (0.935 - share) / (1 - share)
+    x, y = (np.sqrt(share) * common + np.sqrt(1 - share) * v for v in (base, c * base + np.sqrt(1 - c * c) * side))
+    assert np.allclose((x * y).sum(axis=1), 0.935)
+    projection = hamming_tables.learn_rotation(x)
+    a, b = hamming_tables.codes_of(x, projection), hamming_tables.codes_of(y, projection)
+    parts = np.bitwise_count(hamming_tables.parts_of(a, 64) ^ hamming_tables.parts_of(b, 64))
+    met = (np.bitwise_count(a ^ b) <= hamming_tables.FAR) & (parts <= 2).any(axis=1)
+    assert met.mean() >= 0.995
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hamming_tables.near_vectors(none).count() == 0

@@ -152,3 +152,105 @@ select r.page_id, host, path, rule,
        when mined is not null then 'block' else 'allow' end as verdict, mined, confidence
 from ruled r left join fits f on f.page_id = r.page_id and f.k = 1
 """
+
+ORACLES["op12_line_dedup"] = rf"""
+with texts as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+numbered as (select r, doc_id, unnest(parts) as line, unnest(range(1, len(parts) + 1)) as n from texts),
+keyed as (
+  select r, doc_id, n, line,
+    translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from numbered),
+repeated as (
+  select key, max(doc_id) as largest from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+judged as (select k.*, p.key is not null and k.doc_id <> p.largest as goes from keyed k left join repeated p on p.key = k.key)
+select doc_id, count(*) as n_lines, (count(*) filter (where goes))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not goes), '')) as kept_sha256
+from judged group by r, doc_id
+"""
+
+# CRC-32 as SQL: a table of 256 remainders, then one step for each byte of the text (DuckDB has no such function).
+_CRC_TABLE = """
+  select list(list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, b) order by b) as tab
+  from (select unnest(range(256)) as b)"""
+
+
+def _crc32(text: str) -> str:
+    """Of a text column, beside a table `crc(tab)` in the same FROM."""
+    codes = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)"
+    return f"xor(list_reduce({codes}, lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1]), 4294967295::bigint), 4294967295)"
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+with crc as ({_CRC_TABLE}),
+turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as n
+  from conversations where conv_id is not null),
+convs as (select conv_id, conv_id - conv_id % 100 as family, {_crc32("conv_id::varchar")} % 6 as h
+  from (select distinct conv_id from turns), crc),
+rebuilt as (
+  select c.conv_id, 0 as part, t.n, t.role, t.text from convs c join turns t on t.conv_id = c.family and t.n < c.h
+  union all
+  select c.conv_id, 1, t.n, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.n >= c.h),
+steps as (
+  select conv_id, role, text, row_number() over w as depth,
+    md5(string_agg(md5(length(role) || ':' || role || text), '') over w) as prefix
+  from rebuilt window w as (partition by conv_id order by part, n rows unbounded preceding)),
+places as (
+  select conv_id, depth, prefix, length(text) as chars from steps
+  union all select conv_id, 0, '', 0 from convs),
+ends as (select conv_id, max(depth) as depth from places group by conv_id),
+nodes as (
+  select p.depth, p.prefix, min(p.conv_id) as first_conv, count(*) as n_convs, any_value(p.chars) as chars,
+    sha256(coalesce(string_agg(p.conv_id::varchar, ',' order by p.conv_id) filter (where e.depth = p.depth), '')) as ends_sha256,
+    bool_and(e.depth = p.depth) as leaf
+  from places p join ends e on e.conv_id = p.conv_id group by p.depth, p.prefix),
+parents as (
+  select n.depth, n.prefix, u.first_conv as parent_conv_id
+  from nodes n join places p on p.conv_id = n.first_conv and p.depth = n.depth - 1
+  join nodes u on u.depth = p.depth and u.prefix = p.prefix),
+children as (
+  select p.depth, p.prefix, count(*) as n_children
+  from nodes n join places p on p.conv_id = n.first_conv and p.depth = n.depth - 1 group by p.depth, p.prefix),
+subtrees as (
+  select p.depth, p.prefix, count(*) filter (where n.leaf) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved_tokens
+  from nodes n join places p on p.conv_id = n.first_conv and p.depth <= n.depth group by p.depth, p.prefix)
+select n.first_conv as conv_id, n.depth::bigint as depth, parent_conv_id, n_convs, coalesce(n_children, 0)::bigint as n_children,
+  n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256
+from nodes n join subtrees s on s.depth = n.depth and s.prefix = n.prefix
+left join parents u on u.depth = n.depth and u.prefix = n.prefix
+left join children c on c.depth = n.depth and c.prefix = n.prefix
+"""
+
+ORACLES["op13_resampling"] = rf"""
+with crc as ({_CRC_TABLE}),
+texts as (
+  select 1 as corpus, row_number() over () as r, doc_id, text from documents
+  union all select 0, row_number() over (), item_id, text from benchmark),
+words as (
+  select corpus, r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from texts),
+runs as (
+  select corpus, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as run from words),
+counted as (select corpus, r, run, count(*) as n from runs group by corpus, r, run),
+hashed as (select run, {_crc32("run")} % 10000 as bucket from (select distinct run from counted), crc),
+held as (select corpus, r, bucket, n from counted join hashed using (run)),
+totals as (
+  select coalesce(sum(n) filter (where corpus = 1), 0)::double as s, coalesce(sum(n) filter (where corpus = 0), 0)::double as t from held),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(sum(n) filter (where corpus = 0), 0)::double + 1) * (s + 10000)
+    / ((coalesce(sum(n) filter (where corpus = 1), 0)::double + 1) * (t + 10000))))::bigint as gain
+  from held, totals group by bucket, s, t),
+weighed as (
+  select r, sum(n)::bigint as n_features, floor(sum(n * gain)::double / sum(n)::double)::bigint as weight
+  from held join gains using (bucket) where corpus = 1 group by r),
+scored as (
+  select w.doc_id, w.r, len(w.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::bigint + 0.5) / 4294967296.0::double)))::bigint as score
+  from words w left join weighed using (r) where w.corpus = 1),
+ranked as (
+  select *, case when n_words >= 20 then row_number() over (order by n_words >= 20 desc, score desc, doc_id) end as place,
+    (25 * count(*) filter (where n_words >= 20) over ()) // 100 as drawn
+  from scored)
+select doc_id, n_features::bigint as n_features, weight, score, case when place <= drawn then place end as rank from ranked
+"""

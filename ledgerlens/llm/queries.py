@@ -10,9 +10,12 @@ from ledgerlens.llm import (
     compact_windows,
     hamming_tables,
     language_id,
+    line_dedup,
     lsh_forest,
     mixing,
+    prefix_trie,
     repair,
+    resampling,
     suffix_merge,
     surrogates,
     url_rules,
@@ -31,4 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": lambda s, d: winnowing.contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_surrogates": lambda s, d: surrogates.surrogate_report(table(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixed_report(table(s, d, "documents")),
+    "op11_prefix_trie": lambda s, d: prefix_trie.trie_report(table(s, d, "conversations")),
+    "op12_line_dedup": lambda s, d: line_dedup.line_report(table(s, d, "documents")),
+    "op13_resampling": lambda s, d: resampling.resampling_report(table(s, d, "documents"), table(s, d, "benchmark")),
 }

@@ -668,8 +668,8 @@ def minmax_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ensemble.ensemble_features(loan_table(spark, sf_dir))
-    found = density.local_outlier_factor(rows, ensemble.TIME_FEATURES, "amount")
-    return density.flag_share(written_table(found, "lof"), "lof")
+    found = density.local_outlier_factor(rows, ensemble.TIME_FEATURES)
+    return density.flag_share(written_table(found.withColumn("lof", F.round("lof", 6)), "lof"), "lof")
 
 
 def one_class(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1347,3 +1347,33 @@ ORACLES["analysis_rule_only"] = (
     + _PORTFOLIO.format(points=_BACKEND_POINTS)
     + ")"
 )
+
+
+# --- local outlier factor ---------------------------------------------------------------------------------------
+
+# Every row's neighbours by brute force over a band of amounts. Twenty rows stand within `r` of an amount (the twentieth
+# before or behind it in order), and the other coordinates are at most 66 apart, so none nearer lies outside the band.
+ORACLES["lof"] = (
+    _with(
+        _TIMES,
+        """x as (
+  select loan_id, coalesce(amount, 0)::double as a, hour::double as h, minute::double as m, (hour < 8 or hour > 18)::int::double as late,
+    weekday::double as wd, month::double as mo, (weekday >= 5)::int::double as we from timed),
+banded as (
+  select *, least(coalesce(a - lag(a, 20) over w, 1e300), coalesce(lead(a, 20) over w - a, 1e300)) + 66 as r
+  from x window w as (order by a, loan_id)),
+pairs as (
+  select p.loan_id as id, q.loan_id as other, sqrt((p.a - q.a) ** 2 + (p.h - q.h) ** 2 + (p.m - q.m) ** 2
+    + (p.late - q.late) ** 2 + (p.wd - q.wd) ** 2 + (p.mo - q.mo) ** 2 + (p.we - q.we) ** 2) as d
+  from banded p join x q on q.a between p.a - p.r and p.a + p.r and p.loan_id <> q.loan_id),
+radius as (select id, list_max(min(d, 20)) as radius from pairs group by id),
+near as (select id, other, d from pairs join radius using (id) where d <= radius),
+density as (
+  select n.id, 1 / (avg(greatest(d, radius)) + 1e-10) as density
+  from near n join radius r on r.id = n.other group by n.id),
+factor as (
+  select n.id as loan_id, round(avg(o.density) / any_value(p.density), 6) as lof
+  from near n join density o on o.id = n.other join density p on p.id = n.id group by n.id)""",
+    )
+    + "select loan_id, lof, lof > (select quantile_disc(lof, 0.9) from factor) as is_outlier from factor"
+)

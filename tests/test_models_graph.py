@@ -65,18 +65,41 @@ def brute_lof(x, k):
     return np.array([lrd[near[i]].mean() / lrd[i] for i in range(n)])
 
 
-@pytest.mark.parametrize("per_range", [40, 100000])
-def test_lof_matches_brute_force(spark, per_range):
+@pytest.mark.parametrize("per_cell", [6, 40, 100000])
+def test_lof_matches_brute_force(spark, per_cell):
     rng = np.random.default_rng(2)
     x = np.column_stack([rng.integers(0, 60, 260) * 3.0, rng.integers(0, 8, 260), rng.integers(0, 3, 260)]).astype(float)
     x[:20] = x[20:40]
     x[0] = [900.0, 50.0, 9.0]
     df, names = frame(spark, x)
-    got = density.local_outlier_factor(df, names, "f0", k=5, per_range=per_range).toPandas().set_index("loan_id")["lof"]
+    got = density.local_outlier_factor(df, names, k=5, per_cell=per_cell).toPandas().set_index("loan_id")["lof"]
     want = pd.Series(brute_lof(x, 5), index=[f"L{i:05d}" for i in range(len(x))])
     np.testing.assert_allclose(got.loc[want.index], want, rtol=1e-6)
 
 
+@pytest.mark.parametrize("max_cells", [16, 4096])
+def test_lof_with_one_value_in_a_third_of_the_rows(spark, max_cells):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(1, 400, 900) * 1000.0, rng.integers(0, 24, 900), rng.integers(0, 60, 900)]).astype(float)
+    x[::3, 0] = 5000.0
+    x[5::90] = [5000.0, 12.0, 0.0]
+    df, names = frame(spark, x)
+    points = df.groupBy(*names).count()
+    tree = density.cell_tree(points, names, 30, max_cells)
+    sizes = np.bincount(tree.cell_of(np.unique(x, axis=0)))
+    assert sizes.max() < 6 * max(30, len(x) // max_cells)  # the hot value is cut along the other coordinates
+    got = density.local_outlier_factor(df, names, per_cell=30, max_cells=max_cells).toPandas().set_index("loan_id")["lof"]
+    want = pd.Series(brute_lof(x, 20), index=[f"L{i:05d}" for i in range(len(x))])
+    np.testing.assert_allclose(got.loc[want.index], want, rtol=1e-6)
+
+
+def test_lof_of_few_and_no_rows(spark):
+    x = np.array([[0.0, 1.0], [0.0, 1.0], [5.0, 2.0]])
+    df, names = frame(spark, x)
+    assert density.local_outlier_factor(df, names, k=1).count() == 3
+    assert density.local_outlier_factor(df.limit(0), names).count() == 0
+
+
 def test_boundary_scores_planted_outliers_highest(spark, planted):
     df, names = frame(spark, planted)
     scored = boundary.fit_boundary(df, names, rounds=15).score(df).toPandas().sort_values("boundary_score")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -336,6 +338,21 @@ def vector15_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.normalise_vector(vectors).select("transaction_id", *single)
 
 
+def _sequence_query(past: bool) -> Query:
+    """Seven steps of 15 features: per feature the sum over steps of step number times value, rounded."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = history.feature_sequences(transactions(spark, sf_dir), history=past)
+        steps = [F.get("sequence", F.lit(i)) for i in range(7)]
+        weighed = [
+            F.round(reduce(operator.add, [(i + 1) * F.get(step, F.lit(n)) for i, step in enumerate(steps)]), 6)
+            for n in range(len(_VECTOR))
+        ]
+        return found.select("customer", "transaction_id", *[c.alias(n) for c, n in zip(weighed, _VECTOR, strict=True)])
+
+    return query
+
+
 def last7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = history.last_sequences(transactions(spark, sf_dir))
     ids = F.transform("sequence", lambda t: F.coalesce(t["transaction_id"].cast("string"), F.lit("-")))
@@ -914,6 +931,8 @@ QUERIES: dict[str, Query] = {
     "vector15": vector15,
     "vector15_normalised": vector15_normalised,
     "last7": last7,
+    "sequence15": _sequence_query(True),
+    "sequence15_plain": _sequence_query(False),
     "column_sample": column_sample,
     "column_profile": column_profile,
     "name_match": name_match,

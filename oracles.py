@@ -779,6 +779,31 @@ select user_id as customer, event_id as transaction_id,
   round(list_sum(amounts), 4) as sequence_amount from w""",
 }
 
+# Steps of a sequence that do not exist have the features of an empty transaction.
+_EMPTY = {"hour": 12, "day_of_week": 2, "customer_age_days": 365, "transaction_count_30d": 10, "merchant_category": 0.3,
+          "minutes_since_prev": 60, "unique_merchants_7d": 5}
+_NO_PAST = {"amount_ratio": "case when amount = 0 then 0 else 1 end", "avg_amount_30d": "amount", "customer_age_days": "365",
+            "transaction_count_30d": "10", "same_device": "0", "distance_from_prev": "0", "minutes_since_prev": "60",
+            "failed_attempts_24h": "0", "unique_merchants_7d": "5"}
+
+
+def _sequence(past: bool) -> str:
+    steps = ", ".join(
+        f"round(sum((7 - back) * v.{n}) + any_value(empty) * {_EMPTY.get(n, 0)}::double, 6) as {n}" for n, _, _ in _STORED
+    )
+    chosen = ", ".join(f"({n if past else _NO_PAST.get(n, n)})::double as {n}" for n, _, _ in _STORED)
+    return f"""{_TRANSACTIONS}, chosen as (select transaction_id, {chosen} from vectors),
+placed as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k from e),
+steps as (
+  select p.user_id as customer, p.event_id as transaction_id, p.k - q.k as back, q.event_id as step,
+    greatest(7 - p.k, 0) * (greatest(7 - p.k, 0) + 1) / 2 as empty
+  from placed p join placed q on q.user_id = p.user_id and q.k between p.k - 6 and p.k)
+select s.customer, s.transaction_id, {steps}
+from steps s join chosen v on v.transaction_id = s.step group by s.customer, s.transaction_id"""
+
+
+ORACLES |= {"sequence15": _sequence(True), "sequence15_plain": _sequence(False)}
+
 
 # --- schema mapping ---------------------------------------------------------------------------------------------
 

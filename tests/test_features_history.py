@@ -8,8 +8,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.functions.ranks import percentile_ranks, score_statistics
+from ledgerlens.functions import timeline
 from ledgerlens.operators import features, history
 from ledgerlens.schema import FEATURE_NAMES
 
@@ -115,7 +117,15 @@ def transactions(spark):
     return spark.createDataFrame(rows, ddl)
 
 
-def test_windows_match_brute_force(transactions):
+@pytest.fixture(params=[1, 4, 37])
+def partitions(request, spark):
+    """Scans over few and many partitions: the hot customer goes on over several of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_windows_match_brute_force(transactions, partitions):
     d = transactions.toPandas()
     d["s"] = (d["ts"] - pd.Timestamp("1970-01-01")) // pd.Timedelta(seconds=1)
     got = history.history_windows(transactions).toPandas().set_index("transaction_id")
@@ -132,7 +142,7 @@ def test_windows_match_brute_force(transactions):
             assert pd.isna(mine["avg_amount_30d"])
 
 
-def test_sequences_match_brute_force(transactions):
+def test_sequences_match_brute_force(transactions, partitions):
     d = transactions.toPandas().sort_values(["customer", "ts", "transaction_id"])
     got = {r["transaction_id"]: [s["transaction_id"] for s in r["sequence"]] for r in history.last_sequences(transactions).collect()}
     for _, group in d.groupby("customer"):
@@ -142,7 +152,7 @@ def test_sequences_match_brute_force(transactions):
             assert got[number] == [None] * (7 - len(tail)) + tail
 
 
-def test_previous_transaction_crosses_days(transactions):
+def test_previous_transaction_crosses_days(transactions, partitions):
     d = transactions.toPandas().sort_values(["customer", "ts", "transaction_id"])
     d["prev"] = d.groupby("customer")["ts"].shift()
     got = history.previous_transaction(transactions).toPandas().set_index("transaction_id")
@@ -150,6 +160,65 @@ def test_previous_transaction_crosses_days(transactions):
     np.testing.assert_allclose(got["minutes_since_prev"].loc[d["transaction_id"]], minutes, equal_nan=True)
 
 
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_scan_matches_brute_force(spark, partitions, batch):
+    """Strict sums, latest items and first time, with rows that only add; batches of two rows and whole ones."""
+    rng = random.Random(partitions)
+    rows = [(rng.choice("aaab") if rng.random() < 0.9 else "c", rng.randrange(60), i, rng.randrange(-3, 9), rng.random() < 0.5) for i in range(240)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, n long, told boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = timeline.scan_timeline(df, "k", "t", ["i"], F.struct("k", "t", "i"), F.col("i"), 3, ["n"], F.col("told")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    told = [r for r in rows if r[4]]
+    assert len(out) == len(told)
+    for r in out:
+        k, t, i = r["row"]
+        mine = sorted(x[1:3] for x in told if x[0] == k)
+        before = [x[1] for x in mine if x < (t, i)]
+        assert r["previous"] == before[-3:] and r["first_at"] == mine[0][0]
+        assert r["n"] == sum(x[3] for x in rows if x[0] == k and x[1] < t)
+
+
+def test_following_times_cross_partitions(spark, partitions):
+    rng = random.Random(1)
+    rows = [(rng.choice("aab"), rng.choice("xy"), rng.randrange(40)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "a string, b string, t long")
+    got = {(r["group"]["a"], r["group"]["b"], r["at"]): r["next_at"] for r in timeline.following_times(df, F.struct("a", "b"), "t").collect()}
+    want = {}
+    for a, b, t in set(rows):
+        want[a, b, t] = min((x[2] for x in rows if x[:2] == (a, b) and x[2] > t), default=None)
+    assert got == want
+
+
+def test_transactions_without_customer_or_time_have_no_history(spark):
+    ddl = "customer string, transaction_id long, ts timestamp_ntz, amount double, merchant string, failed boolean, device int, latitude double, longitude double"
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", 1, at, 1.0, "m", True, 1, 0.0, 0.0), (None, 2, at, 1.0, "m", True, 1, 0.0, 0.0), ("a", 3, None, 1.0, "m", True, 1, 0.0, 0.0)]
+    rows.append(("a", 4, at + dt.timedelta(hours=1), None, None, None, None, None, None))
+    got = {r["transaction_id"]: r for r in history.with_history(spark.createDataFrame(rows, ddl)).collect()}
+    assert [got[i]["transaction_count_30d"] for i in (1, 2, 3, 4)] == [0, 0, 0, 1]
+    assert got[4]["failed_attempts_24h"] == got[4]["unique_merchants_7d"] == 1 and got[4]["minutes_since_prev"] == 60
+    assert got[2]["customer_age_days"] is None and got[4]["same_device"] is None
+    assert history.last_sequences(spark.createDataFrame(rows, ddl)).count() == 4
+    assert history.with_history(spark.createDataFrame([], ddl)).count() == 0
+
+
+@pytest.mark.parametrize("past", [True, False])
+def test_feature_sequences_are_the_vectors_in_order(transactions, partitions, past):
+    rows = history.with_history(transactions) if past else transactions.select(
+        "*", *[F.lit(None).cast(k).alias(c) for c, k in [("transaction_count_30d", "long"), ("avg_amount_30d", "double"),
+        ("failed_attempts_24h", "long"), ("unique_merchants_7d", "long"), ("customer_age_days", "long"),
+        ("minutes_since_prev", "double"), ("distance_from_prev", "double"), ("same_device", "boolean")]])
+    vectors = {r[0]: list(r)[1:] for r in history.transaction_vector(rows).collect()}
+    empty = [0.0, 0.0, 12.0, 2.0, 0.0, 0.0, 365.0, 10.0, 0.0, 0.3, 0.0, 0.0, 60.0, 0.0, 5.0]
+    ids = {r["transaction_id"]: [s["transaction_id"] for s in r["sequence"]] for r in history.last_sequences(transactions).collect()}
+    for r in history.feature_sequences(transactions, history=past).collect():
+        want = [empty if i is None else vectors[i] for i in ids[r["transaction_id"]]]
+        np.testing.assert_allclose(r["sequence"], want)
+
+
 def test_vector_defaults(spark):
     ddl = (
         "transaction_id long, amount double, ts timestamp_ntz, avg_amount_30d double, customer_age_days long,"

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.slices import prefix_sums
+from ledgerlens.functions import timeline
 from ledgerlens.operators import features, history, rules
 from ledgerlens.session import written_table
 
@@ -71,27 +71,29 @@ def test_group_limit_runs_before_the_shuffle(skewed):
     assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
 
 
-def test_history_of_one_customer_is_cut_into_slices(spark):
-    rows = spark.range(20000).select(
-        F.lit("hot").alias("customer"),
-        F.col("id").alias("transaction_id"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 600).cast("timestamp_ntz").alias("ts"),
+def test_a_hot_customer_day_is_spread(spark):
+    """A third of all rows on one day of one customer: no partition of the scan holds much more than its share."""
+    number = F.col("id")
+    hot = number % 3 == 0
+    rows = spark.range(30000).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("c"), number % 500)).alias("customer"),
+        number.alias("transaction_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.when(hot, number * 2).otherwise(number * 600)).cast("timestamp_ntz").alias("ts"),
         F.lit(2.0).alias("amount"),
         F.lit("m").alias("merchant"),
         F.lit(False).alias("failed"),
     )
-    out = history.history_windows(rows)
-    totals = out.agg(F.max("transaction_count_30d"), F.min("avg_amount_30d"), F.max("unique_merchants_7d")).first()
-    assert tuple(totals) == (30 * 144, 2.0, 1)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "_slice" in plan
-
-
-def test_prefix_sums_are_strict_and_cross_slices(spark):
-    gives = spark.createDataFrame([("k", 5, 1), ("k", 5, 2), ("k", 99, 4), ("j", 1, 8)], "key string, at long, n long")
-    asks = spark.createDataFrame([("k", 5, 1), ("k", 6, 2), ("k", 100, 3), ("k", 1000, 4), ("j", 0, 5)], "key string, at long, q int")
-    got = {r["q"]: r["n"] for r in prefix_sums(gives, asks, ["key"], "at", ["n"], width=10).collect()}
-    assert got == {1: 0, 2: 3, 3: 7, 4: 7, 5: 0}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        ordered = timeline.in_order(history._timeline(rows), ["customer", "at"])
+        sizes = [r["count"] for r in ordered.groupBy(F.spark_partition_id()).count().collect()]
+        out = history.history_windows(rows)
+        totals = out.filter(F.col("transaction_id") % 3 == 0)
+        top = totals.agg(F.max("transaction_count_30d"), F.min("avg_amount_30d"), F.max("unique_merchants_7d")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) == 12 and max(sizes) < 2 * sum(sizes) / 12
+    assert tuple(top) == (9999, 2.0, 1)
 
 
 def test_session_without_shared_folder_is_refused_on_a_cluster(monkeypatch):

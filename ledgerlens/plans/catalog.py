@@ -27,7 +27,7 @@ from ledgerlens.sources.loan_view import loan_table, table
 from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
 from ledgerlens.sources.standardise import union_sources as union_books
 from ledgerlens.sources import readers, sinks
-from ledgerlens.streaming import monitors
+from ledgerlens.streaming import monitors, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -293,10 +293,14 @@ def behaviour_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_transactions(table(spark, sf_dir, "events"))
+
+
+def _as_transactions(events: DataFrame) -> DataFrame:
     """Events as transactions: the number in `props` stands for device and place, and picks a merchant category."""
     k = F.get_json_object("props", "$.k").cast("int")
     categories = F.array(*[F.lit(c) for c in [*MERCHANT_CATEGORIES, "unknown"]])
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("customer"),
         F.col("event_id").alias("transaction_id"),
         "ts",
@@ -806,6 +810,13 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitors.run_bounded(monitors.failure_bursts(_stream(spark, sf_dir)))
 
 
+def stream_vector15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 features of every transaction as it arrives, its history kept as state: the rows of `vector15`."""
+    vectors = scoring.scored_vectors(_as_transactions(_stream(spark, sf_dir)))
+    with scoring.rocksdb_state(spark):
+        return _rounded(monitors.run_available(vectors), ["transaction_id"], _VECTOR, 10)
+
+
 def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One analysis session per branch and loan month, appended to the history; the ten latest of branch NATION_7."""
     book = loan_table(spark, sf_dir)
@@ -976,6 +987,7 @@ QUERIES: dict[str, Query] = {
     "stream_daily": stream_daily,
     "stream_sliding": stream_sliding,
     "stream_bursts": stream_bursts,
+    "stream_vector15": stream_vector15,
     "history_top": history_top,
     "analysis_full": analysis_full,
     "analysis_rule_only": analysis_rule_only,

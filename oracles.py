@@ -805,6 +805,9 @@ from steps s join chosen v on v.transaction_id = s.step group by s.customer, s.t
 ORACLES |= {"sequence15": _sequence(True), "sequence15_plain": _sequence(False)}
 
 
+ORACLES["stream_vector15"] = ORACLES["vector15"]
+
+
 # --- schema mapping ---------------------------------------------------------------------------------------------
 
 _LAYOUTS = {

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import alerts as summaries
-from ledgerlens.operators import rules
+from ledgerlens.functions.clock import as_instant
+from ledgerlens.operators import history, rules
 from ledgerlens.plans.analysis import analyse
 from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.sources import readers, sinks
-from ledgerlens.streaming import monitors
+from ledgerlens.streaming import monitors, scoring
 
 
 def test_csv_keeps_text_and_pads_rows(spark, tmp_path):
@@ -174,3 +179,45 @@ def test_failure_bursts_join_close_attempts(spark, tmp_path):
     schema = spark.createDataFrame([], EVENTS).schema
     found = monitors.run_available(monitors.failure_bursts(monitors.read_events(spark, f"{folder}/*", schema))).collect()
     assert [(r["user_id"], r["failures"]) for r in found] == [(7, 2)]
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_stream_scores_equal_the_table(spark, tmp_path, files):
+    """Transactions in order of time over several micro-batches: the same history columns as from the whole table."""
+    rng = random.Random(files)
+    start, rows = dt.datetime(2024, 1, 1), []
+    for i in range(240):
+        at = start + dt.timedelta(seconds=rng.randrange(90 * 24) * 3600 + rng.choice([0, 0, 7]), microseconds=rng.choice([0, 5]))
+        rows.append((rng.choice(["hot", "hot", "a", "b"]), i, at, rng.choice([None, rng.randrange(1, 9999) / 100]), rng.choice(["m", "n", "o", None]),
+                     rng.random() < 0.3, "retail", rng.choice([0, 1, None]), rng.random(), rng.choice([None, rng.random()])))
+    rows.sort(key=lambda r: (r[2], r[1]))
+    ddl = ("customer string, transaction_id long, ts timestamp_ntz, amount double, merchant string, failed boolean,"
+           " merchant_category string, device int, latitude double, longitude double")
+    table, size = spark.createDataFrame(rows, ddl), 240 // files
+    for k in range(files):
+        folder = tmp_path / f"part{k}"
+        spark.createDataFrame(rows[k * size : (k + 1) * size], ddl).coalesce(1).write.parquet(str(folder))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        written = next(folder.glob("*.parquet"))
+        target = tmp_path / "in" / f"{k}.parquet"
+        target.write_bytes(written.read_bytes())
+        os.utime(target, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("ts", as_instant(F.col("ts")))
+    with scoring.rocksdb_state(spark):
+        got = monitors.run_available(scoring.scored_history(stream)).toPandas()
+    want = history.with_history(table).toPandas()
+    got, want = (d.sort_values("transaction_id", ignore_index=True)[want.columns] for d in (got, want))
+    assert len(got) == 240
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
+    vectors = history.transaction_vector(history.with_history(table)).count()
+    assert vectors == 240
+
+
+def test_distinct_merchants_of_a_window():
+    rng = random.Random(4)
+    merchants = [rng.choice(["a", "b", "c", None]) for _ in range(60)]
+    at = np.sort(np.array([rng.randrange(40) for _ in range(60)]))
+    low, high = np.searchsorted(at, at - 7, "left"), np.searchsorted(at, at, "left")
+    got = scoring._distinct_between(merchants, at, low, high, at)
+    assert got.tolist() == [len({m for m in merchants[a:b] if m}) for a, b in zip(low, high, strict=True)]

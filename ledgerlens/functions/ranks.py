@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import written_table
@@ -11,15 +11,18 @@ from ledgerlens.session import written_table
 RANGES = 256
 
 
-def ranked_values(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
-    """One row per distinct non-null value: `ties`, `before` (rows with a smaller value) and `total`.
+def ranked_values(df: DataFrame, column: str, ranges: int = RANGES, **sums: Column) -> DataFrame:
+    """One row per distinct non-null value: `ties`, `before` (rows with a smaller value), `total`, and named `sums`.
 
     Rows collapse to (value, count) first. Range cuts taken from the distinct values split them into `ranges`
     parts; each part is ranked on its own and shifted by the rows of the parts before it. Only the cuts and one
     count per range visit the driver, so nothing there grows with the data.
     """
     counts = written_table(
-        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("ties")), "value-counts"
+        df.filter(F.col(column).isNotNull())
+        .groupBy(column)
+        .agg(F.count(F.lit(1)).alias("ties"), *[F.sum(value).alias(name) for name, value in sums.items()]),
+        "value-counts",
     )
     as_double = counts.withColumn("_v", F.col(column).cast("double"))
     cuts = as_double.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
@@ -41,6 +44,7 @@ def ranked_values(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame
         "ties",
         (F.element_at(F.create_map(*shifts), F.col("_part")) + running - F.col("ties")).cast("long").alias("before"),
         F.lit(total).cast("long").alias("total"),
+        *sums,
     )
 
 

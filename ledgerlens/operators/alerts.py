@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import risk
+from ledgerlens.functions.selection import quantiles
 from ledgerlens.operators.rules import officer_volumes
 
 # Upper bounds (included) and labels of the risk distribution.
@@ -42,8 +43,8 @@ def top_severe(alerts: DataFrame, n: int = 5) -> DataFrame:
 
 
 def recent(alerts: DataFrame, n: int = 10) -> DataFrame:
-    order = [F.desc("created_at")] if "created_at" in alerts.columns else []
-    return alerts.orderBy(*order, "alert_id").limit(n)
+    """The `n` latest alerts by `created_at` (see `rules.with_created_at`), those without a time last."""
+    return alerts.orderBy(F.desc_nulls_last("created_at"), "alert_id").limit(n)
 
 
 def severity_counts(alerts: DataFrame) -> DataFrame:
@@ -203,7 +204,10 @@ def feature_correlations(features: DataFrame, label: str, names: Sequence[str],
 
 
 def feature_summary(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum and maximum per feature, in one aggregation."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per feature.
+
+    Quartiles are linear between the two values around position (n - 1) * share.
+    """
     stats = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "minimum": F.min, "maximum": F.max}
     packed = features.agg(
         F.array(
@@ -215,7 +219,12 @@ def feature_summary(features: DataFrame, names: Sequence[str]) -> DataFrame:
             ]
         ).alias("rows")
     )
-    return packed.select(F.inline("rows"))
+    cuts = quantiles(features, names, (0.25, 0.5, 0.75))
+    quartiles = F.create_map(*[x for c in names for x in (F.lit(c), F.array(*[F.lit(v).cast("double") for v in cuts[c]]))])
+    rows = packed.select(F.inline("rows")).withColumn("_q", F.element_at(quartiles, F.col("feature")))
+    return rows.select(
+        "feature", "n", "mean", "sd", "minimum", *[F.col("_q")[i].alias(q) for i, q in enumerate(["q1", "median", "q3"])], "maximum"
+    )
 
 
 def weekly_top(alerts: DataFrame, n: int = 10) -> DataFrame:

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.ranks import ranked_values
 from ledgerlens.session import checkpoint_root, written_table
 
 
@@ -86,6 +86,26 @@ def confusion_metrics(predictions: DataFrame, label: str = "label", predicted: s
     )
 
 
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: positives, negatives and the exact area under the ROC curve, 0 when a class is missing.
+
+    The area is the share of (positive, negative) pairs in order, a tie counting half: from the rank sum of the
+    positives, where equal scores share the mean of their ranks. Rows without a score or a label are left out.
+    """
+    scored = scored.filter(F.col(label).isNotNull())
+    positive = (F.col(label) == 1).cast("long")
+    ranks = ranked_values(scored, score, positives=F.coalesce(positive, F.lit(0)))
+    mean_rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
+    p, n = F.col("positives"), F.col("negatives")
+    sums = ranks.agg(
+        F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum(F.col("ties") - F.col("positives")), F.lit(0)).alias("negatives"),
+        F.sum(F.col("positives") * mean_rank).alias("_ranks"),
+    )
+    area = F.try_divide(F.col("_ranks") - p * (p + 1) / F.lit(2.0), p.cast("double") * n)
+    return sums.select("positives", "negatives", F.coalesce(area, F.lit(0.0)).alias("roc_auc"))
+
+
 def fit_boosted(
     train: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42
 ) -> PipelineModel:
@@ -138,16 +158,15 @@ def train_classifier(
     rows = written_table(df.select(key, F.col(label).cast("double").alias(label), *features), "training")
     train, test = stratified_split(rows, label, key, seed=seed)
     model = fit_boosted(train, features, label, trees, depth, rate, seed)
-    judged = written_table(model.transform(test).select(label, "predicted", "rawPrediction"), "holdout")
+    margin = vector_to_array("rawPrediction")[1].alias("margin")
+    judged = written_table(model.transform(test).select(label, "predicted", margin), "holdout")
     scores = confusion_metrics(judged, label).first()
     sizes = {name: part.agg(F.count(F.lit(1)), F.avg(label)).first() for name, part in (("train", train), ("test", test))}
-    both = judged.agg(F.count_distinct(label)).first()[0] > 1
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     metrics = {
         "precision": scores["precision"],
         "recall": scores["recall"],
         "f1_score": scores["f1_score"],
-        "roc_auc": evaluator.evaluate(judged) if both else 0.0,
+        "roc_auc": roc_auc(judged, label, "margin").first()["roc_auc"],
         "training_samples": float(sizes["train"][0]),
         "test_samples": float(sizes["test"][0]),
         "fraud_rate_train": sizes["train"][1],

@@ -192,7 +192,8 @@ def top_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts_of(summaries.recent(rules.all_alerts(loan_table(spark, sf_dir))))
+    book = loan_table(spark, sf_dir)
+    return _alerts_of(summaries.recent(rules.with_created_at(book, rules.all_alerts(book))))
 
 
 def officer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +255,8 @@ def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = summaries.feature_summary(features.feature_matrix(loan_table(spark, sf_dir)), FEATURE_NAMES)
-    return _rounded(found, ["feature", "n"], ["mean", "sd", "minimum", "maximum"], 4)
+    found = summaries.feature_summary(_features_of(loan_table(spark, sf_dir)), FEATURE_NAMES)
+    return _rounded(found, ["feature", "n"], ["mean", "sd", "minimum", "q1", "median", "q3", "maximum"], 4)
 
 
 def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -650,6 +651,15 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, ["tp", "fp", "fn"], ["precision", "recall", "f1_score"])
 
 
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking quality of the amount for two labels: fraud, and approval after hours."""
+    book = _labelled_book(spark, sf_dir)
+    judged = book.select(F.col("is_fraud").cast("int").alias("label"), F.col("amount").cast("double").alias("score"))
+    late = book.select(is_after_hours(F.hour("created_at")).cast("int").alias("label"), F.col("amount").cast("double").alias("score"))
+    named = [boosting.roc_auc(rows).withColumn("labels", F.lit(name)) for name, rows in (("fraud", judged), ("late", late))]
+    return _rounded(named[0].unionByName(named[1]), ["labels", "positives", "negatives"], ["roc_auc"], 9)
+
+
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = _features_of(loan_table(spark, sf_dir))
     scaled, _ = boosting.standard_scale(matrix, FEATURE_NAMES)
@@ -967,6 +977,7 @@ QUERIES: dict[str, Query] = {
     "standard_scale": standard_scale,
     "split_counts": split_counts,
     "confusion": confusion,
+    "roc_auc": roc_auc,
     "gbt_metrics": gbt_metrics,
     "gbt_folds": gbt_folds,
     "gbt_importances": gbt_importances,

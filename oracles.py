@@ -594,7 +594,16 @@ ORACLES |= {
     "top_severe": _with(*ENGINE_ALERTS)
     + "select * from alerts where severity in ('CRITICAL', 'HIGH')"
     " order by severity, amount_at_risk desc, alert_id limit 5",
-    "recent_alerts": _with(*BACKEND_ALERTS) + "select * from alerts order by alert_id limit 10",
+    "recent_alerts": _with(*BACKEND_ALERTS, """
+keyed as (
+  select 'ghost_loan' as alert_type, phone_number as entity_key, created_at from loans
+  union all select 'unusual_approval', cast(officer_id as varchar), created_at from loans
+  union all select 'collusion_ring', """ + _GEO_KEY + """, created_at from (select l.created_at, c1.* from c1 join loans l using (loan_id))
+  union all select 'timing_anomaly', cast(officer_id as varchar), created_at from loans where hour(created_at) >= 22 or hour(created_at) < 6
+  union all select 'shared_guarantor', guarantor_name, created_at from loans
+  union all select 'loan_stacking', cast(borrower_id as varchar), created_at from loans where status = 'active'),
+times as (select alert_type, entity_key, max(created_at) as created_at from keyed group by all)""")
+    + "select a.*, created_at from alerts a left join times using (alert_type, entity_key) order by created_at desc nulls last, alert_id limit 10",
     "officer_ranking": _with(*BACKEND_ALERTS, """
 ol as (select cast(officer_id as varchar) as officer_id, count(loan_id) as loan_count from loans
        where officer_id is not null group by 1),
@@ -645,7 +654,9 @@ cors as (""" + " union all ".join(
 where correlation is not null and not isnan(correlation) order by abs(correlation) desc, feature limit 10""",
     "feature_summary": _with(*FEATURE_CTES) + " union all ".join(
         f"select '{n}' as feature, count({n})::double as n, round(avg({n}), 4) as mean, round(stddev_samp({n}), 4) as sd,"
-        f" round(min({n})::double, 4) as minimum, round(max({n})::double, 4) as maximum from feats"
+        f" round(min({n})::double, 4) as minimum, round(quantile_cont({n}::double, 0.25), 4) as q1,"
+        f" round(quantile_cont({n}::double, 0.5), 4) as median, round(quantile_cont({n}::double, 0.75), 4) as q3,"
+        f" round(max({n})::double, 4) as maximum from feats"
         for n in _ALL_FEATURES.split()
     ),
     "score_statistics": _with() + """
@@ -1266,6 +1277,15 @@ from (
   select count(*) filter (where is_fraud and late) as tp, count(*) filter (where not is_fraud and late) as fp,
     count(*) filter (where is_fraud and not late) as fn
   from (select is_fraud, coalesce(hour(created_at), 12) < 6 or coalesce(hour(created_at), 12) >= 22 as late from lab))""",
+    "roc_auc": _with(_LABELLED)
+    + """select labels, sum(y) as positives, sum(1 - y) as negatives,
+  round((sum(y * r) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::double * sum(1 - y)), 9) as roc_auc
+from (
+  select labels, y, rank() over w + (count(*) over (partition by labels, amount) - 1) / 2.0::double as r
+  from (select 'fraud' as labels, is_fraud::int as y, amount from lab
+        union all select 'late', (hour(created_at) < 6 or hour(created_at) >= 22)::int, amount from lab) x
+  where amount is not null and y is not null
+  window w as (partition by labels order by amount)) group by labels""",
     "minmax_risk": _with()
     + """select loan_id, round(coalesce(100 * (1 - (max(amount) over () - amount)
   / nullif(max(amount) over () - min(amount) over (), 0)), 0), 6) as anomaly_risk from loans""",

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.ranks import percentile_ranks, score_statistics
-from ledgerlens.functions import timeline
+from ledgerlens.functions import selection, timeline
 from ledgerlens.operators import features, history
 from ledgerlens.schema import FEATURE_NAMES
 
@@ -98,6 +98,25 @@ def test_fitted_statistics_are_reused(book):
     assert counts["X"] > 0 and counts["Y"] == counts["Z"] == 0
 
 
+def test_exact_quantiles_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    odd = np.array([0.0, -0.0, 1e-300, -1e300, np.inf, -np.inf, 2.5, 2.5])
+    d = pd.DataFrame(
+        {"a": rng.normal(size=3001) * 1e9, "b": rng.integers(0, 3, 3001) * 1.0, "c": np.resize(odd, 3001), "d": rng.normal(size=3001), "e": np.full(3001, -7.25)}
+    )
+    d.loc[d.index % 3 == 0, "d"] = None
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in d.itertuples(index=False)], "a double, b double, c double, d double, e double")
+    df = df.withColumn("f", F.lit(None).cast("double")).repartition(5)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    got = selection.quantiles(df, list("abcdef"), shares)
+    for c in "abde":
+        np.testing.assert_allclose(got[c], d[c].quantile(shares), rtol=1e-12)
+    ranked = np.sort(d["c"].to_numpy())
+    exact = selection.order_statistics(df, {"c": range(0, 3001, 100)})
+    assert all(exact["c", r] == ranked[r] for r in range(0, 3001, 100))
+    assert got["f"] == [None] * 6
+
+
 @pytest.fixture(scope="module")
 def transactions(spark):
     rng = random.Random(3)

@@ -55,6 +55,18 @@ def test_constant_decision_has_no_risk(spark):
     assert {r["anomaly_risk"] for r in forest.risk_from_decision(df).collect()} == {0.0}
 
 
+def test_roc_auc_counts_pairs(spark):
+    rng = np.random.default_rng(3)
+    label, score = rng.integers(0, 2, 400), rng.integers(0, 25, 400) / 4.0
+    df = spark.createDataFrame([(int(y), float(x)) for y, x in zip(label, score)] + [(1, None), (None, 2.0)], "label int, score double")
+    pos, neg = score[label == 1], score[label == 0]
+    want = ((pos[:, None] > neg[None]).sum() + 0.5 * (pos[:, None] == neg[None]).sum()) / (len(pos) * len(neg))
+    got = boosting.roc_auc(df).first()
+    assert (got["positives"], got["negatives"]) == (len(pos), len(neg)) and got["roc_auc"] == pytest.approx(want, abs=1e-12)
+    assert boosting.roc_auc(df.filter("label = 1")).first()["roc_auc"] == 0.0
+    assert boosting.roc_auc(df.limit(0)).first()["roc_auc"] == 0.0
+
+
 def brute_lof(x, k):
     n = len(x)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -344,3 +345,66 @@ def test_passages(make_docs, prose, edge_rows):
     assert got[101]["n_repeated_words"] == pytest.approx(60, abs=8)
     assert got[106]["n_repeated_words"] == 55 and got[107]["first_other"] == 106
     assert compact_windows.passage_report(make_docs([])).count() == 0
+
+
+def test_passages_behind_shared_boilerplate(make_docs, prose):
+    """Two documents in the middle of a group share more than the paragraph that all of the group begin with."""
+    rows, want = [], set()
+    for g in range(40):
+        common, more = prose(5000 + g, 40), prose(6000 + g, 20)
+        for d in range(30):
+            doc = 100 * g + d
+            rows.append((doc, f"{prose(9000 + doc, 25)} {common} {more + ' ' if d in (13, 17) else ''}{prose(20000 + doc, 25)}"))
+            want |= {doc} if d in (13, 17) else set()
+    got = {r["doc_id"]: r for r in compact_windows.passage_report(make_docs(rows).repartition(5)).collect()}
+    assert set(got) == want
+    # alike is 0.8 or more, so a few words around the passage may come along
+    assert all(60 <= r["n_repeated_words"] <= 72 and {r["doc_id"] % 100, r["first_other"] % 100} == {13, 17} for r in got.values())
+
+
+def test_every_verbatim_passage_is_found(make_docs, prose):
+    """Brute force over all 50 words in a row of documents put together from shared pieces of 10 to 70 words."""
+    rng = random.Random(6)
+    pieces = [prose(30000 + i, rng.randint(10, 70)) for i in range(60)]
+    rows = [(d, " ".join([prose(40000 + d, 5), *(rng.choice(pieces) for _ in range(rng.randint(2, 9)))])) for d in range(150)]
+    rows += [(d, "a b c d e f " * 30) for d in (900, 901)] + [(902, "z " * 200)]
+    holders = {}
+    for doc, text in rows:
+        words = text.split()
+        for i in range(len(words) - 49):
+            holders.setdefault(tuple(words[i : i + 50]), set()).add(doc)
+    at_least = {}
+    for doc, text in rows:
+        words = text.split()
+        hit = {j for i in range(len(words) - 49) if len(holders[tuple(words[i : i + 50])]) > 1 for j in range(i, i + 50)}
+        if hit:
+            at_least[doc] = len(hit)
+    got = {r["doc_id"]: r["n_repeated_words"] for r in compact_windows.passage_report(make_docs(rows).repartition(4)).collect()}
+    assert set(at_least) <= set(got) and all(got[d] >= n for d, n in at_least.items())
+    # 41 of 46 shingles make a stretch alike, so up to five words at either end of a shared stretch may come along
+    assert len(at_least) > 60 and sum(got.values()) <= 1.25 * sum(at_least.values())
+
+
+def test_alike_runs_equal_counting():
+    rng = np.random.default_rng(9)
+    span, percent, shift = compact_windows.SPAN, compact_windows.PERCENT, compact_windows.SHIFT
+    sides = []
+    for _ in range(25):
+        x = rng.integers(0, 60 if rng.random() < 0.3 else 1 << 31, rng.integers(46, 160)).astype(np.int32)
+        y = np.r_[rng.integers(0, 1 << 31, rng.integers(0, 30)), x[rng.integers(0, 9) :]].astype(np.int32)
+        y[rng.integers(0, len(y), rng.integers(0, 8))] = 7
+        sides.append((x, y))
+    pair, distance = np.repeat(np.arange(25), 3), rng.integers(-40, 12, 75)
+    flat = [np.concatenate([s[k] for s in sides]) for k in (0, 1)]
+    sizes = [np.array([len(s[k]) for s in sides]) for k in (0, 1)]
+    which, first, last = compact_windows.alike_runs(flat[0], sizes[0], flat[1], sizes[1], pair, distance)
+    want = []
+    for k, (p, d) in enumerate(zip(pair, distance, strict=True)):
+        x, y = sides[p]
+        same = [any(0 <= i - d + e < len(y) and y[i - d + e] == x[i] for e in range(-shift, shift + 1)) for i in range(len(x))]
+        starts = [i for i in range(len(x) - span + 1) if 100 * sum(same[i : i + span]) >= percent * (2 * span - sum(same[i : i + span]))]
+        for i, s in enumerate(starts):
+            if i == 0 or s - starts[i - 1] > span:
+                want.append([k, s, s])
+            want[-1][2] = s
+    assert [list(map(int, r)) for r in zip(which, first, last, strict=True)] == want and want

@@ -602,7 +602,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Borrowers linked by shared phones."""
     book = loan_table(spark, sf_dir)
-    return graph.connected_components(graph.phone_star_edges(book, graph.shared_phones(book)))
+    return graph.connected_components(graph.contracted_links(graph.phone_star_edges(book, graph.shared_phones(book))))
 
 
 def _features_of(book: DataFrame, *keep: str) -> DataFrame:

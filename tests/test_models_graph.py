@@ -114,11 +114,33 @@ def test_lof_of_few_and_no_rows(spark):
 
 def test_boundary_scores_planted_outliers_highest(spark, planted):
     df, names = frame(spark, planted)
-    scored = boundary.fit_boundary(df, names, rounds=15).score(df).toPandas().sort_values("boundary_score")
+    scored = boundary.fit_boundary(df, names).score(df).toPandas().sort_values("boundary_score")
     assert {f"L{i:05d}" for i in range(12)} <= set(scored["loan_id"].tail(60))
     assert 0.08 < scored["is_outlier"].mean() < 0.12
 
 
+def test_boundary_reaches_the_minimum_in_eight_passes(spark):
+    """Against gradient descent on the same objective until it stands still."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(700, 3)), rng.normal(loc=4, size=(60, 3))])
+    df, names = frame(spark, x)
+    model = boundary.fit_boundary(df, names, dimension=16)
+    z = boundary._map((x - x.mean(0)) / x.std(0), model.directions, model.phases)
+    mean = z.mean(axis=0)
+    width, scale = np.std(z @ mean) / 4, 1 / (0.5 * len(z))
+
+    def value_and_gradient(theta):
+        sums = boundary._sums(z, theta[:-1], theta[-1], width) * scale
+        return 0.5 * theta[:-1] @ theta[:-1] - theta[-1] + sums[0], np.r_[theta[:-1], -1.0] + sums[1 : len(theta) + 1]
+
+    theta = np.r_[mean, mean @ mean]
+    for _ in range(40000):
+        theta = theta - 0.005 * value_and_gradient(theta)[1]
+    low, start = value_and_gradient(theta)[0], value_and_gradient(np.r_[mean, mean @ mean])[0]
+    got = value_and_gradient(np.r_[model.weights, model.rho])[0]
+    assert got - low <= 0.02 * (start - low)
+
+
 def test_reconstruction_error_matches_numpy(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame(

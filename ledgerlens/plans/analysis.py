@@ -12,7 +12,8 @@ from ledgerlens.operators import alerts as summaries
 from ledgerlens.operators import features, mapping, rules
 from ledgerlens.operators.models.screening import Screen, fit_screen
 from ledgerlens.session import written_table
-from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
+from ledgerlens.sources import readers
+from ledgerlens.sources.standardise import apply_mapping, mapping_of, parse_failures, standardise
 
 MODES = ("full", "rule_only", "ml_only")
 
@@ -24,6 +25,10 @@ class Analysis:
     loans: DataFrame
     alerts: DataFrame
     ruleset: str
+    #: Of an upload: (field, filled, failed), the filled cells of each typed field that could not be read.
+    unread: DataFrame | None = None
+    #: Of a file: the lines that did not fit its header (kind, fields, line).
+    rejects: DataFrame | None = None
 
     def summary(self) -> DataFrame:
         """One row: loans and alerts by method and severity, score, band, amount at risk."""
@@ -104,14 +109,27 @@ def screen_upload(
     mode: str = "rule_only",
     ruleset: str = "engine",
 ) -> tuple[Analysis, DataFrame]:
-    """One export from unknown columns to alerts; also its mapping. Needs at least borrower and amount."""
+    """One export from unknown columns to alerts; also its mapping. Needs at least borrower and amount.
+
+    The analysis tells in `unread` how many cells of each typed field could not be read.
+    """
     mapped = mapping.override(map_upload({name: export}), overrides or {})
     fields = mapping_of(mapped, name)
     missing = {"borrower_id", "amount"} - set(fields.values())
     if missing:
         raise ValueError(f"no column found for {', '.join(sorted(missing))}")
-    standard = standardise(apply_mapping(export, fields, overrides))
-    return analyse(complete_loans(standard), mode, ruleset), mapped
+    applied = apply_mapping(export, fields, overrides)
+    found = analyse(complete_loans(standardise(applied)), mode, ruleset)
+    found.unread = parse_failures(applied)
+    return found, mapped
+
+
+def screen_file(spark: SparkSession, path: str, tidy_header: bool = False, **options) -> tuple[Analysis, DataFrame]:
+    """A CSV file from unknown columns to alerts; `rejects` of the analysis are the lines that did not fit its header."""
+    rows, rejects = readers.read_csv_checked(spark, path, tidy_header)
+    found, mapped = screen_upload(rows, **options)
+    found.rejects = rejects
+    return found, mapped
 
 
 def complete_loans(standard: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.groups import one_row
 from ledgerlens.operators import graph
 from ledgerlens.operators.models import reconstruction, screening
-from ledgerlens.plans.analysis import analyse, screen_upload
+from ledgerlens.plans.analysis import analyse, screen_file, screen_upload
 from ledgerlens.session import checkpoint_root, written_table
 from ledgerlens.sources import readers, sinks
 from ledgerlens.sources.loan_view import loan_table
@@ -81,6 +81,37 @@ def upload_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a headerless export with planted surplus fields, missing fields and open quotes, by kind and number of fields."""
+    n = F.col("loan_id")
+    line = F.concat_ws(",", "loan_id", "borrower_id", F.concat(F.lit('"'), "borrower_name", F.lit(', Ltd"')), "status")
+    planted = (
+        F.when(n % 50 == 0, F.concat(line, F.lit(",extra,more")))
+        .when(n % 70 == 0, F.concat_ws(",", "loan_id", "borrower_id"))
+        .when(n % 110 == 0, F.concat_ws(",", "loan_id", "borrower_id", F.concat(F.lit('"'), "borrower_name"), "status"))
+        .otherwise(line)
+    )
+    path = _path(spark)
+    loan_table(spark, sf_dir).select(planted.alias("value")).write.text(path)
+    rows, rejects = readers.read_csv_checked(spark, path, columns=["loan_id", "borrower_id", "borrower_name", "status"])
+    whole = rows.agg(F.lit("rows").alias("kind"), F.count("status").cast("int").alias("fields"), F.count("loan_id").alias("lines"))
+    return rejects.groupBy("kind", "fields").agg(F.count(F.lit(1)).alias("lines")).unionByName(whole)
+
+
+def upload_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of an upload that could not be read, by field: planted amounts without a number, days that do not exist."""
+    n = F.col("loan_id")
+    path = _path(spark)
+    loan_table(spark, sf_dir).select(
+        "loan_id", "borrower_id", "phone_number", "officer_id", "status", "approval_time",
+        F.when(n % 13 == 0, "n/a").otherwise(F.col("amount").cast("string")).alias("amount"),
+        F.when(n % 17 == 0, "2024-02-30").otherwise(F.col("loan_date").cast("string")).alias("loan_date"),
+    ).write.option("header", True).csv(path)
+    analysis, _ = screen_file(spark, path, mode="rule_only", ruleset="engine")
+    broken = analysis.rejects.agg(F.lit("lines").alias("field"), F.count(F.lit(1)).alias("filled"), F.count(F.lit(1)).alias("failed"))
+    return analysis.unread.filter("filled > 0").unionByName(broken)
+
+
 def phone_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All borrowers of every shared phone, linked to the smallest of them."""
     book = loan_table(spark, sf_dir)
@@ -114,6 +145,8 @@ EXCHANGE = {
     "report_csv": report_csv,
     "preview_rows": preview_rows,
     "upload_overrides": upload_overrides,
+    "scan_rejects": scan_rejects,
+    "upload_unread": upload_unread,
     "phone_stars": phone_stars,
     "combined_score": combined_score,
     "reconstruction_given": reconstruction_given,

@@ -1368,6 +1368,16 @@ ORACLES |= {
     "report_csv": _with(*ENGINE_ALERTS)
     + """select severity, replace(alert_type, '_', ' ') as type, title, description, amount_at_risk as amount, officer_id
 from alerts""",
+    "scan_rejects": _with()
+    + """select kind, fields, count(*) as lines from (
+  select case when loan_id % 50 = 0 then 'long' when loan_id % 70 = 0 then 'short' when loan_id % 110 = 0 then 'open' end as kind,
+    case when loan_id % 50 = 0 then 6 when loan_id % 70 = 0 then 2 else 4 end as fields from loans)
+where kind is not null group by all
+union all select 'rows', count(*) filter (where loan_id % 50 = 0 or (loan_id % 70 <> 0 and loan_id % 110 <> 0)), count(*) from loans""",
+    "upload_unread": _with()
+    + """select 'amount' as field, count(*) as filled, count(*) filter (where loan_id % 13 = 0) as failed from loans
+union all select 'loan_date', count(case when loan_id % 17 = 0 then 'x' else loan_date::varchar end), count(*) filter (where loan_id % 17 = 0) from loans
+union all select 'lines', 0, 0""",
     "preview_rows": _with() + "select loan_id, borrower_id, amount from loans order by loan_id limit 10",
     "upload_overrides": _with(*ENGINE_ALERTS)
     + "select alert_type, count(*) as alerts, round(sum(amount_at_risk), 2) as amount_at_risk from alerts group by 1",

@@ -32,6 +32,15 @@ def test_csv_keeps_text_and_pads_rows(spark, tmp_path):
     ]
 
 
+def test_lines_that_do_not_fit_are_told(spark, tmp_path):
+    path = tmp_path / "book.csv"
+    path.write_text('Loan ID,Phone,Name\nL1,07,"Lee, ""Ann"""\nL2,08\nL3,09,Bo,extra,"a,b"\nL4,"10,Cy\n\nL5,,\n')
+    rows, rejects = readers.read_csv_checked(spark, str(path), tidy_header=True)
+    assert {r["loan_id"]: r["name"] for r in rows.collect()} == {"L1": 'Lee, "Ann"', "L2": None, "L3": "Bo", "L4": None, "L5": None}
+    got = {(r["kind"], r["fields"], r["line"]) for r in rejects.collect()}
+    assert got == {("short", 2, "L2,08"), ("long", 5, 'L3,09,Bo,extra,"a,b"'), ("open", 3, 'L4,"10,Cy')}
+
+
 def test_json_records_allow_missing_fields(spark, tmp_path):
     path = tmp_path / "book.json"
     path.write_text('{"loan_id": "L1", "amount": 5}\n{"loan_id": "L2", "phone": "07", "extra": 1}\n')

@@ -196,3 +196,31 @@ ENGINE_STATUS_WORDS = [
 
 # Status spellings of known exports, for books that do not write the words out.
 STATUS_CODES = {"a": "active", "c": "completed", "d": "defaulted", "p": "paid"}
+
+# What each standard field means, in the words that headers are compared with.
+FIELD_MEANINGS = {
+    "loan_id": "loan identifier reference number contract id transaction",
+    "borrower_id": "borrower member client customer account identifier number",
+    "borrower_name": "borrower member client customer full name person applicant",
+    "phone": "phone mobile telephone contact number cell calling",
+    "national_id": "national id identification government id nin passport",
+    "amount": "loan amount principal money value disbursed sum total",
+    "loan_date": "loan date disbursement issue created application start",
+    "disbursement_date": "disbursement date payout release funds transfer",
+    "approval_time": "approval time timestamp created datetime hour minute",
+    "officer_id": "officer staff employee agent user approved by identifier",
+    "officer_name": "officer staff employee agent name loan processor",
+    "branch": "branch office location center unit regional area",
+    "status": "status state condition current active completed paid defaulted",
+    "guarantor_name": "guarantor witness referee reference co-applicant name",
+    "guarantor_phone": "guarantor witness referee phone mobile contact",
+    "repayment_amount": "repayment installment payment monthly emi periodic",
+    "interest_rate": "interest rate percentage annual monthly",
+    "term_months": "term months duration tenure period loan length",
+    "purpose": "purpose product type loan category facility use of funds",
+    "address": "address location residential home village district region",
+    "latitude": "latitude lat gps coordinate north south location",
+    "longitude": "longitude long lng gps coordinate east west location",
+}
+# Fixed value: cosine from which a header means a field.
+SEMANTIC_MINIMUM = 0.55

@@ -7,6 +7,9 @@ export in one job; the match functions then work on one row per column.
 from __future__ import annotations
 
 import json
+import math
+import re
+from collections import Counter
 from collections.abc import Mapping
 from functools import reduce
 
@@ -19,9 +22,11 @@ from ledgerlens.fixed_values import (
     CORE_NAMES,
     ENGINE_PATTERNS,
     ENGINE_STATUS_WORDS,
+    FIELD_MEANINGS,
     FURTHER_NAMES,
     PAGE_NAMES,
     PATTERN_FIELDS,
+    SEMANTIC_MINIMUM,
     STATUS_WORDS,
 )
 from ledgerlens.functions.clock import any_date
@@ -265,17 +270,61 @@ def statistics_match() -> Column:
     return F.coalesce(F.when(F.col("numeric_share") > 0.9, numeric), other)
 
 
+def word_grams(text: Column) -> Column:
+    """The distinct runs of three characters of every word, with a blank on either side of it."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(padded, runs)))
+
+
+def _grams(text: str) -> set[str]:
+    return {f" {w} "[i : i + 3] for w in re.split("[^a-z0-9]+", text.lower()) if w for i in range(len(w))}
+
+
+def semantic_match(header: Column, meanings: Mapping[str, str] = FIELD_MEANINGS) -> Column:
+    """(field, score): the field whose meaning is nearest, by the cosine of weighted character trigrams of words.
+
+    A trigram weighs log(1 + fields / fields that hold it), one that no field holds as if one did. Name and meaning of a
+    field are one text. The first field in order wins a tie; a text without letters and digits matches none. Words that
+    share their stem meet although no name is spelled alike: this stands for sentence vectors.
+    """
+    texts = {f: _grams(f"{f} {words}") for f, words in meanings.items()}
+    held = Counter(g for grams in texts.values() for g in grams)
+    weight = {g: math.log(1 + len(texts) / n) for g, n in held.items()}
+    # constants read from text are folded once, and one expression goes over all fields
+    known = F.from_json(F.lit(json.dumps({g: weight[g] ** 2 for g in sorted(weight)})), "map<string,double>")
+    rare = F.lit(math.log(1 + len(texts)) ** 2)
+    listed = [
+        {"place": -i, "field": f, "grams": sorted(grams), "size": math.sqrt(sum(weight[g] ** 2 for g in grams))}
+        for i, (f, grams) in enumerate(texts.items())
+    ]
+    fields = F.from_json(F.lit(json.dumps(listed)), "array<struct<place:int,field:string,grams:array<string>,size:double>>")
+    total = lambda grams: F.aggregate(
+        F.transform(grams, lambda g: F.coalesce(F.try_element_at(known, g), rare)), F.lit(0.0), lambda t, w: t + w
+    )
+    own = word_grams(header)
+
+    def scored(f: Column) -> Column:
+        cosine = total(F.array_intersect(own, f["grams"])) / (F.sqrt(total(own)) * f["size"])
+        return F.struct(F.round(cosine, 9).alias("score"), f["place"].alias("place"), f["field"].alias("field"))
+
+    best = F.array_max(F.transform(fields, scored))
+    return F.when(F.size(own) > 0, F.struct(best["field"].alias("field"), best["score"].alias("score")))
+
+
 def detect(profiles: DataFrame, stats_minimum: float = 0.6, min_length: int = 0) -> DataFrame:
-    """One candidate per column: strong name, content pattern, statistics, weak name, in that order."""
+    """One candidate per column: strong name, content pattern, statistics, weak name, meaning, in that order."""
     headed = profiles.withColumn("_header", normalise_header(F.col("column")))
     matched = headed.withColumns(
         {
             "_name": name_match(F.col("_header"), min_length=min_length),
             "_pattern": pattern_match(),
             "_stats": statistics_match(),
+            "_meant": semantic_match(F.col("_header")),
         }
     )
-    name, pattern, stats = F.col("_name"), F.col("_pattern"), F.col("_stats")
+    name, pattern, stats, meant = F.col("_name"), F.col("_pattern"), F.col("_stats"), F.col("_meant")
 
     def found(match: Column, method: str) -> Column:
         return F.struct(
@@ -289,6 +338,7 @@ def detect(profiles: DataFrame, stats_minimum: float = 0.6, min_length: int = 0)
         .when(pattern["score"] > 0.7, found(pattern, "pattern_detection"))
         .when(stats["score"] > stats_minimum, found(stats, "statistical_analysis"))
         .when(name["score"] > 0.5, found(name, "name_matching_low"))
+        .when(meant["score"] > SEMANTIC_MINIMUM, found(meant, "semantic_matching"))
     )
     return matched.withColumn("_choice", choice).select(*COLUMN_KEY, "_choice.*")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -51,10 +53,14 @@ def split_cuts(df: DataFrame, label: str, key: str, train_share: float = 0.8, se
         F.round(F.sum("n").over(Window.partitionBy("label")) * train_share).cast("long").alias("wanted"),
     )
     holding = running.filter((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("n")))
-    inside = hashed.join(F.broadcast(holding.select("label", "part", "before", "wanted")), ["label", "part"])
-    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("label", "part").orderBy("h")))
-    cuts = ranked.filter(F.col("r") == F.col("wanted") - F.col("before")).select("label", "h").collect()
-    return {r["label"]: r["h"] for r in cuts}
+    found = holding.collect()  # a row per label
+    if not found:
+        return {}
+    here = [(F.col("label") == F.lit(r["label"])) & (F.col("part") == F.lit(r["part"])) for r in found]
+    rank = F.row_number().over(Window.partitionBy("label", "part").orderBy("h"))
+    ranked = hashed.filter(reduce(operator.or_, here)).withColumn("r", rank)
+    wanted = [(F.col("label") == F.lit(r["label"])) & (F.col("r") == F.lit(r["wanted"] - r["before"])) for r in found]
+    return {r["label"]: r["h"] for r in ranked.filter(reduce(operator.or_, wanted)).select("label", "h").collect()}
 
 
 def stratified_split(

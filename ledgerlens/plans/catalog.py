@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import operator
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,7 +20,7 @@ from ledgerlens.operators.models import boosting, boundary, density, ensemble, f
 from ledgerlens.plans.analysis import analyse, screen_upload
 from ledgerlens.plans.exchange import EXCHANGE
 from ledgerlens.schema import FEATURE_NAMES
-from ledgerlens.session import checkpoint_root, written_table
+from ledgerlens.session import own_folder, written_table
 from ledgerlens.functions.text import normalise_header, string_similarity
 from ledgerlens.sources.loan_view import loan_table, table
 from ledgerlens.sources.standardise import apply_mapping, mapping_of, standardise
@@ -492,6 +491,15 @@ def mapping_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+def semantic_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct part name, part type and supplier's nation as if it were a header, with the nearest field."""
+    part = table(spark, sf_dir, "part")
+    texts = part.select(F.col("p_name").alias("header")).unionByName(part.select(F.col("p_type").alias("header")))
+    texts = texts.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("header"))).distinct()
+    best = mapping.semantic_match(F.col("header"))
+    return texts.select("header", best["field"].alias("field"), F.round(best["score"], 6).alias("score"))
+
+
 def mapping_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mapping.resolve(mapping.detect(mapping.profile(_cells(spark, sf_dir))))
     return found.withColumn("confidence", F.round("confidence", 6))
@@ -684,11 +692,15 @@ def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ml_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 riskiest loans by forest alone."""
-    matrix = _features_of(loan_table(spark, sf_dir), "officer_id")
-    screen = screening.fit_screen(matrix)
-    return screen.alerts(screen.score(matrix))
+def _ml_alerts(n: int | None) -> Query:
+    """Alerts of the loans that the forest flags: all of them, or the `n` riskiest."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        matrix = _features_of(loan_table(spark, sf_dir), "officer_id")
+        screen = screening.fit_screen(matrix)
+        return screen.alerts(screen.score(matrix), n)
+
+    return query
 
 
 def minmax_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -792,7 +804,7 @@ def upload_no_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("branch_name").alias("branch location"),
         F.col("status").alias("Status"),
     )
-    path = f"{checkpoint_root(spark)}/exports/{uuid.uuid4().hex}"
+    path = own_folder(spark, "exports")
     export.write.option("header", True).csv(path)
     analysis, _ = screen_upload(readers.read_csv(spark, path), mode="rule_only", ruleset="engine")
     return analysis.alerts.groupBy("alert_type", "severity").agg(
@@ -850,7 +862,7 @@ def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
     )
-    path = f"{checkpoint_root(spark)}/history/{uuid.uuid4().hex}"
+    path = own_folder(spark, "exports")
     sinks.append_history(rows, path)
     latest = sinks.read_history(spark, path, "NATION_7")
     return latest.select(
@@ -960,6 +972,7 @@ QUERIES: dict[str, Query] = {
     "name_match_indel": name_match_indel,
     "similarity": similarity,
     "mapping_detect": mapping_detect,
+    "semantic_headers": semantic_headers,
     "mapping_resolve": mapping_resolve,
     "mapping_sampled": mapping_sampled,
     "mapping_engine": mapping_engine,
@@ -984,7 +997,8 @@ QUERIES: dict[str, Query] = {
     "iforest": iforest,
     "minmax_risk": minmax_risk,
     "risk_factors": risk_factors,
-    "ml_alerts": ml_alerts,
+    "ml_alerts": _ml_alerts(None),
+    "ml_top50": _ml_alerts(50),
     "lof": lof,
     "one_class": one_class,
     "pca_features": pca_features,

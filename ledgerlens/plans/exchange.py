@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,13 @@ from ledgerlens.functions.groups import one_row
 from ledgerlens.operators import graph
 from ledgerlens.operators.models import reconstruction, screening
 from ledgerlens.plans.analysis import analyse, screen_file, screen_upload
-from ledgerlens.session import checkpoint_root, written_table
+from ledgerlens.session import own_folder, written_table
 from ledgerlens.sources import readers, sinks
 from ledgerlens.sources.loan_view import loan_table
 
 
 def _path(spark: SparkSession) -> str:
-    return f"{checkpoint_root(spark)}/exchange/{uuid.uuid4().hex}"
+    return own_folder(spark, "exchange")
 
 
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

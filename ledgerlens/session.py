@@ -96,9 +96,18 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder of this application in the shared folder, for files of one kind (see WRITTEN)."""
+    return f"{checkpoint_root(spark)}/{kind}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+#: What an application writes to the shared folder.
+WRITTEN = ("tables", "scratch", "exchange", "streams", "exports")
+
+
 def release_tables(spark: SparkSession) -> None:
-    """Delete every table this application wrote. Call it when no result that reads them is needed any more."""
+    """Delete everything this application wrote. Call it when no result that reads it is needed any more."""
     sc, root = spark.sparkContext, checkpoint_root(spark)
-    for folder in (f"{root}/tables/{sc.applicationId}", f"{root}/scratch/{sc.applicationId}"):
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    for kind in WRITTEN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}/{sc.applicationId}")
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,14 +8,13 @@ ended: it also writes the windows that are still open.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, TimestampNTZType
 
 from ledgerlens.functions.clock import as_instant, as_wall_clock, is_after_hours
-from ledgerlens.session import checkpoint_root
+from ledgerlens.session import own_folder
 
 
 def read_events(
@@ -92,7 +91,7 @@ def failure_bursts(
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Process everything available, then stop; returns the written rows. A second run on the same folder resumes."""
     spark = stream.sparkSession
-    folder = folder or f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
+    folder = folder or own_folder(spark, "streams")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -111,7 +110,7 @@ def run_bounded(stream: DataFrame, folder: str | None = None) -> DataFrame:
     Complete output holds every window seen so far; each batch replaces what the one before it wrote.
     """
     spark = stream.sparkSession
-    folder = folder or f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
+    folder = folder or own_folder(spark, "streams")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerlens.fixed_values import FIELD_MEANINGS
+
 LOANS = """
 l1 as (
   select l_orderkey, min(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey
@@ -1435,3 +1437,31 @@ factor as (
     )
     + "select loan_id, lof, lof > (select quantile_disc(lof, 0.9) from factor) as is_outlier from factor"
 )
+
+
+# --- meaning of headers -----------------------------------------------------------------------------------------
+
+
+def _word_grams(table: str, text: str, key: str) -> str:
+    return f"""(select distinct {key}, substr(' ' || w || ' ', i, 3) as g
+  from (select {key}, w, unnest(range(1, length(w) + 1)) as i
+        from (select {key}, unnest(string_split_regex(lower({text}), '[^a-z0-9]+')) as w from {table}) where w <> ''))"""
+
+
+_MEANINGS = ", ".join(f"({i}, '{f}', '{f} {words}')" for i, (f, words) in enumerate(FIELD_MEANINGS.items()))
+ORACLES["semantic_headers"] = f"""
+with fields(place, field, meaning) as (values {_MEANINGS}),
+headers as (select distinct header from (
+  select p_name as header from part union all select p_type from part union all select n_name from nation)),
+fg as {_word_grams("fields", "meaning", "place")},
+hg as {_word_grams("headers", "header", "header")},
+weights as (select g, ln(1 + (select count(*) from fields) / count(*)::double) ** 2 as w from fg group by g),
+sizes as (select place, sqrt(sum(w)) as size from fg join weights using (g) group by place),
+own as (select header, sqrt(sum(coalesce(w, ln(1 + (select count(*) from fields)::double) ** 2))) as size from hg left join weights using (g) group by header),
+dots as (select header, place, sum(w) as dot from hg join fg using (g) join weights using (g) group by header, place),
+scored as (
+  select o.header, f.place, f.field, round(coalesce(dot, 0) / (o.size * s.size), 9) as score
+  from own o cross join fields f join sizes s using (place) left join dots d on d.header = o.header and d.place = f.place)
+select header, arg_max(field, (score, -place)) as field, round(max(score), 6) as score from scored group by header
+union all select header, null, null from headers where header not in (select header from own)
+"""

@@ -269,3 +269,13 @@ def test_dates_with_clock_times_and_failures_are_counted(spark):
     assert [r["amount"] for r in book] == [1.0, 0.0, 0.0, 0.0, 0.0]
     counts = {r["field"]: (r["filled"], r["failed"]) for r in parse_failures(mapped).collect()}
     assert counts == {"loan_date": (4, 1), "amount": (3, 2)}
+
+
+def test_meaning_of_headers(spark):
+    headers = ["disbursed_principal_money", "client_membership_identifier", "monthly_installments", "witness_referee", "zzqx", "--", None]
+    rows = spark.createDataFrame([(h,) for h in headers], "h string").select("h", mapping.semantic_match(F.col("h")).alias("m")).collect()
+    got = {r["h"]: r["m"] for r in rows}
+    assert got["disbursed_principal_money"]["field"] == "amount" and got["disbursed_principal_money"]["score"] > 0.55
+    assert got["client_membership_identifier"]["field"] == "borrower_id"
+    assert got["monthly_installments"]["field"] == "repayment_amount" and got["zzqx"]["score"] == 0
+    assert got["--"] is None and got[None] is None

@@ -1,15 +1,16 @@
-"""Byte-exact removal of repeated strings by merging Burrows-Wheeler transforms of parsed shards.
+"""Byte-exact removal of repeated strings by blocks of phrases that are refined over all shards.
+
+This replaces the merge of shard Burrows-Wheeler transforms: no transform, suffix order or common-prefix array is built.
+What is kept of it is the refinement: positions of all shards stand in blocks that agree in their first d symbols, and d
+grows until every block is settled. Bytes as symbols would need LENGTH rounds over every byte, so symbols are phrases.
 
 A text is parsed into phrases: they begin where the hash of GRAM bytes is the strict minimum among the RADIUS positions
 on either side. Whether a position begins a phrase depends on those bytes alone, so a string that occurs twice
-is parsed alike, but for its ends. A shard is the phrase sequence of some documents. Its suffixes are those of
-the sequence; the symbol before a suffix, which is what the transform stores, leads to the suffix one step longer.
-
-Merging: the interleave of all shards is held as blocks of suffixes that agree in their first d phrases. It begins with
-blocks of equal first phrase. A refinement extends every block by the block of the suffix that follows, over
-all shards at once: d goes from 1 to 2 to 4. A shard sends one row per block it takes part in, and gets back which of its
-blocks are shared; suffixes alone in their block are settled and never looked at again. No suffixes are sorted anew.
-The last depth at which a suffix still shared its block is its common prefix with its neighbour in the merged order.
+is parsed alike, but for its ends. A shard is the phrase sequence of some documents.
+
+Refinement: it begins with blocks of equal first phrase. A step extends every block by the block of the position that
+follows, over all shards at once: d goes from 1 to 2 to 4. A shard sends one row per block it takes part in (a hash of its
+phrases), and gets back which of its blocks are shared; positions alone in their block are settled and never looked at again.
 
 Repeated intervals: all windows of LENGTH bytes with the same phrases inside are one run. A run whose phrases are
 unshared cannot repeat. A run that is shared with one more phrase on each side, and the bytes that decided where those

@@ -18,6 +18,8 @@ one page the bad one counts; without labels there are no mined rules; other colu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,14 +82,33 @@ def mined_rules(
     labelled: DataFrame, scratch: Scratch, support: float = SUPPORT, least: int = LEAST_PAGES,
     confidence: float = CONFIDENCE, most: int = MOST,
 ) -> DataFrame:
-    """(tokens, pages, confidence) from rows (tokens, bad)."""
-    rows = scratch.write(labelled.filter(F.size("tokens") > 0).select("tokens", "bad"), "labelled")
+    """(tokens, pages, confidence) from rows (tokens, bad).
+
+    Tokens that stand on the same labelled pages (the segments of a path that all of them share) are mined as one, the
+    first in text order: a set of two of them is never a rule, because each alone is as sure. Rules are then written out with
+    every one of them. So a shared path of any length is one item, not all the subsets of its segments.
+    """
+    rows = labelled.filter(F.size("tokens") > 0).select("tokens", "bad").withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.write(rows, "labelled")
     n = rows.count()
     empty = rows.select("tokens", F.lit(0).cast("long").alias("pages"), F.lit(0.0).alias("confidence")).limit(0)
     if not n:
         return empty
-    items = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=1.0).fit(items)
+    share = min(1.0, max(support, least / n))
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    alike = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("row")).alias("x1"),
+        F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("x2"),
+    )
+    alike = scratch.write(alike.filter(F.col("n") >= math.ceil(share * n)), "frequent")
+    firsts = alike.groupBy("n", "x1", "x2").agg(F.min("token").alias("first"))
+    same = scratch.write(alike.join(firsts, ["n", "x1", "x2"]).select("token", "first"), "same")
+    merged = each.join(same, "token").groupBy("row").agg(F.collect_set("first").alias("items"))
+    held = F.coalesce("items", F.array().cast("array<string>"))
+    items = rows.select("row", "bad").join(merged, "row", "left")
+    items = items.select(F.when(F.col("bad"), F.concat(held, F.array(F.lit(BLOCK)))).otherwise(held).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(items)
     sets = model.freqItemsets.filter(F.size("items") <= most + 1)
     sets = scratch.write(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     blocked = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(
@@ -100,7 +121,14 @@ def mined_rules(
     parts = sure.select("tokens", "confidence", F.explode(_subsets("tokens", most)).alias("part"))
     shorter = sure.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
     implied = parts.join(shorter, "part").filter("c >= confidence").select("tokens").distinct()
-    return scratch.write(sure.join(implied, "tokens", "left_anti"), "rules")
+    found = sure.join(implied, "tokens", "left_anti").withColumnRenamed("tokens", "_of").withColumn("tokens", F.array().cast("array<string>"))
+    for i in range(most):
+        place = F.try_element_at("_of", F.lit(i + 1))
+        one = same.select(F.col("token").alias("_token"), F.col("first").alias("_first"))
+        found = found.join(one, place == F.col("_first"), "left").withColumn(
+            "tokens", F.when(F.col("_token").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("_token")))
+        ).drop("_token", "_first")
+    return scratch.write(found.select(F.array_sort("tokens").alias("tokens"), "pages", "confidence"), "rules")
 
 
 def _subsets(column: str, most: int) -> Column:

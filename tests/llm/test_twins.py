@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pandas as pd
 
@@ -23,6 +25,20 @@ def test_mined_url_rules_equal_sql(spark):
     assert plain(got) == plain(want) and got["mined"].notna().sum() > 60
 
 
+def test_a_long_shared_path_is_one_item(spark):
+    """60 labelled pages under one path of 18 segments: mined in seconds, with the same rules as token by token."""
+    path = "/".join(f"part{chr(97 + k)}" for k in range(18))
+    rows = [(i, f"http://a.example.org/{path}/{i}?x={i}") for i in range(60)] + [(100 + i, f"http://b{i}.example.net/parta/z") for i in range(60)]
+    rows += [(900, "http://c.example.com/q/partc"), (901, "http://c.example.com/parta")]
+    labels = [(i, 0, 1) for i in range(60)] + [(100 + i, 1, 0) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    started = time.time()
+    got = {r["page_id"]: r for r in url_rules.judged_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert time.time() - started < 60
+    assert all(got[i]["verdict"] == "block" for i in range(60)) and all(got[100 + i]["verdict"] == "allow" for i in range(60))
+    assert got[900]["mined"] == "p:partc" and got[901]["mined"] is None
+
+
 def test_encoder_stays_right_while_it_forgets(monkeypatch, prose):
     import pyarrow as pa
 

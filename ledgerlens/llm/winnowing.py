@@ -8,7 +8,8 @@ Items of fewer words are one window; their word hashes are looked up at their ow
 
 Scale: the documents are read once and never shuffled. The fingerprints of the benchmark go to the tasks, in parts:
 `PART_WORDS` bounds the item words held by one pass, and a larger benchmark takes several passes over the documents,
-each with its part of the items, whose hit ranges are then merged by document.
+each with its part of the items, whose hits are written and then merged by document. The driver builds the parts one after
+the other and never holds more than two.
 
 Edge cases: a null or empty text, document or item, has no words and is not hit; repeated items are items of their
 own; repeated documents give repeated rows; a null item id never appears in the digest but its windows hit; other
@@ -176,7 +177,7 @@ def benchmark_parts(
     items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, k: int = K,
     part_words: int = PART_WORDS,
 ) -> Iterator[Benchmark]:
-    """The items in parts of bounded size; the driver holds one part at a time while it builds it."""
+    """The items in parts of bounded size; a part is built when it is asked for."""
     ids, texts, size = [], [], 0
     for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         n = len(row["t"] or "") // 2 + 1
@@ -203,15 +204,20 @@ def contaminated_spans(
     """Per document: doc_id, n_words, disjoint hit ranges [starts[i], ends[i]) in words, and the items that hit."""
     C.small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = list(benchmark_parts(items, window=window, k=k, part_words=part_words))
-    if len(parts) == 1:
-        return _scanned(slim, parts[0], window, k)
-    rows = C.Scratch(docs.sparkSession, "winnowing").write(
-        slim.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "docs"
-    )
-    union = _scanned(rows, parts[0], window, k)
-    for part in parts[1:]:
-        union = union.unionByName(_scanned(rows, part, window, k))
+    parts = benchmark_parts(items, window=window, k=k, part_words=part_words)
+    bench, following = next(parts), next(parts, None)
+    if following is None:
+        return _scanned(slim, bench, window, k)
+    scratch = C.Scratch(docs.sparkSession, "winnowing")
+    rows = scratch.write(slim.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "docs")
+    union = scratch.write(_scanned(rows, bench, window, k), "part0")  # all documents; further parts add those they hit
+    done = 1
+    while following is not None:
+        bench, following = following, next(parts, None)
+        hit = _scanned(rows, bench, window, k).filter(F.size("starts") > 0)
+        union = union.unionByName(scratch.write(hit, f"part{done}"))
+        done += 1
+    scratch.drop("docs")
     return (
         union.groupBy("row")
         .agg(
@@ -228,9 +234,18 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", part_
     """The rows of `docs` that share no window with an item, with their columns; one pass for each part of the items."""
     C.small_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    for bench in benchmark_parts(items, part_words=part_words):
+    scratch = C.Scratch(docs.sparkSession, "winnowing")
+    parts = benchmark_parts(items, part_words=part_words)
+    bench, done = next(parts), 0
+    while bench is not None:
         rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
         docs = _scanned(rows, bench, WINDOW, K).filter(F.size("starts") == 0).select("row.*")
+        bench = next(parts, None)
+        if bench is not None:
+            docs = scratch.write(docs, f"clean{done}")
+            if done:
+                scratch.drop(f"clean{done - 1}")
+            done += 1
     return docs
 
 

@@ -52,25 +52,33 @@ def name_variations(extended: bool = True) -> dict[str, list[str]]:
     return {field: known[field] for field in STANDARD_FIELDS}
 
 
+def _unpivoted(source: str, columns: list[str], wide: DataFrame, ids: list[str]) -> DataFrame:
+    """`ids`, source, position, column, value from columns named by position, so that a header may hold any character."""
+    long = wide.unpivot(ids, [f"c{i}" for i in range(len(columns))], "_place", "value")
+    position = F.substring("_place", 2, 10).cast("int")
+    header = F.element_at(F.array(*[F.lit(c) for c in columns]), position + 1)
+    return long.select(F.lit(source).alias("source"), position.alias("position"), header.alias("column"), *ids, "value")
+
+
 def long_values(exports: Mapping[str, DataFrame], order: str | None = None) -> DataFrame:
     """Every non-empty cell as (source, position, column, row, value); `order` names the row-order column."""
     parts = []
     for source, export in exports.items():
         columns = [c for c in export.columns if c != order]
         row = F.col(order) if order else F.monotonically_increasing_id()
-        cells = export.select(
-            row.cast("long").alias("row"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns]
-        ).unpivot("row", columns, "column", "value")
-        places = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
-        parts.append(
-            cells.filter(F.col("value").isNotNull() & (F.trim("value") != "")).select(
-                F.lit(source).alias("source"),
-                F.element_at(places, F.col("column")).alias("position"),
-                "column",
-                "row",
-                "value",
-            )
-        )
+        cells = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
+        long = _unpivoted(source, columns, export.select(row.cast("long").alias("row"), *cells), ["row"])
+        parts.append(long.filter(F.col("value").isNotNull() & (F.trim("value") != "")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def filled_columns(exports: Mapping[str, DataFrame], order: str | None = None) -> DataFrame:
+    """(source, position, column) of every column that holds a non-empty cell: one aggregate row per export, no cell moves."""
+    parts = []
+    for source, export in exports.items():
+        columns = [c for c in export.columns if c != order]
+        filled = export.agg(*[F.bool_or(F.trim(F.col(f"`{c}`").cast("string")) != "").alias(f"c{i}") for i, c in enumerate(columns)])
+        parts.append(_unpivoted(source, columns, filled, []).filter("value").drop("value"))
     return reduce(DataFrame.unionByName, parts)
 
 

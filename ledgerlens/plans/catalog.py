@@ -521,7 +521,7 @@ def mapping_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.assign_first(_cells(spark, sf_dir).select(*mapping.COLUMN_KEY).distinct())
+    return mapping.assign_first(mapping.filled_columns(exports(spark, sf_dir), order="row"))
 
 
 def mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,15 @@ def test_pooled_assignment_is_greedy_by_confidence(spark):
     assert found == {("s", "b"): "amount", ("s", "a"): "phone", ("t", "a"): "amount"}
 
 
+def test_filled_columns_are_those_with_a_cell(spark):
+    schema = "row long, `a.b` string, `A b` double, c string, d string"
+    one = spark.createDataFrame([(1, None, None, "", "x"), (2, " ", 2.0, None, None), (3, "v", None, "  ", "")], schema)
+    sources = {"s": one, "t": one.limit(0), "u": one.filter("row = 1").drop("A b")}
+    found = mapping.filled_columns(sources, order="row")
+    assert sorted(found.collect()) == [("s", 0, "a.b"), ("s", 1, "A b"), ("s", 3, "d"), ("u", 2, "d")]
+    assert sorted(mapping.long_values(sources, order="row").select(*mapping.COLUMN_KEY).distinct().collect()) == sorted(found.collect())
+
+
 def test_page_assignment_takes_the_first_free_field(spark):
     headers = spark.createDataFrame(
         [("s", i, c) for i, c in enumerate(["loan_id", "Other ID", "phone no", "xyz"])],

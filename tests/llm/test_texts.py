@@ -362,6 +362,37 @@ def test_passages_behind_shared_boilerplate(make_docs, prose):
     assert all(60 <= r["n_repeated_words"] <= 72 and {r["doc_id"] % 100, r["first_other"] % 100} == {13, 17} for r in got.values())
 
 
+def test_edited_passages_behind_shared_boilerplate(make_docs, prose):
+    """As above, but one word of the longer passage differs, inside the paragraph that all of the group begin with."""
+    rows, want = [], set()
+    for g in range(40):
+        common, more = prose(45000 + g, 40), prose(46000 + g, 20)
+        changed = " ".join("zz" + w if i == 30 else w for i, w in enumerate(common.split(" ")))
+        for d in range(30):
+            doc = 100 * g + d
+            middle = f"{common if d != 17 else changed} {more + ' ' if d in (13, 17) else ''}"
+            rows.append((doc, f"{prose(49000 + doc, 25)} {middle}{prose(60000 + doc, 25)}"))
+            want |= {doc} if d in (13, 17) else set()
+    got = {r["doc_id"]: r for r in compact_windows.passage_report(make_docs(rows).repartition(5)).collect()}
+    # a start is looked at if two of four min-hashes meet anything: a few in a hundred of edited passages may not be
+    assert set(got) <= want and len(got) >= 0.95 * len(want)
+    assert all({r["doc_id"] % 100, r["first_other"] % 100} == {13, 17} for r in got.values())
+
+
+def test_rarest_places_against_brute_force():
+    rng = np.random.default_rng(12)
+    span, percent, missing = compact_windows.SPAN, compact_windows.PERCENT, compact_windows.MISSING
+    assert [100 * (span - m) >= percent * (span + m) for m in (missing, missing + 1)] == [True, False]
+    for n in (46, 60, 200):
+        often = rng.permutation(n) + 1  # no ties, the place of 1 is held by nobody else
+        want = set()
+        for start in range(n - 4):
+            rare = sorted(range(start, start + 5), key=lambda i: often[i])[:3]
+            want |= {i for i in rare if often[i] > 1} if often[rare[-1]] > 1 else set()
+        assert set(compact_windows.rarest_places(often, 5, 2).tolist()) == want
+    assert compact_windows.rarest_places(np.array([1, 1, 1, 9, 9]), 5, 2).tolist() == []
+
+
 def test_every_verbatim_passage_is_found(make_docs, prose):
     """Brute force over all 50 words in a row of documents put together from shared pieces of 10 to 70 words."""
     rng = random.Random(6)

@@ -236,9 +236,9 @@ def _network(df: DataFrame, stats: FeatureStats) -> DataFrame:
     t = stats.tables
     phones, backers = F.col("shared_phone_count"), F.col("shared_guarantor_count")
     return (
-        df.join(t["phone"], "phone_number", "left")
-        .join(t["guarantor"], "guarantor_name", "left")
+        df.join(t["guarantor"], "guarantor_name", "left")
         .join(t["national_id"], "national_id", "left")
+        .join(t["phone"], "phone_number", "left")
         .withColumns(
             {
                 "shared_phone_count": _or_zero(phones),
@@ -309,7 +309,8 @@ def add_features(
     batch = batch_stats(loans, groups)
     stats = FeatureStats({**batch.tables, **fitted.tables}, {**batch.numbers, **fitted.numbers})
     result = loans
-    for group in ("amount", "branch", "officer", "time", "network", "geo", "borrower"):
+    # joins that shuffle the loans come first, widest key first: later ones then carry neither that key nor other features
+    for group in ("network", "geo", "borrower", "amount", "branch", "officer", "time"):
         if group in groups:
             result = _ADD[group](result, stats)
     return result

@@ -126,3 +126,13 @@ def test_dates_use_the_posix_century(spark):
     rows = spark.createDataFrame([("22-Nov-24",), ("01-Feb-97",), ("1/2/2024",), ("2024-02-30",)], "t string")
     got = [r[0] for r in rows.select(any_date(F.col("t"))).collect()]
     assert got == [dt.date(2024, 11, 22), dt.date(1997, 2, 1), dt.date(2024, 2, 1), None]
+
+
+def test_wide_keys_are_joined_before_features_are_added(spark, make_loans):
+    """The loans are shuffled for names and phones first: later joins carry neither these texts nor the features of others."""
+    book = written_table(make_loans([{"loan_id": f"L{i}", "guarantor_name": f"G{i % 3}", "loan_date": dt.date(2024, 1, 5)} for i in range(9)]), "narrow")
+    plan = features.feature_matrix(book)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    keys = ["guarantor_name", "national_id", "phone_number", "cell_lat", "borrower_id"]  # from the innermost join out
+    places = [next(i for i, line in enumerate(reversed(joins)) if f"({key}#" in line) for key in keys]
+    assert places == sorted(places) and places[0] == 0

@@ -174,6 +174,24 @@ def nearest_among(asked: np.ndarray, reach: np.ndarray, members: np.ndarray) ->
         start = stop
 
 
+def touched_boxes(
+    points: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the point, number of the box): the boxes that each point's ball reaches into.
+
+    `points` lie close together: a box beyond the widest ball around their common box is out for all of them, so that
+    few boxes are left to compare, however many there are.
+    """
+    if not len(points):
+        return np.zeros(0, int), np.zeros(0, int)
+    apart = np.maximum(0, np.maximum(low - points.max(axis=0), points.min(axis=0) - high))
+    # never larger than a point's own distance to the box, also when rounded: every step is monotone
+    close = np.flatnonzero(np.sqrt((apart**2).sum(axis=1)) <= radius.max())
+    gap = np.maximum(0, np.maximum(low[close][None] - points[:, None], points[:, None] - high[close][None]))
+    i, j = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= radius[:, None])
+    return i, close[j]
+
+
 def cell_tree(points: DataFrame, features: Sequence[str], per_cell: int, max_cells: int = MAX_CELLS) -> CellTree:
     """The tree over a sample of SAMPLE_PER_CELL points for each of at most `max_cells` cells."""
     count = points.count()
@@ -222,10 +240,9 @@ def neighbours(
         for asked, other, weight, distance, whose, radius in nearest_inside(x, pdf["weight"].to_numpy(), k):
             alone = np.setdiff1d(np.arange(len(x)), whose) if len(x) == 1 else np.zeros(0, int)
             whose, radius = np.r_[whose, alone], np.r_[radius, np.full(len(alone), np.inf)]
-            gap = np.maximum(0, np.maximum(low[None] - x[whose][:, None], x[whose][:, None] - high[None]))
-            touch = (np.sqrt((gap**2).sum(axis=2)) <= radius[:, None]) & (number != here)[None]
-            i, j = np.nonzero(touch)
-            open_rows = np.isin(asked, whose[touch.any(axis=1)])
+            i, j = touched_boxes(x[whose], radius, low, high)
+            i, j = i[number[j] != here], j[number[j] != here]
+            open_rows = np.isin(asked, whose[i])
             parts.append((ids[asked], ids[other], weight, distance, open_rows))
             parts.append((ids[whose[i]], np.full(len(i), -1), number[j], radius[i], np.ones(len(i), bool)))
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]

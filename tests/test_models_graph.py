@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -105,6 +106,23 @@ def test_lof_with_one_value_in_a_third_of_the_rows(spark, max_cells):
     np.testing.assert_allclose(got.loc[want.index], want, rtol=1e-6)
 
 
+def test_boxes_of_a_block_are_not_compared_with_all_cells():
+    rng = np.random.default_rng(4)
+    low = rng.uniform(0, 1000, (4096, 7))
+    high = low + rng.uniform(0, 20, low.shape)
+    points = 500 + rng.uniform(0, 30, (128, 7))
+    for radius in (rng.uniform(0, 250, 128), np.r_[np.inf, np.zeros(127)], np.zeros(128)):
+        tracemalloc.start()
+        i, j = density.touched_boxes(points, radius, low, high)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        gap = np.maximum(0, np.maximum(low[None] - points[:, None], points[:, None] - high[None]))
+        want = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= radius[:, None])
+        assert (i.tolist(), j.tolist()) == (want[0].tolist(), want[1].tolist())
+        assert np.isinf(radius[0]) or held < 8e6  # all boxes at once take over 50 MB
+    assert len(density.touched_boxes(points[:0], radius[:0], low, high)[0]) == 0
+
+
 def test_lof_of_few_and_no_rows(spark):
     x = np.array([[0.0, 1.0], [0.0, 1.0], [5.0, 2.0]])
     df, names = frame(spark, x)

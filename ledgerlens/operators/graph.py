@@ -246,7 +246,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     to its smallest neighbour, so a long chain shrinks geometrically. A step is one job: it writes the new links to
     the shared folder, which cuts the lineage, and observes how many there are and their hash on the way. Links
     that a later step replaced are deleted. The minima of a step are aggregated from the links while the links
-    themselves come from the file, so the two sides of the join have shuffles of their own.
+    themselves come from the file, so the two sides of the join have shuffles of their own. The minima are never
+    broadcast: there are as many steps as it takes, and each broadcast would pass through the driver.
     """
 
     scratch = Scratch(links.sparkSession, "components")
@@ -269,10 +270,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter(F.col("v") > F.col("u")).join(lowest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large, _ = step(large.distinct(), f"large-star-{i}")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lowest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(lowest.hint("merge"), "u").filter(F.col("v") != F.col("m"))
+        moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(lowest.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v"))
         # a step's links have both ends in order: the larger id first
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -306,6 +306,20 @@ def test_components(spark, shape):
         assert set(got.values()) == {smallest} and len(got) == len({n for pair in links for n in pair})
 
 
+def test_steps_of_components_send_no_links_through_the_driver(spark, monkeypatch):
+    plans, write = [], graph.Scratch.write
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(graph.Scratch, "write", kept)
+    links = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)]
+    found = graph.connected_components(spark.createDataFrame(links, "source string, target string"))
+    assert {r["component"] for r in found.collect()} == {"n00"}
+    assert len(plans) > 4 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_graph_of_a_small_book(make_loans):
     rows = [
         ("L1", "B1", "O1", "07", "G"),

@@ -115,6 +115,20 @@ def test_engine_content_confidences(odd_export):
     assert found["zq5"] == ("amount", 85) and found["zq6"] == ("borrower_name", 70) and found["zq7"] == ("status", 80)
 
 
+def test_a_sample_sorts_no_whole_column(spark):
+    rows = [(s, p, f"c{p}", r, f"{s}{p}-{r}") for s in "ab" for p in range(3) for r in range(6000, 0, -1) if p < 2 or r % 1500 == 0]
+    rows += [("a", 0, "c0", None, "no row"), ("b", 7, "c0", 5, "one")]
+    cells = spark.createDataFrame(rows, "source string, position int, column string, row long, value string").repartition(3)
+    found = mapping.column_sample(cells, 10)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0)):
+        want.setdefault(r[:3], []).append(r)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(str(r) for k in want.values() for r in k[:10])
+    (part,) = mapping._first_rows(10)(iter(cells.coalesce(1).toArrow().to_batches(max_chunksize=500)))
+    assert sorted(map(str, (tuple(r.values()) for r in part.to_pylist()))) == sorted(str(r) for k in want.values() for r in k[:10])
+
+
 def test_sample_and_whole_profile_agree_on_a_short_export(odd_export):
     cells = mapping.long_values({"odd": odd_export}, "row")
     assert mapping.column_sample(cells, 100).groupBy("column").count().filter("count <> 100").count() == 0

@@ -55,6 +55,18 @@ def clean_phone(value: Column) -> Column:
     return F.translate(value, " -()", "")
 
 
+#: What every text that Spark reads as a double looks like. Some texts of this shape are no numbers.
+NUMBER_SHAPE = (
+    r"(?i)^[\x00-\x20]*[+-]?(?:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?[fd]?"
+    r"|0x[0-9a-f.]+p[+-]?[0-9]+[fd]?)[\x00-\x20]*$"
+)
+
+
+def try_double(value: Column) -> Column:
+    """The text as a double, null when it is none. A failed cast costs an exception per row, a failed match next to nothing."""
+    return F.when(value.rlike(NUMBER_SHAPE), value.try_cast("double"))
+
+
 def parse_amount(value: Column) -> Column:
     """Text amount without thousands commas; anything else than a finite number is 0."""
     return F.coalesce(finite(F.translate(value, ",", "").try_cast("double")), F.lit(0.0))

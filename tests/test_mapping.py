@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import indel_similarity, normalise_header, string_similarity
+from ledgerlens.functions.text import indel_similarity, normalise_header, string_similarity, try_double
 from ledgerlens.operators import mapping
 from ledgerlens.plans.analysis import map_upload, screen_upload
 from ledgerlens.schema import STANDARD_FIELDS
@@ -129,6 +129,14 @@ def test_a_sample_sorts_no_whole_column(spark):
     assert sorted(map(str, (tuple(r.values()) for r in part.to_pylist()))) == sorted(str(r) for k in want.values() for r in k[:10])
 
 
+def test_number_shape_leaves_out_no_number(spark):
+    texts = ["1", " -2.5 ", "+.5", "5.", "1e5", "1E-3", "2d", "3.F", "inf", "-Infinity", "NaN", "+nan", "0x1p3", "0x1.8P-1d", "\t7\n", "\x017"]
+    texts += ["", " ", ".", "-", "1,000", "1998-02-06", "12:30", "Infinite", "GDM12", "1 2", "e5", "0x12", "--1", "1e", "\u00a01", "\u0663", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").try_cast("double").cast("string").alias("want"), try_double(F.col("t")).cast("string").alias("got"))
+    rows = got.collect()
+    assert [r for r in rows if r["want"] != r["got"]] == [] and sum(r["want"] is not None for r in rows) >= 12
+
+
 def test_sample_and_whole_profile_agree_on_a_short_export(odd_export):
     cells = mapping.long_values({"odd": odd_export}, "row")
     assert mapping.column_sample(cells, 100).groupBy("column").count().filter("count <> 100").count() == 0

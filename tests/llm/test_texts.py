@@ -379,6 +379,53 @@ def test_edited_passages_behind_shared_boilerplate(make_docs, prose):
     assert all({r["doc_id"] % 100, r["first_other"] % 100} == {13, 17} for r in got.values())
 
 
+def test_near_copies_meet_in_pairs_that_grow_with_their_number(make_docs, prose, monkeypatch):
+    """Every document has the passage with one word of its own, the first and the last ones only halves of it."""
+    counts = {}
+    write = compact_windows.C.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(compact_windows.C.Scratch, "write", counted)
+    passage, made = prose(71000, 160).split(), []
+    for n in (40, 160):
+        rows = []
+        for d in range(n):
+            words = list(passage)
+            for at in random.Random(d).sample(range(160), 3):
+                words[at] = f"own{d}x{at}"
+            words = words[:75] if d in (0, n - 1) else words
+            rows.append((d, f"{prose(72000 + d, 20)} {' '.join(words)} {prose(73000 + d, 20)}"))
+        counts.clear()
+        got = {r["doc_id"] for r in compact_windows.passage_report(make_docs(rows).repartition(4)).collect()}
+        assert len(got) >= 0.9 * n
+        pairs = sum(v for k, v in counts.items() if k.endswith("pairs") or k == "left-over")
+        made.append((pairs, sum(v for k, v in counts.items() if k.endswith("spans"))))
+    (pairs, spans), (more_pairs, more_spans) = made
+    assert more_pairs <= 6 * pairs and more_spans <= 6 * spans, made
+
+
+def test_shared_distances_against_counting():
+    rng = np.random.default_rng(5)
+    shift, least = compact_windows.SHIFT, compact_windows.SPAN - compact_windows.MISSING
+    for top in (3, 1 << 31):
+        for _ in range(20):
+            x = rng.integers(0, top, rng.integers(46, 120)).astype(np.int32)
+            y = np.r_[rng.integers(0, top, rng.integers(0, 30)), x[rng.integers(0, 60) :]].astype(np.int32)
+            gaps = [i - j for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]]
+            want = [g for g in sorted(set(gaps)) if sum(abs(h - g) <= shift for h in gaps) >= least]
+            assert compact_windows.shared_distances(x, y).tolist() == want
+
+
+def test_joined_ranges():
+    owner, first, last = (np.array(v) for v in ([2, 1, 1, 1, 2, 1], [0, 5, 0, 30, 4, 9], [3, 9, 4, 40, 6, 20]))
+    got = [v.tolist() for v in compact_windows.joined_ranges(owner, first, last)]
+    assert got == [[1, 1, 1, 2, 2], [0, 5, 30, 0, 4], [4, 20, 40, 3, 6]]
+
+
 def test_rarest_places_against_brute_force():
     rng = np.random.default_rng(12)
     span, percent, missing = compact_windows.SPAN, compact_windows.PERCENT, compact_windows.MISSING

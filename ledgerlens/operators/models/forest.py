@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ledgerlens.session import written_table
+
 _NODES = "tree int, node int, feature int, threshold double, low int, high int, depth double"
 _HASH_RANGE = 1 << 40
+#: Rows scored at once.
+BLOCK = 4096
 
 
 def average_depth(n: float) -> float:
@@ -62,49 +66,67 @@ class IsolationForest:
     sample: int
     offset: float
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, threshold and depth of every tree as a full binary tree: node i (from 1) leads to 2i and 2i + 1.
+
+        Below a leaf all thresholds are infinite, so its rows end in the place at its far left. At most 2 * `sample` places a tree.
+        """
+        steps = int(np.ceil(np.log2(max(self.sample, 2))))
+        nodes = self.nodes.sort_values(["tree", "node"])
+        sizes = nodes.groupby("tree").size().to_numpy()
+        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        low, high = nodes["low"].to_numpy() + base, nodes["high"].to_numpy() + base
+        threshold = np.where(low == np.arange(len(nodes)), np.inf, nodes["threshold"].to_numpy())
+        feature, depth = nodes["feature"].to_numpy().astype(np.int64), nodes["depth"].to_numpy()
+        tests = np.zeros((len(sizes), 1 << steps), np.int64)
+        cuts = np.full((len(sizes), 1 << steps), np.inf)
+        at = (np.cumsum(sizes) - sizes)[:, None]
+        for level in range(steps):
+            width = 1 << level
+            tests[:, width : 2 * width], cuts[:, width : 2 * width] = feature[at], threshold[at]
+            at = np.stack([low[at], high[at]], axis=2).reshape(len(sizes), 2 * width)
+        return tests, cuts, depth[at]
+
     def raw_score(self, spark: SparkSession) -> Column:
         """Negative anomaly score, -1 (outlier) to 0, of a row's feature columns."""
-        nodes = self.nodes.sort_values(["tree", "node"])
-        starts = nodes.groupby("tree").size().cumsum().shift(fill_value=0).to_numpy()
-        base = np.repeat(starts, nodes.groupby("tree").size().to_numpy())
-        count = len(nodes)
-        children = np.empty(2 * count, dtype="int64")
-        children[0::2] = nodes["low"].to_numpy() + base
-        children[1::2] = nodes["high"].to_numpy() + base
-        leaf = children[0::2] == np.arange(count)
-        threshold = np.where(leaf, np.inf, nodes["threshold"].to_numpy())
-        arrays = (
-            starts,
-            nodes["feature"].to_numpy(),
-            threshold,
-            children,
-            nodes["depth"].to_numpy(),
-            int(np.ceil(np.log2(max(self.sample, 2)))),
-            average_depth(self.sample),
-        )
-        shared = spark.sparkContext.broadcast(arrays)
+        shared = spark.sparkContext.broadcast((*self._tables(), average_depth(self.sample)))
 
         @F.pandas_udf(DoubleType())
         def score(*columns: pd.Series) -> pd.Series:
-            roots, feature, threshold, children, depth, steps, normal = shared.value
-            x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            lines = np.arange(len(x)) * x.shape[1]
-            flat = x.ravel()
-            total = np.zeros(len(x))
-            for root in roots:
-                at = np.full(len(x), root)
-                for _ in range(steps):
-                    above = flat.take(lines + feature.take(at)) > threshold.take(at)
-                    at = children.take(2 * at + above)
-                total += depth.take(at)
-            return pd.Series(-np.power(2.0, -total / len(roots) / normal))
+            tests, cuts, depths, normal = shared.value
+            places = depths.shape[1]
+            arrays = [c.to_numpy(dtype="float64") for c in columns]
+            totals = np.zeros(len(arrays[0]))
+            for begin in range(0, len(totals), BLOCK):  # what a block's steps touch stays in the processor's cache
+                total = totals[begin : begin + BLOCK]
+                n = len(total)
+                x = np.concatenate([a[begin : begin + BLOCK] for a in arrays])  # feature by feature
+                row = np.arange(n)
+                where, at, above = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, bool)
+                value, cut = np.empty(n), np.empty(n)
+                for test, limits, depth in zip(tests * n, cuts, depths, strict=True):
+                    at.fill(1)
+                    while at[0] < places:  # all rows are on one level
+                        test.take(at, out=where, mode="clip")
+                        np.add(where, row, out=where)
+                        x.take(where, out=value, mode="clip")
+                        limits.take(at, out=cut, mode="clip")
+                        np.greater(value, cut, out=above)
+                        np.add(at, at, out=at)
+                        np.add(at, above, out=at)
+                    at -= places
+                    depth.take(at, out=value, mode="clip")
+                    total += value
+            return pd.Series(-np.power(2.0, -totals / len(tests) / normal))
 
         return score(*[F.col(c).cast("double") for c in self.features])
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds `decision` (below 0: outlier) and `prediction` (-1 or 1)."""
-        decision = self.raw_score(df.sparkSession) - F.lit(self.offset)
-        return df.withColumn("decision", decision).withColumn(
+        return self._decided(df, self.raw_score(df.sparkSession))
+
+    def _decided(self, df: DataFrame, raw: Column) -> DataFrame:
+        return df.withColumn("decision", raw - F.lit(self.offset)).withColumn(
             "prediction", F.when(F.col("decision") < 0, -1).otherwise(1)
         )
 
@@ -120,24 +142,13 @@ class IsolationForest:
         return IsolationForest(meta["features"], nodes, meta["sample"], meta["offset"])
 
 
-def fit_forest(
-    df: DataFrame,
-    features: Sequence[str],
-    key: str = "loan_id",
-    trees: int = 100,
-    sample: int = 256,
-    contamination: float = 0.05,
-    seed: int = 42,
-) -> IsolationForest:
-    """Sample by row hash, grow one tree per group, set the cut at the `contamination` quantile of the scores.
+def _grown(table: DataFrame, features: Sequence[str], trees: int, sample: int, seed: int) -> IsolationForest:
+    """Sample by row hash and grow one tree per group; the forest has no cut yet.
 
     A tree draws the rows of smallest hash of (key, seed, tree). Rows above a threshold that leaves three samples' worth
     on average are dropped at once, so that no tree falls short of its sample. A retried task draws the same rows, which
     `rand()` would not guarantee. The rule is the same for tables of any size.
     """
-    spark = df.sparkSession
-    columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
-    table = df.select(F.col(key).alias("_key"), *columns)
     n = table.count()
     share = min(1.0, 3.0 * sample / n) if n else 1.0
     draw = _row_hash(F.col("_key"), F.lit(seed), F.col("tree"))
@@ -157,12 +168,55 @@ def fit_forest(
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _NODES.split(", ")])
 
     nodes = chosen.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
-    model = IsolationForest(names, nodes, min(sample, max(n, 2)), 0.0)
-    cut = table.select(model.raw_score(spark).alias("s")).agg(F.percentile_approx("s", contamination, 100000)).first()[0]
-    model.offset = float(cut)
+    return IsolationForest(names, nodes, min(sample, max(n, 2)), 0.0)
+
+
+def _filled(df: DataFrame, features: Sequence[str], key: str) -> DataFrame:
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    return df.select(F.col(key).alias("_key"), *columns)
+
+
+def _cut(scores: DataFrame, contamination: float) -> float:
+    return float(scores.agg(F.percentile_approx("_raw", contamination, 100000)).first()[0])
+
+
+def fit_forest(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str = "loan_id",
+    trees: int = 100,
+    sample: int = 256,
+    contamination: float = 0.05,
+    seed: int = 42,
+) -> IsolationForest:
+    """A forest whose cut is the `contamination` quantile of the scores of `df`."""
+    table = _filled(df, features, key)
+    model = _grown(table, features, trees, sample, seed)
+    model.offset = _cut(table.select(model.raw_score(df.sparkSession).alias("_raw")), contamination)
     return model
 
 
+def fit_and_score(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str = "loan_id",
+    keep: Sequence[str] | None = None,
+    trees: int = 100,
+    sample: int = 256,
+    contamination: float = 0.05,
+    seed: int = 42,
+) -> tuple[IsolationForest, DataFrame]:
+    """`fit_forest` and its `score` of the same rows, which are walked through the trees and written once for both.
+
+    `df` has no null feature, as `feature_matrix` makes it. Of its columns `keep` are kept, all with None.
+    """
+    model = _grown(_filled(df, features, key), features, trees, sample, seed)
+    raw = model.raw_score(df.sparkSession).alias("_raw")
+    scored = written_table(df.select(*(df.columns if keep is None else keep), raw), "scored")
+    model.offset = _cut(scored, contamination)
+    return model, model._decided(scored, F.col("_raw")).drop("_raw")
+
+
 def risk_from_decision(scored: DataFrame, epsilon: float = 0.0) -> DataFrame:
     """Adds `anomaly_risk`: the decision scaled to 0 (most normal of this table) to 100 (least).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import alerts as summaries
 from ledgerlens.operators import features, mapping, rules
-from ledgerlens.operators.models.screening import Screen, fit_screen
+from ledgerlens.operators.models.screening import ALERT_COLUMNS, Screen, fit_and_screen
 from ledgerlens.session import written_table
 from ledgerlens.sources import readers
 from ledgerlens.sources.standardise import apply_mapping, mapping_of, parse_failures, standardise
@@ -72,22 +72,23 @@ def analyse(
     ruleset: str = "backend",
     screen: Screen | None = None,
     top_ml: int | None = None,
+    written: bool = False,
 ) -> Analysis:
     """Run the rules, the model screen, or both over a loan table.
 
-    The loans are written once: detectors and features pass over them many times. Without a `screen` an
+    The loans are written once, unless they are `written` already: detectors and features pass over them many times. Without a `screen` an
     unsupervised one is fitted on these loans. `top_ml` keeps only the riskiest model alerts; all by default.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    book = written_table(loans, "book")
+    book = loans if written else written_table(loans, "book")
     parts = []
     if mode != "ml_only":
         parts.append(rules.all_alerts(book, ruleset))
     if mode != "rule_only":
         matrix = written_table(features.feature_matrix(book, keep=["loan_id", "officer_id"]), "features")
-        model = screen or fit_screen(matrix)
-        parts.append(model.alerts(model.score(matrix), top_ml))
+        model, scored = (screen, screen.score(matrix)) if screen else fit_and_screen(matrix, keep=ALERT_COLUMNS)
+        parts.append(model.alerts(scored, top_ml))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return Analysis(book, written_table(found, "alerts"), ruleset)
 

@@ -677,8 +677,7 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest decision, prediction and 0 to 100 risk of every loan."""
     matrix = _features_of(loan_table(spark, sf_dir))
-    model = forest.fit_forest(matrix, FEATURE_NAMES)
-    scored = written_table(model.score(matrix).select("loan_id", "decision", "prediction"), "scored")
+    _, scored = forest.fit_and_score(matrix, FEATURE_NAMES, keep=["loan_id"])
     return forest.risk_from_decision(scored, 1e-10)
 
 
@@ -697,8 +696,8 @@ def _ml_alerts(n: int | None) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         matrix = _features_of(loan_table(spark, sf_dir), "officer_id")
-        screen = screening.fit_screen(matrix)
-        return screen.alerts(screen.score(matrix), n)
+        screen, scored = screening.fit_and_screen(matrix, keep=screening.ALERT_COLUMNS)
+        return screen.alerts(scored, n)
 
     return query
 
@@ -877,17 +876,17 @@ def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and model screen together, as the one-row dashboard summary."""
-    return analyse(loan_table(spark, sf_dir), "full").summary()
+    return analyse(loan_table(spark, sf_dir), "full", written=True).summary()
 
 
 def analysis_rule_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = analyse(loan_table(spark, sf_dir), "rule_only").summary()
+    summary = analyse(loan_table(spark, sf_dir), "rule_only", written=True).summary()
     return summary.withColumn("amount_at_risk", F.round("amount_at_risk", 2))
 
 
 def timeline_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans per month flagged by rules, by the forest, and by both."""
-    analysis = analyse(loan_table(spark, sf_dir), "full", top_ml=None)
+    analysis = analyse(loan_table(spark, sf_dir), "full", top_ml=None, written=True)
     methods = analysis.alerts.select("alert_id", F.col("detection_method").alias("method"))
     months = analysis.loans.select("loan_id", F.trunc("loan_date", "month").alias("month"))
     flags = analysis.members().join(methods, "alert_id").select("loan_id", "method").distinct().join(months, "loan_id")

@@ -51,6 +51,46 @@ def test_forest_is_repeatable_and_survives_saving(spark, planted, tmp_path):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_scores_follow_the_nodes_of_every_tree(spark, planted):
+    """Rows on a threshold go left, as do rows without a value; a block of rows ends inside the table."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.round(planted, 1)] * 6)
+    df, names = frame(spark, x)
+    model = forest.fit_forest(df, names, trees=7, sample=48)
+    x[rng.random(x.shape) < 0.02] = np.nan
+    x[5] = np.inf
+    trees = [part.set_index("node") for _, part in model.nodes.groupby("tree")]
+    cuts = model.nodes.dropna(subset=["threshold"])
+    x[:200, 0] = rng.choice(cuts.loc[cuts["feature"] == 0, "threshold"].to_numpy(), 200)
+
+    def depth(tree, row):
+        at = 0
+        while tree.at[at, "low"] != at:
+            at = tree.at[at, "high" if row[tree.at[at, "feature"]] > tree.at[at, "threshold"] else "low"]
+        return tree.at[at, "depth"]
+
+    got = model.score(frame(spark, x)[0].coalesce(1)).toPandas().sort_values("loan_id")["decision"].to_numpy()
+    some = np.r_[np.arange(210), np.arange(4000, 4200)]
+    want = [-(2.0 ** (-sum(depth(t, x[i]) for t in trees) / len(trees) / forest.average_depth(48))) - model.offset for i in some]
+    np.testing.assert_allclose(got[some], want, rtol=1e-12)
+
+
+def test_screen_scores_a_table_once(spark, monkeypatch):
+    """The cut of a new forest and the scores of its rows come from one walk through the trees."""
+    rng = np.random.default_rng(10)
+    pdf = pd.DataFrame(rng.normal(size=(300, len(FEATURE_NAMES))), columns=FEATURE_NAMES)
+    features = spark.createDataFrame(pdf.assign(loan_id=[f"L{i:03d}" for i in range(300)], officer_id="O1"))
+    walks, walk = [], forest.IsolationForest.raw_score
+    monkeypatch.setattr(forest.IsolationForest, "raw_score", lambda self, spark: (walks.append(1), walk(self, spark))[1])
+    screen, scored = screening.fit_and_screen(features, keep=screening.ALERT_COLUMNS)
+    assert len(walks) == 1 and screen.training_samples == 300
+    apart = screening.fit_screen(features)
+    assert screen.forest.offset == apart.forest.offset
+    sides = [screen.alerts(s, None).toPandas().sort_values("alert_id", ignore_index=True) for s in (scored, apart.score(features))]
+    pd.testing.assert_frame_equal(*sides)
+    assert len(sides[0])
+
+
 def test_constant_decision_has_no_risk(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "loan_id string, decision double")
     assert {r["anomaly_risk"] for r in forest.risk_from_decision(df).collect()} == {0.0}

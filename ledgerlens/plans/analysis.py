@@ -58,12 +58,21 @@ class Analysis:
     def by_severity(self) -> DataFrame:
         return summaries.severity_counts(self.alerts)
 
-    def members(self) -> DataFrame:
-        """Every loan behind every rule alert, and the loan of every model alert."""
-        rule = rules.alert_members(self.loans, self.alerts.filter("detection_method = 'rule'"), self.ruleset)
-        model = self.alerts.filter("detection_method = 'ml'").select("alert_id", "alert_type", "entity_key")
+    def members(self, methods: bool = False) -> DataFrame:
+        """Every loan behind every rule alert, and the loan of every model alert.
+
+        With `methods` also whether a `rule` or the `ml` screen gave the alert's id, so that no join on ids is needed for it.
+        """
+        found, carry = self.alerts, []
+        ids = ["alert_id", "alert_type", "entity_key"]
+        if methods:  # an id is the hash of type and key
+            carry = ["rule", "ml"]
+            given = [F.max(F.col("detection_method") == m).alias(m) for m in carry]
+            found = found.groupBy(*ids[1:]).agg(F.min("alert_id").alias("alert_id"), *given)
+        of = lambda m: found.filter(F.col(m) if methods else F.col("detection_method") == m)
+        rule = rules.alert_members(self.loans, of("rule"), self.ruleset, carry)
         book = self.loans.withColumn("entity_key", F.col("loan_id").cast("string"))
-        return rule.unionByName(book.join(model, "entity_key").select(rule.columns))
+        return rule.unionByName(book.join(of("ml").select(*ids, *carry), "entity_key").select(rule.columns))
 
 
 def analyse(

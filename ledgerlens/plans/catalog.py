@@ -887,10 +887,12 @@ def analysis_rule_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans per month flagged by rules, by the forest, and by both."""
     analysis = analyse(loan_table(spark, sf_dir), "full", top_ml=None, written=True)
-    methods = analysis.alerts.select("alert_id", F.col("detection_method").alias("method"))
     months = analysis.loans.select("loan_id", F.trunc("loan_date", "month").alias("month"))
-    flags = analysis.members().join(methods, "alert_id").select("loan_id", "method").distinct().join(months, "loan_id")
-    return summaries.detection_timeline(flags, ["rule", "ml"])
+    methods = ["rule", "ml"]
+    loans = analysis.members(methods=True).groupBy("loan_id").agg(*[F.max(m).alias(m) for m in methods])
+    method = F.explode(F.array_compact(F.array(*[F.when(F.col(m), m) for m in methods])))
+    flags = loans.join(months, "loan_id").select("loan_id", "month", method.alias("method"))
+    return summaries.detection_timeline(flags, methods)
 
 
 QUERIES: dict[str, Query] = {

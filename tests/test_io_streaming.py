@@ -116,6 +116,19 @@ def test_analysis_modes(small_book):
         analyse(small_book, "other")
 
 
+def test_members_tell_the_methods_without_a_join_on_ids(small_book):
+    """A loan behind an id that rules and models both gave counts for both; the plan shuffles no alert ids."""
+    analysis = analyse(small_book, "full", top_ml=None)
+    some = analysis.alerts.limit(3).withColumn("detection_method", F.when(F.col("detection_method") == "rule", "ml").otherwise("rule"))
+    analysis.alerts = analysis.alerts.unionByName(some).localCheckpoint()
+    methods = analysis.alerts.select("alert_id", F.col("detection_method").alias("method"))
+    want = {(r["loan_id"], r["method"]) for r in analysis.members().join(methods, "alert_id").collect()}
+    found = analysis.members(methods=True).select("loan_id", "rule", "ml")
+    got = {(r["loan_id"], m) for r in found.collect() for m in ("rule", "ml") if r[m]}
+    assert got == want and {m for _, m in got} == {"rule", "ml"}
+    assert "alert_id" not in found._jdf.queryExecution().sparkPlan().toString().split("Scan")[0]
+
+
 def test_officer_risk_is_monotone(small_book):
     alerts = rules.all_alerts(small_book, "engine")
     rows = summaries.officer_risk(small_book, alerts, 10).collect()

@@ -420,6 +420,34 @@ def test_shared_distances_against_counting():
             assert compact_windows.shared_distances(x, y).tolist() == want
 
 
+def test_matches_alone_give_the_alike_runs():
+    """As laying the sides beside each other at all their distances, also in portions; the 46 shingles count once."""
+    rng = np.random.default_rng(6)
+    xs, ys = [], []
+    for k in range(60):
+        line = rng.integers(0, 1 << 31, rng.integers(3, 70))
+        x = np.r_[rng.integers(0, 1 << 31, rng.integers(0, 40)), np.tile(line, rng.integers(1, 9)), rng.integers(0, 1 << 31, rng.integers(0, 60))]
+        y = np.delete(np.r_[rng.integers(0, 5, rng.integers(0, 30)), x[rng.integers(0, 20) :]], slice(60, 60 + k % 7))
+        y[rng.integers(0, len(y), len(y) // 30)] = 7
+        xs.append((x if k % 9 else x[:30]).astype(np.int32)), ys.append((y if k % 10 else rng.integers(0, 9, 80)).astype(np.int32))
+    x_sizes, y_sizes = (np.array([len(v) for v in side]) for side in (xs, ys))
+    pair, part, gaps = [], [], []
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        at = compact_windows.shared_distances(x, y).astype(np.int64)
+        pair.append(np.full(len(at), k)), part.append(np.arange(len(at)) // 64), gaps.append(at)
+    pair, part, gaps = (np.concatenate(v) for v in (pair, part, gaps))
+    flat = np.concatenate(xs), np.concatenate(ys)
+    want = []
+    for own, own_sizes, other, other_sizes, d in ((flat[0], x_sizes, flat[1], y_sizes, gaps), (flat[1], y_sizes, flat[0], x_sizes, -gaps)):
+        which, first, last = compact_windows.alike_runs(own, own_sizes, other, other_sizes, pair, d)
+        want.append(sorted(zip(pair[which].tolist(), part[which].tolist(), first.tolist(), last.tolist(), strict=True)))
+    for most in (compact_windows.MATCHED, 2000):
+        large, found = compact_windows.alike_sides(flat[0], x_sizes, flat[1], y_sizes, most)
+        kept = [[r for r in rows if r[0] not in set(large.tolist())] for rows in want]
+        assert [sorted(zip(*(c.tolist() for c in rows), strict=True)) for rows in found] == kept and all(map(len, kept))
+        assert (len(large) == 0) == (most > 2000)
+
+
 def test_joined_ranges():
     owner, first, last = (np.array(v) for v in ([2, 1, 1, 1, 2, 1], [0, 5, 0, 30, 4, 9], [3, 9, 4, 40, 6, 20]))
     got = [v.tolist() for v in compact_windows.joined_ranges(owner, first, last)]

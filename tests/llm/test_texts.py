@@ -446,6 +446,12 @@ def test_matches_alone_give_the_alike_runs():
         kept = [[r for r in rows if r[0] not in set(large.tolist())] for rows in want]
         assert [sorted(zip(*(c.tolist() for c in rows), strict=True)) for rows in found] == kept and all(map(len, kept))
         assert (len(large) == 0) == (most > 2000)
+    # 64 matches of eight places with eight others
+    side = np.r_[np.arange(20), np.full(8, 99), np.arange(30, 60)].astype(np.int32)
+    other = np.where(side == 99, side, side + 1000).astype(np.int32)
+    size = np.array([len(side)])
+    assert len(compact_windows.shared_distances(side, other))
+    assert [len(c) for rows in compact_windows.alike_sides(side, size, other, size)[1] for c in rows] == [0] * 8
 
 
 def test_joined_ranges():

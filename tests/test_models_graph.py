@@ -8,6 +8,9 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph
@@ -235,6 +238,82 @@ def test_boosting_learns_a_separable_set(spark):
     assert training.metrics["training_samples"] + training.metrics["test_samples"] == 600
 
 
+def _boost_rows(spark, n=500):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 4, n), np.round(rng.normal(size=n), 1)])
+    return frame(spark, x, {"label": ((x[:, 0] + x[:, 1] - x[:, 2] + rng.normal(size=n)) > 1.5).astype(int)})
+
+
+@pytest.mark.parametrize("whole", [2_000_000, 0])
+def test_boosting_equals_the_library(spark, monkeypatch, whole):
+    """Same margins and weights as Spark's own boosted trees, grown by one task or by a job per level."""
+    monkeypatch.setattr(boosting, "WHOLE_ROWS", whole)
+    df, names = _boost_rows(spark)
+    model = boosting.fit_boosted(df, names, trees=4)
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    library = GBTClassifier(labelCol="label", predictionCol="predicted", maxIter=4, maxDepth=5, stepSize=0.1).fit(rows)
+    got, want = (
+        m.transform(d).orderBy("loan_id").select(vector_to_array("rawPrediction")[1].alias("m"), "predicted").toPandas()
+        for m, d in ((model, df), (library, rows))
+    )
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+    np.testing.assert_allclose(model.stages[-1].featureImportances.toArray(), library.featureImportances.toArray(), rtol=1e-9)
+
+
+def test_parts_are_fitted_side_by_side(spark, monkeypatch):
+    """Parts give the models of single fits, in blocks over several tasks and in one task; their models judge rows alike."""
+    df, names = _boost_rows(spark)
+    third = F.pmod(F.xxhash64("loan_id"), F.lit(3))
+    alone = [boosting.fit_parts(df.filter(third != i), names, [F.lit(True)], trees=12, depth=3)[0] for i in range(3)]
+    together = [boosting.fit_parts(df, names, [third != i for i in range(3)], trees=12, depth=3)]
+    for name, value in (("WHOLE_ROWS", 0), ("TASK_ROWS", 300), ("BLOCK_ROWS", 100)):
+        monkeypatch.setattr(boosting, name, value)
+    together.append(boosting.fit_parts(df, names, [third != i for i in range(3)], trees=12, depth=3))
+    for models in together:
+        for one, other in zip(alone, models, strict=True):
+            np.testing.assert_array_equal(one.feature, other.feature)
+            np.testing.assert_allclose(one.threshold, other.threshold)
+            np.testing.assert_allclose(one.value, other.value, atol=1e-9)
+    pdf = df.withColumn("m", boosting.fold_margin(alone, [F.col(c) for c in names], third)).withColumn("fold", third).toPandas()
+    for i, model in enumerate(alone):
+        own = pdf[pdf["fold"] == i]
+        scored = boosting.library_model(spark, model, "label", 42).transform(df.filter(third == i))
+        want = scored.select("loan_id", vector_to_array("rawPrediction")[1].alias("w")).toPandas().set_index("loan_id")["w"]
+        np.testing.assert_allclose(own.set_index("loan_id")["m"].sort_index(), want.sort_index(), rtol=1e-9)
+
+
+def test_folds_cost_no_jobs_of_their_own(spark):
+    """Trees and folds do not multiply jobs: a fit was a few jobs for every level of every tree of every fold."""
+    df, names = _boost_rows(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("boosted", "boosted")
+    boosting.train_classifier(df, names, trees=10, folds=3)
+    jobs = len(tracker.getJobIdsForGroup("boosted"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 100
+
+
+def test_lost_margins_come_from_the_trees(monkeypatch, tmp_path):
+    """An executor without the file of a task's margins makes it anew from all trees; one with the last file adds one tree."""
+    monkeypatch.setattr(boosting.tempfile, "gettempdir", lambda: str(tmp_path))
+    codes = boosting.Codes.of([4])
+    block = codes.encoded([np.array([0, 1, 2, 3])]), np.array([1, -1, 1, -1], np.int8), np.array([1, 1, 1, 0], np.uint8)
+    trees = [(n, [(np.array([0, -1, -1]), np.array([n, 0, 0]), np.array([0.0, 1.0, 10.0]))]) for n in range(3)]
+    asked = []
+
+    def so_far(first, end):
+        asked.append((first, end))
+        return trees[first:end]
+
+    def all_of(folder, done):
+        return [m for _, m in boosting._margins(codes, folder, 1, 0, iter([block]), so_far, done, 0.5)][0].tolist()
+
+    steps = [all_of("kept", n) for n in (1, 2, 2, 3)]
+    assert asked == [(0, 1), (1, 2), (2, 3)] and steps[1] == steps[2]
+    assert all_of("lost", 3) == steps[3] == [[2.0, 11.0, 15.5, 0.0]]
+    assert asked[3:] == [(0, 3)]
+
+
 def test_folds_are_fits_of_the_whole_classifier(spark, monkeypatch):
     """`gbt_folds` fits as many trees as `gbt_metrics`: 100, in five folds."""
     form = inspect.signature(boosting.train_classifier)

@@ -446,6 +446,12 @@ def test_matches_alone_give_the_alike_runs():
         kept = [[r for r in rows if r[0] not in set(large.tolist())] for rows in want]
         assert [sorted(zip(*(c.tolist() for c in rows), strict=True)) for rows in found] == kept and all(map(len, kept))
         assert (len(large) == 0) == (most > 2000)
+        _, found = compact_windows.alike_sides(flat[0], x_sizes, flat[1], y_sizes, most, widest=True)
+        for rows, all_rows in zip(found, kept, strict=True):  # fewer distances, the same starts
+            less = list(zip(*(c.tolist() for c in rows), strict=True))
+            assert len(less) < len(all_rows)
+            covered = [{(k, i) for k, _, a, b in some for i in range(a, b + compact_windows.SPAN)} for some in (less, all_rows)]
+            assert covered[0] == covered[1]
     # 64 matches of eight places with eight others
     side = np.r_[np.arange(20), np.full(8, 99), np.arange(30, 60)].astype(np.int32)
     other = np.where(side == 99, side, side + 1000).astype(np.int32)
@@ -454,6 +460,22 @@ def test_matches_alone_give_the_alike_runs():
     assert [len(c) for rows in compact_windows.alike_sides(side, size, other, size)[1] for c in rows] == [0] * 8
 
 
+def test_slices_have_the_windows_of_every_function():
+    """One tree over all functions gives each function's windows, none of which crosses the zero behind a document."""
+    rng = np.random.default_rng(8)
+    documents = [rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (60, 46, 200, 91)]
+    documents[2][70:140] = documents[2][:70]
+    flat = np.concatenate([np.r_[d, np.uint64(0)] for d in documents])
+    want, begin = [], 0
+    for d in documents:
+        for j, seed in enumerate(compact_windows._SEEDS):
+            values = compact_windows.C.mix(d ^ seed)
+            key = lambda c, v=values, j=j: int(v[c]) & ~(compact_windows.HASHES - 1) | j
+            want += [(key(c), begin + a, begin + c, begin + b) for a, c, b in compact_windows.compact_windows(values)]
+        begin += len(d) + 1
+    assert sorted(zip(*(c.tolist() for c in compact_windows.slice_windows(flat)), strict=True)) == sorted(want) and want
+
+
 def test_joined_ranges():
     owner, first, last = (np.array(v) for v in ([2, 1, 1, 1, 2, 1], [0, 5, 0, 30, 4, 9], [3, 9, 4, 40, 6, 20]))
     got = [v.tolist() for v in compact_windows.joined_ranges(owner, first, last)]

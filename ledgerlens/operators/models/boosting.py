@@ -145,13 +145,20 @@ SIDE_BY_SIDE = 16
 EQUAL_GAIN = 1e-10
 
 
-def feature_cuts(values: np.ndarray, bins: int) -> np.ndarray:
-    """At most `bins` - 1 cuts of one feature, between values: all, or those nearest to equal shares of the rows."""
-    distinct, counts = np.unique(values, return_counts=True)
+def feature_cuts(values: np.ndarray, bins: int, rows: float) -> np.ndarray:
+    """At most `bins` - 1 cuts of one feature, between values: all, or those nearest to equal shares of the rows.
+
+    As Spark's trees, which expect `rows` values and take those that are missing to be zeros.
+    """
+    distinct, counts = np.unique(values[values != 0], return_counts=True)
+    zeros = rows - counts.sum()
+    if zeros > np.finfo(float).eps * 100 * rows:
+        at = np.searchsorted(distinct, 0.0)
+        distinct, counts = np.insert(distinct, at, 0.0), np.insert(counts.astype(float), at, zeros)
     between = (distinct[1:] + distinct[:-1]) / 2
     if len(between) <= bins - 1:
         return between
-    stride, cuts, seen = len(values) / bins, [], np.cumsum(counts)
+    stride, cuts, seen = rows / bins, [], np.cumsum(counts)
     target = stride
     for i in range(1, len(distinct)):
         if abs(seen[i - 1] - target) < abs(seen[i] - target):
@@ -160,6 +167,16 @@ def feature_cuts(values: np.ndarray, bins: int) -> np.ndarray:
     return np.array(cuts)
 
 
+def _drawn(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """About CUT_ROWS of the rows, those that Spark's trees draw with this seed."""
+    if rows <= CUT_ROWS:
+        return df
+    spark = df.sparkSession
+    number = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    drawn = df._jdf.toJavaRDD().sample(False, CUT_ROWS / rows, number)
+    return DataFrame(spark._jsparkSession.createDataFrame(drawn, df._jdf.schema()), spark)
+
+
 @dataclass
 class Codes:
     """How the bins of features are held: feature f is the digit of weight `stride[f]` in the code `home[f]`."""
@@ -502,7 +519,7 @@ def fit_parts(
 ) -> list[BoostedTrees]:
     """Gradient boosting on the logistic loss (Friedman 2001) with histograms: a classifier for each condition in `parts`.
 
-    Equals Spark's `GBTClassifier` on rows that neither samples for cuts. The rows are binned once. Up to WHOLE_ROWS rows a
+    Equals Spark's `GBTClassifier`, up to splits of equal gain. The rows are binned once. Up to WHOLE_ROWS rows a
     part, each part is grown by one task: a job for every level would cost more than its sums. Beyond, blocks of rows are
     kept by Spark and a level of all parts is one job. The cuts of a part come from its own rows, about CUT_ROWS of them.
     """
@@ -511,22 +528,19 @@ def fit_parts(
         return [model for models in fitted for model in models]
     names, count = [f"x{i}" for i in range(len(features))], len(parts)
     sc, mask = df.sparkSession.sparkContext, np.min_scalar_type((1 << count) - 1)
+    numbers = [F.col(c).cast("double").alias(x) for c, x in zip(features, names, strict=True)]
     table = df.select(
-        *[F.col(c).cast("double").alias(x) for c, x in zip(features, names, strict=True)],
+        *numbers,
         F.col(label).cast("double").alias("y"),
         reduce(operator.add, [F.when(part, 1 << i).otherwise(0) for i, part in enumerate(parts)]).cast("int").alias("parts"),
-        F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 30)).alias("drawn"),
     ).filter("parts > 0")
     sizes = list(table.agg(*[F.count_if(F.col("parts").bitwiseAND(1 << i) > 0) for i in range(count)]).first())
     if not all(sizes):
         raise ValueError("a classifier has no rows to learn from")
-    shares = [(1 << 30) * min(1.0, CUT_ROWS / n) for n in sizes]
-    # equal rows are drawn together: the limit bounds the driver when copies of one row make up the table
-    sample = table.filter(F.col("drawn") < max(shares)).select(*names, "parts", "drawn").limit(8 * CUT_ROWS).toPandas()
-    own, x, member, draw = [], sample[names].to_numpy(dtype=float), sample["parts"].to_numpy(), sample["drawn"].to_numpy()
-    for i, n in enumerate(sizes):
-        chosen = x[(member >> i & 1 > 0) & (draw < shares[i])]
-        own.append([feature_cuts(chosen[:, f], min(BINS, n)) for f in range(len(names))])
+    own = []
+    for part, n in zip(parts, sizes, strict=True):
+        x = _drawn(df.filter(part).select(*numbers), n, seed).toPandas().to_numpy(dtype=float)
+        own.append([feature_cuts(x[:, f], min(BINS, n), float(min(CUT_ROWS, n))) for f in range(len(names))])
     cuts = [np.unique(np.concatenate([c[f] for c in own])) for f in range(len(names))]
     place = [[np.searchsorted(cuts[f], c[f]) for f in range(len(names))] for c in own]
     codes = Codes.of([len(c) + 1 for c in cuts])
